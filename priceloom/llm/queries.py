@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from priceloom.llm import bpe_counts, compression_bands, content_chunks, source_mix
+from priceloom.llm import bpe_counts, compression_bands, content_chunks, jaccard_join, source_mix, string_tiling, template_tree
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return string_tiling.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op4_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_tree.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(documents(spark, sf_dir))
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = compression_bands.compression_bands(documents(spark, sf_dir).select("doc_id", "text"))
     return rows.select("doc_id", *[f.name for f in compression_bands.FIELDS])
@@ -31,6 +43,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_compression_bands, op7_mix_sources, op8_repeated_spans, op10_token_counts)
+    f.__name__: f for f in (op1_string_tiling, op4_template_tree, op5_jaccard_join, op6_compression_bands, op7_mix_sources, op8_repeated_spans, op10_token_counts)
 }
-ORACLES: dict[str, str] = {"op7_mix_sources": source_mix.SQL}
+ORACLES: dict[str, str] = {"op4_template_tree": template_tree.SQL, "op7_mix_sources": source_mix.SQL}
