@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from priceloom.llm import bpe_counts, compression_bands, content_chunks, jaccard_join, source_mix, string_tiling, template_tree
+from priceloom.llm import (
+    bpe_counts,
+    capture_index,
+    compression_bands,
+    content_chunks,
+    jaccard_join,
+    line_crf,
+    site_templates,
+    source_mix,
+    string_tiling,
+    template_tree,
+)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +28,16 @@ def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return string_tiling.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op2_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_templates.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = line_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return line_crf.score_quality(docs, model).select("doc_id", "held_out", "score", "predicted", "n_lines")
+
+
 def op4_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_tree.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "text")
 
@@ -38,11 +59,27 @@ def op8_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_chunks.repeated_spans(documents(spark, sf_dir))
 
 
+def op9_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture_index.archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.token_counts(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_string_tiling, op4_template_tree, op5_jaccard_join, op6_compression_bands, op7_mix_sources, op8_repeated_spans, op10_token_counts)
+    f.__name__: f
+    for f in (
+        op1_string_tiling,
+        op2_site_templates,
+        op3_line_crf,
+        op4_template_tree,
+        op5_jaccard_join,
+        op6_compression_bands,
+        op7_mix_sources,
+        op8_repeated_spans,
+        op9_capture_index,
+        op10_token_counts,
+    )
 }
 ORACLES: dict[str, str] = {"op4_template_tree": template_tree.SQL, "op7_mix_sources": source_mix.SQL}
