@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("series", "setops")
+MODULES = ("series", "setops", "offers")
 
 
 def _load():
