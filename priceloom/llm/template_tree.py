@@ -29,17 +29,18 @@ _WITH_DIGIT = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
 def masked(line: Column) -> Column:
-    """Tokens with a digit as variable fields, one space between tokens."""
-    return F.trim(F.regexp_replace(F.regexp_replace(line, _WITH_DIGIT, FIELD), _BLANK, " "))
+    """Tokens with a digit as variable fields, one space between tokens. Most lines need neither replacement."""
+    fields = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _WITH_DIGIT, FIELD)).otherwise(line)
+    return F.trim(F.when(fields.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(fields, _BLANK, " ")).otherwise(fields))
 
 
 def _lines(docs: DataFrame, min_tokens: int, lead: int) -> DataFrame:
-    tokens = F.split("masked", " ", -1)
+    spaces = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit("")))
     return (
         docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
         .where(F.length("line") > 0)
         .select("doc_id", "text_hash", "line_no", masked(F.col("line")).alias("masked"))
-        .withColumn("n_tokens", F.size(tokens))
+        .withColumn("n_tokens", spaces + 1)
         .where(F.col("n_tokens") >= min_tokens)
         .withColumn("leaf", F.xxhash64("n_tokens", F.substring_index("masked", " ", lead)))
     )
