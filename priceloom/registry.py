@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("series", "setops", "offers", "compare", "events")
+MODULES = ("series", "setops", "offers", "compare", "events", "querylog")
 
 
 def _load():
