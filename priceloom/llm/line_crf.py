@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from priceloom.llm.common import append_columns, packs, text_bytes, word_hashes
 
 SAMPLE_PER_LABEL = 2000
+#: Training cuts longer texts into chains of so many lines, since its steps are as many as the longest chain has lines.
+CHAIN_LINES = 64
 THRESHOLD = 0.3
 FOLDS, HELD_OUT_FOLD = 5, 0
 
@@ -183,14 +185,15 @@ def _curve(share: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[fl
 def fit_field(x: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np.ndarray) -> LineField:
     field = LineField(x.mean(0), x.std(0) + 1e-6, np.zeros(0), np.zeros((2, 2)), (1.0, 0.0))
     z = field.inputs(x, first)
+    chains = np.unique(np.concatenate([first, *[np.arange(a, b, CHAIN_LINES) for a, b in zip(first[:-1], first[1:], strict=True)]]))
     of_text = np.repeat(np.arange(len(label)), np.diff(first))
     y = (1 - label)[of_text].astype(float)
-    field.weights, field.moves = _fit(z, y, first)
-    p, _ = forward_backward(z @ field.weights, field.moves, first)
+    field.weights, field.moves = _fit(z, y, chains)
+    p, _ = forward_backward(z @ field.weights, field.moves, chains)
     worst = np.zeros(len(label))
     np.maximum.at(worst, of_text, p)
     y = y * ((p >= 0.5) | (p == worst[of_text]))
-    field.weights, field.moves = _fit(z, y, first)
+    field.weights, field.moves = _fit(z, y, chains)
     p, _ = forward_backward(z @ field.weights, field.moves, first)
     field.curve = _curve(good_share(p, size, first), label, weight)
     return field
