@@ -25,7 +25,7 @@ def phrase_pattern(phrase: Column, fillers: tuple[str, ...] = FILLERS, most: int
 
 def compile_phrases(catalog: DataFrame, include: str = "include", exclude: str = "exclude") -> DataFrame:
     """The catalog with include_pattern and exclude_pattern, one alternation per family (null where there is no phrase)."""
-    alternation = lambda name: F.when(F.size(name) > 0, F.array_join(F.transform(name, phrase_pattern), "|"))
+    alternation = lambda name: F.when(F.size(name) > 0, F.array_join(F.transform(name, lambda p: phrase_pattern(p)), "|"))
     return catalog.withColumns({"include_pattern": alternation(include), "exclude_pattern": alternation(exclude)})
 
 
@@ -146,7 +146,8 @@ def eligibility(rows: DataFrame) -> DataFrame:
     rejected = (F.size(negatives) > 0) | bad_type | off_type | bad_unit | off_unit | (asks_package & ~package_hit & has_package)
     unsure = (F.col("keyword_confidence") == "medium") & (F.col("confidence") < floor + 0.1)
     review = (F.col("confidence") < floor) | lacks_package | (F.size(missing) > 0) | mixed | (listed & ~(confirmed & ~mixed)) | F.coalesce(unsure, F.lit(False))
-    return rows.withColumns({"confidence": confidence, "reasons": reasons}).withColumn(
+    # Without rules there is nothing to doubt, so the history checks do not hold such rows back either.
+    return rows.withColumns({"confidence": F.when(F.col("rules").isNull(), 1.0).otherwise(confidence), "reasons": reasons}).withColumn(
         "base_decision", F.when(F.col("rules").isNull(), "accepted").when(rejected, "rejected").when(review, "manual_review").otherwise("accepted")
     )
 
