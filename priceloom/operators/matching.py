@@ -106,50 +106,63 @@ def eligibility(rows: DataFrame) -> DataFrame:
     lists and low or unclear confidence ask for review. A row whose rules are null is accepted.
     """
     r = lambda name: F.coalesce(F.col(f"rules.{name}"), F.array().cast("array<string>"))
-    text = F.lower(F.col("text"))
-    full = F.lower(F.concat_ws(" ", "text", "package_text"))
-    types = F.coalesce(F.col("types"), F.array().cast("array<string>"))
-    negatives = F.concat(keyword_hits(text, r("negative_keywords")), pattern_hits(full, r("disallowed_package_patterns")))
-    bad_type = F.size(F.array_intersect(types, r("disallowed_types"))) > 0
-    off_type = (F.size(r("allowed_types")) > 0) & (F.size(types) > 0) & (F.size(F.array_intersect(types, r("allowed_types"))) == 0)
-    unit = F.when(F.col("unit_hint") == "per_lb", "lb").otherwise(F.col("unit_hint"))
-    bad_unit = F.coalesce(F.array_contains(r("disallowed_units"), F.col("unit_hint")), F.lit(False))
-    off_unit = F.coalesce((F.size(r("allowed_units")) > 0) & ~F.array_contains(r("allowed_units"), unit) & ~((unit == "oz") & F.array_contains(r("allowed_units"), "lb")), F.lit(False))
-    has_package = full.rlike(r"\d+(?:\.\d+)?\s*(?:oz|lb|ct|count|pk|pack|gal|l|ml)\b")
-    package_hit = F.size(pattern_hits(full, r("allowed_package_patterns"))) > 0
-    asks_package = F.size(r("allowed_package_patterns")) > 0
-    missing = F.filter(F.coalesce(F.col("rules.required_attributes"), F.array().cast("array<struct<name:string,any_of:array<string>,any_of_patterns:array<string>>>")), lambda a: (F.size(keyword_hits(full, a["any_of"])) + F.size(pattern_hits(full, a["any_of_patterns"]))) == 0)
-    asks_attribute = F.size(F.coalesce(F.col("rules.required_attributes"), F.array().cast("array<struct<name:string,any_of:array<string>,any_of_patterns:array<string>>>"))) > 0
-    confirmed = asks_attribute & (F.size(missing) == 0)
+    attributes = F.coalesce(F.col("rules.required_attributes"), F.array().cast("array<struct<name:string,any_of:array<string>,any_of_patterns:array<string>>>"))
+    text, full, types, unit = F.col("_text"), F.col("_full"), F.col("_types"), F.col("_unit")
     sizes = F.array_distinct(F.regexp_extract_all(full, F.lit(r"(\d+(?:\.\d+)?)\s*(?:oz|lb|ct|count|pk|pack)\b"), 1))
-    listed = text.rlike(r"\bor\b") | (F.size(F.split(text, ",")) > 2)
-    mixed = listed & (F.size(sizes) > 1)
+    in_allowed = lambda name, value: F.coalesce(F.array_contains(r(name), value), F.lit(False))
+    # One layer of columns after another, so that no pattern is tried twice.
+    rows = rows.withColumns(
+        {
+            "_text": F.lower("text"),
+            "_full": F.lower(F.concat_ws(" ", "text", "package_text")),
+            "_types": F.coalesce(F.col("types"), F.array().cast("array<string>")),
+            "_unit": F.when(F.col("unit_hint") == "per_lb", "lb").otherwise(F.col("unit_hint")),
+        }
+    ).withColumns(
+        {
+            "_negatives": F.concat(keyword_hits(text, r("negative_keywords")), pattern_hits(full, r("disallowed_package_patterns"))),
+            "_bad_type": F.size(F.array_intersect(types, r("disallowed_types"))) > 0,
+            "_good_type": F.size(F.array_intersect(types, r("allowed_types"))) > 0,
+            "_bad_unit": in_allowed("disallowed_units", F.col("unit_hint"))
+            | F.coalesce((F.size(r("allowed_units")) > 0) & ~in_allowed("allowed_units", unit) & ~((unit == "oz") & in_allowed("allowed_units", F.lit("lb"))) & unit.isNotNull(), F.lit(False)),
+            "_has_package": full.rlike(r"\d+(?:\.\d+)?\s*(?:oz|lb|ct|count|pk|pack|gal|l|ml)\b"),
+            "_package_hit": (F.size(r("allowed_package_patterns")) == 0) | (F.size(pattern_hits(full, r("allowed_package_patterns"))) > 0),
+            "_missing": F.transform(F.filter(attributes, lambda a: (F.size(keyword_hits(full, a["any_of"])) + F.size(pattern_hits(full, a["any_of_patterns"]))) == 0), lambda a: a["name"]),
+            "_asks": F.size(attributes) > 0,
+            "_listed": text.rlike(r"\bor\b") | (F.size(F.split(text, ",")) > 2),
+            "_positive": F.size(keyword_hits(text, r("positive_keywords"))) > 0,
+        }
+    ).withColumn("_mixed", F.col("_listed") & (F.size(sizes) > 1))
+    is_ = F.col
+    off_type = (F.size(r("allowed_types")) > 0) & (F.size(types) > 0) & ~is_("_good_type")
+    outside, lacks = ~is_("_package_hit") & is_("_has_package"), ~is_("_package_hit") & ~is_("_has_package")
+    confirmed = is_("_asks") & (F.size("_missing") == 0) & ~is_("_mixed")
     start = F.when(F.col("keyword_confidence") == "high", 0.85).when(F.col("keyword_confidence") == "low", 0.5).otherwise(0.7)
-    score = start + F.when(F.size(F.array_intersect(types, r("allowed_types"))) > 0, 0.1).otherwise(0.0) + F.when(F.size(keyword_hits(text, r("positive_keywords"))) > 0, 0.05).otherwise(0.0)
-    score = F.when(F.coalesce(F.col("priced"), F.lit(False)), score).otherwise(score - 0.2)
-    confidence = F.round(F.least(F.lit(1.0), score + F.when(confirmed & ~mixed, 0.15).otherwise(0.0)), 4)
-    floor = F.coalesce(F.col("rules.min_confidence"), F.lit(0.6))
-    lacks_package = asks_package & ~package_hit & ~has_package
+    score = start + F.when(is_("_good_type"), 0.1).otherwise(0.0) + F.when(is_("_positive"), 0.05).otherwise(0.0)
+    score = score - F.when(F.coalesce(F.col("priced"), F.lit(False)), 0.0).otherwise(0.2) + F.when(confirmed, 0.15).otherwise(0.0)
+    # Without rules there is nothing to doubt, so the history checks do not hold such rows back either.
+    rows = rows.withColumn("confidence", F.when(F.col("rules").isNull(), 1.0).otherwise(F.round(F.least(F.lit(1.0), score), 4)))
+    open_list = is_("_listed") & ~confirmed
     reasons = F.array_compact(
         F.array(
-            F.when(F.size(negatives) > 0, F.concat(F.lit("hard negative: "), F.array_join(negatives, ", "))),
-            F.when(bad_type, "disallowed product type"),
+            F.when(F.size("_negatives") > 0, F.concat(F.lit("hard negative: "), F.array_join("_negatives", ", "))),
+            F.when(is_("_bad_type"), "disallowed product type"),
             F.when(off_type, "product type not allowed"),
-            F.when(bad_unit | off_unit, "unit not allowed"),
-            F.when(asks_package & ~package_hit & has_package, "package not allowed"),
-            F.when(lacks_package, "no package signal"),
-            F.when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(F.transform(missing, lambda a: a["name"]), ", "))),
-            F.when(mixed, "conflicting packages"),
-            F.when(listed & ~(confirmed & ~mixed), "variant list"),
+            F.when(is_("_bad_unit"), "unit not allowed"),
+            F.when(outside, "package not allowed"),
+            F.when(lacks, "no package signal"),
+            F.when(F.size("_missing") > 0, F.concat(F.lit("missing: "), F.array_join("_missing", ", "))),
+            F.when(is_("_mixed"), "conflicting packages"),
+            F.when(open_list, "variant list"),
         )
     )
-    rejected = (F.size(negatives) > 0) | bad_type | off_type | bad_unit | off_unit | (asks_package & ~package_hit & has_package)
-    unsure = (F.col("keyword_confidence") == "medium") & (F.col("confidence") < floor + 0.1)
-    review = (F.col("confidence") < floor) | lacks_package | (F.size(missing) > 0) | mixed | (listed & ~(confirmed & ~mixed)) | F.coalesce(unsure, F.lit(False))
-    # Without rules there is nothing to doubt, so the history checks do not hold such rows back either.
-    return rows.withColumns({"confidence": F.when(F.col("rules").isNull(), 1.0).otherwise(confidence), "reasons": reasons}).withColumn(
-        "base_decision", F.when(F.col("rules").isNull(), "accepted").when(rejected, "rejected").when(review, "manual_review").otherwise("accepted")
-    )
+    floor = F.coalesce(F.col("rules.min_confidence"), F.lit(0.6))
+    rejected = (F.size("_negatives") > 0) | is_("_bad_type") | off_type | is_("_bad_unit") | outside
+    unsure = F.coalesce((F.col("keyword_confidence") == "medium") & (F.col("confidence") < floor + 0.1), F.lit(False))
+    review = (F.col("confidence") < floor) | lacks | (F.size("_missing") > 0) | is_("_mixed") | open_list | unsure
+    decision = F.when(F.col("rules").isNull(), "accepted").when(rejected, "rejected").when(review, "manual_review").otherwise("accepted")
+    done = rows.withColumns({"reasons": reasons, "base_decision": decision})
+    return done.drop(*[c for c in done.columns if c in ("_text", "_full", "_types", "_unit", "_negatives", "_bad_type", "_good_type", "_bad_unit", "_has_package", "_package_hit", "_missing", "_asks", "_listed", "_positive", "_mixed")])
 
 
 def accept_over_time(candidates: DataFrame, keys: list[str], atl_confidence: float = 0.85, large_change_pct: float = 40.0) -> DataFrame:
