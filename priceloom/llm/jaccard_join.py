@@ -10,10 +10,13 @@ one). Documents link when 100 * intersection >= percent * union, and linked docu
 3. Signatures. Rare tokens (up to RARE sets) index a prefix singly. Frequent tokens fall into classes by hash and index it
    by pairs inside a class; a class costs one token, so the prefix is extended until single tokens plus (class size - 1)
    exceed the allowed misses. Any linked pair then shares a signature. The number of classes doubles with the set size;
-   sets near a boundary are indexed on both sides, and small sets by single tokens only.
+   sets near a boundary are indexed on both sides, and small sets by single tokens only. The smaller set of a pair may
+   miss less (2s / (1 + s) of its tokens are shared), so its signature must come from a shorter prefix.
 4. Candidates. Buckets whose members are one component are done. First a member of the smallest and one of the largest
    component are compared with the other components' members (stars), and components are merged, round after round; what
    is left of the buckets is then compared component against component. Pairs inside a component are never made.
+   Pairs that sizes, unshared tokens or a parity bitmap of the sets rule out are left out of the join: bits that differ
+   are tokens that differ.
 5. Verify. Token arrays of each candidate pair are intersected.
 """
 
@@ -39,6 +42,9 @@ SMALL = 60
 #: Classes of frequent tokens at level 1; they double with the size.
 CLASSES = 8
 STAR_ROUNDS = 3
+#: 64-bit words of the parity bitmap.
+BITMAP_WORDS = 4
+BITMAP = [f"bits{i}" for i in range(BITMAP_WORDS)]
 #: Documents that pass the screen are looked up by broadcast up to this count (16 MB of ids), by a shuffled join beyond.
 BROADCAST_IDS = 1_000_000
 
@@ -61,6 +67,11 @@ def least_shared(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
+def least_shared_with_larger(n: int, percent: int = PERCENT) -> int:
+    """Tokens that a set of n shares at least with any set it links to that is not smaller."""
+    return -(-2 * percent * n // (100 + percent))
+
+
 def screen_margin(n: int) -> int:
     return 1 + n // 16
 
@@ -116,54 +127,82 @@ def screened(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return postings.join(shared, "token", "left_semi").groupBy("doc_id", "n").count().where(F.col("count") >= needed).select("doc_id").distinct()
 
 
+def prefix_signatures(n: int, counts: np.ndarray, held: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set of n tokens, of which held (with their counts) are in other sets too, and whether each one lies in
+    the prefix that the smaller set of a pair needs."""
+    # Unique tokens are the rarest, so they come first in the prefix and count as single tokens.
+    unique = n - len(held)
+    budget, short = n - least_shared(n, percent) + 1 - unique, n - least_shared_with_larger(n, percent) + 1 - unique
+    sigs, inner = [held[:0]], [np.zeros(0, bool)]
+    if n <= SMALL:
+        sigs.append(mix(held[:budget] ^ np.uint64(1)))
+        inner.append(np.arange(len(sigs[-1])) < short)
+    level = 1
+    while n > SMALL * 2 ** (level - 1) * percent / 100:
+        if n <= SMALL * 2**level:
+            classes = CLASSES * 2 ** (level - 1)
+            of_class: dict[int, list[int]] = {}
+            single, spent, short_end = [], 0, 0
+            for i, (count, token) in enumerate(zip(counts.tolist(), held.tolist(), strict=True)):
+                if spent >= budget:
+                    break
+                if spent < short:
+                    short_end = i + 1
+                if count <= RARE:
+                    single.append(i)
+                    spent += 1
+                else:
+                    mates = of_class.setdefault(token % classes, [])
+                    mates.append(i)
+                    spent += len(mates) > 1
+            salt = np.uint64(level + 1)
+            sigs.append(mix(held[single] ^ salt))
+            inner.append(np.array(single, int) < short_end)
+            for mates in of_class.values():
+                a, b = np.triu_indices(len(mates), 1)
+                place, m = np.array(mates), held[mates]
+                sigs.append(mix(mix(np.minimum(m[a], m[b]) ^ salt) + np.maximum(m[a], m[b])))
+                inner.append(place[b] < short_end)
+        level += 1
+    return np.concatenate(sigs), np.concatenate(inner)
+
+
+def parity_bitmap(held: np.ndarray) -> np.ndarray:
+    """Each token flips one bit, so two bitmaps differ in at most as many bits as the sets differ in tokens."""
+    bits = np.bincount((mix(held) % np.uint64(64 * BITMAP_WORDS)).astype(int), minlength=64 * BITMAP_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def signatures(df: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(sig, set_id) of (set_id, n, held), held being structs (df, token) in order, without the tokens of one set only."""
-    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("set_id", T.LongType())])
-
-    def of(n: int, counts: np.ndarray, held: np.ndarray) -> np.ndarray:
-        # Unique tokens are the rarest, so they come first in the prefix and count as single tokens.
-        budget = n - least_shared(n, percent) + 1 - (n - len(held))
-        out = []
-        if n <= SMALL:
-            out.append(mix(held[:budget] ^ np.uint64(1)))
-        level = 1
-        while True:
-            low, high = SMALL * 2 ** (level - 1) * percent / 100, SMALL * 2**level
-            if n <= low:
-                break
-            if n <= high:
-                classes = CLASSES * 2 ** (level - 1)
-                of_class: dict[int, list[int]] = {}
-                single, spent = [], 0
-                for i, (count, token) in enumerate(zip(counts.tolist(), held.tolist(), strict=True)):
-                    if spent >= budget:
-                        break
-                    if count <= RARE:
-                        single.append(i)
-                        spent += 1
-                    else:
-                        mates = of_class.setdefault(token % classes, [])
-                        mates.append(i)
-                        spent += len(mates) > 1
-                salt = np.uint64(level + 1)
-                out.append(mix(held[single] ^ salt))
-                for mates in of_class.values():
-                    a, b = np.triu_indices(len(mates), 1)
-                    m = held[mates]
-                    out.append(mix(mix(np.minimum(m[a], m[b]) ^ salt) + np.maximum(m[a], m[b])))
-            level += 1
-        return np.concatenate(out) if out else held[:0]
+    """(sig, set_id, n, n_held, bitmap words, inner) of (set_id, n, held), held being structs (df, token) in order, without the
+    tokens of one set only."""
+    schema = T.StructType(
+        [
+            T.StructField("sig", T.LongType()),
+            T.StructField("set_id", T.LongType()),
+            T.StructField("n", T.IntegerType()),
+            T.StructField("n_held", T.IntegerType()),
+            *[T.StructField(name, T.LongType()) for name in BITMAP],
+            T.StructField("inner", T.BooleanType()),
+        ]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             flat, at = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             counts, held = flat.field(0).to_numpy(), flat.field(1).to_numpy().view(np.uint64)
-            for i, set_id in enumerate(ids):
+            parts: list[tuple] = []
+            bitmaps = np.zeros((len(ids), BITMAP_WORDS), np.int64)
+            for i, n in enumerate(sizes.tolist()):
                 part = slice(at[i], at[i + 1])
-                sigs = of(int(sizes[i]), counts[part], held[part])
-                if len(sigs):
-                    yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(np.full(len(sigs), set_id))], names=schema.names)
+                sigs, inner = prefix_signatures(n, counts[part], held[part], percent)
+                parts.append((sigs, inner, np.full(len(sigs), i)))
+                bitmaps[i] = parity_bitmap(held[part])
+            sigs, inner, owner = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, int))
+            held_sizes = np.diff(at).astype(np.int32)
+            columns = [pa.array(sigs.view(np.int64)), pa.array(ids[owner]), pa.array(sizes[owner].astype(np.int32)), pa.array(held_sizes[owner]), *[pa.array(b[owner]) for b in bitmaps.T], pa.array(inner)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.select("set_id", "n", "held").mapInArrow(run, schema)
 
@@ -193,26 +232,28 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def linked_sets(sets: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """(set_id, component) of the sets (set_id, n, held); every link that the sets have is respected."""
-    postings = signatures(sets, percent).distinct()
-    several = postings.groupBy("sig").count().where("count > 1").select("sig")
-    postings = written(postings.join(several, "sig", "left_semi").join(sets.select("set_id", "n"), "set_id"), "postings")
+    several = signatures(sets, percent).groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("open")).where("n > 1 AND open").select("sig")
+    postings = written(signatures(sets, percent).join(several, "sig", "left_semi"), "postings")
     component = sets.select("set_id", F.col("set_id").alias("component"))
     tested: DataFrame | None = None
     step = 0
     while step <= star_rounds:
-        member = F.struct("component", "set_id", "n")
+        member = F.struct("component", "set_id", "n", "n_held", *BITMAP)
         placed = postings.join(component, "set_id")
         ends = placed.groupBy("sig").agg(F.min(member).alias("low"), F.max(member).alias("high")).where("low.component <> high.component")
         if step < star_rounds:
-            live = placed.join(ends, "sig")
-            pairs = live.select(F.explode(F.array("low", "high")).alias("p"), member.alias("q"))
+            pairs = placed.join(ends, "sig").select(F.explode(F.array("low", "high")).alias("p"), member.alias("q"))
         else:
-            left = placed.join(ends.select("sig"), "sig", "left_semi").select("sig", member.alias("p"))
-            right = left.select("sig", F.col("p").alias("q"))
-            pairs = left.join(right, "sig").where("p.set_id < q.set_id").select("p", "q")
+            live = placed.join(ends.select("sig"), "sig", "left_semi").select("sig", "inner", member.alias("p"))
+            larger = live.select("sig", F.col("p").alias("q"))
+            # The smaller set of a pair, by (n, set_id), meets it in its shorter prefix.
+            pairs = live.where("inner").join(larger, "sig").where("p.n < q.n OR p.n = q.n AND p.set_id < q.set_id").select("p", "q")
+        # A linked pair differs in at most (1 - s) / (1 + s) of its tokens; unique tokens and unequal bits are different ones.
+        unequal = "p.n - p.n_held + q.n - q.n_held + " + " + ".join(f"bit_count(p.{b} ^ q.{b})" for b in BITMAP)
+        fits = f"100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n) AND {100 + percent} * ({unequal}) <= {100 - percent} * (p.n + q.n)"
         pairs = (
             pairs.where("p.component <> q.component")
-            .where(f"100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n)")
+            .where(fits)
             .select(F.least("p.set_id", "q.set_id").alias("a"), F.greatest("p.set_id", "q.set_id").alias("b"))
             .distinct()
         )
