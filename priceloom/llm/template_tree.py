@@ -29,20 +29,26 @@ _WITH_DIGIT = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
 def masked(line: Column) -> Column:
-    """Tokens with a digit as variable fields, one space between tokens. Most lines need neither replacement."""
-    fields = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _WITH_DIGIT, FIELD)).otherwise(line)
-    return F.trim(F.when(fields.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(fields, _BLANK, " ")).otherwise(fields))
+    """Tokens with a digit as variable fields."""
+    return F.regexp_replace(line, _WITH_DIGIT, FIELD)
+
+
+def one_spaced(line: Column) -> Column:
+    """One space between tokens and none around them. Most lines are so already, which byte searches tell."""
+    odd = [line.contains(blank) for blank in ("  ", "\t", "\x0b", "\x0c", "\r")]
+    return F.trim(F.when(odd[0] | odd[1] | odd[2] | odd[3] | odd[4], F.regexp_replace(line, _BLANK, " ")).otherwise(line))
 
 
 def _lines(docs: DataFrame, min_tokens: int, lead: int) -> DataFrame:
-    spaces = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit("")))
+    """Lines with their leaf. Only the leading tokens are masked here; the whole line is where its leaf is shared."""
+    spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
     return (
         docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
         .where(F.length("line") > 0)
-        .select("doc_id", "text_hash", "line_no", masked(F.col("line")).alias("masked"))
+        .withColumn("line", one_spaced(F.col("line")))
         .withColumn("n_tokens", spaces + 1)
         .where(F.col("n_tokens") >= min_tokens)
-        .withColumn("leaf", F.xxhash64("n_tokens", F.substring_index("masked", " ", lead)))
+        .withColumn("leaf", F.xxhash64("n_tokens", masked(F.substring_index("line", " ", lead))))
     )
 
 
@@ -63,7 +69,8 @@ def recurring_lines(
         lines.groupBy("leaf", "doc_id").agg(F.lit(1)).groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"),
         "leaves",
     )
-    placed = written(lines.join(F.broadcast(leaves) if leaves.count() <= broadcast_leaves else leaves, "leaf"), "leaf-lines")
+    shared = lines.join(F.broadcast(leaves) if leaves.count() <= broadcast_leaves else leaves, "leaf")
+    placed = written(shared.withColumn("line", masked(F.col("line"))).withColumnRenamed("line", "masked"), "leaf-lines")
     variants = written(placed.groupBy("leaf", "n_tokens", "masked").count(), "line-variants")
     tokens = variants.select("leaf", "n_tokens", "masked", "count", F.posexplode(F.split("masked", " ", -1)).alias("place", "token"))
     constants = tokens.where(F.col("token") != FIELD).groupBy("leaf", "place", "token").agg(F.sum("count").alias("lines")).where(F.col("lines") >= min_docs)
