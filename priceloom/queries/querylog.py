@@ -93,8 +93,8 @@ def protected_phrases(spark, sf_dir):
     return ops.protected_phrases(part, spark.sql("SELECT * FROM VALUES ('ring'), ('bolt'), ('hot') AS t(word)"))
 
 
-@query(r"""WITH lex(item, query, pattern) AS (VALUES ('the', 'the', '\bthe\b'), ('and', 'and', '\band\b'), ('und', 'und', '\bund\b')), h AS (SELECT doc_id, item, length(regexp_extract(lower(text), '(?s)^(.*?)' || pattern, 1)) + 1 AS pos, text FROM documents JOIN lex ON regexp_matches(lower(text), pattern))
+@query(r"""WITH lex(item, query, pattern) AS (VALUES ('licence', 'licensed', 'licensed under'), ('the', 'the th', 'the th'), ('und', 'und', ' und ')), h AS (SELECT doc_id, item, length(regexp_extract(lower(text), '(?s)^(.*?)' || pattern, 1)) + 1 AS pos, text FROM documents JOIN lex ON regexp_matches(lower(text), pattern))
 SELECT doc_id, item, CAST(pos AS INTEGER) AS pos, substr(text, greatest(pos - 90, 1), pos - greatest(pos - 90, 1) + 90) AS snippet FROM h""")
 def food_mentions(spark, sf_dir):
-    lexicon = spark.createDataFrame([(w, w, rf"\b{w}\b") for w in ("the", "and", "und")], "item string, query string, pattern string")
+    lexicon = spark.createDataFrame([("licence", "licensed", "licensed under"), ("the", "the th", "the th"), ("und", "und", " und ")], "item string, query string, pattern string")
     return ops.mentions(table(spark, sf_dir, "documents").select("doc_id", "text"), lexicon, "doc_id", "text").select("doc_id", "item", F.col("at").alias("pos"), "snippet")

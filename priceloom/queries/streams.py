@@ -24,7 +24,8 @@ def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
 
 def _events(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS item, count(DISTINCT user_id) AS votes FROM events WHERE event_type = 'view' GROUP BY 1")
@@ -56,7 +57,7 @@ def read_offer_history(spark, sf_dir):
     return files.dedupe_offer_history(rows).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT p_partkey, len(list_filter(string_split(p_name, ' '), x -> x <> '')) AS n_patterns FROM part")
+@query("SELECT p_partkey, len(string_split(p_name, ' ')) AS n_patterns FROM part")
 def load_mappings(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace("p_name", " ", "|").alias("patterns"), F.lit("").alias("exclude_patterns"), F.lit(None).cast("string").alias("prefer_patterns"))
     return files.load_mappings(rows).select("p_partkey", F.size("patterns").cast("long").alias("n_patterns"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("series", "setops", "offers", "compare", "events", "querylog", "streams")
+MODULES = ("series", "setops", "offers", "compare", "events", "querylog", "streams", "content")
 
 
 def _load():
