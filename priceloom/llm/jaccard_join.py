@@ -43,7 +43,7 @@ SMALL = 60
 CLASSES = 8
 STAR_ROUNDS = 3
 #: 64-bit words of the parity bitmap.
-BITMAP_WORDS = 4
+BITMAP_WORDS = 8
 BITMAP = [f"bits{i}" for i in range(BITMAP_WORDS)]
 #: Documents that pass the screen are looked up by broadcast up to this count (16 MB of ids), by a shuffled join beyond.
 BROADCAST_IDS = 1_000_000
