@@ -32,8 +32,13 @@ def compile_phrases(catalog: DataFrame, include: str = "include", exclude: str =
 def match_offers(offers: DataFrame, catalog: DataFrame, text: str = "text", package: str | None = None, include_only: bool = False) -> DataFrame:
     """Pairs of offers and families whose include pattern is in the text and whose exclude pattern is not in text and package.
 
-    A theta join by regular expression; the condition holds no equality, so the catalog side is sent to every task.
+    A theta join by regular expression; the condition holds no equality, so the catalog side is sent to every task. A
+    catalog of more than BROADCAST_FAMILIES rows goes through its token column instead, and fails without one.
     """
+    if catalog.limit(BROADCAST_FAMILIES + 1).count() > BROADCAST_FAMILIES:
+        if include_only or package or "token" not in catalog.columns:
+            raise ValueError(f"a catalog of over {BROADCAST_FAMILIES} families needs a token column, see match_by_token")
+        return match_by_token(offers, catalog, text)
     hit = F.expr(f"{text} RLIKE include_pattern")
     if not include_only:
         around = f"concat_ws(' ', {text}, {package})" if package else text
