@@ -5,6 +5,9 @@ leaves that enough documents share, a token that few lines of the leaf have at i
 left of a line is its template; a line whose template keeps fewer than MIN_CONSTANT of its tokens is prose and has none.
 Templates that recur in at least MIN_DOCS documents are dropped but for their first occurrence.
 
+Lines of LONG_TOKENS tokens or more whose tokens with a digit are few are templates as they stand, from LONG_DOCS
+documents on; lines of fewer than MIN_TOKENS tokens recur by their own text, from MIN_DOCS documents on.
+
 Equal lines are counted before any token is looked at, so a line that a third of all documents hold is one row there;
 all counts combine before they shuffle.
 """
@@ -20,6 +23,8 @@ LEAD = 3
 MIN_TOKENS = 3
 MIN_DOCS = 10
 MIN_CONSTANT = 0.6
+LONG_TOKENS = 20
+LONG_DOCS = 2
 FIELD = "<*>"
 #: Leaves are looked up by broadcast up to this count (a long each), by a shuffled join beyond.
 BROADCAST_LEAVES = 1_000_000
@@ -39,16 +44,41 @@ def one_spaced(line: Column) -> Column:
     return F.trim(F.when(odd[0] | odd[1] | odd[2] | odd[3] | odd[4], F.regexp_replace(line, _BLANK, " ")).otherwise(line))
 
 
-def _lines(docs: DataFrame, min_tokens: int, lead: int) -> DataFrame:
-    """Lines with their leaf. Only the leading tokens are masked here; the whole line is where its leaf is shared."""
+def _spaced_lines(docs: DataFrame) -> DataFrame:
     spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
     return (
         docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
         .where(F.length("line") > 0)
         .withColumn("line", one_spaced(F.col("line")))
         .withColumn("n_tokens", spaces + 1)
-        .where(F.col("n_tokens") >= min_tokens)
-        .withColumn("leaf", F.xxhash64("n_tokens", masked(F.substring_index("line", " ", lead))))
+    )
+
+
+def _lines(docs: DataFrame, min_tokens: int, lead: int) -> DataFrame:
+    """Lines with their leaf. Only the leading tokens are masked here; the whole line is where its leaf is shared."""
+    lines = _spaced_lines(docs).where(F.col("n_tokens") >= min_tokens)
+    return lines.withColumn("leaf", F.xxhash64("n_tokens", masked(F.substring_index("line", " ", lead))))
+
+
+def _whole_lines(docs: DataFrame, min_tokens: int, min_docs: int, min_constant: float, long_tokens: int, long_docs: int, broadcast_keys: int) -> DataFrame:
+    """Long and very short lines that may recur, each its own template. Hashes only screen; the caller counts templates."""
+    short = F.col("n_tokens") < min_tokens
+    lines = (
+        _spaced_lines(docs)
+        .where((short | (F.col("n_tokens") >= long_tokens)) & (F.col("line") != ""))
+        .withColumn("template", F.when(short, F.col("line")).otherwise(masked(F.col("line"))))
+        .withColumn("least", F.when(short, min_docs).otherwise(long_docs))
+        .withColumn("key", F.xxhash64("least", "template"))
+    )
+    keys = written(
+        lines.groupBy("key", "least", "doc_id").agg(F.lit(1)).groupBy("key", "least").count().where("count >= least").select("key"),
+        "line-keys",
+    )
+    n_constant = F.size(F.array_remove(F.split("template", " ", -1), FIELD))
+    return (
+        lines.join(F.broadcast(keys) if keys.count() <= broadcast_keys else keys, "key", "left_semi")
+        .where(short | (n_constant >= min_constant * F.col("n_tokens")))
+        .select("doc_id", "text_hash", "line_no", "template", "least")
     )
 
 
@@ -61,8 +91,14 @@ def recurring_lines(
     min_docs: int = MIN_DOCS,
     min_constant: float = MIN_CONSTANT,
     broadcast_leaves: int = BROADCAST_LEAVES,
+    long_tokens: int = LONG_TOKENS,
+    long_docs: int = LONG_DOCS,
+    whole_lines: bool = True,
 ) -> DataFrame:
-    """(doc_id, text_hash, line_no, template) of the lines to drop, line numbers from 0."""
+    """(doc_id, text_hash, line_no, template) of the lines to drop, line numbers from 0.
+
+    Without whole_lines the tree alone decides: no line of fewer than min_tokens tokens, none in fewer than min_docs documents.
+    """
     docs = _documents(df, id_col, text_col)
     lines = _lines(docs, min_tokens, lead)
     leaves = written(
@@ -84,16 +120,19 @@ def recurring_lines(
         .where(F.col("n_constant") >= min_constant * F.col("n_tokens"))
         .select("leaf", "masked", F.array_join("parts.t", " ").alias("template"))
     )
-    found = written(placed.join(templates, ["leaf", "masked"]).select("doc_id", "text_hash", "line_no", "template"), "template-lines")
+    found = placed.join(templates, ["leaf", "masked"]).select("doc_id", "text_hash", "line_no", "template", F.lit(min_docs).alias("least"))
+    if whole_lines:
+        found = found.union(_whole_lines(docs, min_tokens, min_docs, min_constant, long_tokens, long_docs, broadcast_leaves))
+    found = written(found, "template-lines")
     place = F.struct("doc_id", "text_hash", "line_no")
     often = (
-        found.groupBy("template", "doc_id")
+        found.groupBy("template", "least", "doc_id")
         .agg(F.min(place).alias("first"))
-        .groupBy("template")
+        .groupBy("template", "least")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.min("first").alias("first"))
-        .where(F.col("n_docs") >= min_docs)
+        .where(F.col("n_docs") >= F.col("least"))
     )
-    return found.join(often, "template").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "line_no", "template")
+    return found.join(often, ["template", "least"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "line_no", "template")
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
