@@ -28,7 +28,7 @@ BANDS: tuple[tuple[int, float, float], ...] = (
     (1 << 62, 1.40, 3.8),
 )
 CHUNK_BYTES = 4096
-#: Limits of one chunk, and the share of a text's full chunks that may lie outside them.
+#: Limits of one chunk, and the share of a text's chunks that may lie outside them. The last chunk ends with the text.
 CHUNK_BAND = (1.20, 3.3)
 BAD_CHUNK_SHARE = 0.34
 LEVEL = 3
@@ -115,6 +115,8 @@ def compression_bands(
                 failed = words < min_words or 100 * repeats > 30 * words
                 ratio = len(blob) / len(squeeze(blob)) if blob else 0.0
                 chunks = [blob[j : j + chunk_bytes] for j in range(0, len(blob) - chunk_bytes + 1, chunk_bytes)]
+                if chunks and len(blob) % chunk_bytes:
+                    chunks.append(blob[-chunk_bytes:])
                 bad = sum(not chunk_band[0] <= chunk_bytes / len(squeeze(c)) <= chunk_band[1] for c in chunks)
                 kept = not failed and in_band(len(blob), ratio, bands) and bad <= bad_chunk_share * len(chunks)
                 rows.append(

@@ -2,7 +2,7 @@
 
 import random
 
-from priceloom.llm import template_tree
+from priceloom.llm import compression_bands, template_tree
 
 
 def test_long_lines_recur_from_two_documents_and_short_ones_by_their_count(spark):
@@ -19,3 +19,14 @@ def test_long_lines_recur_from_two_documents_and_short_ones_by_their_count(spark
         if i == 19:
             want = [lines[0]]
         assert got[i]["text"].split("\n") == want, i
+
+
+def test_the_end_of_a_text_is_held_against_the_chunk_band(spark):
+    rng = random.Random(32)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(700)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))[:n]
+    noise = "".join(chr(rng.randint(33, 126)) for _ in range(4000))
+    texts = [prose(4096) + noise, noise + prose(4096), prose(8096), prose(8192), prose(4095)]
+    rows = compression_bands.compression_bands(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), bands=((1 << 62, 0.0, 99.0),), chunk_band=(1.4, 9.0)).collect()
+    got = {r["doc_id"]: (r["n_chunks"], r["n_bad_chunks"], r["kept"]) for r in rows}
+    assert got == {0: (2, 1, False), 1: (2, 1, False), 2: (2, 0, True), 3: (2, 0, True), 4: (0, 0, True)}
