@@ -116,7 +116,8 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
 
 
 def parse_headers(block: bytes) -> dict[str, str]:
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").split("\r\n")[1:])}
+    """Only blanks and tabs around a value are not part of it: a URL may begin or end with other kinds of space."""
+    return {k.strip(" \t").lower(): v.strip(" \t") for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").split("\r\n")[1:])}
 
 
 def page_number(name: str | None) -> int | None:

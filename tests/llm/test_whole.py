@@ -2,7 +2,7 @@
 
 import random
 
-from priceloom.llm import compression_bands, template_tree
+from priceloom.llm import capture_index, compression_bands, template_tree
 
 
 def test_long_lines_recur_from_two_documents_and_short_ones_by_their_count(spark):
@@ -30,3 +30,9 @@ def test_the_end_of_a_text_is_held_against_the_chunk_band(spark):
     rows = compression_bands.compression_bands(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), bands=((1 << 62, 0.0, 99.0),), chunk_band=(1.4, 9.0)).collect()
     got = {r["doc_id"]: (r["n_chunks"], r["n_bad_chunks"], r["kept"]) for r in rows}
     assert got == {0: (2, 1, False), 1: (2, 1, False), 2: (2, 0, True), 3: (2, 0, True), 4: (0, 0, True)}
+
+
+def test_urls_that_end_in_wide_spaces_are_found(spark):
+    ends = ["\u00a0", "\u0085", "\u3000", "\u2003", " ", "\t"]
+    pages = spark.createDataFrame([(i, f"http://a.example/p{i}{e}", f"<p>{i}</p>") for i, e in enumerate(ends)], "page_id bigint, url string, html string")
+    assert {r["page_id"] for r in capture_index.archived_pages(pages).collect()} == set(range(len(ends)))
