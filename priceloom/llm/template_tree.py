@@ -66,7 +66,7 @@ def _whole_lines(docs: DataFrame, min_tokens: int, min_docs: int, min_constant:
     lines = (
         _spaced_lines(docs)
         .where((short | (F.col("n_tokens") >= long_tokens)) & (F.col("line") != ""))
-        .withColumn("template", F.when(short, F.col("line")).otherwise(masked(F.col("line"))))
+        .withColumn("template", F.when(short | ~F.col("line").rlike("[0-9]"), F.col("line")).otherwise(masked(F.col("line"))))
         .withColumn("least", F.when(short, min_docs).otherwise(long_docs))
         .withColumn("key", F.xxhash64("least", "template"))
     )
