@@ -4,8 +4,8 @@ Pages are parsed into element trees. Every container subtree is hashed (names, t
 pages of each host that hold a hash, and subtrees that recur on at least MIN_PAGES pages and MIN_SHARE of the host's
 pages are site template and are cut. Elements whose name, role or class says menu, header, footer, sidebar, notice,
 advert, form or comments are cut on any page, so that hosts with few pages or per-page menus come out clean too. Of a
-page with article (or main) elements only these count; prose inside them is never template, since sites may carry one
-article many times.
+page with article (or main) elements only these count; a block inside them is counted once for each different element
+around it, since sites may carry one article many times. MANY_PAGES make a template on a host of any size.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from priceloom.llm.common import append_columns, fresh_name, written
 
 MIN_PAGES = 5
 MIN_SHARE = 0.3
+MANY_PAGES = 50
 
 #: Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,7 +54,6 @@ PART_WORDS = frozenset(
     "subscribe subscription signup sidebar sidenav menu menus nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer comment comments commentlist disqus reply replies "
     "respond share sharing social related recommended widget widgets pagination pager toolbar copyright login search skip".split()
 )
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
 MAIN = frozenset(["article", "main"])
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>|[^<]+|<", re.S)
@@ -152,18 +152,19 @@ def signed(digest: int) -> int:
     return digest - (1 << 64) if digest >> 63 else digest
 
 
-def candidates(root: Element) -> set[int]:
-    """Digests of the subtrees that may be site template: neither a main element, nor around one, nor prose inside one."""
+def candidates(root: Element) -> set[tuple[int, int | None]]:
+    """Digests of the subtrees that may be site template, neither a main element nor around one; with each the digest of the outermost main element around it."""
     hash_subtrees(root)
-    found: set[int] = set()
-    queue = [(root, False)]
+    found: set[tuple[int, int | None]] = set()
+    queue: list[tuple[Element, int | None]] = [(root, None)]
     while queue:
-        element, inside = queue.pop()
+        element, around = queue.pop()
         free = not element.main and not element.holds_main and element.name not in ("html", "body")
-        if free and not element.part and element.name in BLOCK and not (inside and element.name in PROSE):
-            found.add(signed(element.digest))
-        if not element.part and not (inside and element.name in PROSE):
-            queue += [(c, inside or element.main) for c in element.children if isinstance(c, Element)]
+        if free and not element.part and element.name in BLOCK:
+            found.add((signed(element.digest), around))
+        if not element.part:
+            inner = signed(element.digest) if around is None and element.main else around
+            queue += [(c, inner) for c in element.children if isinstance(c, Element)]
     return found
 
 
@@ -193,7 +194,7 @@ def extract(root: Element, template: set[int]) -> str:
             if node.name in BLOCK:
                 close()
             continue
-        if signed(node.digest) in template and not node.main and not node.holds_main and not (inside and root.holds_main and node.name in PROSE):
+        if signed(node.digest) in template and not node.main and not node.holds_main:
             close()
             continue
         if node.name == "br":
@@ -214,28 +215,29 @@ def host_of(url: Column) -> Column:
 
 
 def page_subtrees(pages: DataFrame) -> DataFrame:
-    """(page, host, digest) of each distinct candidate subtree of (page, host, html)."""
-    schema = T.StructType([pages.schema["page"], T.StructField("host", T.StringType()), T.StructField("digest", T.LongType())])
+    """(page, host, digest, around) of each distinct candidate subtree of (page, host, html); around is null outside main elements."""
+    schema = T.StructType([pages.schema["page"], T.StructField("host", T.StringType()), T.StructField("digest", T.LongType()), T.StructField("around", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, digests = [], []
             for i, page in enumerate(batch.column(2).to_pylist()):
-                found = sorted(candidates(parse(page))) if page else []
+                found = list(candidates(parse(page))) if page else []
                 rows += [i] * len(found)
                 digests += found
             if rows:
                 at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(digests, pa.int64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(x, pa.int64()) for x in zip(*digests, strict=True)]], names=schema.names)
 
     return pages.mapInArrow(run, schema)
 
 
-def template_subtrees(subtrees: DataFrame, pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, digest) of the subtrees that recur across a host's pages."""
+def template_subtrees(subtrees: DataFrame, pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
+    """(host, digest) of the subtrees that recur across a host's pages, or across its different main elements."""
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
-    counts = subtrees.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    return counts.join(hosts, "host").where(F.col("n") >= min_share * F.col("n_pages")).select("host", "digest")
+    each = subtrees.groupBy("host", "digest", "around").agg(F.count(F.lit(1)).alias("n"))
+    counts = each.groupBy("host", "digest").agg(F.sum(F.when(F.col("around").isNull(), F.col("n")).otherwise(1)).alias("n")).where(F.col("n") >= min_pages)
+    return counts.join(hosts, "host").where((F.col("n") >= min_share * F.col("n_pages")) | (F.col("n") >= many_pages)).select("host", "digest")
 
 
 def main_text(
