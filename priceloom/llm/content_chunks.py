@@ -1,10 +1,13 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
-A cut stands behind a blank where the gear hash of the last 16 bytes is below a limit, so chunks hold whole words, follow
-the content and fall into step again after an insertion. Chunks are compared by digest: the first occurrence, by
-(doc_id, place), stays; later ones are repeats. Repeats that follow each other form a span, and spans of at least
-min_words words are dropped. A repeated passage loses only the part before its first and behind its last common cut, a
-few words on each side, so spans of MIN_SPAN_WORDS words catch passages of over 50 words.
+A cut stands behind a blank whose gear hash of the last 16 bytes is the lowest of some WINDOW blanks in a row, so chunks
+hold whole words, follow the content and fall into step again after an insertion. Any WINDOW blanks hold a cut, in
+periodic text too: a repeated passage loses at most 16 bytes and WINDOW words before its first common cut and WINDOW
+words behind its last, so spans of MIN_SPAN_WORDS words catch passages of over 50 words. Chunks of more than MAX_BYTES
+are cut by the same rule at characters instead of blanks, and spans of MIN_SPAN_BYTES bytes count whatever their words.
+
+Chunks are compared by digest: the first occurrence, by (doc_id, place), stays; later ones are repeats. Repeats that
+follow each other form a span, and spans of at least min_words words or min_bytes bytes are dropped.
 
 A digest has 64 bits. Two different chunks that share one by chance can't drop text: a span takes several neighbours.
 """
@@ -21,10 +24,12 @@ from pyspark.sql import types as T
 
 from priceloom.llm.common import BLANKS, append_columns, fresh_name, packs, segment_hashes, separator_table, text_bytes
 
-#: One blank in so many ends a chunk, on average; a chunk without a cut ends after MAX_BYTES.
-BLANKS_PER_CUT = 4
-MAX_BYTES = 1024
+#: Blanks, or characters of a chunk of more than MAX_BYTES, of which the one with the lowest hash is a cut.
+WINDOW = 8
+CHARACTER_WINDOW = 32
+MAX_BYTES = 256
 MIN_SPAN_WORDS = 24
+MIN_SPAN_BYTES = 256
 
 _GEAR = np.random.default_rng(97).integers(0, 1 << 16, 256, dtype=np.uint16)
 _BLANK = separator_table(BLANKS)
@@ -40,27 +45,37 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_ends(blob: bytes, per_cut: int = BLANKS_PER_CUT, max_bytes: int = MAX_BYTES) -> np.ndarray:
+def lowest(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Indices of the lowest hash, the last of equal ones, of every window."""
+    if len(hashes) < window:
+        return np.zeros(0, np.int64)
+    last = len(hashes) - 1
+    low = (hashes.astype(np.int64) << 32) + (last - np.arange(last + 1))
+    done = 1
+    while done < window:
+        step = min(done, window - done)
+        low = np.minimum(low[:-step], low[step:])
+        done += step
+    picked = np.zeros(last + 1, bool)
+    picked[last - (low & 0xFFFFFFFF)] = True
+    return np.flatnonzero(picked)
+
+
+def chunk_ends(blob: bytes, window: int = WINDOW, max_bytes: int = MAX_BYTES, character_window: int = CHARACTER_WINDOW) -> np.ndarray:
     """Where the chunks of a text end; the last end is its length, an empty text has none."""
     if not blob:
         return np.zeros(0, np.int64)
     data = np.frombuffer(blob, np.uint8)
-    cut = _BLANK[data] & (gear_hashes(data) < np.uint16((1 << 16) // per_cut))
-    ends = np.flatnonzero(cut) + 1
-    if not len(ends) or ends[-1] != len(blob):
-        ends = np.append(ends, len(blob))
-    if (np.diff(ends, prepend=0) <= max_bytes).all():
-        return ends
-    out, at = [], 0
-    for end in ends.tolist():
-        while end - at > max_bytes:
-            at += max_bytes
-            while (blob[at] & 0xC0) == 0x80:  # not inside a character
-                at -= 1
-            out.append(at)
-        out.append(end)
-        at = end
-    return np.array(out, np.int64)
+    hashes = gear_hashes(data)
+    blank = _BLANK[data]
+    at = np.flatnonzero(blank[:-1] & ~blank[1:])
+    ends = np.append(at[lowest(hashes[at], window)] + 1, len(blob))
+    starts = np.append(0, ends[:-1])
+    more = [ends]
+    for k in np.flatnonzero(ends - starts > max_bytes):
+        inner = np.flatnonzero((data[starts[k] + 1 : ends[k]] & 0xC0) != 0x80) + starts[k]  # the next byte begins a character
+        more.append(inner[lowest(hashes[inner], character_window)] + 1)
+    return np.sort(np.concatenate(more)) if len(more) > 1 else ends
 
 
 def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,7 +120,7 @@ def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, schema)
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_SPAN_WORDS) -> DataFrame:
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_SPAN_WORDS, min_bytes: int = MIN_SPAN_BYTES) -> DataFrame:
     """One row per span to drop: doc_id, first_doc_id (the smallest id that keeps a chunk of it), start, stop (bytes), n_words.
 
     Digests are counted with partial sums before the shuffle; the join back is on the digest, where Spark splits frequent
@@ -134,7 +149,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.max("stop").alias("stop"),
             F.sum("n_words").alias("n_words"),
         )
-        .where(F.col("n_words") >= min_words)
+        .where((F.col("n_words") >= min_words) | (F.col("stop") - F.col("start") >= min_bytes))
         .drop("island")
     )
 

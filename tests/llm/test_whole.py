@@ -2,7 +2,7 @@
 
 import random
 
-from priceloom.llm import capture_index, compression_bands, template_tree
+from priceloom.llm import capture_index, compression_bands, content_chunks, site_templates, template_tree
 
 
 def test_long_lines_recur_from_two_documents_and_short_ones_by_their_count(spark):
@@ -36,3 +36,44 @@ def test_urls_that_end_in_wide_spaces_are_found(spark):
     ends = ["\u00a0", "\u0085", "\u3000", "\u2003", " ", "\t"]
     pages = spark.createDataFrame([(i, f"http://a.example/p{i}{e}", f"<p>{i}</p>") for i, e in enumerate(ends)], "page_id bigint, url string, html string")
     assert {r["page_id"] for r in capture_index.archived_pages(pages).collect()} == set(range(len(ends)))
+
+
+def test_blocks_under_different_articles_are_cut_and_copies_of_one_article_stay(spark):
+    page = lambda own, notice: f"<body><article><p>{own}</p>{notice}</article></body>"
+    rows = [(i, "http://a.example/", page(f"own {i}", "<p>plain notice</p><ul><li>advert</li></ul>")) for i in range(6)]
+    rows += [(10 + i, "http://b.example/", page("one story", "<p>told often</p>")) for i in range(6)]
+    rows += [(100 + i, "http://c.example/", page(f"own {i}", "<p>section notice</p>" if i < 60 else "")) for i in range(260)]
+    got = {r["page_id"]: r["text"] for r in site_templates.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"own {i % 100}" if i < 6 else "one story\ntold often" if i < 100 else f"own {i - 100}" for i, _, _ in rows}
+
+
+def test_every_passage_of_51_words_keeps_a_span():
+    rng = random.Random(33)
+    kinds = [
+        lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))),
+        lambda: rng.choice("ab"),
+        lambda: "la",
+        lambda: rng.choice(("one", "two", "three")),
+    ]
+    fill = lambda: " ".join(kinds[0]() for _ in range(rng.randint(1, 40)))
+    for k in range(4000):
+        passage = " ".join(kinds[k % 4]() for _ in range(51))
+        cuts = []
+        for _ in range(2):
+            head = fill() + " "
+            ends = content_chunks.chunk_ends(f"{head}{passage} {fill()}".encode()) - len(head)
+            cuts.append({int(e) for e in ends if 0 <= e <= len(passage)})
+        run, most = [], 0
+        for e in sorted(cuts[0] | cuts[1]):
+            run = [*run, e] if e in cuts[0] and e in cuts[1] else []
+            most = max(most, len(passage[run[0] : run[-1]].split()) if run else 0)
+        assert most >= content_chunks.MIN_SPAN_WORDS, (k, passage)
+
+
+def test_repeats_without_blanks_are_spans(spark):
+    rng = random.Random(34)
+    han = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    passage = han(250)
+    texts = [han(rng.randint(50, 200)) + passage + han(rng.randint(50, 200)) for _ in range(8)] + [han(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in content_chunks.repeated_spans(df).collect()} == set(range(1, 8))
