@@ -10,14 +10,14 @@ from priceloom.queries.base import query, table
 _LOG = r"""WITH log AS (SELECT conv_id * 100 + turn AS query_id, CASE turn % 4 WHEN 0 THEN 'Two for five bucks small ring at Vons' WHEN 2 THEN 'red  bolt $3.49 or $2.99 B1G1' ELSE '' END || ' ' || coalesce(substr(text, 1, 40), '') AS raw_query FROM conversations WHERE role = 'user')"""
 
 
-def _log(spark, sf_dir):
+def _log(spark, sf_dir, text="substr(text, 1, 40)"):
     phrase = F.when(F.col("turn") % 4 == 0, "Two for five bucks small ring at Vons").when(F.col("turn") % 4 == 2, "red  bolt $3.49 or $2.99 B1G1").otherwise("")
     rows = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return rows.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.concat(phrase, F.lit(" "), F.coalesce(F.substring("text", 1, 40), F.lit(""))).alias("raw_query"))
+    return rows.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.concat(phrase, F.lit(" "), F.coalesce(F.expr(text), F.lit(""))).alias("raw_query"))
 
 
-def _parsed(spark, sf_dir):
-    return ops.parse_queries(ops.normalize_queries(_log(spark, sf_dir)), ["vons", "safeway"])
+def _parsed(spark, sf_dir, *text):
+    return ops.parse_queries(ops.normalize_queries(_log(spark, sf_dir, *text)), ["vons", "safeway"])
 
 
 @query(_LOG + r""", n AS (SELECT query_id, CASE WHEN raw_query LIKE 'Two for%' THEN 'numbers,bucks' WHEN raw_query LIKE 'red%' THEN 'bogo,spaces' ELSE '' END AS steps FROM log) SELECT query_id, steps FROM n""")
@@ -29,7 +29,7 @@ def normalize_queries(spark, sf_dir):
 @query(_LOG + r""" SELECT query_id, CASE WHEN raw_query LIKE 'Two for%' THEN 'vons' END AS retailer, CASE WHEN raw_query LIKE 'Two for%' THEN 2 END AS quantity, CASE WHEN raw_query LIKE 'Two for%' THEN 5.0 WHEN raw_query LIKE 'red%' THEN 3.49 END AS price,
   CASE WHEN raw_query LIKE 'Two for%' THEN 'multi_buy' WHEN raw_query LIKE 'red%' THEN 'each' END AS basis, CASE WHEN raw_query LIKE 'red%' THEN 'bogo' END AS promotion, raw_query LIKE 'red%' AS is_conflict FROM log""")
 def parse_queries(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("query_id", "retailer", "quantity", "price", "basis", "promotion", "is_conflict")
+    return _parsed(spark, sf_dir, "text").select("query_id", "retailer", "quantity", "price", "basis", "promotion", "is_conflict")
 
 
 _ALIASES = ", aliases AS (SELECT DISTINCT p_name AS alias, p_brand AS family, TRUE AS is_primary, p_name LIKE 'old%' AS is_generic FROM part WHERE p_partkey % 40 < 3 UNION ALL SELECT DISTINCT split_part(p_name, ' ', 2), p_brand, FALSE, FALSE FROM part WHERE p_partkey % 200 = 7)"

@@ -3,6 +3,7 @@
 import random
 
 from priceloom.llm import capture_index, compression_bands, content_chunks, site_templates, template_tree
+from priceloom.queries import querylog
 
 
 def test_long_lines_recur_from_two_documents_and_short_ones_by_their_count(spark):
@@ -77,3 +78,9 @@ def test_repeats_without_blanks_are_spans(spark):
     texts = [han(rng.randint(50, 200)) + passage + han(rng.randint(50, 200)) for _ in range(8)] + [han(500)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert {r["doc_id"] for r in content_chunks.repeated_spans(df).collect()} == set(range(1, 8))
+
+
+def test_parse_queries_reads_the_whole_text(spark, tmp_path):
+    text = "x " * 60 + "at Safeway"
+    spark.createDataFrame([(1, 1, "user", text)], "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert querylog.parse_queries(spark, str(tmp_path)).collect()[0]["retailer"] == "safeway"
