@@ -6,6 +6,7 @@ code points give the same words. Hashes are 64 bits wide and depend on the bytes
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,9 +27,15 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a new temporary one where it is unset, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset, a session on one machine gets a new temporary folder; on a cluster, whose executors could not see
+    one, that is an error.
+    """
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -38,13 +45,35 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
+def stored(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+    return stored(df, new_path(df.sparkSession, name))
+
+
+class Scratch:
+    """Tables of one job in a folder of its own in the shared one; those that no later step reads are dropped on the way."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.root, self.n = spark, new_path(spark, name), 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        table = stored(df, f"{self.root}/{self.n}-{name}")
+        table.scratch_path = f"{self.root}/{self.n}-{name}"
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Only for tables all of whose dependants are written."""
+        for table in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """A column name that the table does not have (Spark compares names without case)."""
     have = {c.lower() for c in df.columns}

@@ -3,8 +3,9 @@
 A document is the set of its distinct word shingles (64-bit hashes; equal hashes count as equal shingles, equal sets as
 one). Documents link when 100 * intersection >= percent * union, and linked documents form a component.
 
-1. Screen. In hash order, two linked sets share at least k tokens inside their prefixes of (allowed misses + k) tokens. A
-   set that shares fewer prefix tokens with other texts than its smallest possible partner demands has no link.
+1. Screen. Equal texts are one set, for which the smallest of their ids stands. In hash order, two linked sets share at
+   least k tokens inside their prefixes of (allowed misses + k) tokens. A set that shares fewer prefix tokens with other
+   sets than its smallest possible partner demands has no link.
 2. Order. For the rest, tokens are counted and ordered rare first. Tokens of one set only drop out, and so do sets that
    keep less than the needed share.
 3. Signatures. Rare tokens (up to RARE sets) index a prefix singly. Frequent tokens fall into classes by hash and index it
@@ -14,10 +15,13 @@ one). Documents link when 100 * intersection >= percent * union, and linked docu
    miss less (2s / (1 + s) of its tokens are shared), so its signature must come from a shorter prefix.
 4. Candidates. Buckets whose members are one component are done. First a member of the smallest and one of the largest
    component are compared with the other components' members (stars), and components are merged, round after round; what
-   is left of the buckets is then compared component against component. Pairs inside a component are never made.
-   Pairs that sizes, unshared tokens or a parity bitmap of the sets rule out are left out of the join: bits that differ
-   are tokens that differ.
+   is left of the buckets is then compared component against component, inside a bucket only sets of one band of sizes
+   with those of the same and the next. Pairs inside a component are never made. Pairs that sizes, unshared tokens or a
+   parity bitmap of the sets rule out are left out of the join: bits that differ are tokens that differ.
 5. Verify. Token arrays of each candidate pair are intersected.
+
+Texts are read twice: for sets and screening prefixes, and for the whole sets of what has passed the screen. Every table
+is dropped as soon as nothing reads it any more.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from priceloom.llm.common import mix, packs, text_bytes, window_hashes, word_hashes, written
+from priceloom.llm.common import Scratch, mix, packs, text_bytes, window_hashes, word_hashes
 
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -84,47 +88,37 @@ def _batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Arr
             yield batch.column(0).slice(lo, hi - lo), [shingle_set(hashes[a:b], n) for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
-def set_summaries(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, n, set_id) of (doc_id, text)."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("set_id", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _batches(batches, n):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.int64())], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    """Arrays of hashes as one list column."""
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat.view(np.int64)))
 
 
-def tokens(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int | None = None) -> DataFrame:
-    """(doc_id, set_id, n, token); with percent, only the tokens of the screening prefix."""
+def token_sets(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int | None = None) -> DataFrame:
+    """(doc_id, n, set_id, tokens) of (doc_id, text); with percent, only the tokens of the screening prefix."""
     schema = T.StructType(
-        [docs.schema["doc_id"], *([] if percent else [T.StructField("set_id", T.LongType())]), T.StructField("n", T.IntegerType()), T.StructField("token", T.LongType())]
+        [docs.schema["doc_id"], T.StructField("n", T.IntegerType()), T.StructField("set_id", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _batches(batches, n):
-            if percent:
-                parts = [s[: len(s) - least_shared(len(s), percent) + screen_margin(len(s))] for s in sets]
-            else:
-                parts = sets
-            counts = np.array([len(p) for p in parts])
-            if not counts.sum():
-                continue
-            columns = [ids.take(pa.array(np.repeat(np.arange(len(sets)), counts)))]
-            if not percent:
-                columns.append(pa.array(np.repeat(np.array([set_digest(s) for s in sets], np.int64), counts)))
-            columns.append(pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), counts)))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(parts).view(np.int64))], names=schema.names)
+            parts = [s[: len(s) - least_shared(len(s), percent) + screen_margin(len(s))] for s in sets] if percent else sets
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int32()), pa.array([set_digest(s) for s in sets], pa.int64()), _lists(parts)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def screened(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Ids of the documents that share enough prefix tokens with others."""
-    postings = tokens(docs, n, percent)
+def small(df: DataFrame, limit: int) -> DataFrame:
+    """A written table, sent to every task up to that count of rows (ids and numbers only), joined by shuffle beyond."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def screened(sets: DataFrame, percent: int) -> DataFrame:
+    """set_id of the sets (set_id, n, prefix tokens) that share enough prefix tokens with others."""
+    postings = sets.select("set_id", "n", F.explode("tokens").alias("token"))
     shared = postings.groupBy("token").count().where("count > 1").select("token")
     needed = F.lit(1) + F.floor(F.ceil(F.col("n") * percent / 100) / 16)
-    return postings.join(shared, "token", "left_semi").groupBy("doc_id", "n").count().where(F.col("count") >= needed).select("doc_id").distinct()
+    return postings.join(shared, "token", "left_semi").groupBy("set_id", "n").count().where(F.col("count") >= needed).select("set_id")
 
 
 def prefix_signatures(n: int, counts: np.ndarray, held: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -174,80 +168,101 @@ def parity_bitmap(held: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(sig, set_id, n, n_held, bitmap words, inner) of (set_id, n, held), held being structs (df, token) in order, without the
-    tokens of one set only."""
-    schema = T.StructType(
-        [
-            T.StructField("sig", T.LongType()),
-            T.StructField("set_id", T.LongType()),
-            T.StructField("n", T.IntegerType()),
-            T.StructField("n_held", T.IntegerType()),
-            *[T.StructField(name, T.LongType()) for name in BITMAP],
-            T.StructField("inner", T.BooleanType()),
-        ]
-    )
+    """(sig, set_id, inner) of (set_id, n, held), held being structs (df, token) of the tokens that other sets hold too."""
+    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("inner", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sizes, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            flat, at = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            counts, held = flat.field(0).to_numpy(), flat.field(1).to_numpy().view(np.uint64)
-            parts: list[tuple] = []
-            bitmaps = np.zeros((len(ids), BITMAP_WORDS), np.int64)
+        for ids, sizes, held, counts in _held(batches):
+            parts = []
             for i, n in enumerate(sizes.tolist()):
-                part = slice(at[i], at[i + 1])
-                sigs, inner = prefix_signatures(n, counts[part], held[part], percent)
+                order = np.lexsort((held[i], counts[i]))
+                sigs, inner = prefix_signatures(n, counts[i][order], held[i][order], percent)
                 parts.append((sigs, inner, np.full(len(sigs), i)))
-                bitmaps[i] = parity_bitmap(held[part])
-            sigs, inner, owner = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, int))
-            held_sizes = np.diff(at).astype(np.int32)
-            columns = [pa.array(sigs.view(np.int64)), pa.array(ids[owner]), pa.array(sizes[owner].astype(np.int32)), pa.array(held_sizes[owner]), *[pa.array(b[owner]) for b in bitmaps.T], pa.array(inner)]
+            if parts:
+                sigs, inner, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(ids[owner]), pa.array(inner)], names=schema.names)
+
+    return df.select("set_id", "n", "held").mapInArrow(run, schema)
+
+
+def bitmaps(df: DataFrame) -> DataFrame:
+    """(set_id, n, n_held, bitmap words) of (set_id, n, held)."""
+    schema = T.StructType(
+        [T.StructField("set_id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("n_held", T.IntegerType()), *[T.StructField(name, T.LongType()) for name in BITMAP]]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sizes, held, _ in _held(batches):
+            bits = np.array([parity_bitmap(h) for h in held]).reshape(-1, BITMAP_WORDS)
+            columns = [pa.array(ids), pa.array(sizes.astype(np.int32)), pa.array([len(h) for h in held], pa.int32()), *[pa.array(b) for b in bits.T]]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.select("set_id", "n", "held").mapInArrow(run, schema)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for edges (a, b): alternating large and small stars, each round written; component is the smallest node."""
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+    """Ids, sizes, tokens and their counts of the sets of each batch."""
+    for batch in batches:
+        lists = batch.column(2)
+        flat, at = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        counts, tokens = flat.field(0).to_numpy(), flat.field(1).to_numpy().view(np.uint64)
+        yield batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.split(tokens, at[1:-1]) if len(at) > 1 else [], np.split(counts, at[1:-1]) if len(at) > 1 else []
+
+
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) for edges (a, b): alternating large and small stars, each round written; component is the smallest
+    node. No edges give no rows; repeated edges and loops change nothing."""
+    edges = scratch.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        after = written(small.where("a <> b").distinct(), "edges")
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
+        small_ = large.join(lowest, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        after = scratch.write(small_.where("a <> b").distinct(), "edges")
+        done = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
+        scratch.drop(edges)
+        if done:
             return after.select(F.col("a").alias("node"), F.col("b").alias("component")).union(after.select("b", "b").distinct())
         edges = after
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
+    """The pairs (a, b) whose sets reach the similarity. Both joins read the sets in one partitioning, so they shuffle once."""
     a = sets.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("held.token").alias("t_a"))
     b = sets.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("held.token").alias("t_b"))
     shared = F.size(F.array_intersect("t_a", "t_b"))
     return pairs.join(a, "a").join(b, "b").where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
 
 
-def linked_sets(sets: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """(set_id, component) of the sets (set_id, n, held); every link that the sets have is respected."""
-    several = signatures(sets, percent).groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("open")).where("n > 1 AND open").select("sig")
-    postings = written(signatures(sets, percent).join(several, "sig", "left_semi"), "postings")
+def linked_sets(sets: DataFrame, scratch: Scratch, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+    """(set_id, component) of the sets (set_id, n, held); every link that the sets have is respected.
+
+    Ids are distinct and no field is null; sets without held tokens are components of their own, no sets give no rows.
+    """
+    every = scratch.write(signatures(sets, percent), "signatures")
+    several = every.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("open")).where("n > 1 AND open").select("sig")
+    postings = scratch.write(every.join(several, "sig", "left_semi"), "postings")
+    facts = scratch.write(bitmaps(sets), "bitmaps")
+    scratch.drop(every)
     component = sets.select("set_id", F.col("set_id").alias("component"))
     tested: DataFrame | None = None
+    old: list[DataFrame] = []
+    # Of two linked sets the larger one is in the band of the smaller or in the next.
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
     step = 0
     while step <= star_rounds:
         member = F.struct("component", "set_id", "n", "n_held", *BITMAP)
-        placed = postings.join(component, "set_id")
+        placed = postings.join(facts.join(component, "set_id"), "set_id")
         ends = placed.groupBy("sig").agg(F.min(member).alias("low"), F.max(member).alias("high")).where("low.component <> high.component")
         if step < star_rounds:
             pairs = placed.join(ends, "sig").select(F.explode(F.array("low", "high")).alias("p"), member.alias("q"))
         else:
-            live = placed.join(ends.select("sig"), "sig", "left_semi").select("sig", "inner", member.alias("p"))
-            larger = live.select("sig", F.col("p").alias("q"))
-            # The smaller set of a pair, by (n, set_id), meets it in its shorter prefix.
-            pairs = live.where("inner").join(larger, "sig").where("p.n < q.n OR p.n = q.n AND p.set_id < q.set_id").select("p", "q")
+            live = placed.join(ends.select("sig"), "sig", "left_semi").select("sig", "inner", band.alias("band"), member.alias("p"))
+            larger = live.select("sig", "band", F.col("p").alias("q"))
+            # The smaller set of a pair, by (n, set_id), meets it in its shorter prefix. Rounding may move a band by one.
+            near = live.where("inner").select("sig", F.explode(F.array(*[F.col("band") + k for k in range(-1, 3)])).alias("band"), "p")
+            pairs = near.join(larger, ["sig", "band"]).where("p.n < q.n OR p.n = q.n AND p.set_id < q.set_id").select("p", "q")
         # A linked pair differs in at most (1 - s) / (1 + s) of its tokens; unique tokens and unequal bits are different ones.
         unequal = "p.n - p.n_held + q.n - q.n_held + " + " + ".join(f"bit_count(p.{b} ^ q.{b})" for b in BITMAP)
         fits = f"100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n) AND {100 + percent} * ({unequal}) <= {100 - percent} * (p.n + q.n)"
@@ -257,7 +272,8 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT, star_rounds: int = STAR
             .select(F.least("p.set_id", "q.set_id").alias("a"), F.greatest("p.set_id", "q.set_id").alias("b"))
             .distinct()
         )
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs, "pairs")
+        pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs, "pairs")
+        old.append(pairs)
         if pairs.isEmpty():  # the stars have nothing new: straight to what is left
             step = star_rounds if step < star_rounds else step + 1
             continue
@@ -268,14 +284,15 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT, star_rounds: int = STAR
             .join(component.select(F.col("set_id").alias("b"), F.col("component").alias("c_b")), "b")
             .select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
         )
-        merged = connected_components(named)
-        component = written(
+        merged = connected_components(named, scratch)
+        component = scratch.write(
             component.join(merged.withColumnRenamed("component", "lower"), F.col("component") == F.col("node"), "left").select(
                 "set_id", F.coalesce("lower", "component").alias("component")
             ),
             "components",
         )
         tested = tested.union(pairs) if tested else pairs
+    scratch.drop(postings, facts, *old)
     return component
 
 
@@ -285,35 +302,37 @@ def jaccard_components(
     """Per row of df: doc_id, n_shingles and component_id, the smallest id that links reach (its own at least).
 
     A null text is an empty one: no shingles, no links. Equal texts are one set. Rows may repeat and share ids; a component
-    without any id that is not null has a null component_id. Only the id and the text are read.
+    without any id that is not null has a null component_id. Only the id and the text are read. An empty table gives an
+    empty table.
     """
+    scratch = Scratch(df.sparkSession, "jaccard")
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    summaries = written(set_summaries(docs, n), "sets")
-    passed = written(screened(docs, n, percent), "screened")
-    # One document stands for each set that passed.
-    chosen = written(
-        summaries.alias("d")
-        .join(passed.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")), "left_semi")
-        .where("n > 0")
-        .groupBy("set_id")
-        .agg(F.min("doc_id").alias("doc_id"))
-        .select("doc_id")
-        .distinct(),
-        "chosen",
+    prefixes = scratch.write(token_sets(docs, n, percent), "prefixes")
+    # One document stands for each set. Only sets of several documents are looked up; the others stand for themselves.
+    copied = scratch.write(
+        prefixes.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "copied"
     )
-    chosen = F.broadcast(chosen) if chosen.count() <= broadcast_ids else chosen
-    rest = tokens(docs.alias("d").join(chosen.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), "left_semi"), n)
+    named = prefixes.where("n > 0").join(small(copied, broadcast_ids).withColumn("several", F.lit(True)), "set_id", "left")
+    one_each = named.where(F.col("several").isNull() | F.col("doc_id").eqNullSafe(F.col("lowest")))
+    passed = scratch.write(screened(one_each.select("set_id", "n", "tokens"), percent), "screened")
+    chosen = scratch.write(one_each.select("set_id", "doc_id").join(small(passed, broadcast_ids), "set_id", "left_semi").select("doc_id").distinct(), "chosen")
+    whole = docs.alias("d").join(small(chosen, broadcast_ids).alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), "left_semi")
+    found = scratch.write(token_sets(whole, n).where("n > 0").select("set_id", "n", "tokens"), "sets")
+    # Repeated ids may bring equal sets again.
+    again = not found.groupBy("set_id").count().where("count > 1").isEmpty()
+    rest = (found.dropDuplicates(["set_id"]) if again else found).select("set_id", "n", F.explode("tokens").alias("token"))
     counts = rest.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
-    sets = written(
-        rest.join(counts, "token")
-        .groupBy("set_id", "n")
-        .agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("held"))
-        .where(100 * F.size("held") >= percent * F.col("n")),
+    sets = scratch.write(
+        rest.join(counts, "token").groupBy("set_id", "n").agg(F.collect_list(F.struct("df", "token")).alias("held")).where(100 * F.size("held") >= percent * F.col("n")),
         "token-sets",
     )
-    groups = linked_sets(sets, percent)
-    placed = summaries.join(groups, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    lowest = placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("lowest"))
-    return placed.join(lowest, (placed["component"] == lowest["component"]) & (F.col("n") > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id")
+    groups = linked_sets(sets, scratch, percent)
+    placed = prefixes.join(groups, "set_id", "left").select("doc_id", "n", F.coalesce("component", "set_id").alias("component"))
+    placed = scratch.write(placed, "placed")
+    scratch.drop(prefixes, passed, chosen, found, sets, copied)
+    # Components of one document need no look-up.
+    lowest = scratch.write(
+        placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("docs")).where("docs > 1").drop("docs"), "lowest"
     )
+    place = placed.join(small(lowest.withColumnRenamed("component", "of"), broadcast_ids), (F.col("component") == F.col("of")) & (F.col("n") > 0), "left")
+    return place.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"))
