@@ -46,6 +46,8 @@ SMALL = 60
 #: Classes of frequent tokens at level 1; they double with the size.
 CLASSES = 8
 STAR_ROUNDS = 3
+#: Lowest signatures of a set by which the last step makes a pair of sets once and not for every signature that they share.
+FIRST_SIGNATURES = 16
 #: 64-bit words of the parity bitmap.
 BITMAP_WORDS = 8
 BITMAP = [f"bits{i}" for i in range(BITMAP_WORDS)]
@@ -250,25 +252,34 @@ def linked_sets(sets: DataFrame, scratch: Scratch, percent: int = PERCENT, star_
     old: list[DataFrame] = []
     # Of two linked sets the larger one is in the band of the smaller or in the next.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
+    member_fields = ("component", "set_id", "n", "n_held", *BITMAP)
+    member = F.struct(*member_fields)
     step = 0
     while step <= star_rounds:
-        member = F.struct("component", "set_id", "n", "n_held", *BITMAP)
         placed = postings.join(facts.join(component, "set_id"), "set_id")
         ends = placed.groupBy("sig").agg(F.min(member).alias("low"), F.max(member).alias("high")).where("low.component <> high.component")
         if step < star_rounds:
             pairs = placed.join(ends, "sig").select(F.explode(F.array("low", "high")).alias("p"), member.alias("q"))
+            once = "TRUE"
         else:
-            live = placed.join(ends.select("sig"), "sig", "left_semi").select("sig", "inner", band.alias("band"), member.alias("p"))
-            larger = live.select("sig", "band", F.col("p").alias("q"))
+            live = scratch.write(placed.join(ends.select("sig"), "sig", "left_semi").select("sig", "inner", band.alias("band"), *member_fields), "live")
+            old.append(live)
+            lowest = lambda c, name: F.slice(F.sort_array(F.collect_list(c)), 1, FIRST_SIGNATURES).alias(name)
+            firsts = live.groupBy("set_id").agg(lowest(F.when(F.col("inner"), F.col("sig")), "p_firsts"), lowest("sig", "q_firsts"))
+            live = live.join(firsts, "set_id").select("sig", "inner", "band", member.alias("p"), "p_firsts", "q_firsts")
+            larger = live.select("sig", "band", F.col("p").alias("q"), "q_firsts")
             # The smaller set of a pair, by (n, set_id), meets it in its shorter prefix. Rounding may move a band by one.
-            near = live.where("inner").select("sig", F.explode(F.array(*[F.col("band") + k for k in range(-1, 3)])).alias("band"), "p")
-            pairs = near.join(larger, ["sig", "band"]).where("p.n < q.n OR p.n = q.n AND p.set_id < q.set_id").select("p", "q")
+            near = live.where("inner").withColumn("p_before", F.expr("filter(p_firsts, x -> x < sig)"))
+            near = near.select("sig", F.explode(F.array(*[F.col("band") + k for k in range(-1, 3)])).alias("band"), "p", "p_before")
+            pairs = near.join(larger, ["sig", "band"])
+            # A pair that meets in a lower signature of both short lists is made there and not again.
+            once = "(p.n < q.n OR p.n = q.n AND p.set_id < q.set_id) AND NOT arrays_overlap(p_before, q_firsts)"
         # A linked pair differs in at most (1 - s) / (1 + s) of its tokens; unique tokens and unequal bits are different ones.
         unequal = "p.n - p.n_held + q.n - q.n_held + " + " + ".join(f"bit_count(p.{b} ^ q.{b})" for b in BITMAP)
-        fits = f"100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n) AND {100 + percent} * ({unequal}) <= {100 - percent} * (p.n + q.n)"
+        # One choice, so that the cheap tests come first.
+        fits = f"p.component <> q.component AND 100 * least(p.n, q.n) >= {percent} * greatest(p.n, q.n) AND {100 + percent} * ({unequal}) <= {100 - percent} * (p.n + q.n)"
         pairs = (
-            pairs.where("p.component <> q.component")
-            .where(fits)
+            pairs.where(f"CASE WHEN {fits} THEN {once} ELSE FALSE END")
             .select(F.least("p.set_id", "q.set_id").alias("a"), F.greatest("p.set_id", "q.set_id").alias("b"))
             .distinct()
         )
@@ -297,7 +308,7 @@ def linked_sets(sets: DataFrame, scratch: Scratch, percent: int = PERCENT, star_
 
 
 def jaccard_components(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE_WORDS, percent: int = PERCENT, broadcast_ids: int = BROADCAST_IDS
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE_WORDS, percent: int = PERCENT, broadcast_ids: int = BROADCAST_IDS, star_rounds: int = STAR_ROUNDS
 ) -> DataFrame:
     """Per row of df: doc_id, n_shingles and component_id, the smallest id that links reach (its own at least).
 
@@ -326,7 +337,7 @@ def jaccard_components(
         rest.join(counts, "token").groupBy("set_id", "n").agg(F.collect_list(F.struct("df", "token")).alias("held")).where(100 * F.size("held") >= percent * F.col("n")),
         "token-sets",
     )
-    groups = linked_sets(sets, scratch, percent)
+    groups = linked_sets(sets, scratch, percent, star_rounds)
     placed = prefixes.join(groups, "set_id", "left").select("doc_id", "n", F.coalesce("component", "set_id").alias("component"))
     placed = scratch.write(placed, "placed")
     scratch.drop(prefixes, passed, chosen, found, sets, copied)

@@ -240,3 +240,28 @@ def test_mix_weights_change_the_odds(spark):
     rows = source_mix.mix_sources(df, weights=(1, 9), weight_col="weight").where("source = 'a'").collect()
     light, heavy = (np.mean([r["copies"] for r in rows if r["doc_id"] % 2 == k]) for k in (0, 1))
     assert 2.5 < heavy / light < 6
+
+
+def test_jaccard_join_of_one_hot_passage_and_chains(spark):
+    """A bucket of many unlinked sets, repeated rows, and links that only the last step finds equal the plain join of all pairs."""
+    rng = random.Random(41)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    passage = [rng.choice(vocabulary) for _ in range(60)]
+    docs = [" ".join([*passage, *(rng.choice(vocabulary) for _ in range(rng.randint(8, 40)))]) for _ in range(150)]
+    chain = [rng.choice(vocabulary) for _ in range(80)]
+    for i in range(60):
+        chain = list(chain)
+        chain[rng.randrange(80)] = rng.choice(vocabulary)
+        docs.append(" ".join(chain))
+    docs += rng.choices(docs, k=60)
+    rng.shuffle(docs)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(words_of, docs)]
+    component = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if component[i] != component[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                low, high = sorted((component[i], component[j]))
+                component = [low if c == high else c for c in component]
+    for rounds in (0, 3):
+        got = jaccard_join.jaccard_components(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string"), star_rounds=rounds).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(component))
