@@ -1,11 +1,14 @@
 """HTML extraction by site template removal.
 
-Pages are parsed into element trees. Every container subtree is hashed (names, texts and child hashes); Spark counts the
-pages of each host that hold a hash, and subtrees that recur on at least MIN_PAGES pages and MIN_SHARE of the host's
-pages are site template and are cut. Elements whose name, role or class says menu, header, footer, sidebar, notice,
-advert, form or comments are cut on any page, so that hosts with few pages or per-page menus come out clean too. Of a
-page with article (or main) elements only these count; a block inside them is counted once for each different element
-around it, since sites may carry one article many times. MANY_PAGES make a template on a host of any size.
+Pages are parsed into element trees. Every block subtree is hashed (names, texts and the blocks inside it); Spark counts
+the pages of each host that hold a hash, and subtrees that recur on at least MIN_PAGES pages and MIN_SHARE of the host's
+pages, or on MANY_PAGES, are site template and are cut. Of a page with article (or main) elements only these count; a
+block inside them is counted once for each different element around it, since sites may carry one article many times.
+
+Menus, asides, footers, forms and the like are cut by element name or role. Class names and ids are evidence and no more:
+a name that says nothing but advert, notice, sidebar, comments or another part beside the article makes HINTED_PAGES
+enough for its block, and cuts a container that differs from page to page unless it holds a first heading or half of the
+page's prose (comments: all of it).
 """
 
 from __future__ import annotations
@@ -20,11 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from priceloom.llm.common import append_columns, fresh_name, written
+from priceloom.llm.common import Scratch, append_columns, fresh_name
 
 MIN_PAGES = 5
 MIN_SHARE = 0.3
 MANY_PAGES = 50
+HINTED_PAGES = 2
 
 #: Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,78 +52,141 @@ CLOSED_BY = {
     "option": frozenset(["option", "optgroup"]),
 }
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of a class or id that name a part beside the article.
+#: Words of a class name or id that say a part beside the article, readers' words, and words that say nothing about it.
 PART_WORDS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter "
-    "subscribe subscription signup sidebar sidenav menu menus nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer comment comments commentlist disqus reply replies "
-    "respond share sharing social related recommended widget widgets pagination pager toolbar copyright login search skip".split()
+    "subscribe subscription signup sidebar sidenav menu menus nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer "
+    "share sharing social related recommended widget widgets pagination pager toolbar copyright login skip".split()
 )
+READER_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+PLAIN_WORDS = frozenset("area bar block bottom box buttons container global inner items left links list reader right section site top user wrapper".split())
+#: Blocks of the article's own words; class names alone never cut them.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption".split())
 MAIN = frozenset(["article", "main"])
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_QUOTED = re.compile(r"[^>=]*+(?:=\s*+(?:(?:\"[^\"]*+\"|'[^']*+')|(?![\"']))[^>=]*+)*+>")
 _SPLIT = re.compile(r"[^a-zA-Z]+")
 
 
+def hint_of(names: str) -> int:
+    """2 if one of the names in a class or id says readers' words, 1 for another part beside the article, else 0."""
+    found = 0
+    for name in names.lower().split():
+        words = {w for w in _SPLIT.split(name) if w}
+        if words <= PART_WORDS | READER_WORDS | PLAIN_WORDS:
+            found = max(found, 2 if words & READER_WORDS else 1 if words & PART_WORDS else 0)
+    return found
+
+
 class Element:
-    __slots__ = ("name", "part", "main", "children", "holds_main", "digest")
+    __slots__ = ("name", "cut", "hint", "main", "children", "holds_main", "heading", "prose", "digest")
 
     def __init__(self, name: str, tag: str) -> None:
         self.name = name
         self.children: list[Element | str] = []
         self.main = name in MAIN
-        self.holds_main = False
-        self.part = name in NOT_CONTENT
-        self.digest = 0
+        self.holds_main = self.heading = False
+        self.cut = name in NOT_CONTENT
+        self.hint = self.prose = self.digest = 0
         if "=" in tag:
             for key, *values in _ATTRIBUTE.findall(tag):
-                words = "".join(values).lower()
+                value = "".join(values)
                 if key.lower() == "role":
-                    self.part |= words in ROLES
-                    self.main |= words == "main"
-                elif name not in ("html", "body", "main") and any(w in PART_WORDS for w in _SPLIT.split(words)):
-                    self.part = True
+                    self.cut |= value.lower() in ROLES
+                    self.main |= value.lower() == "main"
+                elif name not in ("html", "body", "main"):
+                    self.hint = max(self.hint, hint_of(value))
+
+
+class Open:
+    """The elements that are open, with the places of each name, of blocks and of main elements among them, so that no tag
+    has to look through them all."""
+
+    def __init__(self, root: Element) -> None:
+        self.stack = [root]
+        self.named: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.mains: list[int] = []
+
+    def push(self, element: Element) -> None:
+        at = len(self.stack)
+        self.stack.append(element)
+        self.named.setdefault(element.name, []).append(at)
+        if element.name in BLOCK:
+            self.blocks.append(at)
+        if element.main:
+            self.mains.append(at)
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            element = self.stack.pop()
+            self.named[element.name].pop()
+            if element.name in BLOCK:
+                self.blocks.pop()
+            if element.main:
+                self.mains.pop()
+
+    def close(self, name: str) -> None:
+        """A closing tag without an open element does nothing; one of a paragraph or item does not reach out of a main element."""
+        at = self.named.get(name)
+        if at and not (name in CLOSED_BY and self.mains and self.mains[-1] > at[-1]):
+            self.cut(at[-1])
+
+    def imply(self, name: str) -> None:
+        """Closes the innermost block if an element of this name ends it."""
+        if self.blocks and name in CLOSED_BY.get(self.stack[self.blocks[-1]].name, ()):
+            self.cut(self.blocks[-1])
 
 
 def parse(page: str) -> Element:
-    """The element tree of a page; unclosed, unmatched and implied tags are treated as browsers do, comments are left out."""
+    """The element tree of a page; unclosed, unmatched and implied tags are treated as browsers do, comments are left out.
+
+    Linear in the page's length: what has been looked for in vain once is not looked for again.
+    """
     root = Element("html", "")
-    stack = [root]
-    at, size = 0, len(page)
+    is_open = Open(root)
+    at, size, last = 0, len(page), page.rfind(">")
+    quotes = True
     while at < size:
-        token = _TOKEN.match(page, at)
-        text = token[0]
-        at = token.end()
-        if text[0] != "<" or len(text) == 1:
-            stack[-1].children.append(text)
+        begin = page.find("<", at)
+        if begin < 0 or begin > last:
+            begin = size
+        if begin > at:
+            is_open.stack[-1].children.append(page[at:begin])
+            at = begin
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = size if end < 0 else end + 3
             continue
-        if text[1] in "!?":
+        name = _NAME.match(page, at, at + 64)
+        if not name and page[at + 1] not in "!?":
+            is_open.stack[-1].children.append("<")
+            at += 1
             continue
-        name = _NAME.match(text)[1].lower()
-        if text[1] == "/":
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
-                if stack[i].main and name in CLOSED_BY:
-                    break
+        end = page.find(">", at) + 1
+        if quotes and "=" in page[at:end] and name:
+            whole = _QUOTED.match(page, at)
+            end, quotes = (whole.end(), True) if whole else (end, False)
+        tag, at = page[at:end], end
+        if not name:
+            continue
+        name = name[1].lower()
+        if tag[1] == "/":
+            is_open.close(name)
             continue
         if name == "html":
             continue
-        for i in range(len(stack) - 1, 0, -1):
-            if name in CLOSED_BY.get(stack[i].name, ()):
-                del stack[i:]
-                break
-            if stack[i].name in BLOCK:
-                break
-        element = Element(name, text)
-        stack[-1].children.append(element)
+        is_open.imply(name)
+        element = Element(name, tag)
+        is_open.stack[-1].children.append(element)
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
-        elif name not in VOID and not text.endswith("/>"):
-            stack.append(element)
+            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = close.end() if close else size
+        elif name not in VOID and not tag.endswith("/>"):
+            is_open.push(element)
     return root
 
 
@@ -133,44 +200,66 @@ def walk(root: Element) -> list[Element]:
     return out
 
 
-def hash_subtrees(root: Element) -> list[Element]:
-    """Fills in digest and holds_main; returns the elements in page order."""
+def understood(root: Element) -> Element:
+    """Fills in prose and heading, then what is cut by its name, then holds_main and the digests of blocks."""
     order = walk(root)
     for element in reversed(order):
-        h = hashlib.blake2b(element.name.encode(), digest_size=8)
-        for child in element.children:
-            if isinstance(child, Element):
-                h.update(b"\0" + child.digest.to_bytes(8, "little"))
-                element.holds_main |= (child.main and not child.part) or child.holds_main
+        if not element.cut:
+            element.heading = element.name == "h1"
+            for c in element.children:
+                if isinstance(c, str):
+                    element.prose += len(c) - c.count(" ")
+                else:
+                    element.prose += c.prose
+                    element.heading |= c.heading
+    for element in order:
+        if element.hint and element.name not in PROSE and not element.heading:
+            most = root.prose if element.hint == 2 else root.prose / 2
+            element.cut |= element.prose < most
+        element.main &= not element.cut
+    for element in reversed(order):
+        element.holds_main = any(c.main or c.holds_main for c in element.children if isinstance(c, Element))
+    hashed: list[list[bytes]] = [[]]
+    queue: list[tuple[Element | str, bool]] = [(root, False)]
+    while queue:
+        node, done = queue.pop()
+        if isinstance(node, str):
+            hashed[-1].append(b"\1" + " ".join(node.split()).encode("utf-8", "surrogatepass"))
+        elif done and node.name in BLOCK:
+            digest = hashlib.blake2b(b"\0".join(hashed.pop()), digest_size=8).digest()
+            node.digest = int.from_bytes(digest, "little", signed=True)
+            hashed[-1].append(b"\2" + digest)
+        elif done:
+            hashed[-1].append(b"\3")
+        else:
+            name = node.name.encode("utf-8", "surrogatepass")
+            if node.name in BLOCK:
+                hashed.append([name])
             else:
-                h.update(b"\1" + " ".join(child.split()).encode("utf-8", "surrogatepass"))
-        element.digest = int.from_bytes(h.digest(), "little")
-    return order
-
-
-def signed(digest: int) -> int:
-    return digest - (1 << 64) if digest >> 63 else digest
+                hashed[-1].append(b"\4" + name)
+            queue.append((node, True))
+            queue += [(c, False) for c in reversed(node.children)]
+    return root
 
 
-def candidates(root: Element) -> set[tuple[int, int | None]]:
-    """Digests of the subtrees that may be site template, neither a main element nor around one; with each the digest of the outermost main element around it."""
-    hash_subtrees(root)
-    found: set[tuple[int, int | None]] = set()
+def candidates(root: Element) -> set[tuple[int, int | None, bool]]:
+    """Of the subtrees that may be site template, neither a main element nor around one: digest, the digest of the outermost
+    main element around it, and whether its name hints at a part beside the article."""
+    found: set[tuple[int, int | None, bool]] = set()
     queue: list[tuple[Element, int | None]] = [(root, None)]
     while queue:
         element, around = queue.pop()
-        free = not element.main and not element.holds_main and element.name not in ("html", "body")
-        if free and not element.part and element.name in BLOCK:
-            found.add((signed(element.digest), around))
-        if not element.part:
-            inner = signed(element.digest) if around is None and element.main else around
-            queue += [(c, inner) for c in element.children if isinstance(c, Element)]
+        if element.cut and not element.holds_main:
+            continue
+        if not element.main and not element.holds_main and element.name in BLOCK and element.name not in ("html", "body"):
+            found.add((element.digest, around, element.hint > 0))
+        inner = element.digest if around is None and element.main else around
+        queue += [(c, inner) for c in element.children if isinstance(c, Element)]
     return found
 
 
 def extract(root: Element, template: set[int]) -> str:
     """The page's blocks, one per line."""
-    hash_subtrees(root)
     blocks: list[str] = []
     open_text: list[str] = []
 
@@ -179,7 +268,7 @@ def extract(root: Element, template: set[int]) -> str:
             blocks.append(text)
         open_text.clear()
 
-    # (element or text, inside a main element); a string None closes a block.
+    # (element or text, inside a main element); None closes a block.
     queue: list[tuple[Element | str | None, bool]] = [(root, not root.holds_main)]
     while queue:
         node, inside = queue.pop()
@@ -190,17 +279,17 @@ def extract(root: Element, template: set[int]) -> str:
             if inside:
                 open_text.append(node)
             continue
-        if node.part and not node.holds_main or node.name == "header" and not root.holds_main:
+        if not node.holds_main and (node.cut or node.name == "header" and not root.holds_main):
             if node.name in BLOCK:
                 close()
             continue
-        if signed(node.digest) in template and not node.main and not node.holds_main:
+        if node.name in BLOCK and node.digest in template and not node.main and not node.holds_main:
             close()
             continue
         if node.name == "br":
             open_text.append(" ")
             continue
-        inside = inside or (node.main and not node.part)
+        inside = inside or node.main
         if node.name in BLOCK:
             close()
             queue.append((None, inside))
@@ -215,29 +304,31 @@ def host_of(url: Column) -> Column:
 
 
 def page_subtrees(pages: DataFrame) -> DataFrame:
-    """(page, host, digest, around) of each distinct candidate subtree of (page, host, html); around is null outside main elements."""
-    schema = T.StructType([pages.schema["page"], T.StructField("host", T.StringType()), T.StructField("digest", T.LongType()), T.StructField("around", T.LongType())])
+    """(page, host, subtrees) of (page, host, html): the distinct candidate subtrees of each page."""
+    fields = T.StructType([T.StructField("digest", T.LongType()), T.StructField("around", T.LongType()), T.StructField("hinted", T.BooleanType())])
+    schema = T.StructType([pages.schema["page"], T.StructField("host", T.StringType()), T.StructField("subtrees", T.ArrayType(fields))])
+    arrow = pa.list_(pa.struct([("digest", pa.int64()), ("around", pa.int64()), ("hinted", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, digests = [], []
-            for i, page in enumerate(batch.column(2).to_pylist()):
-                found = list(candidates(parse(page))) if page else []
-                rows += [i] * len(found)
-                digests += found
-            if rows:
-                at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(x, pa.int64()) for x in zip(*digests, strict=True)]], names=schema.names)
+            found = [sorted(candidates(understood(parse(page))), key=str) if page else [] for page in batch.column(2).to_pylist()]
+            rows = [[dict(zip(fields.names, x, strict=True)) for x in f] for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, arrow)], names=schema.names)
 
     return pages.mapInArrow(run, schema)
 
 
-def template_subtrees(subtrees: DataFrame, pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
-    """(host, digest) of the subtrees that recur across a host's pages, or across its different main elements."""
+def template_subtrees(
+    subtrees: DataFrame, pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES, hinted_pages: int = HINTED_PAGES
+) -> DataFrame:
+    """(host, digest) of the subtrees (host, digest, around, hinted) that recur across a host's pages, or across its
+    different main elements. pages has a row with its host for each page."""
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
-    each = subtrees.groupBy("host", "digest", "around").agg(F.count(F.lit(1)).alias("n"))
-    counts = each.groupBy("host", "digest").agg(F.sum(F.when(F.col("around").isNull(), F.col("n")).otherwise(1)).alias("n")).where(F.col("n") >= min_pages)
-    return counts.join(hosts, "host").where((F.col("n") >= min_share * F.col("n_pages")) | (F.col("n") >= many_pages)).select("host", "digest")
+    each = subtrees.groupBy("host", "digest", "around").agg(F.count(F.lit(1)).alias("n"), F.max("hinted").alias("hinted"))
+    counts = each.groupBy("host", "digest").agg(F.sum(F.when(F.col("around").isNull(), F.col("n")).otherwise(1)).alias("n"), F.max("hinted").alias("hinted"))
+    counts = counts.where((F.col("n") >= min_pages) | F.col("hinted") & (F.col("n") >= hinted_pages))
+    often = (F.col("n") >= min_pages) & (F.col("n") >= min_share * F.col("n_pages")) | (F.col("n") >= many_pages)
+    return counts.join(hosts, "host").where(often | F.col("hinted") & (F.col("n") >= hinted_pages)).select("host", "digest")
 
 
 def main_text(
@@ -245,22 +336,26 @@ def main_text(
 ) -> DataFrame:
     """Every row of df with its main text and n_chars (code points).
 
-    A null or empty page gives an empty text. A page without a host counts among the pages of the empty host. Columns
-    named text and n_chars are replaced, others pass through. An empty table gives an empty table.
+    A null or empty page gives an empty text. A page without a host counts among the pages of the empty host. Repeated
+    rows count each and get equal texts; long pages take time in proportion to their length. Columns named text and
+    n_chars are replaced, others pass through. An empty table gives an empty table.
     """
+    scratch = Scratch(df.sparkSession, "pages")
     key = F.struct(F.col(id_col), F.xxhash64(url_col, html_col))
     pages = df.select(key.alias("page"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    subtrees = page_subtrees(pages)
-    templates = written(template_subtrees(subtrees, pages, min_pages, min_share), "site-templates")
-    found = subtrees.join(templates, ["host", "digest"]).groupBy("page").agg(F.collect_set("digest").alias("template"))
-    cuts = written(found, "page-templates")
+    trees = scratch.write(page_subtrees(pages), "subtrees")
+    subtrees = trees.select("page", "host", F.explode("subtrees").alias("s")).select("page", "host", "s.*")
+    templates = scratch.write(template_subtrees(subtrees, trees.select("host"), min_pages, min_share), "site-templates")
+    found = subtrees.select("page", "host", "digest").join(templates, ["host", "digest"]).groupBy("page").agg(F.collect_set("digest").alias("template"))
+    cuts = scratch.write(found, "page-templates")
+    scratch.drop(trees, templates)
     page_key, gone = fresh_name(df, "template_page"), fresh_name(df, "template_digests")
     joined = df.join(cuts.select(F.col("page").alias(page_key), F.col("template").alias(gone)), key.eqNullSafe(F.col(page_key)), "left").drop(page_key)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         pages = batch.column(batch.schema.get_field_index(html_col)).to_pylist()
         template = batch.column(batch.schema.get_field_index(gone)).to_pylist()
-        texts = [extract(parse(p), set(t or ())) if p else "" for p, t in zip(pages, template, strict=True)]
+        texts = [extract(understood(parse(p)), set(t or ())) if p else "" for p, t in zip(pages, template, strict=True)]
         return [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
 
     return append_columns(joined, [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())], run).drop(gone)

@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -204,10 +205,18 @@ def test_main_text_of_the_tables(spark):
         ("<div class='cookie-notice'>n</div><p>x<form>f</form><script>'</p>'</script><table><tr><td>1<td>2</table><div class=sidebar>s</div>", "x\n1\n2"),
         ("<article class='comment'><p>c</p></article><article><p>a &lt; b&nbsp;c</p></article>", "a < b c"),
         ("text <b>bold", "text bold"),
+        ("<div id=page class='has-sidebar'><p>Real article text</p></div>", "Real article text"),
+        ("<div class='search-results-page'><p>Real</p><div class='sidebar box'>s</div></div>", "Real"),
+        ("<main><section id='search'><h2>Search algorithms</h2><p>They look.</p></section></main>", "Search algorithms\nThey look."),
+        ("<article><p>One.</p><p class='related-work'>Two.</p></article>", "One.\nTwo."),
+        ("<article><div class='entry-header'><h1>Title</h1></div><p>One.</p></article>", "Title\nOne."),
+        ("<article><div class='header'><h1>Title</h1></div><p>Short.</p><div id='comments'><p>A much longer word of a reader.</p></div></article>", "Title\nShort."),
+        ("<div class='sidebar'><p>all that there is</p></div>", "all that there is"),
+        ("<p>a < b <a href='x>y'>c</a> <i x=1 y>d</i></p>", "a < b c d"),
     ],
 )
 def test_extraction_cases(page, text):
-    assert site_templates.extract(site_templates.parse(page), set()) == text
+    assert site_templates.extract(site_templates.understood(site_templates.parse(page)), set()) == text
 
 
 def test_archives_round_trip(spark):
@@ -265,3 +274,31 @@ def test_jaccard_join_of_one_hot_passage_and_chains(spark):
     for rounds in (0, 3):
         got = jaccard_join.jaccard_components(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string"), star_rounds=rounds).collect()
         assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(component))
+
+
+@pytest.mark.parametrize("unit", ["<i>", "<a ", "<p><article><i></p>", '<a x=">" ', "<a x='>' \"", "<!-- ", "<div><div></p>", "<span>", "</b>", "<script>", "<li><i>", "< "])
+def test_hostile_pages_take_time_in_proportion(unit):
+    def seconds(size):
+        page = unit * (size // len(unit))
+        began = time.process_time()
+        site_templates.extract(site_templates.understood(site_templates.parse(page)), set())
+        return time.process_time() - began
+
+    assert seconds(1_000_000) < 8
+
+
+def test_template_counts_equal_plain_ones(spark):
+    """Subtree counts per host against a plain count over all pages, and hinted blocks from 2 pages on."""
+    rng = random.Random(42)
+    rows = []
+    for i in range(120):
+        host = f"h{i % 3}.example"
+        blocks = "".join(f"<p>{b}</p>" for b in rng.sample("abcdefghij", 4))
+        hinted = f"<p class='notice'>{'seen twice' if i in (3, 9) else i}</p>"
+        rows.append((i, f"http://{host}/{i}", f"<body>{blocks}{hinted}<p>own {i}</p></body>"))
+    got = {r["page_id"]: r["text"].split("\n") for r in site_templates.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    counts = Counter((u.split("/")[2], b) for _, u, h in rows for b in set(re.findall(r"<p>([a-j])</p>", h)))
+    for i, u, h in rows:
+        host = u.split("/")[2]
+        want = [b for b in re.findall(r"<p>([a-j])</p>", h) if counts[host, b] < max(5, 0.3 * 40)]
+        assert got[i] == [*want, *([] if i in (3, 9) else [str(i)]), f"own {i}"], i
