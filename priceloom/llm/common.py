@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: White space of the contracts: space and U+0009 to U+000D.
@@ -74,6 +75,14 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(table: DataFrame, limit: int) -> DataFrame:
+    """A written table of ids, hashes and numbers: sent to every task up to that count of rows, joined by shuffle beyond.
+
+    Spark splits frequent keys of that shuffled join, since both sides are tables and none is an aggregate.
+    """
+    return F.broadcast(table) if table.count() <= limit else table
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """A column name that the table does not have (Spark compares names without case)."""
     have = {c.lower() for c in df.columns}

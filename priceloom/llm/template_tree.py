@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from priceloom.llm.common import fresh_name, written
+from priceloom.llm.common import fresh_name, small, written
 
 LEAD = 3
 MIN_TOKENS = 3
@@ -28,6 +28,8 @@ LONG_DOCS = 2
 FIELD = "<*>"
 #: Leaves are looked up by broadcast up to this count (a long each), by a shuffled join beyond.
 BROADCAST_LEAVES = 1_000_000
+#: Recurring templates (texts) are looked up by broadcast up to this count; beyond, Spark splits the frequent ones of the join.
+BROADCAST_TEMPLATES = 50_000
 
 _BLANK = r"[\x20\x09-\x0D]+"
 _WITH_DIGIT = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
@@ -76,7 +78,7 @@ def _whole_lines(docs: DataFrame, min_tokens: int, min_docs: int, min_constant:
     )
     n_constant = F.size(F.array_remove(F.split("template", " ", -1), FIELD))
     return (
-        lines.join(F.broadcast(keys) if keys.count() <= broadcast_keys else keys, "key", "left_semi")
+        lines.join(small(keys, broadcast_keys), "key", "left_semi")
         .where(short | (n_constant >= min_constant * F.col("n_tokens")))
         .select("doc_id", "text_hash", "line_no", "template", "least")
     )
@@ -105,7 +107,7 @@ def recurring_lines(
         lines.groupBy("leaf", "doc_id").agg(F.lit(1)).groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"),
         "leaves",
     )
-    shared = lines.join(F.broadcast(leaves) if leaves.count() <= broadcast_leaves else leaves, "leaf")
+    shared = lines.join(small(leaves, broadcast_leaves), "leaf")
     placed = written(shared.withColumn("line", masked(F.col("line"))).withColumnRenamed("line", "masked"), "leaf-lines")
     variants = written(placed.groupBy("leaf", "n_tokens", "masked").count(), "line-variants")
     tokens = variants.select("leaf", "n_tokens", "masked", "count", F.posexplode(F.split("masked", " ", -1)).alias("place", "token"))
@@ -125,14 +127,15 @@ def recurring_lines(
         found = found.union(_whole_lines(docs, min_tokens, min_docs, min_constant, long_tokens, long_docs, broadcast_leaves))
     found = written(found, "template-lines")
     place = F.struct("doc_id", "text_hash", "line_no")
-    often = (
+    often = written(
         found.groupBy("template", "least", "doc_id")
         .agg(F.min(place).alias("first"))
         .groupBy("template", "least")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.min("first").alias("first"))
-        .where(F.col("n_docs") >= F.col("least"))
+        .where(F.col("n_docs") >= F.col("least")),
+        "often",
     )
-    return found.join(often, ["template", "least"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "line_no", "template")
+    return found.join(small(often, BROADCAST_TEMPLATES), ["template", "least"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "line_no", "template")
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
