@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from priceloom.llm.common import Scratch, mix, packs, text_bytes, window_hashes, word_hashes
+from priceloom.llm.common import Scratch, mix, packs, small, text_bytes, window_hashes, word_hashes
 
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -97,7 +97,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def token_sets(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int | None = None) -> DataFrame:
-    """(doc_id, n, set_id, tokens) of (doc_id, text); with percent, only the tokens of the screening prefix."""
+    """(doc_id, n, set_id, tokens) of (doc_id, text), doc_id being of any type; with percent, only the tokens of the screening prefix."""
     schema = T.StructType(
         [docs.schema["doc_id"], T.StructField("n", T.IntegerType()), T.StructField("set_id", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))]
     )
@@ -110,11 +110,6 @@ def token_sets(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int | None = No
     return docs.mapInArrow(run, schema)
 
 
-def small(df: DataFrame, limit: int) -> DataFrame:
-    """A written table, sent to every task up to that count of rows (ids and numbers only), joined by shuffle beyond."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def screened(sets: DataFrame, percent: int) -> DataFrame:
     """set_id of the sets (set_id, n, prefix tokens) that share enough prefix tokens with others."""
     postings = sets.select("set_id", "n", F.explode("tokens").alias("token"))
@@ -310,26 +305,29 @@ def linked_sets(sets: DataFrame, scratch: Scratch, percent: int = PERCENT, star_
 def jaccard_components(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE_WORDS, percent: int = PERCENT, broadcast_ids: int = BROADCAST_IDS, star_rounds: int = STAR_ROUNDS
 ) -> DataFrame:
-    """Per row of df: doc_id, n_shingles and component_id, the smallest id that links reach (its own at least).
+    """Per row of df: doc_id, n_shingles, component_id, the smallest id that links reach (its own at least), text_hash, and
+    is_first, whether the row is its component's smallest by (doc_id, text_hash), nulls last.
 
     A null text is an empty one: no shingles, no links. Equal texts are one set. Rows may repeat and share ids; a component
-    without any id that is not null has a null component_id. Only the id and the text are read. An empty table gives an
-    empty table.
+    without any id that is not null has a null component_id. Equal rows get equal results, so is_first can hold for several.
+    Only the id and the text are read. An empty table gives an empty table.
     """
     scratch = Scratch(df.sparkSession, "jaccard")
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    name = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"))
+    docs = df.select(name.alias("doc_id"), text.alias("text"))
     prefixes = scratch.write(token_sets(docs, n, percent), "prefixes")
     # One document stands for each set. Only sets of several documents are looked up; the others stand for themselves.
     copied = scratch.write(
         prefixes.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "copied"
     )
-    named = prefixes.where("n > 0").join(small(copied, broadcast_ids).withColumn("several", F.lit(True)), "set_id", "left")
-    one_each = named.where(F.col("several").isNull() | F.col("doc_id").eqNullSafe(F.col("lowest")))
+    named = prefixes.where("n > 0").join(small(copied, broadcast_ids), "set_id", "left")
+    one_each = named.where(F.col("lowest").isNull() | (F.col("doc_id") == F.col("lowest")))
     passed = scratch.write(screened(one_each.select("set_id", "n", "tokens"), percent), "screened")
     chosen = scratch.write(one_each.select("set_id", "doc_id").join(small(passed, broadcast_ids), "set_id", "left_semi").select("doc_id").distinct(), "chosen")
-    whole = docs.alias("d").join(small(chosen, broadcast_ids).alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), "left_semi")
+    whole = docs.join(small(chosen, broadcast_ids), "doc_id", "left_semi")
     found = scratch.write(token_sets(whole, n).where("n > 0").select("set_id", "n", "tokens"), "sets")
-    # Repeated ids may bring equal sets again.
+    # A repeated row brings its set again.
     again = not found.groupBy("set_id").count().where("count > 1").isEmpty()
     rest = (found.dropDuplicates(["set_id"]) if again else found).select("set_id", "n", F.explode("tokens").alias("token"))
     counts = rest.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
@@ -338,12 +336,14 @@ def jaccard_components(
         "token-sets",
     )
     groups = linked_sets(sets, scratch, percent, star_rounds)
-    placed = prefixes.join(groups, "set_id", "left").select("doc_id", "n", F.coalesce("component", "set_id").alias("component"))
-    placed = scratch.write(placed, "placed")
+    placed = scratch.write(prefixes.join(groups, "set_id", "left").select("doc_id", "n", F.coalesce("component", "set_id").alias("component")), "placed")
     scratch.drop(prefixes, passed, chosen, found, sets, copied)
     # Components of one document need no look-up.
     lowest = scratch.write(
-        placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("docs")).where("docs > 1").drop("docs"), "lowest"
+        placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("docs")).where("docs > 1").select(F.col("component").alias("of"), "lowest"), "lowest"
+    )
+    place = placed.join(small(lowest, broadcast_ids), (F.col("component") == F.col("of")) & (F.col("n") > 0), "left").withColumn("lowest", F.coalesce("lowest", "doc_id"))
+    return place.select(
+        F.col("doc_id.id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("lowest.id").alias("component_id"),
+        "doc_id.text_hash", (F.col("lowest") == F.col("doc_id")).alias("is_first"),
     )
-    place = placed.join(small(lowest.withColumnRenamed("component", "of"), broadcast_ids), (F.col("component") == F.col("of")) & (F.col("n") > 0), "left")
-    return place.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"))

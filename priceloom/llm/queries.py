@@ -44,7 +44,7 @@ def op4_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(documents(spark, sf_dir))
+    return jaccard_join.jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
