@@ -1,13 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling; DataFrame functions only.
 
 Targets: every source gets a share of all words by its weight; a source stops at max_repeats times its own words and the
-excess goes to the others by weight (the water level is found with one window over the sources). A document's expected
-copies are target / weighted words of its source, times its own weight. The whole part is certain; the fraction is its
-inclusion probability p. Documents rank by the odds of a hash-derived uniform number over the odds of p, and the lowest
-ranks are taken until the source's remaining words are reached, so that each source's mix has a fixed size.
-
-The running sum over a source is split into equal bins of the rank: bin totals first, then a window inside each (source,
-bin). A source with a third of all rows is dealt over as many tasks as it has bins.
+excess goes to the others by weight. A document's expected copies are target / weighted words of its source, times its own
+weight. The whole part is certain; the fraction is its inclusion probability p. Documents rank by the odds of a
+hash-derived uniform number over the odds of p, and the lowest ranks are taken until the source's remaining words are
+reached, so that each source's mix has a fixed size.
+
+The running sum over a source is split into bins of the rank that hold about equally many documents (of the uniform number
+itself where p is the same for a whole source, else between quantiles): bin totals first, then a window inside each
+(source, bin). A source with a third of all rows is dealt over as many tasks as it has bins. What is left of the ranking is
+one row per source, its last document taken; documents are held against that row and never shuffled.
 """
 
 from __future__ import annotations
@@ -17,11 +19,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from priceloom.llm.common import WORD_PATTERN, fresh_name, without, written
+from priceloom.llm.common import WORD_PATTERN, fresh_name, small, without, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BINS = 4096
+#: Bins where documents of a source are unequally likely.
+WEIGHTED_BINS = 256
+#: Sources whose rows (some numbers each) are sent to every task; more are joined by shuffle.
+BROADCAST_SOURCES = 100_000
 SEED = "mix-1"
 
 
@@ -35,27 +41,119 @@ def uniform(key: Column, seed: str) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
 
 
+def ranked_sources(sources: DataFrame) -> DataFrame:
+    """Adds rank, from 1, by source in code point order, null last: rows are counted range by range, so that sources (hosts,
+    say) may be many."""
+    by_name = F.col("source").asc_nulls_last()
+    ranges = written(sources.repartitionByRange(by_name).withColumn("range", F.spark_partition_id()), "mix-sources")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy("range").count().select("range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(by_name))
+    return ranges.join(F.broadcast(starts), "range").withColumn("rank", F.col("start") + inside).drop("range", "start")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """One row per source of (source, size): source_size and target. Sources in code point order, null last, get the weights in turn."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_level = Window.orderBy("level", "rank")
+    """One row per source of (source, size): source_size and target. Sources in code point order, null last, get the weights in turn.
+
+    The water level rises from round to round: sources that it would fill are full, the others share what is left.
+    """
     turn = F.array(*[F.lit(float(w)) for w in weights])
-    every = Window.partitionBy(F.lit(1))
-    return (
-        sizes.groupBy("source")
-        .agg(F.sum("size").alias("source_size"))
-        .withColumn("rank", F.row_number().over(by_name))
+    sources = written(
+        ranked_sources(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
         .withColumn("weight", F.element_at(turn, ((F.col("rank") - 1) % len(weights) + 1).cast("int")))
         .withColumn("most", F.col("source_size") * max_repeats)
-        .withColumn("level", F.col("most") / F.col("weight"))
-        .withColumn("spent", F.sum("most").over(by_level.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("left_weight", F.sum("weight").over(by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-        .withColumn("total", F.sum("source_size").over(every))
-        # The level if the sources before this one, by level, are full and no other is; it holds from the first source not above it.
-        .withColumn("water", (F.col("total") - F.coalesce("spent", F.lit(0))) / F.col("left_weight"))
-        .withColumn("water", F.min(F.when(F.col("water") <= F.col("level"), F.struct("level", "rank", "water"))).over(every)["water"])
-        .select("source", "source_size", F.coalesce(F.least(F.col("most").cast("double"), F.col("water") * F.col("weight")), F.lit(0.0)).alias("target"))
+        .withColumn("level", F.col("most") / F.col("weight")),
+        "mix-levels",
     )
+    water, full = 0.0, -1
+    while True:
+        is_full = F.col("level") <= water
+        row = sources.agg(
+            F.sum("source_size").alias("total"),
+            F.coalesce(F.sum(F.when(is_full, F.col("most"))), F.lit(0)).alias("spent"),
+            F.coalesce(F.sum(F.when(~is_full, F.col("weight"))), F.lit(0.0)).alias("weight"),
+            F.count_if(is_full).alias("full"),
+        ).first()
+        if row["full"] == full or not row["weight"] or not row["total"]:
+            break
+        full, water = row["full"], (row["total"] - row["spent"]) / row["weight"]
+    return sources.select("source", "source_size", F.least(F.col("most").cast("double"), F.lit(water) * F.col("weight")).alias("target"))
+
+
+def _sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, weight_col: str | None) -> list[Column]:
+    weight = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
+    return [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), weight.alias("doc_weight"), F.xxhash64(text_col).alias("text_hash")]
+
+
+def _expected(rows: DataFrame, max_repeats: int, seed: str) -> DataFrame:
+    """Adds whole (certain copies), p and order of documents that carry their source's rate."""
+    return (
+        rows.withColumn("expected", F.least(F.lit(float(max_repeats)), F.col("rate") * F.col("doc_weight")))
+        .withColumn("whole", F.floor("expected").cast("long"))
+        .withColumn("p", F.col("expected") - F.col("whole"))
+        .withColumn("u", uniform(F.col("doc_id"), seed))
+        .withColumn("order", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
+    )
+
+
+#: Documents of a source in their order; equal rows are equal here.
+_KEY = ("order", "doc_id", "size", "text_hash")
+
+
+def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    named = sources.withColumnRenamed("source", "_source")
+    return rows.join(small(named, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+
+def mix_plan(
+    df: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    max_repeats: int = MAX_REPEATS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weight_col: str | None = None,
+    seed: str = SEED,
+    bins: int = BINS,
+) -> DataFrame:
+    """One row per source: source_size, target, rate and last, the order key of its last document that gets one copy more
+    than its whole ones (null if none does). An empty table gives an empty table."""
+    sizes = written(df.select(*_sizes(df, id_col, text_col, source_col, weight_col)), "mix-sizes")
+    targets = written(source_targets(sizes, weights, max_repeats), "mix-targets")
+    weighted = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("doc_weight")).alias("weighted_size"))
+    rate = F.when(F.col("weighted_size") > 0, F.col("target") / F.col("weighted_size")).otherwise(0.0)
+    rates = written(_with_source(weighted, targets).select("source", "source_size", "target", rate.alias("rate")), "mix-rates")
+    docs = _expected(_with_source(sizes, rates), max_repeats, seed).where("p > 0")
+    if weight_col:
+        cuts = written(docs.groupBy("source").agg(F.percentile_approx("order", [k / WEIGHTED_BINS for k in range(1, WEIGHTED_BINS)], 10 * WEIGHTED_BINS).alias("cuts")), "mix-cuts")
+        docs = _with_source(docs, cuts).withColumn("bin", F.expr("size(filter(cuts, c -> c < order))").cast("long")).drop("cuts")
+    else:
+        docs = docs.withColumn("bin", F.floor(F.col("u") * bins).cast("long"))
+    certain = _expected(_with_source(sizes, rates), max_repeats, seed).groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("certain"))
+    per_bin = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    totals = docs.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")).select("source", "bin", F.coalesce(F.sum("bin_size").over(per_bin), F.lit(0)).alias("before"))
+    # Equal rows are peers of the range frame: they are drawn together, by the middle of their words, or not at all.
+    peers = Window.partitionBy("source", "bin").orderBy(*_KEY)
+    reached = F.sum("size").over(peers) - F.sum("size").over(Window.partitionBy("source", "bin", *_KEY)) / 2
+    summed = docs.withColumn("reached", reached).select("source", "bin", "target", "reached", F.struct(*_KEY).alias("key"))
+    open_ = written(certain, "mix-certain")
+    within = _with_source(summed, open_)
+    drawn = (
+        within.alias("d")
+        .join(totals.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.bin") == F.col("b.bin")))
+        .where(F.col("before") + F.col("reached") <= F.col("target") - F.col("certain"))
+        .groupBy("d.source")
+        .agg(F.max("key").alias("last"))
+    )
+    last = written(drawn, "mix-last")
+    named = last.withColumnRenamed("source", "_source")
+    return written(rates.join(small(named, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source"), "mix-plan")
+
+
+def _copies(rows: DataFrame, plan: DataFrame, max_repeats: int, seed: str) -> DataFrame:
+    drawn = F.coalesce((F.col("p") > 0) & (F.struct(*_KEY) <= F.col("last")), F.lit(False))
+    found = _expected(_with_source(rows, plan), max_repeats, seed)
+    return found.withColumn("copies", F.col("whole") + F.when(drawn, 1).otherwise(0)).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix_sources(
@@ -72,54 +170,24 @@ def mix_sources(
     """Per row of df: doc_id, source, size (words), source_size, target, copies and taken (copies * size).
 
     A null text has size 0; a null source is a source of its own, last in order. weight_col makes documents of one source
-    unequally likely (null or negative: 0). Rows with equal ids share one rank, so reruns agree and repeats of a row are
-    decided one after the other. Only the id, the source and the text are read. An empty table gives an empty table.
+    unequally likely (null or negative: 0). Rows with equal ids share one rank and are taken by size, then by a hash of the
+    text, so reruns agree whatever the order of the rows; equal rows are taken together. Only the id, the source and the
+    text are read. An empty table gives an empty table.
     """
-    weight = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
-    sizes = written(
-        df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), weight.alias("doc_weight")),
-        "mix-sizes",
-    )
-    targets = source_targets(sizes, weights, max_repeats)
-    weighted = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("doc_weight")).alias("weighted_size"))
-    rates = (
-        targets.alias("t")
-        .join(weighted.alias("w"), F.col("t.source").eqNullSafe(F.col("w.source")))
-        .select("t.source", "source_size", "target", F.when(F.col("weighted_size") > 0, F.col("target") / F.col("weighted_size")).otherwise(0.0).alias("rate"))
-    )
-    expected = (
-        sizes.alias("d")
-        .join(rates.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
-        .select("d.doc_id", "d.source", "d.size", "source_size", "target", F.least(F.lit(float(max_repeats)), F.col("rate") * F.col("doc_weight")).alias("expected"))
-        .withColumn("whole", F.floor("expected").cast("long"))
-        .withColumn("p", F.col("expected") - F.col("whole"))
-        .withColumn("u", uniform(F.col("doc_id"), seed))
-        .withColumn("order", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
-        .withColumn("bin", F.coalesce(F.floor(F.col("order") / (1 + F.col("order")) * bins), F.lit(bins)).cast("long"))
-    )
-    per_bin = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    per_source = Window.partitionBy("source")
-    totals = (
-        expected.groupBy("source", "bin")
-        .agg(F.sum(F.when(F.col("p") > 0, F.col("size")).otherwise(0)).alias("bin_size"), F.sum(F.col("whole") * F.col("size")).alias("certain"))
-        .select("source", "bin", F.coalesce(F.sum("bin_size").over(per_bin), F.lit(0)).alias("before"), F.sum("certain").over(per_source).alias("certain"))
-    )
-    inside = Window.partitionBy("d.source", "d.bin").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    reached = F.col("before") + F.sum("size").over(inside) - F.col("size") / 2
-    drawn = (F.col("p") > 0) & (reached <= F.col("target") - F.col("certain"))
-    return (
-        expected.alias("d")
-        .join(totals.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.bin") == F.col("b.bin")))
-        .withColumn("copies", F.col("whole") + F.when(drawn, 1).otherwise(0))
-        .select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-    )
+    plan = mix_plan(df, weights, max_repeats, id_col, text_col, source_col, weight_col, seed, bins)
+    rows = _copies(df.select(*_sizes(df, id_col, text_col, source_col, weight_col)), plan, max_repeats, seed)
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
 
+def mixed_documents(df: DataFrame, plan: DataFrame, max_repeats: int = MAX_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
+    """The rows of df that the mix of mix_plan takes, with their copies and taken words; columns of these names are replaced.
 
-def mixed_documents(df: DataFrame, mix: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of df that the mix takes, with their copies and taken words (ids must be unique to be told apart)."""
-    added = ["copies", "taken"]
-    rows, key = without(df, added), fresh_name(df, "mix_id")
-    return rows.join(mix.where("copies > 0").select(F.col("doc_id").alias(key), *added), F.col(id_col).eqNullSafe(F.col(key))).drop(key)
+    Rows are held against their source's row of the plan, so repeated ids are told apart and no text is shuffled.
+    """
+    rows = without(df, ["copies", "taken"])
+    whole = fresh_name(df, "mix_row")
+    named = df.select(*_sizes(df, id_col, text_col, source_col, None), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias(whole))
+    return _copies(named, plan, max_repeats, seed).where("copies > 0").select(f"{whole}.*", "copies", "taken")
 
 
 SQL = rf"""

@@ -61,7 +61,11 @@ def test_source_mix(docs, none):
     assert {r["source"] for r in got} == {"a", "b", "c", None}
     assert sorted(map(str, got)) == sorted(map(str, source_mix.mix_sources(docs).collect()))
     assert source_mix.mix_sources(none).count() == 0
-    assert source_mix.mixed_documents(docs.where("doc_id IN (2, 5)"), rows.where("doc_id IN (2, 5)")).columns.count("copies") == 1
+    plan = source_mix.mix_plan(docs)
+    mixed = source_mix.mixed_documents(docs, plan)
+    assert mixed.columns.count("copies") == 1 and mixed.columns[:3] == ["doc_id", "text", "source"]
+    assert sorted((str(r["doc_id"]), r["copies"]) for r in mixed.collect()) == sorted((str(r["doc_id"]), r["copies"]) for r in got if r["copies"])
+    assert source_mix.mixed_documents(none, source_mix.mix_plan(none)).count() == 0
 
 
 def test_content_chunks(docs, none):
