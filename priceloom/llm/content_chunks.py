@@ -6,10 +6,13 @@ periodic text too: a repeated passage loses at most 16 bytes and WINDOW words be
 words behind its last, so spans of MIN_SPAN_WORDS words catch passages of over 50 words. Chunks of more than MAX_BYTES
 are cut by the same rule at characters instead of blanks, and spans of MIN_SPAN_BYTES bytes count whatever their words.
 
-Chunks are compared by digest: the first occurrence, by (doc_id, place), stays; later ones are repeats. Repeats that
-follow each other form a span, and spans of at least min_words words or min_bytes bytes are dropped.
+Chunks hold a few words, and a stock phrase may be one, so runs of RUN chunks are compared, by digest: the first
+occurrence, by (doc_id, text, place), stays; later ones are repeats. Repeated runs that overlap or touch form a span, and
+spans of at least min_words words or min_bytes bytes are dropped.
 
-A digest has 64 bits. Two different chunks that share one by chance can't drop text: a span takes several neighbours.
+A digest has 64 bits and is compared together with the run's length in bytes. Two different runs agree in both with a
+chance of about 1 in 10^21, so a collection of 10^11 chunks has a handful of such pairs; most of them are too short to
+drop text alone.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from priceloom.llm.common import BLANKS, append_columns, fresh_name, packs, segment_hashes, separator_table, text_bytes
+from priceloom.llm.common import BLANKS, append_columns, fresh_name, packs, segment_hashes, separator_table, small, text_bytes, written
 
 #: Blanks, or characters of a chunk of more than MAX_BYTES, of which the one with the lowest hash is a cut.
 WINDOW = 8
@@ -30,6 +33,10 @@ CHARACTER_WINDOW = 32
 MAX_BYTES = 256
 MIN_SPAN_WORDS = 24
 MIN_SPAN_BYTES = 256
+#: Chunks whose digests are compared as one.
+RUN = 3
+#: Repeated runs are looked up by broadcast up to this count (numbers only), by a shuffled join beyond.
+BROADCAST_RUNS = 500_000
 
 _GEAR = np.random.default_rng(97).integers(0, 1 << 16, 256, dtype=np.uint16)
 _BLANK = separator_table(BLANKS)
@@ -78,18 +85,11 @@ def chunk_ends(blob: bytes, window: int = WINDOW, max_bytes: int = MAX_BYTES, ch
     return np.sort(np.concatenate(more)) if len(more) > 1 else ends
 
 
-def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, place, start, stop, n_words, digest) of every chunk; start and stop count UTF-8 bytes."""
-    schema = T.StructType(
-        [
-            T.StructField("doc_id", df.schema[id_col].dataType),
-            T.StructField("place", T.IntegerType()),
-            T.StructField("start", T.IntegerType()),
-            T.StructField("stop", T.IntegerType()),
-            T.StructField("n_words", T.IntegerType()),
-            T.StructField("digest", T.LongType()),
-        ]
-    )
+def chunks(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """(doc_id, text_hash, place, start, stop, first_word, last_word, digest) of every run of chunks of (doc_id, text_hash,
+    text): its bytes start to stop, its words counted from the text's first. A text of fewer chunks is one run."""
+    numbers = ("place", "start", "stop", "first_word", "last_word")
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["text_hash"], *[T.StructField(n, T.IntegerType()) for n in numbers], T.StructField("digest", T.LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,53 +101,70 @@ def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 counts = np.array([len(e) for e in ends])
                 if not counts.sum():
                     continue
-                base = np.repeat(np.cumsum([0, *[len(b) for b in part]])[:-1], counts)
+                owner = np.repeat(np.arange(len(part)), counts)
+                base = np.cumsum([0, *[len(b) for b in part]])[owner]
                 stop = np.concatenate(ends)
-                first = np.repeat(np.cumsum(counts) - counts, counts)
-                place = np.arange(len(stop)) - first
+                place = np.arange(len(stop)) - (np.cumsum(counts) - counts)[owner]
                 start = np.where(place == 0, 0, np.roll(stop, 1))
+                is_run = (place + run <= counts[owner]) | (place == 0)
+                tail = np.minimum(place + run, counts[owner])[is_run] - 1 + (np.cumsum(counts) - counts)[owner[is_run]]
+                place, start, stop, base, owner = place[is_run], start[is_run], stop[tail], base[is_run], owner[is_run]
                 begins = ~_BLANK[data]
                 begins[1:] &= _BLANK[data[:-1]]
+                begins[base[place == 0]] = ~_BLANK[data[base[place == 0]]]
                 words = np.concatenate(([0], np.cumsum(begins)))
-                heads = base + start
-                n_words = words[base + stop] - words[heads] + ((place == 0) & ~_BLANK[data[heads]] & ~begins[heads])
-                digest = segment_hashes(data, heads, base + stop)
-                ids = batch.column(0).slice(lo, hi - lo).take(pa.array(np.repeat(np.arange(hi - lo), counts)))
+                numbers_ = (place, start, stop, words[base + start] - words[base], words[base + stop] - words[base])
+                digest = segment_hashes(data, base + start, base + stop)
+                at = pa.array(lo + owner)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, *[pa.array(x.astype(np.int32)) for x in (place, start, stop, n_words)], pa.array(digest.view(np.int64))], names=schema.names
+                    [batch.column(0).take(at), batch.column(1).take(at), *[pa.array(x.astype(np.int32)) for x in numbers_], pa.array(digest.view(np.int64))], names=schema.names
                 )
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, schema)
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(cut, schema)
+
+
+def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, text), equal rows once. text_hash is 0 throughout where no id repeats, so that it costs nothing."""
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.withColumn("text_hash", F.lit(0).cast("long"))
+    return docs.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"])
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_SPAN_WORDS, min_bytes: int = MIN_SPAN_BYTES) -> DataFrame:
-    """One row per span to drop: doc_id, first_doc_id (the smallest id that keeps a chunk of it), start, stop (bytes), n_words.
+def repeated_spans(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_SPAN_WORDS, min_bytes: int = MIN_SPAN_BYTES, broadcast_runs: int = BROADCAST_RUNS
+) -> DataFrame:
+    """One row per span to drop: doc_id, text_hash, first_doc_id (the smallest id that keeps a run of it), start, stop
+    (bytes), n_words.
 
-    Digests are counted with partial sums before the shuffle; the join back is on the digest, where Spark splits frequent
-    ones. Null and empty texts have no chunks. Rows that share an id are taken as one document. Only the id and the text
-    are read; an empty table gives an empty table.
+    Digests are counted with partial sums before the shuffle; only those that recur are joined back, where Spark splits
+    frequent ones. Null and empty texts have no chunks. Equal rows are one document; rows that share an id but not the text
+    are told apart by text_hash (0 throughout where ids are unique). Only the id and the text are read; an empty table
+    gives an empty table.
     """
-    pieces = chunks(df, id_col, text_col)
-    firsts = (
-        pieces.groupBy("digest")
-        .agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.place").alias("first_place"))
+    docs = _documents(df, id_col, text_col)
+    pieces = chunks(docs).withColumn("size", F.col("stop") - F.col("start"))
+    first = F.struct("doc_id", "text_hash", "place")
+    firsts = written(
+        pieces.groupBy("digest", "size").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
+        "repeated-runs",
     )
     later = (
-        pieces.join(firsts, "digest")
-        .where(~(F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("place") == F.col("first_place"))))
-        .select("doc_id", "place", "start", "stop", "n_words", "first_doc_id")
+        pieces.join(small(firsts, broadcast_runs), ["digest", "size"])
+        .where(first != F.col("first"))
+        .select("doc_id", "text_hash", "place", "start", "stop", "first_word", "last_word", F.col("first.doc_id").alias("first_doc_id"))
     )
-    in_order = Window.partitionBy("doc_id").orderBy("place")
+    in_order = Window.partitionBy("doc_id", "text_hash").orderBy("place")
+    reach = F.max("stop").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     return (
-        later.withColumn("island", F.col("place") - F.dense_rank().over(in_order))
-        .groupBy("doc_id", "island")
+        later.withColumn("opens", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+        .withColumn("island", F.sum("opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("doc_id", "text_hash", "island")
         .agg(
             F.min("first_doc_id").alias("first_doc_id"),
             F.min("start").alias("start"),
             F.max("stop").alias("stop"),
-            F.sum("n_words").alias("n_words"),
+            (F.max("last_word") - F.min("first_word")).alias("n_words"),
         )
         .where((F.col("n_words") >= min_words) | (F.col("stop") - F.col("start") >= min_bytes))
         .drop("island")
@@ -155,10 +172,12 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_spans(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with the spans cut out of its texts; rows without spans stay as they are (a null text stays null)."""
-    key, cuts = fresh_name(df, "span_doc"), fresh_name(df, "span_cuts")
-    lists = spans.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(cuts))
-    joined = df.join(lists, F.col(id_col).eqNullSafe(F.col(key)), "left").drop(key)
+    """df with the spans of repeated_spans cut out of its texts; rows without spans stay as they are (a null text stays
+    null), and equal rows lose the same spans."""
+    key, text_key, cuts = (fresh_name(df, x) for x in ("span_doc", "span_text", "span_cuts"))
+    lists = spans.groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(text_key)).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(cuts))
+    same = F.col(text_key).isin(F.lit(0), F.xxhash64(F.col(text_col).cast("string")))
+    joined = df.join(lists, F.col(id_col).eqNullSafe(F.col(key)) & same, "left").drop(key, text_key)
 
     def apply(batch: pa.RecordBatch) -> list[pa.Array]:
         texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()

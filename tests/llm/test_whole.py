@@ -84,3 +84,34 @@ def test_parse_queries_reads_the_whole_text(spark, tmp_path):
     text = "x " * 60 + "at Safeway"
     spark.createDataFrame([(1, 1, "user", text)], "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert querylog.parse_queries(spark, str(tmp_path)).collect()[0]["retailer"] == "safeway"
+
+
+def test_repeated_rows_and_plain_runs(spark):
+    """Spans equal those of a plain comparison of all runs of chunks; a repeated row changes nothing."""
+    rng = random.Random(35)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
+    fill = lambda n: " ".join(word() for _ in range(n))
+    shared, few = [fill(rng.randint(30, 70)) for _ in range(6)], fill(18)
+    texts = [" ".join(x for k in range(3) for x in (fill(rng.randint(0, 25)), rng.choice(shared))) for _ in range(40)] + [f"{fill(60)} {few} {fill(60)}" for _ in range(2)]
+    rows = [(i // 2, t) for i, t in enumerate(texts[:10])] + list(enumerate(texts, 100))
+
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    hashes = {(r["doc_id"], r["text"]): r["h"] for r in df.selectExpr("doc_id", "text", "xxhash64(text) h").collect()}
+    by_hash = {(d, h): t for (d, t), h in hashes.items()}
+    seen, want = {}, set()
+    for key, text in sorted(hashes, key=lambda r: (r[0], hashes[r])):
+        blob, spans = text.encode(), []
+        ends = [0, *content_chunks.chunk_ends(blob).tolist()]
+        for k in range(max(1, len(ends) - content_chunks.RUN)):
+            a, b = ends[k], ends[min(k + content_chunks.RUN, len(ends) - 1)]
+            if seen.setdefault(blob[a:b], (key, text, k)) == (key, text, k):
+                continue
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = b
+            else:
+                spans.append([a, b])
+        want |= {(key, text, a, b) for a, b in spans if len(blob[a:b].split()) >= 24 or b - a >= 256}
+    for times in (1, 2):
+        got = content_chunks.repeated_spans(spark.createDataFrame(rows * times, "doc_id bigint, text string")).collect()
+        assert {(r["doc_id"], by_hash[r["doc_id"], r["text_hash"]], r["start"], r["stop"]) for r in got} == want and len(got) == len(want)
+    assert want and not any(d in (140, 141) for d, *_ in want)
