@@ -13,9 +13,10 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
+import itertools
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -27,8 +28,14 @@ from pyspark.sql import types as T
 from priceloom.llm.common import new_path, written
 
 BLOCK_LINES = 512
-#: Records of one archive file, which bounds the memory that indexing a file takes.
+#: Records of one archive file; files are read by ranges, so their bytes need no bound.
 RECORDS_PER_FILE = 1000
+#: Bytes that a scan holds at a time (a longer header is read whole), and those it first looks for a header in.
+WINDOW_BYTES = 1 << 20
+HEADER_BYTES = 1 << 12
+#: Captures of one Arrow batch, and tasks that scan archives at most.
+BATCH_ROWS = 10_000
+TASKS = 10_000
 #: Directory entries that a lookup sends to the tasks at a time; a larger directory is searched in such pieces.
 DIRECTORY_PIECE = 200_000
 #: Payloads of fewer bytes are never revisits.
@@ -78,7 +85,8 @@ def url_key(url: Column) -> Column:
 
 
 def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES) -> None:
-    """One WARC record per row, into files under path."""
+    """One WARC record per row, into files under path. A null html is an empty payload, a null URL or id has no header of
+    its own, equal rows are records each; an empty table gives no record. Other columns are not read."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumns({"digest": base32_sha1(F.col("html")), "bytes": F.octet_length("html")})
@@ -124,19 +132,36 @@ def page_number(name: str | None) -> int | None:
     return int(name[len("<urn:page:") : -1]) if name else None
 
 
-def scan_archive(data: bytes) -> Iterator[tuple[int, int, dict[str, str]]]:
-    """Offset, length and headers of each record; records are stepped over by their Content-Length."""
-    at = 0
-    while at < len(data):
-        if data[at : at + len(VERSION)] != VERSION:
+def scan_archive(read: Callable[[int, int], bytes], size: int) -> Iterator[tuple[int, int, dict[str, str]]]:
+    """Offset, length and headers of each record of an archive of that size, of which read(count, offset) gives bytes.
+
+    Records are stepped over by their Content-Length, so only WINDOW_BYTES are held at a time, however long a record is.
+    """
+    at, window, begin = 0, b"", 0
+
+    def part(offset: int, count: int) -> bytes:
+        nonlocal window, begin
+        if not begin <= offset <= offset + count <= begin + len(window):
+            window, begin = read(min(max(count, WINDOW_BYTES), size - offset), offset), offset
+        return window[offset - begin : offset - begin + count]
+
+    while at < size:
+        span = HEADER_BYTES
+        while (end := (head := part(at, min(span, size - at))).find(b"\r\n\r\n")) < 0 and at + span < size:
+            span *= 4
+        if not head.startswith(VERSION) or end < 0:
             raise ValueError(f"no WARC record at byte {at}")
-        body = data.index(b"\r\n\r\n", at) + 4
-        headers = parse_headers(data[at : body - 4])
-        end = body + int(headers["content-length"]) + 4
-        if data[end - 4 : end] != b"\r\n\r\n":
+        headers = parse_headers(head[:end])
+        length = end + 4 + int(headers["content-length"]) + 4
+        if part(at + length - 4, 4) != b"\r\n\r\n":
             raise ValueError(f"the record at byte {at} has a wrong length")
-        yield at, end - at, headers
-        at = end
+        yield at, length, headers
+        at += length
+
+
+def opened(path: str) -> pa.NativeFile:
+    system, place = pyarrow.fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    return system.open_input_file(place)
 
 
 @dataclass
@@ -148,17 +173,21 @@ class CaptureIndex:
 
 
 def build_index(spark: SparkSession, archives: str, block_lines: int = BLOCK_LINES) -> CaptureIndex:
-    """The index of all archive files under a path."""
+    """The index of all archive files under a path. Records without a URL have an empty key; repeated records are captures
+    each; archives without records give an index without blocks."""
     schema = T.StructType([T.StructField("url", T.StringType()), *CAPTURE.fields[1:]])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [(h.get("warc-target-uri"), page_number(h.get("warc-record-id")), path, at, n) for at, n, h in scan_archive(memoryview(data.as_buffer()).tobytes())]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=schema.names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(archives).select("path", "content")
+            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with opened(path) as file:
+                    records = scan_archive(lambda count, offset, file=file: file.read_at(count, offset), size)
+                    while rows := [(h.get("warc-target-uri"), page_number(h.get("warc-record-id")), path, at, n) for at, n, h in itertools.islice(records, BATCH_ROWS)]:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=schema.names)
+
+    # The contents are not selected, so Spark lists the files and the tasks read them by ranges.
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(archives).select("path", "length")
+    files = files.repartition(max(1, min(files.count(), TASKS)))
     captures = files.mapInArrow(scan, schema).select(url_key(F.col("url")).alias("url_key"), *CAPTURE.names[1:])
     captures = written(captures, "captures")
     block = T.StructType(
@@ -198,7 +227,8 @@ def build_index(spark: SparkSession, archives: str, block_lines: int = BLOCK_LIN
 
 
 def lookup(index: CaptureIndex, keys: DataFrame, piece: int = DIRECTORY_PIECE) -> DataFrame:
-    """The captures (CAPTURE) of all rows of a table of distinct url_key."""
+    """The captures (CAPTURE) of all rows of a table of distinct url_key, none of them null. Keys that the index lacks give
+    no rows; neither does an empty table or an empty index."""
     schema = T.StructType([T.StructField("url_key", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType())])
     pieces: list[list[int]] = []
     size = piece
@@ -260,15 +290,14 @@ def read_records(captures: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records (RECORD) of captures, each read by its byte range. Null page ids and URLs come back as null."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened: tuple[str | None, pa.NativeFile | None] = (None, None)
+        current: tuple[str | None, pa.NativeFile | None] = (None, None)
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
         for batch in batches:
             rows = []
             for path, offset, length in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                if opened[0] != path:
-                    system, place = pyarrow.fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-                    opened = (path, system.open_input_file(place))
-                record = parse_record(opened[1].read_at(length, offset))
+                if current[0] != path:
+                    current = (path, opened(path))
+                record = parse_record(current[1].read_at(length, offset))
                 rows.append(record if with_payload else (*record[:-1], None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=RECORD.names)
