@@ -102,34 +102,38 @@ class ItemBlock:
 
     def __init__(self, ids: list, texts: list[bytes], least: int) -> None:
         hashes, _, _, first = word_hashes([normalized(t) for t in texts])
-        self.ids, self.least = ids, least
+        self.ids = ids
         self.words = [(hashes[a:b] >> np.uint64(4)).tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
-        seeds = [np.unique(window_hashes(hashes[a:b], least)) for a, b in zip(first[:-1], first[1:], strict=True)]
-        owner = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
-        every = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
-        order = np.argsort(every, kind="stable")
-        self.owner = owner[order]
-        self.seeds, self.at = np.unique(every[order], return_index=True)
-        self.until = np.append(self.at[1:], len(every))
+        # An item of fewer words than a seed is one seed as a whole.
+        self.least = np.minimum(np.maximum(np.diff(first), 1), least)
+        self.indexes = []
+        for n in np.unique(self.least).tolist():
+            own = np.flatnonzero(self.least == n)
+            seeds = [np.unique(window_hashes(hashes[first[k] : first[k + 1]], n)) for k in own.tolist()]
+            every, owner = np.concatenate(seeds), np.repeat(own, [len(s) for s in seeds])
+            order = np.argsort(every, kind="stable")
+            distinct, at = np.unique(every[order], return_index=True)
+            if len(distinct):
+                self.indexes.append((n, owner[order], distinct, at, np.append(at[1:], len(every))))
 
     def matches(self, words: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
         """(item, tiles) of every item that shares a seed with a document's words."""
-        windows = window_hashes(words, self.least)
-        if not len(windows) or not len(self.seeds):
-            return
-        slot = np.minimum(np.searchsorted(self.seeds, windows), len(self.seeds) - 1)
-        hits = np.flatnonzero(self.seeds[slot] == windows)
-        places: dict[int, list[int]] = {}
-        for j in hits.tolist():
-            for item in self.owner[self.at[slot[j]] : self.until[slot[j]]].tolist():
-                places.setdefault(item, []).append(j)
-        for item, starts in places.items():
-            # Only words under this item's seeds can be in a tile; a closed place keeps separate stretches apart.
-            keep = np.unique((np.array(starts)[:, None] + np.arange(self.least)).ravel())
-            breaks = np.flatnonzero(np.diff(keep) > 1) + 1
-            values = np.insert((words[keep] >> np.uint64(4)).astype(np.int64), breaks, 0)
-            closed = np.insert(np.zeros(len(keep), np.uint8), breaks, 1)
-            yield item, greedy_tiles(self.words[item], values.tolist(), bytearray(closed.tobytes()), self.least)
+        for least, owner, seeds, at, until in self.indexes:
+            windows = window_hashes(words, least)
+            if not len(windows):
+                continue
+            slot = np.minimum(np.searchsorted(seeds, windows), len(seeds) - 1)
+            places: dict[int, list[int]] = {}
+            for j in np.flatnonzero(seeds[slot] == windows).tolist():
+                for item in owner[at[slot[j]] : until[slot[j]]].tolist():
+                    places.setdefault(item, []).append(j)
+            for item, starts in places.items():
+                # Only words under this item's seeds can be in a tile; a closed place keeps separate stretches apart.
+                keep = np.unique((np.array(starts)[:, None] + np.arange(least)).ravel())
+                breaks = np.flatnonzero(np.diff(keep) > 1) + 1
+                values = np.insert((words[keep] >> np.uint64(4)).astype(np.int64), breaks, 0)
+                closed = np.insert(np.zeros(len(keep), np.uint8), breaks, 1)
+                yield item, greedy_tiles(self.words[item], values.tolist(), bytearray(closed.tobytes()), least)
 
 
 def tiled_pairs(
@@ -137,8 +141,8 @@ def tiled_pairs(
 ) -> DataFrame:
     """(doc_id, item_id, n_item_words, n_tiles, covered_words, longest_tile, coverage) of every pair with a tile.
 
-    Null and empty texts have no words and no pairs; items of fewer words than a seed can't be found. Repeated rows give
-    repeated pairs. No shuffle: each block of items is sent to the tasks, whose documents pass through.
+    Null and empty texts have no words and no pairs; an item of fewer words than a seed is found where all of it stands.
+    Repeated rows give repeated pairs. No shuffle: each block of items is sent to the tasks, whose documents pass through.
     """
     queries = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL")
     size = queries.agg(F.sum(F.length("text"))).first()[0] or 0
