@@ -5,8 +5,9 @@ of the line behind. Forward-backward gives each line's probability of being good
 document's share of good text, which a logistic curve turns into the score.
 
 Training uses documents' labels: all lines of a document get its label, the field is fitted, lines of bad documents that
-look good are relabelled, and the field is fitted again. At most SAMPLE_PER_LABEL labelled documents of each label are
-fitted, those with the smallest hash of their id; the logistic curve weighs them by the labels of all training rows.
+look good are relabelled, and the field is fitted again. At most SAMPLE_PER_LABEL labelled documents and SAMPLE_BYTES bytes of
+each label are fitted, whole texts in the order of a hash of their id; the logistic curve weighs them by the labels of all
+training rows.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from priceloom.llm.common import append_columns, packs, text_bytes, word_hashes
 
 SAMPLE_PER_LABEL = 2000
+SAMPLE_BYTES = 32 << 20
 #: Training cuts longer texts into chains of so many lines, since its steps are as many as the longest chain has lines.
 CHAIN_LINES = 64
 THRESHOLD = 0.3
@@ -199,7 +201,7 @@ def fit_field(x: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndar
     return field
 
 
-def _sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, sample_bytes: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Texts, labels and weights of the bounded training sample."""
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1) AND id IS NOT NULL")
     usable = usable.where(~held_out(F.col("id"))).dropDuplicates(["id"])
@@ -207,7 +209,10 @@ def _sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     chosen = [usable.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(per_label) for k in (0, 1)]
     found = texts.join(F.broadcast(chosen[0].union(chosen[1])), "id").select("id", "label", F.col("text").cast("binary").alias("text"))
-    table = found.where("text IS NOT NULL").toArrow().sort_by("id")
+    # At most 2 * per_label rows are left, so a window over each label is bounded.
+    by_hash = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
+    within = found.where("text IS NOT NULL").withColumn("bytes", F.sum(F.octet_length("text")).over(by_hash)).where(F.col("bytes") <= sample_bytes)
+    table = within.drop("bytes").toArrow().sort_by("id")
     rows = list(zip(table.column("text").to_pylist(), table.column("label").to_pylist(), strict=True))
     label = np.array([r[1] for r in rows], int)
     drawn = np.bincount(label, minlength=2)
@@ -221,9 +226,12 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % FOLDS == HELD_OUT_FOLD
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = SAMPLE_PER_LABEL) -> LineField | float:
-    """The fitted field; where the training rows lack one of the labels, the share of label 1 (0.5 without rows)."""
-    texts, label, weight = _sample(df, labels, id_col, text_col, label_col, per_label)
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = SAMPLE_PER_LABEL, sample_bytes: int = SAMPLE_BYTES) -> LineField | float:
+    """The fitted field; where the training rows lack one of the labels, the share of label 1 (0.5 without rows).
+
+    Labels other than 0 and 1, null ids, null texts and held-out rows are left out; of repeated labels of an id one counts.
+    """
+    texts, label, weight = _sample(df, labels, id_col, text_col, label_col, per_label, sample_bytes)
     if len(set(label.tolist())) < 2:
         return float(label.mean()) if len(label) else 0.5
     parts = [line_features(texts[lo:hi]) for lo, hi in packs(texts)]
