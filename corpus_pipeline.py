@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from priceloom.llm.common import written
 from priceloom.llm.compression_bands import compression_bands
 from priceloom.llm.jaccard_join import jaccard_components
-from priceloom.llm.source_mix import mix_sources, mixed_documents
+from priceloom.llm.source_mix import mix_plan, mixed_documents
 from priceloom.llm.string_tiling import decontaminated
 from priceloom.llm.template_tree import dedup_lines
 
@@ -18,30 +18,36 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the compression bands keep."""
+    """Documents that the base rules and the compression bands keep; null and empty texts fail the base rules."""
     return compression_bands(docs).where("kept").select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without recurring lines, with their new length; a document that loses all of its lines goes."""
+    """Documents without recurring lines, with their new length; a document that loses all of its lines goes. Null texts
+    stay as they are, equal rows lose the same lines."""
     cut = dedup_lines(docs).where("n_dropped = 0 OR n_dropped < n_lines")
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest id."""
-    stays = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    """Of each component of near duplicates the smallest row by (doc_id, hash of the text), and of equal rows one. Texts
+    without words are no duplicates of each other unless the rows are equal."""
+    found = jaccard_components(docs).where("is_first").select(F.col("doc_id").alias("stays"), "text_hash")
+    first = written(found.groupBy("stays", "text_hash").count(), "stays")
+    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("stays")) & (text_hash == F.col("text_hash")), "left_semi")
+    return kept if first.where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, equal rows share their fate."""
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix with their copies and taken words."""
-    return mixed_documents(docs, mix_sources(docs))
+    """The documents of the mix with their copies and taken words; a null source is a source, a text without words is never
+    taken. Empty tables stay empty in every stage, and other columns pass through."""
+    return mixed_documents(docs, mix_plan(docs))
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -52,7 +58,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("source_mix", source_mix),
 ]
 
-#: Compression, tiling and the join can't be expressed in SQL; tests hold every stage against a brute-force version.
+#: Compression, tiling and the join can't be expressed in SQL; tests/llm holds every stage against a brute-force version.
 ORACLE_SQL = None
 
 
