@@ -7,8 +7,9 @@ words behind its last, so spans of MIN_SPAN_WORDS words catch passages of over 5
 are cut by the same rule at characters instead of blanks, and spans of MIN_SPAN_BYTES bytes count whatever their words.
 
 Chunks hold a few words, and a stock phrase may be one, so runs of RUN chunks are compared, by digest: the first
-occurrence, by (doc_id, text, place), stays; later ones are repeats. Repeated runs that overlap or touch form a span, and
-spans of at least min_words words or min_bytes bytes are dropped.
+occurrence, by (doc_id, text, place), stays; later ones are repeats. Repeated runs that begin at consecutive chunks, so
+that each shares all but one chunk with the next, form a span, and spans of at least min_words words or min_bytes bytes
+are dropped.
 
 A digest has 64 bits and is compared together with the run's length in bytes. Two different runs agree in both with a
 chance of about 1 in 10^21, so a collection of 10^11 chunks has a handful of such pairs; most of them are too short to
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from priceloom.llm.common import BLANKS, append_columns, fresh_name, packs, segment_hashes, separator_table, small, text_bytes, written
+from priceloom.llm.common import BLANKS, append_columns, fresh_name, packs, segment_hashes, separator_table, text_bytes, written
 
 #: Blanks, or characters of a chunk of more than MAX_BYTES, of which the one with the lowest hash is a cut.
 WINDOW = 8
@@ -35,8 +36,6 @@ MIN_SPAN_WORDS = 24
 MIN_SPAN_BYTES = 256
 #: Chunks whose digests are compared as one.
 RUN = 3
-#: Repeated runs are looked up by broadcast up to this count (numbers only), by a shuffled join beyond.
-BROADCAST_RUNS = 500_000
 
 _GEAR = np.random.default_rng(97).integers(0, 1 << 16, 256, dtype=np.uint16)
 _BLANK = separator_table(BLANKS)
@@ -132,7 +131,7 @@ def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_spans(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_SPAN_WORDS, min_bytes: int = MIN_SPAN_BYTES, broadcast_runs: int = BROADCAST_RUNS
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_SPAN_WORDS, min_bytes: int = MIN_SPAN_BYTES
 ) -> DataFrame:
     """One row per span to drop: doc_id, text_hash, first_doc_id (the smallest id that keeps a run of it), start, stop
     (bytes), n_words.
@@ -150,15 +149,13 @@ def repeated_spans(
         "repeated-runs",
     )
     later = (
-        pieces.join(small(firsts, broadcast_runs), ["digest", "size"])
+        pieces.join(firsts, ["digest", "size"])
         .where(first != F.col("first"))
         .select("doc_id", "text_hash", "place", "start", "stop", "first_word", "last_word", F.col("first.doc_id").alias("first_doc_id"))
     )
     in_order = Window.partitionBy("doc_id", "text_hash").orderBy("place")
-    reach = F.max("stop").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     return (
-        later.withColumn("opens", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
-        .withColumn("island", F.sum("opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+        later.withColumn("island", F.col("place") - F.row_number().over(in_order))
         .groupBy("doc_id", "text_hash", "island")
         .agg(
             F.min("first_doc_id").alias("first_doc_id"),

@@ -106,11 +106,11 @@ def test_repeated_rows_and_plain_runs(spark):
             a, b = ends[k], ends[min(k + content_chunks.RUN, len(ends) - 1)]
             if seen.setdefault(blob[a:b], (key, text, k)) == (key, text, k):
                 continue
-            if spans and a <= spans[-1][1]:
-                spans[-1][1] = b
+            if spans and spans[-1][2] == k - 1:
+                spans[-1][1:] = b, k
             else:
-                spans.append([a, b])
-        want |= {(key, text, a, b) for a, b in spans if len(blob[a:b].split()) >= 24 or b - a >= 256}
+                spans.append([a, b, k])
+        want |= {(key, text, a, b) for a, b, _ in spans if len(blob[a:b].split()) >= 24 or b - a >= 256}
     for times in (1, 2):
         got = content_chunks.repeated_spans(spark.createDataFrame(rows * times, "doc_id bigint, text string")).collect()
         assert {(r["doc_id"], by_hash[r["doc_id"], r["text_hash"]], r["start"], r["stop"]) for r in got} == want and len(got) == len(want)
