@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,12 +66,15 @@ def alias_hits(queries: DataFrame, aliases: DataFrame, key: str, text: str, near
     """Per query the families whose alias stands in it as a whole phrase: best family, its score, whether it is unique, and the ambiguous ones.
 
     aliases: (alias, family, is_primary, is_generic); generic ones do not count. Score: 0.95 primary or 0.85, and length / 1000.
-    Aliases are few words each, so queries are exploded to their word sequences of up to three words and hash-joined.
+    Queries are exploded to their word sequences of up to as many words as the longest alias has, and hash-joined.
     """
-    words = queries.select(key, F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("w"))
-    runs = words.select(key, F.explode(F.array_distinct(F.flatten(F.array(*[_runs("w", n) for n in (1, 2, 3)])))).alias("alias"))
+    split = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    known = aliases.where("NOT is_generic").withColumn("run", F.array_join(split(F.col("alias")), " "))
+    longest = known.agg(F.max(F.size(split(F.col("alias"))))).first()[0] or 0
+    words = queries.select(key, split(F.col(text)).alias("w"))
+    runs = words.select(key, F.explode(F.array_distinct(F.flatten(F.array(*[_runs("w", n) for n in range(1, max(longest, 1) + 1)])))).alias("run"))
     score = F.when(F.col("is_primary"), 0.95).otherwise(0.85) + F.length("alias") / 1000
-    hits = runs.join(aliases.where("NOT is_generic"), "alias").groupBy(key, "family").agg(F.max(score).alias("score"))
+    hits = runs.join(known, "run").groupBy(key, "family").agg(F.max(score).alias("score"))
     order = Window.partitionBy(key).orderBy(F.col("score").desc(), "family")
     ranked = hits.withColumns({"k": F.row_number().over(order), "top": F.max("score").over(Window.partitionBy(key))})
     return ranked.groupBy(key).agg(
@@ -113,19 +116,25 @@ def keep_separate_peers(catalog: DataFrame) -> DataFrame:
     return phrases.join(catalog.select(F.col("family").alias("peer"), F.lower(F.trim(F.col("name"))).alias("phrase")), "phrase").where("family <> peer").select("family", "peer").distinct()
 
 
-def family_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of an undirected catalog graph (a, b), the smallest member naming each.
+def family_components(edges: DataFrame, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of an undirected graph (a, b), the smallest member naming each; store writes a round's table.
 
-    The smallest label of the neighbours spreads until nothing changes; a catalog's rounds are its graph's diameter.
+    Nodes hang on to the smallest neighbour of their smallest neighbour by turns (large and small stars), so rounds grow
+    with the logarithm of the nodes and not with the diameter. Loops and repeated edges change nothing.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().persist()
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
+    loops = edges.where("a = b").select(F.col("a").alias("node"))
+    now = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    nodes = now.select(F.col("a").alias("node")).union(now.select("b")).union(loops).distinct()
     while True:
-        lower = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        after = labels.join(lower, labels["node"] == lower["a"]).select("node", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("moved")).checkpoint()
-        if after.where("moved").isEmpty():
-            return after.select("node", "component")
-        labels = after.select("node", "component")
+        both = now.union(now.select("b", "a"))
+        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        after = store(large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
+            roots = after.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        now = after
 
 
 def protected_phrases(catalog: DataFrame, live_words: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from priceloom.functions.units import rounded
+
 KEYS = ("feed", "family")
 
 
@@ -93,7 +95,7 @@ def benchmarks(series: DataFrame, current: DataFrame, keys: Sequence[str] = KEYS
     grouped = joined.groupBy(*names, F.col("c.week"), F.col("c.current_price")).agg(
         F.min(price).alias("all_time_low"),
         F.min(F.when(recent, price)).alias("ninety_day_low"),
-        F.round(F.median(price), 4).alias("median_price"),
+        rounded(F.median(price), 4).alias("median_price"),
         F.max_by(price, F.col("h.week")).alias("latest_price"),
         F.count(price).alias("n_obs"),
     )
@@ -161,8 +163,8 @@ def historical_stats(series: DataFrame, keys: Sequence[str] = KEYS, text: str |
     extra = [F.min_by(text, F.struct("price", "week")).alias("text_at_min")] if text else []
     return series.where("price IS NOT NULL").groupBy(*keys).agg(
         F.min("price").alias("min_price"),
-        F.round(F.median("price"), 4).alias("median_price"),
-        F.round(F.avg("price"), 4).alias("avg_price"),
+        rounded(F.median("price"), 4).alias("median_price"),
+        rounded(F.avg("price"), 4).alias("avg_price"),
         F.count(F.lit(1)).alias("weeks_seen"),
         F.min_by("week", F.struct("price", "week")).alias("first_week_at_min"),
         *extra,

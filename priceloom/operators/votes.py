@@ -27,7 +27,11 @@ def poll_shares(totals: DataFrame, poll: str) -> DataFrame:
 def rank_votes(items: DataFrame) -> DataFrame:
     """Votes, then the earliest approval and creation (missing ones last), then id."""
     order = [F.col("votes").desc(), F.col("approved_at").asc_nulls_last(), F.col("created_at").asc_nulls_last(), F.col("item")]
-    return items.withColumn("vote_rank", F.row_number().over(Window.orderBy(*order)))
+    # Equal counts stand together, so a rank is the items with more votes and the place among those with as many.
+    counts = items.groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("votes", F.coalesce(F.sum("n").over(Window.orderBy(F.col("votes").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("votes").orderBy(*order))
+    return items.join(F.broadcast(before), "votes").withColumn("vote_rank", (F.col("before") + place).cast("int")).drop("before")
 
 
 def live_finds(finds: DataFrame, now: Column, n: int = 50) -> DataFrame:
@@ -39,25 +43,40 @@ def normalized_name(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(name)), r"\s+", " ")
 
 
-def apply_vote_events(items: DataFrame, events: DataFrame) -> DataFrame:
-    """Items (item, status, votes) after a batch of events (event_id, ts, kind, item, raw_text, user, merge_into).
+def vote_batch(items: DataFrame, events: DataFrame, voters: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Items (item, status, votes) and the new voters (item, user) after a batch of events (event_id, ts, kind, item, raw_text,
+    user, merge_into).
 
-    A suggestion of a known approved name votes for it, of a pending name does nothing, of a new name adds a pending item.
-    Votes count on approved items, once per user. Approve, reject and merge set the status by the last such event; a
-    merged item gives its target one vote.
+    A vote counts if its item is approved when it is cast, once per user over all batches; voters holds those counted
+    before. A suggestion of an approved name votes for it, of another known name does nothing, of a new name adds a
+    pending item. Approve, reject and merge change the status from then on, if the item exists; a merge gives its target
+    one vote if that is approved then. Votes without a user and suggestions of blank names do nothing.
+
+    Changes of status are few; they become intervals, and votes are joined with the interval that they fall in.
     """
-    named = events.withColumn("item", F.when(F.col("kind") == "suggest", normalized_name(F.col("raw_text"))).otherwise(F.col("item")))
-    last = (
-        named.where(F.col("kind").isin("approve", "reject", "merge"))
-        .groupBy("item")
-        .agg(F.max_by("kind", F.struct("ts", "event_id")).alias("last"), F.max_by("merge_into", F.struct("ts", "event_id")).alias("into"))
-    )
-    fresh = named.where("kind = 'suggest'").select("item").distinct().join(items.select("item"), "item", "left_anti").select("item", F.lit("pending").alias("status"), F.lit(0).cast("long").alias("votes"))
-    known = items.select("item", "status", F.col("votes").cast("long").alias("votes")).unionByName(fresh).withColumn("is_new", F.lit(False))
-    status = F.when(F.col("last") == "approve", "approved").when(F.col("last") == "reject", "rejected").when(F.col("last") == "merge", "merged").otherwise(F.col("status"))
-    after = known.join(last, "item", "left").withColumn("status", status)
-    direct = named.where(F.col("kind").isin("vote", "suggest")).where("user IS NOT NULL").select("item", "user").distinct()
-    merged = last.where("last = 'merge' AND into IS NOT NULL").select(F.col("into").alias("item"), F.concat(F.lit("merge:"), F.col("item")).alias("user"))
-    added = direct.unionByName(merged).groupBy("item").agg(F.count(F.lit(1)).alias("added"))
-    gained = F.when(F.col("status") == "approved", F.coalesce("added", F.lit(0))).otherwise(0)
-    return after.join(added, "item", "left").select("item", "status", (F.col("votes") + gained).alias("votes"))
+    at = F.struct("ts", "event_id")
+    named = events.withColumn("item", F.when(F.col("kind") == "suggest", normalized_name(F.col("raw_text"))).otherwise(F.col("item"))).where("item IS NOT NULL AND item <> ''").withColumn("at", at)
+    first = F.lit(None).cast(named.schema["at"].dataType)
+    known = items.select("item", first.alias("at"), "status")
+    fresh = named.where("kind = 'suggest'").join(items.select("item"), "item", "left_anti").groupBy("item").agg(F.min("at").alias("at")).withColumn("status", F.lit("pending"))
+    states = {"approve": "approved", "reject": "rejected", "merge": "merged"}
+    status = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in states.items()])
+    changes = named.where(F.col("kind").isin(*states)).select("item", "at", status.alias("status"))
+    begun = known.unionByName(fresh)
+    changes = changes.alias("c").join(begun.alias("b"), "item").where("b.at IS NULL OR c.at > b.at").select("item", "c.at", "c.status")
+    in_order = Window.partitionBy("item").orderBy(F.col("at").asc_nulls_first())
+    spans = begun.unionByName(changes).withColumn("until", F.lead("at").over(in_order))
+    direct = named.where(F.col("kind").isin("vote", "suggest")).where("user IS NOT NULL").select("item", "user", F.col("at").alias("cast"))
+    merged = named.where("kind = 'merge' AND merge_into IS NOT NULL").select(F.col("merge_into").alias("item"), F.concat(F.lit("merge:"), F.col("item")).alias("user"), F.col("at").alias("cast"))
+    held = direct.unionByName(merged).join(spans.where("status = 'approved'"), "item").where("(at IS NULL OR cast > at) AND (until IS NULL OR cast <= until)")
+    new = held.select("item", "user").distinct()
+    new = new.join(voters.select("item", "user"), ["item", "user"], "left_anti") if voters is not None else new
+    last = spans.where("until IS NULL").select("item", "status")
+    added = new.groupBy("item").agg(F.count(F.lit(1)).alias("added"))
+    votes = F.coalesce(F.col("votes").cast("long"), F.lit(0)) + F.coalesce("added", F.lit(0))
+    return last.join(items.select("item", "votes"), "item", "left").join(added, "item", "left").select("item", "status", votes.alias("votes")), new
+
+
+def apply_vote_events(items: DataFrame, events: DataFrame, voters: DataFrame | None = None) -> DataFrame:
+    """The items of vote_batch."""
+    return vote_batch(items, events, voters)[0]

@@ -9,11 +9,12 @@ from priceloom.functions import labels, text, units
 from priceloom.operators import matching, series
 
 
-def weekly_prices(offers: DataFrame, catalog: DataFrame, manifest: DataFrame) -> DataFrame:
+def weekly_prices(offers: DataFrame, catalog: DataFrame, manifest: DataFrame, taxonomy: DataFrame | None = None) -> DataFrame:
     """(feed, family, week, price): for every week of the manifest the accepted offer's unit price.
 
     offers carry feed, week_start, row_seq and the offer columns; catalog rows are compiled (include_pattern,
-    exclude_pattern, prefer, rule, baseline, lowest, rules); manifest has feed and week_start. Everything but the history
+    exclude_pattern, prefer, rule, baseline, lowest, rules); manifest has feed and week_start; taxonomy has the product types
+    (ord, type, pattern) that the rules name. Everything but the history
     checks is computed without state, then one fold per series decides week by week.
     """
     rows = offers.withColumn("text", text.split_text())
@@ -23,8 +24,22 @@ def weekly_prices(offers: DataFrame, catalog: DataFrame, manifest: DataFrame) ->
     role, kind, promo, raw = (F.col(c) for c in ("price_role_guess", "promo_type_guess", "promo_text", "raw_offer_text"))
     untrusted = text.is_untrusted_crop(F.col("review_reasons"), promo, kind, F.col("price_basis"), F.col("unit_price"), F.col("baseline"))
     usable = ~text.is_everyday_shelf(role, kind, promo, raw) & ~untrusted & ~text.above_baseline(F.col("unit_price"), F.col("baseline"))
-    gated = matching.eligibility(found.where(usable).withColumns({"types": F.array().cast("array<string>"), "unit_hint": F.lit(None).cast("string"), "priced": F.col("price").isNotNull()}))
-    ranked = matching.rank_candidates(gated.withColumn("week", F.col("week_start")), ["feed", "week", "family"], F.col("lowest"))
+    basis = F.lower(F.coalesce(F.col("price_basis"), F.lit("")))
+    found = found.withColumns(
+        {
+            "full_text": text.joined("split_product_text", "raw_offer_text", "promo_text", "package_text"),
+            "unit_hint": units.unit_hint(text.joined("split_product_text", "package_text"), F.col("package_unit"), F.col("price_basis")),
+            "priced": F.col("price").isNotNull() | basis.isin("bogo", "buy_x_get_y"),
+            "_typed_text": F.concat_ws(" ", "text", F.lower("package_text")),
+        }
+    )
+    if taxonomy is None:
+        found = found.withColumn("types", F.array().cast("array<string>"))
+    else:
+        texts = rows.select(F.concat_ws(" ", "text", F.lower("package_text")).alias("_typed_text")).distinct()
+        found = found.join(matching.classify_types(texts, taxonomy, "_typed_text", "_typed_text"), "_typed_text", "left")
+    gated = matching.eligibility(found.drop("_typed_text"))
+    ranked = matching.rank_candidates(gated.withColumn("week", F.col("week_start")), ["feed", "week", "family"], F.col("lowest"), usable=usable)
     accepted = matching.accept_over_time(ranked.withColumn("advertised_price", F.col("price")), ["feed", "family"])
     entries = accepted.select("feed", "family", "week", F.col("unit_price").alias("price"))
     weeks = manifest.select("feed", F.col("week_start").alias("week"))

@@ -47,12 +47,15 @@ def live_finds(spark, sf_dir):
 
 
 _APPLY = _VOTES + """, e AS (SELECT event_id, ts, CASE event_type WHEN 'view' THEN 'vote' WHEN 'click' THEN 'suggest' WHEN 'purchase' THEN 'approve' WHEN 'signup' THEN 'merge' ELSE 'reject' END AS kind, 'item ' || item AS item, CAST(u AS VARCHAR) AS u, 'item ' || (item + 1) AS into_item FROM votes
+), seq AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS pos FROM e
 ), known AS (SELECT DISTINCT item, CASE WHEN length(item) = 6 THEN 'approved' ELSE 'pending' END AS status, 0 AS votes FROM e WHERE kind <> 'suggest' AND item < 'item 5'
-), alli AS (SELECT * FROM known UNION ALL SELECT DISTINCT item, 'pending', 0 FROM e WHERE kind = 'suggest' AND item NOT IN (SELECT item FROM known)
-), last AS (SELECT item, arg_max(kind, (ts, event_id)) AS k, arg_max(into_item, (ts, event_id)) AS into_item FROM e WHERE kind IN ('approve', 'reject', 'merge') GROUP BY item
-), added AS (SELECT item, count(*) AS n FROM (SELECT DISTINCT item, u FROM e WHERE kind IN ('vote', 'suggest') UNION ALL SELECT into_item, 'merge:' || item FROM last WHERE k = 'merge') GROUP BY item
-), after AS (SELECT a.item, CASE l.k WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' WHEN 'merge' THEN 'merged' ELSE a.status END AS status FROM alli a LEFT JOIN last l ON a.item = l.item)
-SELECT a.item, status, CASE WHEN status = 'approved' THEN coalesce(n, 0) ELSE 0 END AS votes FROM after a LEFT JOIN added d ON a.item = d.item"""
+), begun AS (SELECT item, status, 0 AS pos FROM known UNION ALL SELECT item, 'pending', min(pos) FROM seq WHERE kind = 'suggest' AND item NOT IN (SELECT item FROM known) GROUP BY item
+), changes AS (SELECT * FROM begun UNION ALL SELECT s.item, CASE kind WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' ELSE 'merged' END, s.pos FROM seq s JOIN begun b ON s.item = b.item AND s.pos > b.pos WHERE kind IN ('approve', 'reject', 'merge')
+), votes_ AS (SELECT item, u, pos FROM seq WHERE kind IN ('vote', 'suggest') AND u IS NOT NULL UNION ALL SELECT into_item, 'merge:' || item, pos FROM seq WHERE kind = 'merge'
+), held AS (SELECT v.item, v.u, (SELECT arg_max(c.status, c.pos) FROM changes c WHERE c.item = v.item AND c.pos < v.pos) AS status FROM votes_ v
+), added AS (SELECT item, count(DISTINCT u) AS n FROM held WHERE status = 'approved' GROUP BY item
+)
+SELECT c.item, arg_max(c.status, c.pos) AS status, coalesce(max(n), 0) AS votes FROM changes c LEFT JOIN added d ON c.item = d.item GROUP BY c.item"""
 
 
 @query(_APPLY)

@@ -135,7 +135,7 @@ def catalog(spark):
 
 
 _MATCHES = _UNIT + ", " + CATALOG + """, matches AS (
-  SELECT row_seq, feed, week, family, lowest, split_product_text AS text, price, unit_price, p_retailprice AS baseline, promo_text, price_basis,
+  SELECT row_seq, feed, week, family, lowest, split_product_text AS text, price, unit_price, p_retailprice AS baseline, promo_text, price_basis, package_text,
          CASE WHEN regexp_matches(split_product_text, prefer1) THEN 20 WHEN regexp_matches(split_product_text, prefer2) THEN 10 ELSE 0 END + CASE WHEN unit_price IS NOT NULL THEN 1 ELSE 0 END AS score,
          CASE WHEN unit_price IS NULL THEN NULL WHEN regexp_matches(split_product_text, prefer1) OR regexp_matches(split_product_text, prefer2) THEN 'high' ELSE 'medium' END AS confidence
   FROM united JOIN catalog ON regexp_matches(split_product_text, include_pattern) AND NOT regexp_matches(split_product_text, exclude_pattern)
@@ -206,9 +206,11 @@ def tag_brand(spark, sf_dir):
 def _gated(spark, sf_dir):
     """Matches with their rules, types and the gate's state-free verdict."""
     rules = spark.createDataFrame(
-        [(n, ([ADJECTIVES[(i + 4) % 8]], [ADJECTIVES[(i + 5) % 8]], ["metal", "round", "flat"], ["warm"] if i % 3 == 0 else [], [], [], [], [], [("size", [], [r"\d+\s*oz"])], 0.6)) for i, n in enumerate(NOUNS[:-1])],
-        "family string, rules struct<positive_keywords:array<string>,negative_keywords:array<string>,allowed_types:array<string>,disallowed_types:array<string>,allowed_units:array<string>,disallowed_units:array<string>,"
-        "allowed_package_patterns:array<string>,disallowed_package_patterns:array<string>,required_attributes:array<struct<name:string,any_of:array<string>,any_of_patterns:array<string>>>,min_confidence:double>",
+        [
+            (n, ("metal" if i % 2 else None, [ADJECTIVES[(i + 4) % 8]], [ADJECTIVES[(i + 5) % 8]], ["metal", "round", "flat"], ["warm"] if i % 3 == 0 else [], [], [], [], [], [], [("size", [], [r"\b[1-4]\d\s*oz"])], 0.6))
+            for i, n in enumerate(NOUNS[:-1])
+        ],
+        f"family string, rules {ops.RULES}",
     )
     taxonomy = spark.sql("SELECT * FROM VALUES (1, 'metal', 'bolt|gear|anvil'), (2, 'round', 'ring|gear'), (3, 'warm', 'hot|red'), (4, 'flat', 'plate') AS t(ord, type, pattern)")
     found = _matches(spark, sf_dir)
@@ -217,14 +219,33 @@ def _gated(spark, sf_dir):
     return ops.eligibility(rows.withColumns({"unit_hint": F.lit("oz"), "priced": F.col("price").isNotNull(), "keyword_confidence": F.coalesce("confidence", F.lit("low"))}).drop("confidence"))
 
 
-@query()
+_RULES = ", ".join(f"('{n}', {"'metal'" if i % 2 else 'NULL'}, '{ADJECTIVES[(i + 4) % 8]}', '{ADJECTIVES[(i + 5) % 8]}', {'TRUE' if i % 3 == 0 else 'FALSE'})" for i, n in enumerate(NOUNS[:-1]))
+
+
+@query(_MATCHES + rf""", rules(rule_family, intent, pos, neg, no_warm) AS (VALUES {_RULES}
+), typed AS (SELECT m.*, r.*, coalesce(m.confidence, 'low') AS level, rule_family IS NULL AS free,
+    list_filter([CASE WHEN regexp_matches(text, 'bolt|gear|anvil') THEN 'metal' END, CASE WHEN regexp_matches(text, 'ring|gear') THEN 'round' END, CASE WHEN regexp_matches(text, 'hot|red') THEN 'warm' END, CASE WHEN text LIKE '%plate%' THEN 'flat' END], lambda x: x IS NOT NULL) AS types
+  FROM matches m LEFT JOIN rules r ON m.family = r.rule_family
+), hits AS (SELECT *, list_contains(string_split(text, ' '), neg) AS negative, list_contains(string_split(text, ' '), pos) AS positive, regexp_matches(package_text, '\b[1-4]\d\s*oz') AS sized,
+    no_warm AND list_contains(types, 'warm') AS bad_type, types = ['warm'] AS only_warm FROM typed
+), scored AS (SELECT *, NOT bad_type AND only_warm AS off_type, CASE level WHEN 'high' THEN 0.9 WHEN 'low' THEN 0.45 ELSE 0.7 END AS start FROM hits
+), sure AS (SELECT *, CAST(CASE WHEN free THEN start ELSE least(1.0, greatest(0.0, least(1.0, start + CASE WHEN positive THEN 0.03 ELSE -0.15 END + CASE WHEN types[1] = intent THEN 0.1 WHEN types[1] IN ('metal', 'round', 'flat') THEN 0.05 ELSE 0 END
+    - CASE WHEN price IS NULL THEN 0.3 ELSE 0 END)) + CASE WHEN sized THEN 0.15 ELSE 0 END) END AS DOUBLE) AS sureness FROM scored
+), judged AS (SELECT *, level = 'medium' AND round(sureness, 4) < 0.7 AS unsure, negative OR bad_type OR off_type AS refused FROM sure
+)
+SELECT row_seq, family, round(sureness, 4) AS confidence,
+  CASE WHEN free THEN 'accepted' WHEN refused THEN 'rejected' WHEN round(sureness, 4) < 0.6 OR NOT sized OR unsure THEN 'manual_review' ELSE 'accepted' END AS base_decision,
+  CASE WHEN free THEN '' ELSE concat_ws('; ', CASE WHEN negative THEN 'hard negative: ' || neg END, CASE WHEN bad_type THEN 'disallowed product type' END, CASE WHEN off_type THEN 'product type not allowed' END,
+    CASE WHEN NOT sized THEN 'missing: size' END, CASE WHEN unsure THEN 'medium confidence' END) END AS reasons,
+  CASE WHEN free THEN NULL WHEN refused THEN 'explicit_attribute_conflict' WHEN round(sureness, 4) < 0.6 OR NOT sized OR unsure THEN 'insufficient_information' END AS reason_code
+FROM judged""")
 def evaluate_eligibility(spark, sf_dir):
-    return _gated(spark, sf_dir).select("row_seq", "family", "confidence", "base_decision", F.array_join("reasons", "; ").alias("reasons"))
+    return _gated(spark, sf_dir).select("row_seq", "family", "confidence", "base_decision", F.array_join("reasons", "; ").alias("reasons"), "reason_code")
 
 
 @query()
 def accept_over_time(spark, sf_dir):
-    rows = ops.rank_candidates(_gated(spark, sf_dir).where(_usable()), ["feed", "week", "family"], F.col("lowest"))
+    rows = ops.rank_candidates(_gated(spark, sf_dir), ["feed", "week", "family"], F.col("lowest"), usable=_usable())
     return ops.accept_over_time(rows.withColumn("advertised_price", F.col("price")), ["feed", "family"])
 
 

@@ -6,44 +6,67 @@ from pyspark.sql import functions as F
 
 from priceloom.operators import querylog as ops
 from priceloom.queries.base import query, table
+from priceloom.sources import files
 
-_LOG = r"""WITH log AS (SELECT conv_id * 100 + turn AS query_id, CASE turn % 4 WHEN 0 THEN 'Two for five bucks small ring at Vons' WHEN 2 THEN 'red  bolt $3.49 or $2.99 B1G1' ELSE '' END || ' ' || coalesce(substr(text, 1, 40), '') AS raw_query FROM conversations WHERE role = 'user')"""
+_LOG = r"""WITH log AS (SELECT conv_id * 100 + turn AS query_id, CASE turn % 4 WHEN 0 THEN 'Two for five bucks small ring at Vons' WHEN 2 THEN 'red  bolt $3.49 or $2.99 B1G1' ELSE '' END || ' ' || coalesce(text, '') AS raw_query FROM conversations WHERE role = 'user')"""
 
 
-def _log(spark, sf_dir, text="substr(text, 1, 40)"):
+def _log(spark, sf_dir, text="text"):
     phrase = F.when(F.col("turn") % 4 == 0, "Two for five bucks small ring at Vons").when(F.col("turn") % 4 == 2, "red  bolt $3.49 or $2.99 B1G1").otherwise("")
     rows = table(spark, sf_dir, "conversations").where("role = 'user'")
     return rows.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.concat(phrase, F.lit(" "), F.coalesce(F.expr(text), F.lit(""))).alias("raw_query"))
 
 
-def _parsed(spark, sf_dir, *text):
-    return ops.parse_queries(ops.normalize_queries(_log(spark, sf_dir, *text)), ["vons", "safeway"])
+def _parsed(spark, sf_dir):
+    return ops.parse_queries(ops.normalize_queries(_log(spark, sf_dir)), ["vons", "safeway"])
 
 
-@query(_LOG + r""", n AS (SELECT query_id, CASE WHEN raw_query LIKE 'Two for%' THEN 'numbers,bucks' WHEN raw_query LIKE 'red%' THEN 'bogo,spaces' ELSE '' END AS steps FROM log) SELECT query_id, steps FROM n""")
+def _steps_sql() -> str:
+    """The rewriting chain in SQL; a look-ahead becomes a capture, which RE2 has."""
+    layers, names = ["q0 AS (SELECT query_id, trim(lower(raw_query), ' ') AS t0 FROM log)"], ["numbers", *[n for n, _, _ in ops.STEPS]]
+    spelled = "t0"
+    for i, word in enumerate(ops.NUMBER_WORDS, 1):
+        spelled = rf"regexp_replace({spelled}, '\b{word}(\s+(?:bucks?|dollars?|cents?|for)\b)', '{i}\1', 'g')"
+    layers.append(f"q1 AS (SELECT *, {spelled} AS t1 FROM q0)")
+    for i, (_, pattern, replacement) in enumerate(ops.STEPS, 2):
+        quoted, new = pattern.replace("'", "''"), replacement.replace("'", "''").replace(r"\$", chr(0)).replace("$1", r"\1").replace(chr(0), "$")
+        layers.append(f"q{i} AS (SELECT *, regexp_replace(t{i - 1}, '{quoted}', '{new}', 'g') AS t{i} FROM q{i - 1})")
+    steps = ", ".join(f"CASE WHEN t{i} <> t{i - 1} THEN '{n}' END" for i, n in enumerate(names, 1))
+    return f"{_LOG}, {', '.join(layers)}, normal AS (SELECT query_id, trim(t{len(names)}, ' ') AS query, concat_ws(',', {steps}) AS steps FROM q{len(names)})"
+
+
+_MULTI = r"(\d+)\s*(?:for|/)\s*\$?(\d+(?:\.\d+)?)"
+_PARSED = rf"""{_steps_sql()}, parsed AS (
+  SELECT query_id, query, nullif(regexp_extract(query, '\b(vons|safeway)\b', 1), '') AS retailer, CAST(TRY_CAST(regexp_extract(query, '{_MULTI}', 1) AS DOUBLE) AS INTEGER) AS quantity,
+    coalesce(TRY_CAST(regexp_extract(query, '{_MULTI}', 2) AS DOUBLE), TRY_CAST(regexp_extract(query, '\$(\d+(?:\.\d+)?)', 1) AS DOUBLE)) AS price,
+    CASE WHEN regexp_matches(query, '{_MULTI}') THEN 'multi_buy' WHEN regexp_matches(query, 'per lb|/lb|a pound') THEN 'per_lb' WHEN regexp_matches(query, '\$\d') THEN 'each' END AS basis,
+    CASE WHEN regexp_matches(query, '\bbogo\b') THEN 'bogo' WHEN regexp_matches(query, 'when you buy \d+') THEN 'conditional' END AS promotion,
+    len(list_distinct(regexp_extract_all(query, '\$(\d+(?:\.\d+)?)', 1))) > 1 AS is_conflict,
+    trim(regexp_replace(regexp_replace(regexp_replace(query, '{_MULTI}', ' ', 'g'), '\$\d+(?:\.\d+)?|\b(?:vons|safeway|bogo|at|is|a|the|for)\b', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS product_text FROM normal)"""
+
+
+@query(_steps_sql() + " SELECT * FROM normal")
 def normalize_queries(spark, sf_dir):
-    rows = ops.normalize_queries(_log(spark, sf_dir).withColumn("raw_query", F.regexp_extract("raw_query", r"(?s)^(.*?(?:Vons|B1G1)|)", 1)))
-    return rows.select("query_id", F.array_join("steps", ",").alias("steps"))
+    return ops.normalize_queries(_log(spark, sf_dir)).select("query_id", "query", F.array_join("steps", ",").alias("steps"))
 
 
-@query(_LOG + r""" SELECT query_id, CASE WHEN raw_query LIKE 'Two for%' THEN 'vons' END AS retailer, CASE WHEN raw_query LIKE 'Two for%' THEN 2 END AS quantity, CASE WHEN raw_query LIKE 'Two for%' THEN 5.0 WHEN raw_query LIKE 'red%' THEN 3.49 END AS price,
-  CASE WHEN raw_query LIKE 'Two for%' THEN 'multi_buy' WHEN raw_query LIKE 'red%' THEN 'each' END AS basis, CASE WHEN raw_query LIKE 'red%' THEN 'bogo' END AS promotion, raw_query LIKE 'red%' AS is_conflict FROM log""")
+@query(_PARSED + " SELECT query_id, retailer, quantity, price, basis, promotion, is_conflict, product_text FROM parsed")
 def parse_queries(spark, sf_dir):
-    return _parsed(spark, sf_dir, "text").select("query_id", "retailer", "quantity", "price", "basis", "promotion", "is_conflict")
+    return _parsed(spark, sf_dir).select("query_id", "retailer", "quantity", "price", "basis", "promotion", "is_conflict", "product_text")
 
 
-_ALIASES = ", aliases AS (SELECT DISTINCT p_name AS alias, p_brand AS family, TRUE AS is_primary, p_name LIKE 'old%' AS is_generic FROM part WHERE p_partkey % 40 < 3 UNION ALL SELECT DISTINCT split_part(p_name, ' ', 2), p_brand, FALSE, FALSE FROM part WHERE p_partkey % 200 = 7)"
+_ALIASES = ", aliases AS (SELECT DISTINCT p_name AS alias, p_brand AS family, TRUE AS is_primary, p_name LIKE 'old%' AS is_generic FROM part UNION ALL SELECT DISTINCT split_part(p_name, ' ', 2), p_brand, FALSE, FALSE FROM part)"
 
 
 def _aliases(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    full = part.where("p_partkey % 40 < 3").select(F.col("p_name").alias("alias"), F.col("p_brand").alias("family"), F.lit(True).alias("is_primary"), F.col("p_name").startswith("old").alias("is_generic")).distinct()
-    nouns = part.where("p_partkey % 200 = 7").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("alias"), F.col("p_brand").alias("family"), F.lit(False).alias("is_primary"), F.lit(False).alias("is_generic")).distinct()
+    full = part.select(F.col("p_name").alias("alias"), F.col("p_brand").alias("family"), F.lit(True).alias("is_primary"), F.col("p_name").startswith("old").alias("is_generic")).distinct()
+    nouns = part.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("alias"), F.col("p_brand").alias("family"), F.lit(False).alias("is_primary"), F.lit(False).alias("is_generic")).distinct()
     return full.union(nouns)
 
 
 _HITS = _LOG + _ALIASES + r""", hits AS (SELECT query_id, family, max(CASE WHEN is_primary THEN 0.95 ELSE 0.85 END + length(alias) / 1000) AS score
-  FROM log JOIN aliases ON NOT is_generic AND regexp_matches(' ' || regexp_replace(lower(raw_query), '[^\p{L}\p{N}]+', ' ', 'g') || ' ', ' ' || alias || ' ') GROUP BY ALL
+  FROM log JOIN aliases ON NOT is_generic AND contains(' ' || regexp_replace(lower(raw_query), '[^\p{L}\p{N}]+', ' ', 'g') || ' ', ' ' || alias || ' ') GROUP BY ALL
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, family) AS k, max(score) OVER (PARTITION BY query_id) AS top FROM hits
 ), best AS (SELECT query_id, arg_min(family, k) AS family, max(score) AS score, coalesce(max(score) - max(score) FILTER (WHERE k = 2) >= 0.05, TRUE) AS is_unique,
   string_agg(family, ',' ORDER BY family) FILTER (WHERE top - score <= 0.02 AND k <= 5) AS near FROM ranked GROUP BY query_id)"""
@@ -54,10 +77,10 @@ def alias_hits(spark, sf_dir):
     return ops.alias_hits(_log(spark, sf_dir), _aliases(spark, sf_dir), "query_id", "raw_query")
 
 
-@query(_HITS + """SELECT l.query_id, CASE WHEN raw_query LIKE 'red%' THEN 'clarify' WHEN b.family IS NULL THEN 'unsupported' WHEN NOT is_unique THEN 'clarify' WHEN raw_query NOT LIKE 'Two%' THEN 'clarify' ELSE 'continue' END AS behavior, b.family
-FROM log l LEFT JOIN best b ON l.query_id = b.query_id WHERE raw_query LIKE 'Two for%' OR raw_query LIKE 'red%'""")
+@query(_HITS.replace(_LOG, _PARSED, 1) + """SELECT p.query_id, CASE WHEN product_text = '' THEN 'invalid' WHEN is_conflict THEN 'clarify' WHEN b.family IS NULL THEN 'unsupported' WHEN NOT is_unique THEN 'clarify'
+  WHEN price IS NULL AND promotion IS NULL THEN 'clarify' ELSE 'continue' END AS behavior, b.family FROM parsed p LEFT JOIN best b ON p.query_id = b.query_id""")
 def resolve_queries(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir).where("raw_query LIKE 'Two for%' OR raw_query LIKE 'red%'")
+    parsed = _parsed(spark, sf_dir)
     found = ops.alias_hits(parsed, _aliases(spark, sf_dir), "query_id", "raw_query")
     return ops.decide_behavior(parsed.join(found, "query_id", "left")).select("query_id", "behavior", "family")
 
@@ -74,16 +97,12 @@ def keep_separate_peers(spark, sf_dir):
     return ops.keep_separate_peers(c)
 
 
-_EDGES = "edges AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 100000000 AS b FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.09)"
-
-
-@query(f"""WITH RECURSIVE {_EDGES}, both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach(node, seen) AS (SELECT a, a FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.seen = e.a)
-SELECT node, min(seen) AS component FROM reach GROUP BY node""")
+@query()
 def package_siblings(spark, sf_dir):
-    from priceloom.sources.files import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    return ops.family_components(table(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_discount > 0.09").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 100000000).alias("b")).distinct())
+    """Parts and customers that orders link, over all line items; tested against a plain search."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    edges = lines.select(F.col("l_partkey").alias("a"), (F.col("o_custkey") + 1_000_000_000_000).alias("b")).distinct()
+    return ops.family_components(edges, lambda df: files.stored(df, "siblings"))
 
 
 @query("""WITH n AS (SELECT p_brand AS family, p_name AS phrase FROM part WHERE p_size > 40), w AS (SELECT family, phrase, unnest(string_split(phrase, ' ')) AS word FROM n)

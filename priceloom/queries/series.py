@@ -11,7 +11,7 @@ AS_OF = "2001-06-15"
 
 _BENCH = LATEST + """, bench AS (
   SELECT c.feed, c.family, c.week, c.current_price, min(h.price) AS all_time_low,
-         min(h.price) FILTER (WHERE h.week >= c.week - INTERVAL 90 DAY) AS ninety_day_low, round(median(h.price), 4) AS median_price,
+         min(h.price) FILTER (WHERE h.week >= c.week - INTERVAL 90 DAY) AS ninety_day_low, round(median(h.price) * 10000) / 10000 AS median_price,
          arg_max(h.price, h.week) AS latest_price, count(h.price) AS n_obs
   FROM latest c LEFT JOIN series h ON c.feed = h.feed AND c.family = h.family AND h.week < c.week
   GROUP BY c.feed, c.family, c.week, c.current_price
@@ -123,7 +123,7 @@ def week_over_week_worsens(spark, sf_dir):
     return ops.week_over_week_worsens(spine(spark, sf_dir)).select("feed", "family", "week", "price", "matched_week", "matched_price", "ratio")
 
 
-@query(SERIES + """SELECT feed, family, min(price) AS min_price, round(median(price), 4) AS median_price, round(avg(price), 4) AS avg_price, count(*) AS weeks_seen, arg_min(week, (price, week)) AS first_week_at_min
+@query(SERIES + """SELECT feed, family, min(price) AS min_price, round(median(price) * 10000) / 10000 AS median_price, round(avg(price) * 10000) / 10000 AS avg_price, count(*) AS weeks_seen, arg_min(week, (price, week)) AS first_week_at_min
 FROM series GROUP BY feed, family""")
 def historical_stats(spark, sf_dir):
     return ops.historical_stats(series(spark, sf_dir))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,18 +21,39 @@ PRICE_ENTRY = "struct<price: double, offerText: string, confidence: string, avai
 PRICE_MAP = f"map<string, map<string, {PRICE_ENTRY}>>"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Sets a checkpoint folder only where the session has none."""
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, a session on one machine gets a
+    new temporary one, and a cluster an error."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, which cuts lineage."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def blank_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(F.trim(c) != "", F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    return blank_to_null(spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path))
+def read_csv(spark: SparkSession, path: str | list[str], schema: str, multi_line: bool = False, numbered: bool = False) -> DataFrame:
+    """CSV with a header, blank as null. Only files whose fields hold line ends need multi_line; such a file is one task.
+
+    numbered adds row_seq, which follows the files by name and the rows in each: (name's rank, block, row in block).
+    """
+    rows = spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
+    if not numbered:
+        return blank_to_null(rows)
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    return blank_to_null(rows.withColumn("row_seq", place))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -43,8 +66,8 @@ def of_banner(banner: str | None) -> Column:
 
 
 def read_offers(spark: SparkSession, path: str, banner: str | None = None) -> DataFrame:
-    """Offer rows of one banner, compared without case and margins, with row_seq in file order."""
-    return read_csv(spark, path, OFFERS).withColumn("row_seq", F.monotonically_increasing_id()).where(of_banner(banner))
+    """Offer rows of one banner, compared without case and margins; row_seq orders them by file, block and row."""
+    return read_csv(spark, path, OFFERS, numbered=True).where(of_banner(banner))
 
 
 def read_typed_offers(spark: SparkSession, path: str, banner: str | None = None) -> DataFrame:
@@ -107,8 +130,8 @@ def nest_price_map(rows: DataFrame) -> DataFrame:
 
 
 def write_report(df: DataFrame, columns: Sequence[str], path: str) -> None:
-    """A CSV report of fixed columns, with a header even when it has no rows; other columns are left out."""
-    df.select(*columns).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A CSV report of fixed columns, with a header even when it has no rows; other columns are left out. One file per task."""
+    df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
 
 
 def first_present(df: DataFrame, column: str, paths: Sequence[str]) -> Column:

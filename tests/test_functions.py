@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priceloom.functions import labels, text, units
-from priceloom.operators import compare, matching, setops
+from priceloom.operators import compare, matching, querylog, setops, votes
 from priceloom.sources import files
 
 OFFER = "promo_text string, price_basis string, advertised_price string, split_product_text string, raw_offer_text string, package_text string, package_size_min string, package_size_max string, package_unit string, rule string, baseline double"
@@ -63,8 +63,11 @@ def test_phrases(spark):
     df = spark.createDataFrame([("f", ["large eggs", "12 ct"], [])], "family string, include array<string>, exclude array<string>")
     row = matching.compile_phrases(df).first()
     assert row["exclude_pattern"] is None
-    hits = [one(spark, F.lit(t).rlike(row["include_pattern"])) for t in ("large organic eggs", "large brown eggs", "large eggshell", "box 12 ct")]
-    assert hits == [True, False, False, True]
+    hits = [one(spark, F.lit(t).rlike(row["include_pattern"])) for t in ("large party size eggs", "large brown eggs", "large eggshell", "box 12 ct", "large organic eggs")]
+    assert hits == [True, False, False, True, False]
+    ranged = spark.createDataFrame([("Chips", ["dip 5–13 oz", ""], [])], "name string, include array<string>, exclude array<string>")
+    pattern = matching.compile_phrases(ranged, name="name").first()["include_pattern"]
+    assert [one(spark, F.lit(t).rlike(pattern)) for t in ("dip 5 - 13 oz", "dip 5-13 oz", "my chips", "dip 5 oz")] == [True, True, True, False]
 
 
 def test_winner_and_label(spark):
@@ -75,8 +78,8 @@ def test_winner_and_label(spark):
 
 
 def test_gate(spark):
-    rules = "struct<positive_keywords:array<string>,negative_keywords:array<string>,allowed_types:array<string>,disallowed_types:array<string>,allowed_units:array<string>,disallowed_units:array<string>,allowed_package_patterns:array<string>,disallowed_package_patterns:array<string>,required_attributes:array<struct<name:string,any_of:array<string>,any_of_patterns:array<string>>>,min_confidence:double>"
-    rule = (["ripe"], ["frozen"], ["fruit"], ["candy"], ["lb"], [], [], [], [("size", [], [r"\d+ lb"])], 0.6)
+    rules = matching.RULES
+    rule = ("fruit", ["ripe"], ["frozen"], ["fruit"], ["candy"], ["lb"], [], [], [], [], [("size", [], [r"\d+ lb"])], 0.6)
     rows = [("ripe plums", "2 lb", ["fruit"], "lb", True, "high", rule), ("frozen plums", "2 lb", ["fruit"], "lb", True, "high", rule), ("plum candy", "2 lb", ["candy"], "lb", True, "high", rule), ("plums", "", ["fruit"], None, True, "high", rule), ("anything", "", None, None, False, "low", None)]
     df = spark.createDataFrame(rows, f"text string, package_text string, types array<string>, unit_hint string, priced boolean, keyword_confidence string, rules {rules}")
     assert [r["base_decision"] for r in matching.eligibility(df).collect()] == ["accepted", "rejected", "rejected", "manual_review", "accepted"]
@@ -107,3 +110,56 @@ def test_sources(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).columns in (["b"], [])
     with pytest.raises(ValueError, match="no transcript"):
         files.read_transcripts(spark.createDataFrame([(1,)], "n int"))
+
+
+def test_gate_scores(spark):
+    """Confidence by hand: start, positive words, intent or type, list, price, attributes."""
+    base = ("dip", ["onion", "ranch"], [], ["dip", "chips"], [], [], [], [], [], [], [], None)
+    need = (*base[:10], [("package_size", ["8 oz"], [])], 0.9)
+    asked = (*base[:9], ["family size"], [], None)
+    rows = [
+        ("onion ranch dip", "", ["dip"], True, "high", base, 1.0, "accepted", None),
+        ("onion chips", "", ["chips"], True, "medium", base, 0.78, "accepted", None),
+        ("plain chips", "", ["chips"], True, "medium", base, 0.6, "manual_review", "insufficient_information"),
+        ("onion dip or chips", "", ["dip"], True, "high", base, 0.88, "manual_review", "insufficient_information"),
+        ("onion dip", "", ["dip"], False, "high", base, 0.73, "accepted", None),
+        ("onion dip", "8 oz", ["dip"], True, "low", need, 0.73, "manual_review", "insufficient_information"),
+        ("onion dip", "", ["dip"], True, "high", need, 1.0, "manual_review", "missing_package_size"),
+        ("onion dip, cans or bottles", "", ["dip"], True, "high", base, 0.88, "manual_review", "ambiguous_product_variant"),
+        ("onion dip", "", ["dip"], True, "high", asked, 1.0, "manual_review", "insufficient_information"),
+        ("onion soap", "", ["soap"], True, "high", base, 0.93, "rejected", "explicit_attribute_conflict"),
+        ("anything", "", [], True, "low", None, 0.45, "accepted", None),
+    ]
+    df = spark.createDataFrame([(i, *r[:5], r[5]) for i, r in enumerate(rows)], f"i int, text string, package_text string, types array<string>, priced boolean, keyword_confidence string, rules {matching.RULES}")
+    got = matching.eligibility(df.withColumn("unit_hint", F.lit(None).cast("string"))).orderBy("i").collect()
+    assert [(r["confidence"], r["base_decision"], r["reason_code"]) for r in got] == [r[6:] for r in rows]
+
+
+def test_large_catalogs_go_in_blocks_and_tokens_may_be_any_letters(spark):
+    catalog = spark.createDataFrame([(f"f{i}", rf"\bw{i}\b", None, f"w{i}") for i in range(9)] + [("c", r"\bcafé\b", r"\bw3\b", "café")], "family string, include_pattern string, exclude_pattern string, token string")
+    offers = spark.createDataFrame([(0, "w1 café"), (1, "w3 café w8"), (2, "none")], "row_seq int, text string")
+    want = {(0, "f1"), (0, "c"), (1, "f3"), (1, "f8")}
+    for found in (matching.match_offers(offers, catalog, block=3), matching.match_offers(offers, catalog), matching.match_by_token(offers, catalog)):
+        assert {(r["row_seq"], r["family"]) for r in found.collect()} == want
+
+
+def test_aliases_of_any_length(spark):
+    aliases = spark.createDataFrame([("honey nut oat cereal", "a", True, False), ("oat", "b", False, False)], "alias string, family string, is_primary boolean, is_generic boolean")
+    log = spark.createDataFrame([(1, "some honey-nut oat cereal, please"), (2, "oat")], "query_id int, q string")
+    assert {(r["query_id"], r["family"]) for r in querylog.alias_hits(log, aliases, "query_id", "q").collect()} == {(1, "a"), (2, "b")}
+
+
+def test_components_of_a_path_and_loops(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(50, 50), (61, 60), (60, 61)]
+    got = querylog.family_components(spark.createDataFrame(edges, "a long, b long"), lambda df: files.stored(df, "edges"))
+    assert {tuple(r) for r in got.collect()} == {(i, 1) for i in range(1, 41)} | {(50, 50), (60, 60), (61, 60)}
+
+
+def test_votes_count_by_the_status_when_cast_and_once_over_batches(spark):
+    items = spark.createDataFrame([("a", "pending", 5), ("b", "approved", 2)], "item string, status string, votes long")
+    kinds = "event_id int, ts int, kind string, item string, raw_text string, user string, merge_into string"
+    one_ = [(1, 1, "vote", "a", None, "u", None), (2, 2, "approve", "a", None, None, None), (3, 3, "vote", "a", None, "u", None), (4, 4, "suggest", None, " A ", "v", None), (5, 5, "suggest", None, "New  one", "w", None), (6, 6, "reject", "a", None, None, None), (7, 7, "vote", "a", None, "x", None), (8, 8, "merge", "a", None, None, "b")]
+    after, voters = votes.vote_batch(items, spark.createDataFrame(one_, kinds))
+    assert {tuple(r) for r in after.collect()} == {("a", "merged", 7), ("b", "approved", 3), ("new one", "pending", 0)}
+    two = [(9, 9, "approve", "a", None, None, None), (10, 10, "vote", "a", None, "u", None), (11, 11, "vote", "a", None, "y", None)]
+    assert {tuple(r) for r in votes.apply_vote_events(after, spark.createDataFrame(two, kinds), voters).collect()} >= {("a", "approved", 8)}

@@ -22,7 +22,7 @@ def test_weekly_prices_and_deals(spark):
     data = [("vons", i, r["week_start"], *[r.get(n) for n in names]) for i, r in enumerate(rows)]
     offers = spark.createDataFrame(data, "feed string, row_seq int, week_start date, " + ", ".join(f"{n} string" for n in names))
     catalog = spark.createDataFrame([("plums", ["plums"], ["jam"], ["ripe"], None, 5.0, False)], "family string, include array<string>, exclude array<string>, prefer array<string>, rule string, baseline double, lowest boolean")
-    rules = "struct<positive_keywords:array<string>,negative_keywords:array<string>,allowed_types:array<string>,disallowed_types:array<string>,allowed_units:array<string>,disallowed_units:array<string>,allowed_package_patterns:array<string>,disallowed_package_patterns:array<string>,required_attributes:array<struct<name:string,any_of:array<string>,any_of_patterns:array<string>>>,min_confidence:double>"
+    rules = matching.RULES
     compiled = matching.compile_phrases(catalog).withColumn("rules", F.lit(None).cast(rules))
     manifest = spark.createDataFrame([("vons", w) for w in weeks], "feed string, week_start date")
     got = weekly.weekly_prices(offers, compiled, manifest)

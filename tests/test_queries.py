@@ -42,8 +42,8 @@ def test_accept_over_time_folds_like_a_loop(spark):
     from priceloom.operators import matching
     from priceloom.queries import offers
 
-    gated = offers._gated(spark, DATA).where(offers._usable())
-    ranked = matching.rank_candidates(gated, ["feed", "week", "family"], F.col("lowest")).select("feed", "family", "week", "candidate_rank", "price", "unit_price", "confidence", "base_decision").collect()
+    gated = offers._gated(spark, DATA)
+    ranked = matching.rank_candidates(gated, ["feed", "week", "family"], F.col("lowest"), usable=offers._usable()).select("feed", "family", "week", "candidate_rank", "price", "unit_price", "confidence", "base_decision", "exempt").collect()
     series = {}
     for r in ranked:
         series.setdefault((r["feed"], r["family"]), {}).setdefault(r["week"], []).append(r)
@@ -53,7 +53,7 @@ def test_accept_over_time_folds_like_a_loop(spark):
         for week in sorted(weeks):
             chosen = None
             for c in sorted(weeks[week], key=lambda c: c["candidate_rank"]):
-                sure = c["confidence"] >= 0.85
+                sure = c["confidence"] >= 0.85 or c["exempt"]
                 price = c["price"]
                 new_low = price is not None and low is not None and price < low
                 jump = price is not None and prior is not None and prior > 0 and abs(price - prior) / prior * 100 >= 40
@@ -64,3 +64,20 @@ def test_accept_over_time_folds_like_a_loop(spark):
             low = prior if low is None else low if prior is None else min(low, prior)
             want[(*key, week)] = (chosen["candidate_rank"] if chosen else None, prior)
     assert {(r["feed"], r["family"], r["week"]): (r["accepted_rank"], r["unit_price"]) for r in rows} == want
+
+
+def test_package_siblings_equal_a_plain_search(spark, duck):
+    got = {r["node"]: r["component"] for r in QUERIES["package_siblings"](spark, DATA).collect()}
+    edges = duck.execute("SELECT DISTINCT l_partkey, o_custkey + 1000000000000 FROM lineitem JOIN orders ON l_orderkey = o_orderkey").fetchall()
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    assert got == {x: root(x) for x in list(parent)}
