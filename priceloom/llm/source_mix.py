@@ -119,12 +119,16 @@ def mix_plan(
     """One row per source: source_size, target, rate and last, the order key of its last document that gets one copy more
     than its whole ones (null if none does). An empty table gives an empty table."""
     sizes = written(df.select(*_sizes(df, id_col, text_col, source_col, weight_col)), "mix-sizes")
+    return _plan(sizes, weights, max_repeats, weight_col is not None, seed, bins)
+
+
+def _plan(sizes: DataFrame, weights: Sequence[float], max_repeats: int, weighted_docs: bool, seed: str, bins: int) -> DataFrame:
     targets = written(source_targets(sizes, weights, max_repeats), "mix-targets")
     weighted = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("doc_weight")).alias("weighted_size"))
     rate = F.when(F.col("weighted_size") > 0, F.col("target") / F.col("weighted_size")).otherwise(0.0)
     rates = written(_with_source(weighted, targets).select("source", "source_size", "target", rate.alias("rate")), "mix-rates")
     docs = _expected(_with_source(sizes, rates), max_repeats, seed).where("p > 0")
-    if weight_col:
+    if weighted_docs:
         cuts = written(docs.groupBy("source").agg(F.percentile_approx("order", [k / WEIGHTED_BINS for k in range(1, WEIGHTED_BINS)], 10 * WEIGHTED_BINS).alias("cuts")), "mix-cuts")
         docs = _with_source(docs, cuts).withColumn("bin", F.expr("size(filter(cuts, c -> c < order))").cast("long")).drop("cuts")
     else:
@@ -174,8 +178,8 @@ def mix_sources(
     text, so reruns agree whatever the order of the rows; equal rows are taken together. Only the id, the source and the
     text are read. An empty table gives an empty table.
     """
-    plan = mix_plan(df, weights, max_repeats, id_col, text_col, source_col, weight_col, seed, bins)
-    rows = _copies(df.select(*_sizes(df, id_col, text_col, source_col, weight_col)), plan, max_repeats, seed)
+    sizes = written(df.select(*_sizes(df, id_col, text_col, source_col, weight_col)), "mix-sizes")
+    rows = _copies(sizes, _plan(sizes, weights, max_repeats, weight_col is not None, seed, bins), max_repeats, seed)
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 

@@ -2,9 +2,12 @@
 
 import random
 
-from priceloom.llm import capture_index, compression_bands, content_chunks, site_templates, template_tree
+import corpus_pipeline
+from priceloom.llm import capture_index, compression_bands, content_chunks, site_templates, source_mix, string_tiling, template_tree
 from priceloom.queries import querylog
 
+DATA = "/root/testdata/sf0.001"
+
 
 def test_long_lines_recur_from_two_documents_and_short_ones_by_their_count(spark):
     rng = random.Random(31)
@@ -115,3 +118,49 @@ def test_repeated_rows_and_plain_runs(spark):
         got = content_chunks.repeated_spans(spark.createDataFrame(rows * times, "doc_id bigint, text string")).collect()
         assert {(r["doc_id"], by_hash[r["doc_id"], r["text_hash"]], r["start"], r["stop"]) for r in got} == want and len(got) == len(want)
     assert want and not any(d in (140, 141) for d, *_ in want)
+
+
+def test_repeats_of_an_id_are_told_apart_whatever_the_order(spark):
+    """Rows of one id with different texts: the same result in any order, and near its target; bins hold about equal shares."""
+    rng = random.Random(36)
+    rows = [(7 if i < 60 else i, " ".join(["w"] * rng.randint(1, 20)) + f" t{i}", "a" if i % 3 else "b") for i in range(900)]
+    results = []
+    for k in range(3):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(k + 1)
+        mixed = source_mix.mixed_documents(df, source_mix.mix_plan(df))
+        results.append(sorted((r["doc_id"], r["text"], r["copies"]) for r in mixed.collect()))
+        assert sorted(r["copies"] for r in source_mix.mix_sources(df).where("copies > 0").collect()) == sorted(r[2] for r in results[-1])
+    assert results[0] == results[1] == results[2]
+
+
+def test_pipeline_keeps_one_of_equal_rows(spark):
+    """Equal rows, null ids and texts, empty tables and a further column through every stage."""
+    text = " ".join(f"{'abcdefgh'[i % 8]}word{i}x" for i in range(120))
+    rows = [(1, text, "en", "s", len(text), 1)] * 3 + [(2, text, "en", "s", len(text), 2), (None, text, "en", None, len(text), 3), (3, None, "en", "s", None, 4), (4, "", None, "s", 0, 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, COPIES int")
+    kept = corpus_pipeline.near_duplicates(spark, docs, DATA)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4"] and kept.columns == docs.columns
+    for _, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, DATA)
+        assert [c.lower() for c in after.columns].count("copies") == 1 and after.count() <= len(rows)
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    mixed = corpus_pipeline.source_mix(spark, kept, DATA).collect()
+    assert all(r["taken"] == 0 for r in mixed if r["doc_id"] != 1) and {r["doc_id"] for r in mixed} <= {1, 3, 4}
+
+
+def test_short_items_are_found_whole(spark):
+    docs = spark.createDataFrame([(1, "so The Quick Fox ran"), (2, "the quick red fox")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(9, "the quick fox"), (8, "")], "item_id bigint, text string")
+    assert [(r["doc_id"], r["item_id"], r["coverage"]) for r in string_tiling.contaminated(docs, items).collect()] == [(1, 9, 1.0)]
+
+
+def test_archives_are_scanned_by_small_ranges(tmp_path):
+    html = ["x" * n for n in (0, 5, 3_000_000, 40)]
+    record = lambda i, h: f"WARC/1.1\r\nWARC-Record-ID: <urn:page:{i}>\r\nX-Long: {'y' * (9000 if i == 1 else 1)}\r\nContent-Length: {len(h)}\r\n\r\n{h}\r\n\r\n"
+    data = "".join(record(i, h) for i, h in enumerate(html)).encode()
+    sizes = []
+    read = lambda count, offset: sizes.append(count) or data[offset : offset + count]
+    got = list(capture_index.scan_archive(read, len(data)))
+    assert [capture_index.page_number(h["warc-record-id"]) for *_, h in got] == [0, 1, 2, 3] and sum(n for _, n, _ in got) == len(data)
+    assert max(sizes) <= capture_index.WINDOW_BYTES
