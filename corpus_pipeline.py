@@ -45,8 +45,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix with their copies and taken words; a null source is a source, a text without words is never
-    taken. Empty tables stay empty in every stage, and other columns pass through."""
+    """The documents of the mix with their copies and taken words; a null source is a source, a text without words adds none.
+    Empty tables stay empty in every stage, and other columns pass through."""
     return mixed_documents(docs, mix_plan(docs))
 
 
