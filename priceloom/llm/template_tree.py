@@ -95,12 +95,8 @@ def recurring_lines(
     broadcast_leaves: int = BROADCAST_LEAVES,
     long_tokens: int = LONG_TOKENS,
     long_docs: int = LONG_DOCS,
-    whole_lines: bool = True,
 ) -> DataFrame:
-    """(doc_id, text_hash, line_no, template) of the lines to drop, line numbers from 0.
-
-    Without whole_lines the tree alone decides: no line of fewer than min_tokens tokens, none in fewer than min_docs documents.
-    """
+    """(doc_id, text_hash, line_no, template) of the lines to drop, line numbers from 0."""
     docs = _documents(df, id_col, text_col)
     lines = _lines(docs, min_tokens, lead)
     leaves = written(
@@ -123,8 +119,7 @@ def recurring_lines(
         .select("leaf", "masked", F.array_join("parts.t", " ").alias("template"))
     )
     found = placed.join(templates, ["leaf", "masked"]).select("doc_id", "text_hash", "line_no", "template", F.lit(min_docs).alias("least"))
-    if whole_lines:
-        found = found.union(_whole_lines(docs, min_tokens, min_docs, min_constant, long_tokens, long_docs, broadcast_leaves))
+    found = found.union(_whole_lines(docs, min_tokens, min_docs, min_constant, long_tokens, long_docs, broadcast_leaves))
     found = written(found, "template-lines")
     place = F.struct("doc_id", "text_hash", "line_no")
     often = written(
@@ -166,7 +161,8 @@ SQL = rf"""
 WITH raw AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents
 ), masks AS (
-  SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '{FIELD}', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS masked
+  SELECT doc_id, line_no, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
+         trim(regexp_replace(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '{FIELD}', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS masked
   FROM raw WHERE length(line) > 0
 ), lines AS (
   SELECT *, string_split(masked, ' ') AS tokens, len(string_split(masked, ' ')) AS n_tokens, list_slice(string_split(masked, ' '), 1, {LEAD}) AS lead FROM masks
@@ -181,11 +177,16 @@ WITH raw AS (
          string_agg(CASE WHEN c.token IS NULL THEN '{FIELD}' ELSE t.token END, ' ' ORDER BY t.place) AS template, count(c.token) AS n_constant
   FROM tokens t LEFT JOIN constants c ON t.n_tokens = c.n_tokens AND t.lead = c.lead AND t.place = c.place AND t.token = c.token
   GROUP BY t.doc_id, t.line_no, t.n_tokens
+), candidates AS (
+  SELECT doc_id, line_no, template, {MIN_DOCS} AS least FROM templates WHERE n_constant >= {MIN_CONSTANT} * n_tokens
+  UNION ALL SELECT doc_id, line_no, line, {MIN_DOCS} FROM lines WHERE n_tokens < {MIN_TOKENS} AND line <> ''
+  UNION ALL SELECT doc_id, line_no, masked, {LONG_DOCS} FROM lines
+  WHERE n_tokens >= {LONG_TOKENS} AND len([t FOR t IN tokens IF t <> '{FIELD}']) >= {MIN_CONSTANT} * n_tokens
 ), found AS (
-  SELECT *, count(DISTINCT doc_id) OVER (PARTITION BY template) AS n_docs, row_number() OVER (PARTITION BY template ORDER BY doc_id, line_no) AS nth
-  FROM templates WHERE n_constant >= {MIN_CONSTANT} * n_tokens
+  SELECT *, count(DISTINCT doc_id) OVER (PARTITION BY template, least) AS n_docs, row_number() OVER (PARTITION BY template, least ORDER BY doc_id, line_no) AS nth
+  FROM candidates
 ), drops AS (
-  SELECT doc_id, line_no FROM found WHERE n_docs >= {MIN_DOCS} AND nth > 1
+  SELECT DISTINCT doc_id, line_no FROM found WHERE n_docs >= least AND nth > 1
 )
 SELECT d.doc_id, CAST(max(len(string_split(d.text, chr(10)))) AS BIGINT) AS n_lines, CAST(count(x.line_no) AS BIGINT) AS n_dropped,
        coalesce(string_agg(CASE WHEN x.line_no IS NULL THEN r.line END, chr(10) ORDER BY r.line_no), '') AS text
