@@ -28,8 +28,9 @@ LONG_DOCS = 2
 FIELD = "<*>"
 #: Leaves are looked up by broadcast up to this count (a long each), by a shuffled join beyond.
 BROADCAST_LEAVES = 1_000_000
-#: Recurring templates (texts) are looked up by broadcast up to this count; beyond, Spark splits the frequent ones of the join.
-BROADCAST_TEMPLATES = 50_000
+#: Recurring templates (hashes and a place) are looked up by broadcast up to this count; beyond, Spark splits the frequent
+#: ones of the join.
+BROADCAST_TEMPLATES = 200_000
 
 _BLANK = r"[\x20\x09-\x0D]+"
 _WITH_DIGIT = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
@@ -56,34 +57,38 @@ def _spaced_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _lines(docs: DataFrame, min_tokens: int, lead: int) -> DataFrame:
-    """Lines with their leaf. Only the leading tokens are masked here; the whole line is where its leaf is shared."""
-    lines = _spaced_lines(docs).where(F.col("n_tokens") >= min_tokens)
-    return lines.withColumn("leaf", F.xxhash64("n_tokens", masked(F.substring_index("line", " ", lead))))
+def _hashes(template: Column) -> list[Column]:
+    """128 bits that stand for a template; equal ones count as equal."""
+    return [F.xxhash64(template).alias("h1"), F.xxhash64(F.lit(1), template).alias("h2")]
 
 
-def _whole_lines(docs: DataFrame, min_tokens: int, min_docs: int, min_constant: float, long_tokens: int, long_docs: int, broadcast_keys: int) -> DataFrame:
-    """Long and very short lines that may recur, each its own template. Hashes only screen; the caller counts templates."""
-    short = F.col("n_tokens") < min_tokens
-    lines = (
-        _spaced_lines(docs)
-        .where((short | (F.col("n_tokens") >= long_tokens)) & (F.col("line") != ""))
-        .withColumn("template", F.when(short | ~F.col("line").rlike("[0-9]"), F.col("line")).otherwise(masked(F.col("line"))))
-        .withColumn("least", F.when(short, min_docs).otherwise(long_docs))
-        .withColumn("key", F.xxhash64("least", "template"))
-    )
-    keys = written(
-        lines.groupBy("key", "least", "doc_id").agg(F.lit(1)).groupBy("key", "least").count().where("count >= least").select("key"),
-        "line-keys",
-    )
-    n_constant = F.size(F.array_remove(F.split("template", " ", -1), FIELD))
+def _line_keys(docs: DataFrame, min_tokens: int, lead: int, min_constant: float, long_tokens: int, min_docs: int, long_docs: int) -> DataFrame:
+    """One narrow row a line: its leaf, and the hashes of the line as a template where it is long or very short."""
+    line, n_tokens = F.col("line"), F.col("n_tokens")
+    short, long = n_tokens < min_tokens, n_tokens >= long_tokens
+    template = F.when(short, F.when(line != "", line)).when(long, F.when(line.rlike("[0-9]"), masked(line)).otherwise(line))
+    n_constant = F.when(~F.col("template").contains(FIELD), n_tokens).otherwise(F.size(F.array_remove(F.split("template", " ", -1), FIELD)))
+    whole = F.col("template").isNotNull() & (short | (n_constant >= min_constant * n_tokens))
     return (
-        lines.join(small(keys, broadcast_keys), "key", "left_semi")
-        .where(short | (n_constant >= min_constant * F.col("n_tokens")))
-        .select("doc_id", "text_hash", "line_no", "template", "least")
+        _spaced_lines(docs)
+        .withColumn("template", template)
+        .select(
+            "doc_id",
+            "text_hash",
+            "line_no",
+            F.when(~short, _leaf(lead)).alias("leaf"),
+            *[F.when(whole, h).alias(n) for h, n in zip(_hashes(F.col("template")), ("h1", "h2"))],
+            F.when(short, min_docs).otherwise(long_docs).alias("least"),
+        )
+        .where("leaf IS NOT NULL OR h1 IS NOT NULL")
     )
 
 
+def _leaf(lead: int) -> Column:
+    """Only the leading tokens are masked here; the whole line is where its leaf is shared."""
+    return F.xxhash64("n_tokens", masked(F.substring_index("line", " ", lead)))
+
+
 def recurring_lines(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -96,41 +101,50 @@ def recurring_lines(
     long_tokens: int = LONG_TOKENS,
     long_docs: int = LONG_DOCS,
 ) -> DataFrame:
-    """(doc_id, text_hash, line_no, template) of the lines to drop, line numbers from 0."""
+    """(doc_id, text_hash, line_no) of the lines to drop, line numbers from 0; a line that two rules drop comes twice.
+
+    Texts are read twice: once for the leaf and the hashes of each line, once for the lines of shared leaves. Masked lines
+    and templates are compared by hashes, so only one row of each variant of a leaf carries its tokens through a shuffle.
+    """
     docs = _documents(df, id_col, text_col)
-    lines = _lines(docs, min_tokens, lead)
+    keys = written(_line_keys(docs, min_tokens, lead, min_constant, long_tokens, min_docs, long_docs), "line-keys")
     leaves = written(
-        lines.groupBy("leaf", "doc_id").agg(F.lit(1)).groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"),
+        keys.where("leaf IS NOT NULL").groupBy("leaf", "doc_id").agg(F.lit(1)).groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"),
         "leaves",
     )
-    shared = lines.join(small(leaves, broadcast_leaves), "leaf")
-    placed = written(shared.withColumn("line", masked(F.col("line"))).withColumnRenamed("line", "masked"), "leaf-lines")
-    variants = written(placed.groupBy("leaf", "n_tokens", "masked").count(), "line-variants")
-    tokens = variants.select("leaf", "n_tokens", "masked", "count", F.posexplode(F.split("masked", " ", -1)).alias("place", "token"))
+    shared = _spaced_lines(docs).where(F.col("n_tokens") >= min_tokens).withColumn("leaf", _leaf(lead)).join(small(leaves, broadcast_leaves), "leaf")
+    placed = written(shared.withColumn("masked", masked(F.col("line"))).withColumn("variant", F.xxhash64("masked")).drop("line"), "leaf-lines")
+    variants = written(placed.groupBy("leaf", "n_tokens", "variant", "masked").count(), "line-variants")
+    tokens = variants.select("leaf", "n_tokens", "variant", "count", F.posexplode(F.split("masked", " ", -1)).alias("place", "token"))
     constants = tokens.where(F.col("token") != FIELD).groupBy("leaf", "place", "token").agg(F.sum("count").alias("lines")).where(F.col("lines") >= min_docs)
     fields = tokens.join(constants, ["leaf", "place", "token"], "left").withColumn("constant", F.col("lines").isNotNull())
     templates = (
-        fields.groupBy("leaf", "n_tokens", "masked")
+        fields.groupBy("leaf", "n_tokens", "variant")
         .agg(
             F.sort_array(F.collect_list(F.struct("place", F.when(F.col("constant"), F.col("token")).otherwise(FIELD).alias("t")))).alias("parts"),
             F.sum(F.col("constant").cast("int")).alias("n_constant"),
         )
         .where(F.col("n_constant") >= min_constant * F.col("n_tokens"))
-        .select("leaf", "masked", F.array_join("parts.t", " ").alias("template"))
+        .select("leaf", "variant", F.array_join("parts.t", " ").alias("template"))
+        .select("leaf", "variant", *_hashes(F.col("template")))
     )
-    found = placed.join(templates, ["leaf", "masked"]).select("doc_id", "text_hash", "line_no", "template", F.lit(min_docs).alias("least"))
-    found = found.union(_whole_lines(docs, min_tokens, min_docs, min_constant, long_tokens, long_docs, broadcast_leaves))
-    found = written(found, "template-lines")
+    found = written(
+        placed.select("doc_id", "text_hash", "line_no", "leaf", "variant")
+        .join(templates, ["leaf", "variant"])
+        .select("doc_id", "text_hash", "line_no", "h1", "h2", F.lit(min_docs).alias("least")),
+        "template-lines",
+    ).union(keys.where("h1 IS NOT NULL").select("doc_id", "text_hash", "line_no", "h1", "h2", "least"))
     place = F.struct("doc_id", "text_hash", "line_no")
     often = written(
-        found.groupBy("template", "least", "doc_id")
+        found.groupBy("h1", "h2", "least", "doc_id")
         .agg(F.min(place).alias("first"))
-        .groupBy("template", "least")
+        .groupBy("h1", "h2", "least")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.min("first").alias("first"))
-        .where(F.col("n_docs") >= F.col("least")),
+        .where(F.col("n_docs") >= F.col("least"))
+        .drop("n_docs"),
         "often",
     )
-    return found.join(small(often, BROADCAST_TEMPLATES), ["template", "least"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "line_no", "template")
+    return found.join(small(often, BROADCAST_TEMPLATES), ["h1", "h2", "least"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "line_no")
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
