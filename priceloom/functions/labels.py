@@ -100,3 +100,56 @@ def buy_wait(on_sale: Column, discount: Column, vs_warehouse: Column, preview: C
         .when(~on_sale & ~preview, "wait for a sale")
         .otherwise("regular price")
     )
+
+
+def script_safety(usable: Column, proxy: Column, pct: Column, gap: Column, manual: Column, strength: Column) -> Column:
+    """How a shortlist item may be used in a script; pct is how much cheaper than the warehouse it is."""
+    direct, near = usable & ~gap & pct.isNotNull(), proxy & ~gap
+    return (
+        F.when(manual, "manual verification")
+        .when(direct & (pct >= 20), "lead-worthy")
+        .when(direct & (pct >= 8), "strong supporting mention")
+        .when(direct, "quick mention")
+        .when(near & (pct > 0), "strong supporting mention")
+        .when(F.lower(strength) == "strong", "strong supporting mention")
+        .otherwise("quick mention")
+    )
+
+
+def can_say_cheaper(usable: Column, gap: Column, pct: Column) -> Column:
+    return F.coalesce(usable & ~gap & (pct >= 8), F.lit(False))
+
+
+def script_line(store: Column, warehouse_price: Column, gap: Column, pct: Column, proxy: Column, friday: Column, warehouse: str = "Warehouse") -> Column:
+    """A line for the script: the percentage, rounded half to even, or the other angle; then what qualifies it."""
+    compared = warehouse_price.isNotNull() & ~gap
+    # The output texts.
+    percent = F.bround(pct, 0).cast("long").cast("string")
+    line = (
+        F.when(~compared, F.lit(f"Good ad price, but no {warehouse} comparison available."))
+        .when(pct >= 8, F.concat(store, F.lit(" is about "), percent, F.lit(f"% cheaper than {warehouse} on this.")))
+        .otherwise(F.concat(F.lit(f"{warehouse} is similar or a little cheaper, but "), store, F.lit(" wins if you want variety or smaller quantity.")))
+    )
+    directional = F.when(proxy & compared, " This is a directional comparison, not exact.").otherwise("")
+    return F.concat(line, directional, F.when(friday, " (Friday-only, not valid all week.)").otherwise(""))
+
+
+def listed(items: Column) -> Column:
+    """"a", "a and b" or "a, b, and c" of an array; nulls and empty texts are left out."""
+    some = F.filter(items, lambda x: x.isNotNull() & (x != ""))
+    n = F.size(some)
+    head = F.array_join(F.slice(some, 1, F.greatest(n - 1, F.lit(0))), ", ")
+    return F.when(n <= 2, F.array_join(some, " and ")).otherwise(F.concat(head, F.lit(", and "), F.element_at(some, -1)))
+
+
+def price_words(price: Column) -> Column:
+    return F.when(price.isNull(), "on sale").when(price == F.floor(price), F.concat(F.lit("$"), price.cast("long").cast("string"))).otherwise(F.format_string("$%.2f", price.cast("double")))
+
+
+def shortlist_blurb(name: Column, price: Column, product_lines: Column, family_size: Column, accepted: Column, app_label: Column, week: str = "this week") -> Column:
+    """The offer in a sentence. Family-size boxes are named line by line, but only where the gate accepted the offer."""
+    said = price_words(price)
+    named = family_size & (F.size(product_lines) > 0) & accepted
+    # The output texts.
+    boxes = F.concat(listed(product_lines), F.lit(" family-size boxes are "), said, F.lit(f" {week}, the app labels it as "), app_label, F.lit(", but those are the actual eligible items."))
+    return F.when(named, boxes).otherwise(F.concat(name, F.lit(" are "), said, F.lit(f" {week}.")))

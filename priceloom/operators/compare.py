@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from priceloom.functions.units import rounded, units_compatible
 
 TIE = 0.03
+#: Products of all warehouses that are sent to every task; more are joined by shuffle.
+BROADCAST_PRODUCTS = 50_000
 
 
 def newest(obs: DataFrame, keys: Sequence[str], ts: str, seq: str) -> DataFrame:
@@ -18,26 +20,37 @@ def newest(obs: DataFrame, keys: Sequence[str], ts: str, seq: str) -> DataFrame:
     return obs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+def mapped_numbers(products: DataFrame, mappings: DataFrame) -> DataFrame:
+    """(product, warehouse, item): the mappings of the warehouse, global ones for products without."""
+    own = mappings.where("warehouse IS NOT NULL")
+    local = products.join(own, ["product", "warehouse"])
+    open_ = products.join(own.select("product", "warehouse").distinct(), ["product", "warehouse"], "left_anti")
+    global_ = open_.join(mappings.where("warehouse IS NULL").drop("warehouse"), "product")
+    return local.select("product", "warehouse", "item").unionByName(global_.select("product", "warehouse", "item"))
+
+
 def match_mapped_items(products: DataFrame, mappings: DataFrame, catalog: DataFrame, ts: str) -> DataFrame:
     """Products by mapped item number: warehouse mappings before global ones, the newest item of those in the catalog.
 
     products: (product, warehouse); mappings: (product, warehouse or null, item); catalog: (warehouse, item, ts, ...). A
     product that is mapped but not in the catalog stays with a null item: it must not be matched by text.
     """
-    own = mappings.where("warehouse IS NOT NULL")
-    local = products.join(own, ["product", "warehouse"])
-    open_ = products.join(own.select("product", "warehouse").distinct(), ["product", "warehouse"], "left_anti")
-    global_ = open_.join(mappings.where("warehouse IS NULL").drop("warehouse"), "product")
-    mapped = local.select("product", "warehouse", "item").unionByName(global_.select("product", "warehouse", "item"))
-    found = mapped.join(catalog, ["warehouse", "item"], "left")
+    found = mapped_numbers(products, mappings).join(catalog, ["warehouse", "item"], "left")
     return found.groupBy("product", "warehouse").agg(F.max_by(F.when(F.col(ts).isNotNull(), F.col("item")), F.col(ts)).alias("item"), F.lit("item_number").alias("method"))
 
 
-def match_text_items(products: DataFrame, patterns: DataFrame, catalog: DataFrame, text: str, seq: str) -> DataFrame:
-    """Products by text: 10 for an include hit and 5 for each place of every prefer hit, none on an exclude hit; best score wins."""
+def _text_hits(products: DataFrame, patterns: DataFrame, catalog: DataFrame, text: str) -> DataFrame:
+    """Rows a (product, patterns) and c (catalog) whose text fits. Warehouses are few, so the products go to every task, up to
+    BROADCAST_PRODUCTS of them; beyond, Spark splits the warehouses of a shuffled join."""
     asked = products.join(patterns, "product")
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_PRODUCTS else asked
     condition = (F.col("a.warehouse") == F.col("c.warehouse")) & F.expr(f"c.{text} RLIKE a.include_pattern AND NOT c.{text} RLIKE coalesce(a.exclude_pattern, '(?!)')")
-    hits = asked.alias("a").join(catalog.alias("c"), condition)
+    return catalog.alias("c").join(asked.alias("a"), condition)
+
+
+def match_text_items(products: DataFrame, patterns: DataFrame, catalog: DataFrame, text: str, seq: str) -> DataFrame:
+    """Products by text: 10 for an include hit and 5 for each place of every prefer hit, none on an exclude hit; best score wins."""
+    hits = _text_hits(products, patterns, catalog, text)
     n = F.size("a.prefer")
     score = F.lit(10) + F.aggregate(F.transform("a.prefer", lambda p, i: F.when(F.regexp_like(F.col(f"c.{text}"), p), (n - i) * 5).otherwise(0)), F.lit(0), lambda x, y: x + y)
     ranked = hits.select("a.product", "a.warehouse", "c.item", score.alias("score"), F.col(f"c.{seq}").alias("_seq"))
@@ -52,6 +65,15 @@ def match_warehouse_items(products: DataFrame, mappings: DataFrame, patterns: Da
     return mapped.where("item IS NOT NULL").unionByName(match_text_items(rest, patterns, catalog, text, seq))
 
 
+def match_warehouse_history(products: DataFrame, mappings: DataFrame, patterns: DataFrame, obs: DataFrame, text: str = "name") -> DataFrame:
+    """Every observation of each product with its method: by mapped item number, and by text where no number was ever seen."""
+    numbers = mapped_numbers(products, mappings).distinct()
+    by_number = obs.join(numbers, ["warehouse", "item"]).withColumn("method", F.lit("item_number"))
+    rest = products.join(by_number.select("product", "warehouse").distinct(), ["product", "warehouse"], "left_anti")
+    by_text = _text_hits(rest, patterns, obs, text).select("a.product", "c.*", F.lit("text").alias("method"))
+    return by_number.unionByName(by_text)
+
+
 def unmatched_products(products: DataFrame, matches: DataFrame) -> DataFrame:
     return products.select("product", "warehouse").join(matches, ["product", "warehouse"], "left_anti")
 

@@ -39,7 +39,7 @@ def warehouse_manifest(spark, sf_dir):
 
 
 _PRODUCTS = _CATALOG + """, products AS (SELECT DISTINCT p_brand AS product, r_name AS warehouse FROM part CROSS JOIN region
-), mappings AS (SELECT p_brand AS product, CASE WHEN p_size % 2 = 0 THEN 'ASIA' END AS warehouse, p_partkey AS item FROM part WHERE p_size > 45 AND p_brand < 'Brand#2'
+), mappings AS (SELECT CASE WHEN p_brand < 'Brand#2' THEN p_brand ELSE p_type END AS product, CASE WHEN p_size % 2 = 0 THEN 'ASIA' END AS warehouse, p_partkey AS item FROM part
 ), local AS (SELECT p.product, p.warehouse, m.item FROM products p JOIN mappings m ON p.product = m.product AND p.warehouse = m.warehouse
 ), global AS (SELECT p.product, p.warehouse, m.item FROM products p JOIN mappings m ON p.product = m.product AND m.warehouse IS NULL WHERE NOT EXISTS (SELECT 1 FROM local l WHERE l.product = p.product AND l.warehouse = p.warehouse)
 ), mapped AS (SELECT a.product, a.warehouse, arg_max(n.item, n.seq2) AS item FROM (SELECT * FROM local UNION ALL SELECT * FROM global) a LEFT JOIN (SELECT *, (ts, item) AS seq2 FROM newest) n ON n.warehouse = a.warehouse AND n.item = a.item GROUP BY ALL
@@ -49,12 +49,18 @@ _PRODUCTS = _CATALOG + """, products AS (SELECT DISTINCT p_brand AS product, r_n
   SELECT product, warehouse, arg_max(item, (score, -s2)), 'text' FROM scored GROUP BY product, warehouse)"""
 
 
-def _matched(spark, sf_dir):
+def _asked(spark, sf_dir):
+    """Products with their mappings and patterns, and the newest catalog."""
     part, region = table(spark, sf_dir, "part"), table(spark, sf_dir, "region")
     products = part.select(F.col("p_brand").alias("product")).distinct().crossJoin(F.broadcast(region.select(F.col("r_name").alias("warehouse"))))
-    mappings = part.where("p_size > 45 AND p_brand < 'Brand#2'").select(F.col("p_brand").alias("product"), F.when(F.col("p_size") % 2 == 0, "ASIA").alias("warehouse"), F.col("p_partkey").alias("item"))
+    mappings = part.select(F.when(F.col("p_brand") < "Brand#2", F.col("p_brand")).otherwise(F.col("p_type")).alias("product"), F.when(F.col("p_size") % 2 == 0, "ASIA").alias("warehouse"), F.col("p_partkey").alias("item"))
     patterns = products.select("product").distinct().select("product", F.lit("(ring|gear)").alias("include_pattern"), F.lit("old").alias("exclude_pattern"), F.array(F.lit("small"), F.lit("hot")).alias("prefer"))
     catalog = _newest(spark, sf_dir).withColumn("rank_ts", F.struct("ts", "item")).withColumn("seq", F.col("item"))
+    return products, mappings, patterns, catalog
+
+
+def _matched(spark, sf_dir):
+    products, mappings, patterns, catalog = _asked(spark, sf_dir)
     return products, ops.match_warehouse_items(products, mappings, patterns, catalog, ts="rank_ts")
 
 
@@ -63,6 +69,15 @@ def match_warehouse_items(spark, sf_dir):
     return _matched(spark, sf_dir)[1]
 
 
+@query(_PRODUCTS + """, seen AS (SELECT a.product, a.warehouse, o.item, o.ts, o.seq, o.price, 'item_number' AS method FROM (SELECT * FROM local UNION SELECT * FROM global) a JOIN obs o ON o.warehouse = a.warehouse AND o.item = a.item)
+SELECT * FROM seen UNION ALL
+SELECT p.product, p.warehouse, o.item, o.ts, o.seq, o.price, 'text' FROM products p JOIN obs o ON o.warehouse = p.warehouse AND regexp_matches(o.name, '(ring|gear)') AND NOT regexp_matches(o.name, 'old')
+WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.product = p.product AND s.warehouse = p.warehouse)""")
+def match_warehouse_history(spark, sf_dir):
+    products, mappings, patterns, _ = _asked(spark, sf_dir)
+    return ops.match_warehouse_history(products, mappings, patterns, _obs(spark, sf_dir)).select("product", "warehouse", "item", "ts", "seq", "price", "method")
+
+
 @query(_PRODUCTS + ", few AS (SELECT * FROM matched WHERE method = 'item_number') SELECT product, warehouse FROM products p WHERE NOT EXISTS (SELECT 1 FROM few m WHERE m.product = p.product AND m.warehouse = p.warehouse)")
 def unmatched_products(spark, sf_dir):
     products, matches = _matched(spark, sf_dir)

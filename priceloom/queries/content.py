@@ -35,11 +35,11 @@ def open_corrections(spark, sf_dir):
     return ops.open_corrections(rows, "click").select("id")
 
 
-@query(LATEST + "SELECT l.feed, l.family, current_price, name FROM latest l JOIN (SELECT DISTINCT p_brand AS family FROM part WHERE p_size > 40) w ON l.family = w.family LEFT JOIN (SELECT p_brand AS family, min(p_name) AS name FROM part GROUP BY p_brand) d ON l.family = d.family WHERE l.feed <> 'ASIA'")
+@query(LATEST + "SELECT l.feed, l.family, current_price, name FROM latest l JOIN (SELECT DISTINCT p_brand AS family FROM part) w ON l.family = w.family LEFT JOIN (SELECT p_brand AS family, min(p_name) AS name FROM part GROUP BY p_brand) d ON l.family = d.family WHERE l.feed <> 'ASIA'")
 def match_watchlist(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     best = latest(spark, sf_dir).withColumn("decision", F.when(F.col("feed") != "ASIA", "accepted").otherwise("rejected"))
-    return ops.match_watchlist(part.where("p_size > 40").select(F.col("p_brand").alias("family")).distinct(), best, part.groupBy(F.col("p_brand").alias("family")).agg(F.min("p_name").alias("name"))).select("feed", "family", "current_price", "name")
+    return ops.match_watchlist(part.select(F.col("p_brand").alias("family")).distinct(), best, part.groupBy(F.col("p_brand").alias("family")).agg(F.min("p_name").alias("name"))).select("feed", "family", "current_price", "name")
 
 
 @query(SALES + "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM sales WHERE l_quantity > 48) AND regexp_matches(p_name, 'ring|bolt|plate') AND NOT regexp_matches(p_name, 'old')")
@@ -78,9 +78,9 @@ def mapping_coverage_audit(spark, sf_dir):
     return ops.mapping_coverage(part.drop("p_size"), part.where("p_size % 3 < 2").select("item", (F.col("p_size") % 3 == 1).alias("is_coverage_gap")))
 
 
-@query("SELECT CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'deals' ELSE 'staples' END AS category, string_agg(p_partkey, ',' ORDER BY p_partkey) AS items, count(*) AS n, CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 1 ELSE 2 END AS place FROM part WHERE p_size > 45 AND p_type IN ('ECONOMY', 'PROMO', 'STANDARD') GROUP BY ALL")
+@query("SELECT CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'deals' ELSE 'staples' END AS category, string_agg(p_partkey, ',' ORDER BY p_partkey) AS items, count(*) AS n, CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 1 ELSE 2 END AS place FROM part WHERE p_type IN ('ECONOMY', 'PROMO', 'STANDARD') GROUP BY ALL")
 def handpicked_groups(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").where("p_size > 45").select(F.col("p_partkey").alias("item"), F.col("p_type").alias("badge"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.col("p_type").alias("badge"))
     return ops.handpicked_groups(rows, {"ECONOMY": "deals", "PROMO": "deals", "STANDARD": "staples"})
 
 
@@ -102,3 +102,31 @@ def rank_deals(spark, sf_dir):
     rows = table(spark, sf_dir, "part").withColumns({"is_friday": kind == "PROMO", "score": F.col("p_size"), "confidence": F.when(kind == "ECONOMY", "high").when(kind == "STANDARD", "medium"), "id": F.col("p_partkey")})
     label = ops.deal_type(F.when(F.col("p_size") > 25, "multi_buy"), F.when(kind == "PROMO", "friday_only").otherwise("all_week"))
     return ops.rank_deals(rows, ["p_brand"]).select("p_partkey", "deal_order", label.alias("deal_type"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_brand, p_size - 20.5 AS pct, p_size % 2 = 0 AS usable, p_size % 2 = 1 AND p_type = 'PROMO' AS proxy, p_size % 5 = 0 AS gap, p_size = 7 AS manual, CASE WHEN p_type = 'ECONOMY' THEN 'Strong' END AS strength, p_type = 'STANDARD' AS friday, CASE WHEN p_size % 3 > 0 THEN p_retailprice END AS wp FROM part)
+SELECT p_partkey, CASE WHEN manual THEN 'manual verification' WHEN usable AND NOT gap AND pct >= 20 THEN 'lead-worthy' WHEN usable AND NOT gap AND pct >= 8 THEN 'strong supporting mention' WHEN usable AND NOT gap THEN 'quick mention'
+    WHEN proxy AND NOT gap AND pct > 0 OR strength = 'Strong' THEN 'strong supporting mention' ELSE 'quick mention' END AS safety, usable AND NOT gap AND pct >= 8 AS cheaper,
+  CASE WHEN wp IS NULL OR gap THEN 'Good ad price, but no Warehouse comparison available.' WHEN pct >= 8 THEN p_brand || ' is about ' || CAST(CAST(round_even(pct, 0) AS BIGINT) AS VARCHAR) || '% cheaper than Warehouse on this.'
+    ELSE 'Warehouse is similar or a little cheaper, but ' || p_brand || ' wins if you want variety or smaller quantity.' END
+  || CASE WHEN proxy AND wp IS NOT NULL AND NOT gap THEN ' This is a directional comparison, not exact.' ELSE '' END || CASE WHEN friday THEN ' (Friday-only, not valid all week.)' ELSE '' END AS line FROM p""")
+def shortlist_labels(spark, sf_dir):
+    size, kind = F.col("p_size"), F.col("p_type")
+    pct, usable, proxy, gap = size - F.lit(20.5), size % 2 == 0, (size % 2 == 1) & (kind == "PROMO"), size % 5 == 0
+    strength = F.when(kind == "ECONOMY", "Strong")
+    line = labels.script_line(F.col("p_brand"), F.when(size % 3 > 0, F.col("p_retailprice")), gap, pct, proxy, kind == "STANDARD")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", labels.script_safety(usable, proxy, pct, gap, size == 7, strength).alias("safety"), labels.can_say_cheaper(usable, gap, pct).alias("cheaper"), line.alias("line")
+    )
+
+
+@query("""WITH p AS (SELECT p_partkey, p_name, p_type, p_size, string_split(p_name, ' ') AS words, CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 4 = 1 THEN floor(p_retailprice) ELSE round(p_retailprice, 2) END AS price FROM part
+), q AS (SELECT *, CASE WHEN price IS NULL THEN 'on sale' WHEN price = floor(price) THEN '$' || CAST(CAST(price AS BIGINT) AS VARCHAR) ELSE printf('$%.2f', price) END AS said,
+  CASE WHEN p_size % 3 = 0 THEN words[1] WHEN p_size % 3 = 1 THEN words[1] || ' and ' || words[2] ELSE words[1] || ', ' || words[2] || ', and ' || p_type END AS lines FROM p)
+SELECT p_partkey, CASE WHEN p_size > 25 AND p_type <> 'PROMO' THEN lines || ' family-size boxes are ' || said || ' this week, the app labels it as ' || p_type || ', but those are the actual eligible items.' ELSE p_name || ' are ' || said || ' this week.' END AS blurb FROM q""")
+def shortlist_blurb(spark, sf_dir):
+    size, word = F.col("p_size"), lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    price = F.when(size % 4 == 0, None).when(size % 4 == 1, F.floor("p_retailprice").cast("double")).otherwise(F.round("p_retailprice", 2))
+    lines = F.when(size % 3 == 0, F.array(word(1), F.lit(""))).when(size % 3 == 1, F.array(word(1), word(2))).otherwise(F.array(word(1), word(2), F.col("p_type")))
+    blurb = labels.shortlist_blurb(F.col("p_name"), price, lines, size > 25, F.col("p_type") != "PROMO", F.col("p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", blurb.alias("blurb"))

@@ -105,10 +105,10 @@ def package_siblings(spark, sf_dir):
     return ops.family_components(edges, lambda df: files.stored(df, "siblings"))
 
 
-@query("""WITH n AS (SELECT p_brand AS family, p_name AS phrase FROM part WHERE p_size > 40), w AS (SELECT family, phrase, unnest(string_split(phrase, ' ')) AS word FROM n)
+@query("""WITH n AS (SELECT p_brand AS family, p_name AS phrase FROM part), w AS (SELECT family, phrase, unnest(string_split(phrase, ' ')) AS word FROM n)
 SELECT phrase, count(DISTINCT family) AS n_families, string_agg(DISTINCT word, ',' ORDER BY word) AS words, CASE WHEN count(DISTINCT family) > 1 THEN 'suppress' ELSE 'select' END AS kind FROM w WHERE word IN ('ring', 'bolt', 'hot') GROUP BY phrase""")
 def protected_phrases(spark, sf_dir):
-    part = table(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_brand").alias("family"), F.col("p_name").alias("name"))
+    part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("family"), F.col("p_name").alias("name"))
     return ops.protected_phrases(part, spark.sql("SELECT * FROM VALUES ('ring'), ('bolt'), ('hot') AS t(word)"))
 
 

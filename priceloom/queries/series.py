@@ -51,13 +51,13 @@ def offers_by_week(spark, sf_dir):
     return ops.offers_by_week(offers, manifest).groupBy("week_start", "week_end", "source_file").agg(F.count(F.lit(1)).alias("n_offers"), F.min("price").alias("low"))
 
 
-@query(SERIES + """, shelf AS (SELECT r_name AS feed, p_brand AS family, min(p_retailprice) AS price FROM part CROSS JOIN region WHERE p_size > 25 GROUP BY ALL
+@query(SERIES + """, shelf AS (SELECT r_name AS feed, p_brand AS family, min(p_retailprice) AS price FROM part CROSS JOIN region GROUP BY ALL
 ), legacy(legacy_id, family_id) AS (VALUES ('Brand#1', 'Brand#2'), ('Brand#3', 'Brand#99')
 ), named AS (SELECT feed, family, price, 0 AS via FROM shelf UNION ALL SELECT feed, family_id, price, 1 FROM shelf JOIN legacy ON family = legacy_id
 ), best AS (SELECT feed, family, arg_min(price, via) AS shelf_price FROM named GROUP BY ALL)
 SELECT s.feed, s.family, s.week, s.price, b.shelf_price FROM series s LEFT JOIN best b ON s.feed = b.feed AND s.family = b.family""")
 def attach_baselines(spark, sf_dir):
-    shelf = table(spark, sf_dir, "part").where("p_size > 25").crossJoin(F.broadcast(table(spark, sf_dir, "region"))).groupBy(F.col("r_name").alias("feed"), F.col("p_brand").alias("family")).agg(F.min("p_retailprice").alias("price"))
+    shelf = table(spark, sf_dir, "part").crossJoin(F.broadcast(table(spark, sf_dir, "region"))).groupBy(F.col("r_name").alias("feed"), F.col("p_brand").alias("family")).agg(F.min("p_retailprice").alias("price"))
     legacy = spark.sql("SELECT * FROM VALUES ('Brand#1', 'Brand#2'), ('Brand#3', 'Brand#99') AS t(legacy_id, family_id)")
     return ops.attach_baselines(series(spark, sf_dir).drop("baseline"), shelf, legacy).select("feed", "family", "week", "price", F.col("baseline").alias("shelf_price"))
 

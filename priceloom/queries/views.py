@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from priceloom.operators import views
 from priceloom.queries.base import SALES, SERIES, query, sales, series, table
 
-_WAREHOUSE = "warehouse AS (SELECT p_brand AS family, min(p_retailprice) / 10 AS warehouse_price FROM part WHERE p_size > 1 GROUP BY p_brand)"
+_WAREHOUSE = "warehouse AS (SELECT p_brand AS family, min(p_retailprice) / 10 AS warehouse_price FROM part GROUP BY p_brand)"
 
 
 def _warehouse(spark, sf_dir):
-    return table(spark, sf_dir, "part").where("p_size > 1").groupBy(F.col("p_brand").alias("family")).agg((F.min("p_retailprice") / 10).alias("warehouse_price"))
+    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("family")).agg((F.min("p_retailprice") / 10).alias("warehouse_price"))
 
 
 @query(SERIES + f""", {_WAREHOUSE}, weekly AS (SELECT *, price > 0 AND confidence <> 'low' AS trusted FROM series
