@@ -164,3 +164,16 @@ def test_archives_are_scanned_by_small_ranges(tmp_path):
     got = list(capture_index.scan_archive(read, len(data)))
     assert [capture_index.page_number(h["warc-record-id"]) for *_, h in got] == [0, 1, 2, 3] and sum(n for _, n, _ in got) == len(data)
     assert max(sizes) <= capture_index.WINDOW_BYTES
+
+
+def test_line_dedup_is_the_same_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    rng = random.Random(33)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    long = " ".join(word() for _ in range(30))
+    docs = [(i, f"{word()} {word()} {word()} {word()}\norder {i} was shipped from {word()} today\nLes.\n{long if i % 3 else word()}") for i in range(24)]
+    df = spark.createDataFrame([*docs, docs[5], (None, docs[6][1]), (99, None)], "doc_id bigint, text string")
+    rows = lambda **options: sorted(map(repr, template_tree.dedup_lines(df, **options).collect()))
+    sent = rows()
+    monkeypatch.setattr(template_tree, "BROADCAST_TEMPLATES", 0)
+    assert rows(broadcast_leaves=0) == sent
+    assert any("n_dropped=3" in r for r in sent)
