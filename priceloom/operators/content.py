@@ -110,3 +110,19 @@ def deal_type(promo: Column, availability: Column) -> Column:
     names = {"bogo": "Buy one, get one", "buy_x_get_y": "Buy some, get some", "multi_buy": "Multi-buy", "member_price": "Member price", "digital_coupon": "Digital coupon"}
     label = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[promo]
     return F.when(availability == "friday_only", "$5 Friday").otherwise(F.coalesce(label, F.lit("Sale")))
+
+
+def missed_deal_order() -> list[Column]:
+    """Sort keys of the report on missed deals: high, medium and info severities, others last."""
+    severity = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).when(F.col("severity") == "info", 2).otherwise(9)
+    return [severity.asc(), F.col("feed"), F.col("week"), F.col("family")]
+
+
+def crop_override_order() -> list[Column]:
+    """Sort keys of the report on overridden crops: those that may bleed first."""
+    return [F.when(F.col("note").contains("bleed"), 0).otherwise(1).asc(), F.col("feed"), F.col("page"), F.col("offer_index")]
+
+
+def mention_order() -> list[Column]:
+    """Sort keys of mentions: priority, views, then the query."""
+    return [F.col("priority").desc(), F.col("views").desc(), F.col("query")]

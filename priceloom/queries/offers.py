@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from priceloom.functions import text as tx
 from priceloom.functions import units
+from priceloom.operators import content
 from priceloom.operators import matching as ops
 from priceloom.operators.series import historical_low_before
 from priceloom.queries.base import SALES, query, sales, table
@@ -264,16 +265,25 @@ def match_audit_rollup(spark, sf_dir):
     return ops.match_audit(lows)
 
 
-@query(_MATCHES + """, hits AS (SELECT feed, week, family, text, unit_price AS price, CASE WHEN row_seq % 2 = 0 THEN 'raw' ELSE 'split' END AS origin, price_basis = 'multi_buy' AS is_multi, price_basis AS disposition
+_MISSED = _MATCHES + """, hits AS (SELECT feed, week, family, text, unit_price AS price, CASE WHEN row_seq % 2 = 0 THEN 'raw' ELSE 'split' END AS origin, price_basis = 'multi_buy' AS is_multi, price_basis AS disposition
   FROM united JOIN catalog c ON regexp_matches(split_product_text, include_pattern), LATERAL (SELECT split_product_text AS text)
 ), good AS (SELECT DISTINCT feed, week, family FROM matches WHERE score > 10)
 SELECT h.feed, h.week, h.family, min(price) AS candidate_price, bool_or(origin = 'raw') AS in_raw_cards, bool_or(origin = 'split') AS in_split_items, bool_and(is_multi) AS all_multi, arg_min(text, (price, text)) AS example_text,
   string_agg(DISTINCT disposition, ',' ORDER BY disposition) AS dispositions,
   CASE WHEN bool_or(origin = 'split') AND NOT bool_and(is_multi) THEN 'high' WHEN bool_or(origin = 'raw') AND NOT bool_and(is_multi) THEN 'medium' ELSE 'low' END AS severity
-FROM hits h ANTI JOIN good g ON h.feed = g.feed AND h.week = g.week AND h.family = g.family WHERE price IS NOT NULL GROUP BY h.feed, h.week, h.family""")
+FROM hits h ANTI JOIN good g ON h.feed = g.feed AND h.week = g.week AND h.family = g.family WHERE price IS NOT NULL GROUP BY h.feed, h.week, h.family"""
+
+
+@query(_MISSED)
 def missed_deals(spark, sf_dir):
     rows = units.with_unit_price(offers(spark, sf_dir), reference="p_retailprice").withColumn("text", tx.split_text())
     hits = ops.match_offers(rows, catalog(spark), include_only=True).select(
         "feed", "week", "family", "text", F.col("unit_price").alias("price"), F.when(F.col("row_seq") % 2 == 0, "raw").otherwise("split").alias("origin"), (F.col("price_basis") == "multi_buy").alias("is_multi"), F.col("price_basis").alias("disposition"))
     good = _matches(spark, sf_dir).where("score > 10").select("feed", "week", "family").distinct()
     return ops.missed_deals(hits, good, ["feed", "week", "family"])
+
+
+@query("WITH d AS (WITH " + _MISSED + """) SELECT feed, week, family, severity, candidate_price FROM d
+ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'info' THEN 2 ELSE 9 END, feed, week, family""")
+def missed_deal_report(spark, sf_dir):
+    return missed_deals(spark, sf_dir).select("feed", "week", "family", "severity", "candidate_price").orderBy(*content.missed_deal_order())

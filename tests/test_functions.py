@@ -163,3 +163,12 @@ def test_votes_count_by_the_status_when_cast_and_once_over_batches(spark):
     assert {tuple(r) for r in after.collect()} == {("a", "merged", 7), ("b", "approved", 3), ("new one", "pending", 0)}
     two = [(9, 9, "approve", "a", None, None, None), (10, 10, "vote", "a", None, "u", None), (11, 11, "vote", "a", None, "y", None)]
     assert {tuple(r) for r in votes.apply_vote_events(after, spark.createDataFrame(two, kinds), voters).collect()} >= {("a", "approved", 8)}
+
+
+def test_report_orders(spark):
+    from priceloom.operators import content
+
+    rows = spark.sql("SELECT * FROM VALUES (1, 'page', 'a', 1, 1), (2, 'may bleed', 'b', 2, 1), (3, 'may bleed', 'a', 9, 2), (4, CAST(NULL AS STRING), 'a', 0, 1) AS t(id, note, feed, page, offer_index)")
+    assert [r["id"] for r in rows.orderBy(*content.crop_override_order()).collect()] == [3, 2, 4, 1]
+    rows = spark.sql("SELECT * FROM VALUES (1, 1, 9, 'a'), (2, 3, 5, 'b'), (3, 3, 5, 'a'), (4, 3, 7, 'z') AS t(id, priority, views, query)")
+    assert [r["id"] for r in rows.orderBy(*content.mention_order()).collect()] == [4, 3, 2, 1]
