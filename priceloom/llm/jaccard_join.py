@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +53,8 @@ BITMAP_WORDS = 8
 BITMAP = [f"bits{i}" for i in range(BITMAP_WORDS)]
 #: Documents that pass the screen are looked up by broadcast up to this count (16 MB of ids), by a shuffled join beyond.
 BROADCAST_IDS = 1_000_000
+#: Buckets whose two ends (0.2 kB) are looked up by broadcast.
+BROADCAST_ENDS = 50_000
 
 
 def shingle_set(words: np.ndarray, n: int = SHINGLE_WORDS) -> np.ndarray:
@@ -110,12 +112,18 @@ def token_sets(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int | None = No
     return docs.mapInArrow(run, schema)
 
 
-def screened(sets: DataFrame, percent: int) -> DataFrame:
+def held_by_several(postings: DataFrame, key: str, scratch: Scratch, limit: int = BROADCAST_IDS, having: str = "n > 1", **facts: Column) -> DataFrame:
+    """The rows of postings whose key stands in several of them. The keys become a table first: Spark splits a frequent key of
+    a join of tables, but not of a join with a grouping by it."""
+    counted = postings.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in facts.items()])
+    return postings.join(small(scratch.write(counted.where(having).select(key), f"several-{key}"), limit), key, "left_semi")
+
+
+def screened(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """set_id of the sets (set_id, n, prefix tokens) that share enough prefix tokens with others."""
     postings = sets.select("set_id", "n", F.explode("tokens").alias("token"))
-    shared = postings.groupBy("token").count().where("count > 1").select("token")
     needed = F.lit(1) + F.floor(F.ceil(F.col("n") * percent / 100) / 16)
-    return postings.join(shared, "token", "left_semi").groupBy("set_id", "n").count().where(F.col("count") >= needed).select("set_id")
+    return held_by_several(postings, "token", scratch, having="n > 1").groupBy("set_id", "n").count().where(F.col("count") >= needed).select("set_id")
 
 
 def prefix_signatures(n: int, counts: np.ndarray, held: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -225,9 +233,9 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity. Both joins read the sets in one partitioning, so they shuffle once."""
-    a = sets.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("held.token").alias("t_a"))
-    b = sets.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("held.token").alias("t_b"))
+    """The pairs (a, b) whose sets (set_id, n, tokens) reach the similarity. Both joins read the sets in one partitioning, so they shuffle once."""
+    a = sets.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
+    b = sets.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
     shared = F.size(F.array_intersect("t_a", "t_b"))
     return pairs.join(a, "a").join(b, "b").where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
 
@@ -238,10 +246,20 @@ def linked_sets(sets: DataFrame, scratch: Scratch, percent: int = PERCENT, star_
     Ids are distinct and no field is null; sets without held tokens are components of their own, no sets give no rows.
     """
     every = scratch.write(signatures(sets, percent), "signatures")
-    several = every.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("open")).where("n > 1 AND open").select("sig")
-    postings = scratch.write(every.join(several, "sig", "left_semi"), "postings")
+    postings = scratch.write(held_by_several(every, "sig", scratch, having="n > 1 AND open", open=F.max("inner")), "postings")
     facts = scratch.write(bitmaps(sets), "bitmaps")
     scratch.drop(every)
+    component = linked_in_buckets(sets.select("set_id", "n", F.col("held.token").alias("tokens")), postings, facts, scratch, percent, star_rounds)
+    scratch.drop(postings, facts)
+    return component
+
+
+def linked_in_buckets(sets: DataFrame, postings: DataFrame, facts: DataFrame, scratch: Scratch, percent: int, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+    """(set_id, component) of the sets (set_id, n, tokens), joined by every link between sets that share a bucket.
+
+    postings (sig, set_id, inner) and facts (set_id, n, n_held, bitmap words) are written tables; a pair counts where it is inner for its
+    smaller set. n_held is the number of tokens that the arrays and bitmaps have, the others being in no other set.
+    """
     component = sets.select("set_id", F.col("set_id").alias("component"))
     tested: DataFrame | None = None
     old: list[DataFrame] = []
@@ -252,12 +270,15 @@ def linked_sets(sets: DataFrame, scratch: Scratch, percent: int = PERCENT, star_
     step = 0
     while step <= star_rounds:
         placed = postings.join(facts.join(component, "set_id"), "set_id")
-        ends = placed.groupBy("sig").agg(F.min(member).alias("low"), F.max(member).alias("high")).where("low.component <> high.component")
+        ends = scratch.write(placed.groupBy("sig").agg(F.min(member).alias("low"), F.max(member).alias("high")).where("low.component <> high.component"), "ends")
+        old.append(ends)
+        if ends.isEmpty():  # every bucket is one component
+            break
         if step < star_rounds:
-            pairs = placed.join(ends, "sig").select(F.explode(F.array("low", "high")).alias("p"), member.alias("q"))
+            pairs = placed.join(small(ends, BROADCAST_ENDS), "sig").select(F.explode(F.array("low", "high")).alias("p"), member.alias("q"))
             once = "TRUE"
         else:
-            live = scratch.write(placed.join(ends.select("sig"), "sig", "left_semi").select("sig", "inner", band.alias("band"), *member_fields), "live")
+            live = scratch.write(placed.join(small(ends.select("sig"), BROADCAST_IDS), "sig", "left_semi").select("sig", "inner", band.alias("band"), *member_fields), "live")
             old.append(live)
             lowest = lambda c, name: F.slice(F.sort_array(F.collect_list(c)), 1, FIRST_SIGNATURES).alias(name)
             firsts = live.groupBy("set_id").agg(lowest(F.when(F.col("inner"), F.col("sig")), "p_firsts"), lowest("sig", "q_firsts"))
@@ -298,10 +319,31 @@ def linked_sets(sets: DataFrame, scratch: Scratch, percent: int = PERCENT, star_
             "components",
         )
         tested = tested.union(pairs) if tested else pairs
-    scratch.drop(postings, facts, *old)
+    scratch.drop(*old)
     return component
 
 
+def one_of_each(rows: DataFrame, scratch: Scratch, limit: int = BROADCAST_IDS) -> DataFrame:
+    """Of the rows (doc_id, n, set_id, ...) with equal sets that of the smallest doc_id, without those of empty sets; equal
+    rows all stay. Only sets of several documents are looked up; the others stand for themselves."""
+    some = rows.where("n > 0")
+    copied = some.groupBy("set_id").agg(F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    named = some.join(small(scratch.write(copied, "copied"), limit), "set_id", "left")
+    return named.where(F.col("lowest").isNull() | (F.col("doc_id") == F.col("lowest")))
+
+
+def named_components(rows: DataFrame, groups: DataFrame, scratch: Scratch, limit: int = BROADCAST_IDS) -> DataFrame:
+    """Per row of rows (doc_id, n, set_id): doc_id, n, and lowest, the smallest doc_id of its component, itself for empty
+    sets; groups (set_id, component) names the sets that have links."""
+    placed = scratch.write(rows.join(groups, "set_id", "left").select("doc_id", "n", F.coalesce("component", "set_id").alias("component")), "placed")
+    # Components of one document need no look-up.
+    lowest = scratch.write(
+        placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("docs")).where("docs > 1").select(F.col("component").alias("of"), "lowest"), "lowest"
+    )
+    place = placed.join(small(lowest, limit), (F.col("component") == F.col("of")) & (F.col("n") > 0), "left")
+    return place.select("doc_id", "n", F.coalesce("lowest", "doc_id").alias("lowest"))
+
+
 def jaccard_components(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE_WORDS, percent: int = PERCENT, broadcast_ids: int = BROADCAST_IDS, star_rounds: int = STAR_ROUNDS
 ) -> DataFrame:
@@ -317,33 +359,50 @@ def jaccard_components(
     name = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"))
     docs = df.select(name.alias("doc_id"), text.alias("text"))
     prefixes = scratch.write(token_sets(docs, n, percent), "prefixes")
-    # One document stands for each set. Only sets of several documents are looked up; the others stand for themselves.
-    copied = scratch.write(
-        prefixes.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "copied"
-    )
-    named = prefixes.where("n > 0").join(small(copied, broadcast_ids), "set_id", "left")
-    one_each = named.where(F.col("lowest").isNull() | (F.col("doc_id") == F.col("lowest")))
-    passed = scratch.write(screened(one_each.select("set_id", "n", "tokens"), percent), "screened")
+    one_each = one_of_each(prefixes, scratch, broadcast_ids)
+    passed = scratch.write(screened(one_each.select("set_id", "n", "tokens"), percent, scratch), "screened")
     chosen = scratch.write(one_each.select("set_id", "doc_id").join(small(passed, broadcast_ids), "set_id", "left_semi").select("doc_id").distinct(), "chosen")
     whole = docs.join(small(chosen, broadcast_ids), "doc_id", "left_semi")
     found = scratch.write(token_sets(whole, n).where("n > 0").select("set_id", "n", "tokens"), "sets")
     # A repeated row brings its set again.
     again = not found.groupBy("set_id").count().where("count > 1").isEmpty()
     rest = (found.dropDuplicates(["set_id"]) if again else found).select("set_id", "n", F.explode("tokens").alias("token"))
-    counts = rest.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
+    counts = scratch.write(rest.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1"), "counts")
     sets = scratch.write(
-        rest.join(counts, "token").groupBy("set_id", "n").agg(F.collect_list(F.struct("df", "token")).alias("held")).where(100 * F.size("held") >= percent * F.col("n")),
+        rest.join(small(counts, BROADCAST_IDS), "token").groupBy("set_id", "n").agg(F.collect_list(F.struct("df", "token")).alias("held")).where(100 * F.size("held") >= percent * F.col("n")),
         "token-sets",
     )
+    scratch.drop(counts)
     groups = linked_sets(sets, scratch, percent, star_rounds)
-    placed = scratch.write(prefixes.join(groups, "set_id", "left").select("doc_id", "n", F.coalesce("component", "set_id").alias("component")), "placed")
-    scratch.drop(prefixes, passed, chosen, found, sets, copied)
-    # Components of one document need no look-up.
-    lowest = scratch.write(
-        placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("docs")).where("docs > 1").select(F.col("component").alias("of"), "lowest"), "lowest"
-    )
-    place = placed.join(small(lowest, broadcast_ids), (F.col("component") == F.col("of")) & (F.col("n") > 0), "left").withColumn("lowest", F.coalesce("lowest", "doc_id"))
+    place = named_components(prefixes, groups, scratch, broadcast_ids)
+    scratch.drop(prefixes, passed, chosen, found, sets)
     return place.select(
         F.col("doc_id.id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("lowest.id").alias("component_id"),
         "doc_id.text_hash", (F.col("lowest") == F.col("doc_id")).alias("is_first"),
     )
+
+
+def links_sql(words: int, percent: int, more: str = "") -> str:
+    """The rows of the join in SQL: all pairs that share a shingle are counted, and links followed to the end."""
+    return rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= {words} THEN list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i : i + {words - 1}], ' '))
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
+), flat AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b ON a.t = b.t AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON r.other = l.a
+), lowest AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id{more} FROM sets s JOIN lowest r ON s.doc_id = r.doc_id
+"""
+
+
+SQL = links_sql(SHINGLE_WORDS, PERCENT)

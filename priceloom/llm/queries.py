@@ -11,8 +11,11 @@ from priceloom.llm import (
     capture_index,
     compression_bands,
     content_chunks,
+    importance_resampling,
     jaccard_join,
     line_crf,
+    one_permutation,
+    pivot_codes,
     site_templates,
     source_mix,
     string_tiling,
@@ -67,6 +70,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.token_counts(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_pivot_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_permutation.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -80,6 +95,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_repeated_spans,
         op9_capture_index,
         op10_token_counts,
+        op11_importance_resampling,
+        op12_pivot_codes,
+        op13_one_permutation,
     )
 }
-ORACLES: dict[str, str] = {"op4_template_tree": template_tree.SQL, "op7_mix_sources": source_mix.SQL}
+ORACLES: dict[str, str] = {
+    "op4_template_tree": template_tree.SQL,
+    "op5_jaccard_join": jaccard_join.SQL,
+    "op7_mix_sources": source_mix.SQL,
+    "op11_importance_resampling": importance_resampling.SQL,
+    "op12_pivot_codes": pivot_codes.SQL,
+    "op13_one_permutation": one_permutation.SQL,
+}
