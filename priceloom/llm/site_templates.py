@@ -8,7 +8,9 @@ block inside them is counted once for each different element around it, since si
 Menus, asides, footers, forms and the like are cut by element name or role. Class names and ids are evidence and no more:
 a name that says nothing but advert, notice, sidebar, comments or another part beside the article makes HINTED_PAGES
 enough for its block, and cuts a container that differs from page to page unless it holds a first heading or half of the
-page's prose (comments: all of it).
+page's prose (comments: all of it). Paragraphs, items and the like go by the less ambiguous of these names. What stands
+inside a cut element goes with it, articles of readers' comments or teasers included; only a form around the page's main
+element stays.
 """
 
 from __future__ import annotations
@@ -59,8 +61,9 @@ PART_WORDS = frozenset(
     "share sharing social related recommended widget widgets pagination pager toolbar copyright login skip".split()
 )
 READER_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
-PLAIN_WORDS = frozenset("area bar block bottom box buttons container global inner items left links list reader right section site top user wrapper".split())
-#: Blocks of the article's own words; class names alone never cut them.
+PLAIN_WORDS = frozenset("area author bar block body bottom box buttons container content date entry form global inner item items left links list meta reader right section site text top user wrapper".split())
+#: Blocks of the article's own words. Names with these parts are common there and say nothing.
+AMBIGUOUS_WORDS = frozenset("banner header masthead modal overlay skip social toolbar topbar widget widgets".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption".split())
 MAIN = frozenset(["article", "main"])
 
@@ -70,24 +73,25 @@ _QUOTED = re.compile(r"[^>=]*+(?:=\s*+(?:(?:\"[^\"]*+\"|'[^']*+')|(?![\"']))[^>=
 _SPLIT = re.compile(r"[^a-zA-Z]+")
 
 
-def hint_of(names: str) -> int:
-    """2 if one of the names in a class or id says readers' words, 1 for another part beside the article, else 0."""
+def hint_of(names: str, prose: bool = False) -> int:
+    """2 if one of the names in a class or id says readers' words, 1 for another part beside the article, else 0. prose: of
+    an element of prose, where some names are ambiguous."""
     found = 0
     for name in names.lower().split():
         words = {w for w in _SPLIT.split(name) if w}
-        if words <= PART_WORDS | READER_WORDS | PLAIN_WORDS:
+        if words <= PART_WORDS | READER_WORDS | PLAIN_WORDS and not (prose and words & AMBIGUOUS_WORDS):
             found = max(found, 2 if words & READER_WORDS else 1 if words & PART_WORDS else 0)
     return found
 
 
 class Element:
-    __slots__ = ("name", "cut", "hint", "main", "children", "holds_main", "heading", "prose", "digest")
+    __slots__ = ("name", "cut", "inside_cut", "hint", "main", "children", "holds_main", "heading", "prose", "digest")
 
     def __init__(self, name: str, tag: str) -> None:
         self.name = name
         self.children: list[Element | str] = []
         self.main = name in MAIN
-        self.holds_main = self.heading = False
+        self.holds_main = self.heading = self.inside_cut = False
         self.cut = name in NOT_CONTENT
         self.hint = self.prose = self.digest = 0
         if "=" in tag:
@@ -97,7 +101,7 @@ class Element:
                     self.cut |= value.lower() in ROLES
                     self.main |= value.lower() == "main"
                 elif name not in ("html", "body", "main"):
-                    self.hint = max(self.hint, hint_of(value))
+                    self.hint = max(self.hint, hint_of(value, name in PROSE))
 
 
 class Open:
@@ -200,9 +204,20 @@ def walk(root: Element) -> list[Element]:
     return out
 
 
+def spare_forms(order: list[Element]) -> None:
+    """Forms around a main element that nothing else inside them cuts are the page's frame; no form is around another."""
+    holds: dict[int, bool] = {}
+    for element in reversed(order):
+        inner = any(holds.get(id(c)) for c in element.children if isinstance(c, Element))
+        if element.name == "form" and inner:
+            element.cut = False
+        holds[id(element)] = (inner or element.main) and not element.cut
+
+
 def understood(root: Element) -> Element:
     """Fills in prose and heading, then what is cut by its name, then holds_main and the digests of blocks."""
     order = walk(root)
+    spare_forms(order)
     for element in reversed(order):
         if not element.cut:
             element.heading = element.name == "h1"
@@ -213,10 +228,14 @@ def understood(root: Element) -> Element:
                     element.prose += c.prose
                     element.heading |= c.heading
     for element in order:
-        if element.hint and element.name not in PROSE and not element.heading:
-            most = root.prose if element.hint == 2 else root.prose / 2
+        if element.hint and not element.heading:
+            most = root.prose if element.hint == 2 and element.name not in PROSE else root.prose / 2
             element.cut |= element.prose < most
-        element.main &= not element.cut
+    for element in order:
+        element.main &= not (element.cut or element.inside_cut)
+        for c in element.children:
+            if isinstance(c, Element):
+                c.inside_cut = element.cut or element.inside_cut
     for element in reversed(order):
         element.holds_main = any(c.main or c.holds_main for c in element.children if isinstance(c, Element))
     hashed: list[list[bytes]] = [[]]
@@ -249,7 +268,7 @@ def candidates(root: Element) -> set[tuple[int, int | None, bool]]:
     queue: list[tuple[Element, int | None]] = [(root, None)]
     while queue:
         element, around = queue.pop()
-        if element.cut and not element.holds_main:
+        if element.cut:
             continue
         if not element.main and not element.holds_main and element.name in BLOCK and element.name not in ("html", "body"):
             found.add((element.digest, around, element.hint > 0))
@@ -279,7 +298,7 @@ def extract(root: Element, template: set[int]) -> str:
             if inside:
                 open_text.append(node)
             continue
-        if not node.holds_main and (node.cut or node.name == "header" and not root.holds_main):
+        if node.cut or node.name == "header" and not root.holds_main:
             if node.name in BLOCK:
                 close()
             continue

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from priceloom.llm import capture_index, compression_bands, content_chunks, site_templates, source_mix, string_tiling, template_tree
 from priceloom.queries import querylog
@@ -177,3 +179,22 @@ def test_line_dedup_is_the_same_by_broadcast_and_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(template_tree, "BROADCAST_TEMPLATES", 0)
     assert rows(broadcast_leaves=0) == sent
     assert any("n_dropped=3" in r for r in sent)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>story</p></article><div id=comments><ol class='comment-list'><li class='comment'><article class='comment-body'><p>reader hi</article></ol></div>", "story"),
+        ("<article><p>story</p></article><aside><article><p>related teaser</article></aside>", "story"),
+        ("<article><p>story</p></article><footer><article>foot article</article></footer>", "story"),
+        ("<nav><main><p>menu</main></nav><p>story</p>", "story"),
+        ("<article><p>a long enough story<p class='comment'>first!</p><blockquote class='comment'>second!</blockquote><p class='ad'>buy</p></article>", "a long enough story"),
+        ("<article><h2 class='header'>part</h2><p>a story<ul><li class='comment-item'>hi</li></ul></article>", "part\na story"),
+        ("<form id=frame><header>top</header><article><h1>t</h1><p>story</p><div class=ad>buy</div></article></form>", "t\nstory"),
+        ("<article><p>story</p><form><p>your name</p></form></article><form class=search><p>find</p></form>", "story"),
+        ("<p class='comment'>all there is</p>", "all there is"),
+        ("<article class='comment'>all there is</article>", "all there is"),
+    ],
+)
+def test_cut_elements_win_over_what_is_inside(page, text):
+    assert site_templates.extract(site_templates.understood(site_templates.parse(page)), set()) == text
