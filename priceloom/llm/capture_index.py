@@ -4,8 +4,10 @@ Pages become WARC/1.1 records (a payload seen before becomes a revisit of the pa
 Spark's text writer: a record ends with CR LF CR and the writer's line end, so files are plain WARC on any file system.
 
 The index is made from the archives alone. Captures are sorted by their reversed-host URL key into compressed blocks of
-BLOCK_LINES lines; the directory holds one entry per block, its first key. A lookup binary-searches the directory, then
-the lines of the blocks that may hold the key, and reads the records by byte range.
+BLOCK_LINES lines; the directory holds one entry per block, its first and last key, in a file for each range of the sort.
+A lookup sorts the keys: a task goes through its keys and holds the directory of one range at a time, of which only the
+bounds, one pair for each range, pass through the driver. It binary-searches the bounds, the directory, then the lines of
+the blocks that may hold a key, and reads the records by byte range, in tasks of about READ_BYTES.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ HEADER_BYTES = 1 << 12
 #: Captures of one Arrow batch, and tasks that scan archives at most.
 BATCH_ROWS = 10_000
 TASKS = 10_000
-#: Directory entries that a lookup sends to the tasks at a time; a larger directory is searched in such pieces.
-DIRECTORY_PIECE = 200_000
+#: Bytes of records that a task reads, and that are read from one place of an archive.
+READ_BYTES = 32 << 20
 #: Payloads of fewer bytes are never revisits.
 MIN_REVISIT_BYTES = 0
 CAPTURE_DATE = "2024-01-01T00:00:00Z"
@@ -166,10 +168,30 @@ def opened(path: str) -> pa.NativeFile:
 
 @dataclass
 class CaptureIndex:
-    """blocks: (part, block, first_key, last_key, data); parts and first keys are in key order."""
+    """blocks: (part, block, first_key, last_key, data); parts: for each range, in key order, its first and last key and the
+    file of its directory, whose lines are the first key, last key and number of its blocks."""
 
     blocks: DataFrame
-    parts: list[tuple[int, int]]  # (part, blocks in it), in key order
+    parts: list[tuple[str, str, int, str]]  # first key, last key, part, directory file
+
+
+class Directory:
+    """The blocks that may hold a key. Keys come in order, so the directory of one range is held at a time."""
+
+    def __init__(self, parts: list[tuple[str, str, int, str]]) -> None:
+        self.parts = parts
+        self.firsts, self.lasts = [p[0] for p in parts], [p[1] for p in parts]
+        self.held: tuple[int, list[str], list[str], list[str]] | None = None
+
+    def blocks(self, key: str) -> Iterator[tuple[int, int]]:
+        for _, _, part, path in self.parts[bisect.bisect_left(self.lasts, key) : bisect.bisect_right(self.firsts, key)]:
+            if not self.held or self.held[0] != part:
+                with opened(path) as file:
+                    entries = [json.loads(x) for x in file.read().splitlines()]
+                self.held = (part, *map(list, zip(*entries, strict=True)))
+            _, firsts, lasts, numbers = self.held
+            for i in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key)):
+                yield part, int(numbers[i])
 
 
 def build_index(spark: SparkSession, archives: str, block_lines: int = BLOCK_LINES) -> CaptureIndex:
@@ -222,40 +244,30 @@ def build_index(spark: SparkSession, archives: str, block_lines: int = BLOCK_LIN
     order = ["url_key", "path", "offset"]
     ranges = captures.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     blocks = written(ranges.mapInArrow(pack, block), "index-blocks")
-    parts = blocks.groupBy("part").count().orderBy("part").collect()
-    return CaptureIndex(blocks, [(r["part"], r["count"]) for r in parts])
+    path = new_path(spark, "index-directory")
+    entry = F.to_json(F.array("first_key", "last_key", F.col("block").cast("string")))
+    pieces = blocks.groupBy("part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", entry.alias("entry")))), lambda x: x["entry"]), "\n").alias("entries"))
+    pieces.select("part", "entries").write.partitionBy("part").text(path)
+    part = F.regexp_extract("path", r"/part=(\d+)/", 1).cast("int").alias("part")
+    files = {r["part"]: r["path"] for r in spark.read.format("binaryFile").load(path).select(part, "path").collect()}
+    bounds = blocks.groupBy("part").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last")).orderBy("part").collect()  # a row for each range
+    return CaptureIndex(blocks, [(r["first"], r["last"], r["part"], files[r["part"]]) for r in bounds])
 
 
-def lookup(index: CaptureIndex, keys: DataFrame, piece: int = DIRECTORY_PIECE) -> DataFrame:
+def lookup(index: CaptureIndex, keys: DataFrame) -> DataFrame:
     """The captures (CAPTURE) of all rows of a table of distinct url_key, none of them null. Keys that the index lacks give
     no rows; neither does an empty table or an empty index."""
     schema = T.StructType([T.StructField("url_key", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType())])
-    pieces: list[list[int]] = []
-    size = piece
-    for part, n in index.parts:
-        if size + n > piece:
-            pieces.append([])
-            size = 0
-        pieces[-1].append(part)
-        size += n
-    wanted = None
-    for own in pieces:
-        directory = index.blocks.where(F.col("part").between(own[0], own[-1])).select("first_key", "last_key", "part", "block").orderBy("part", "block").toArrow().to_pydict()
-
-        def locate(batches: Iterator[pa.RecordBatch], d: dict = directory) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = []
-                for key in batch.column(0).to_pylist():
-                    until = bisect.bisect_right(d["first_key"], key)
-                    begin = bisect.bisect_left(d["last_key"], key)
-                    rows += [(key, d["part"][i], d["block"][i]) for i in range(begin, until)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32()), strict=True)], names=schema.names)
+    parts = index.parts
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directory = Directory(parts)
+        for batch in batches:
+            rows = [(key, *found) for key in batch.column(0).to_pylist() for found in directory.blocks(key)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32()), strict=True)], names=schema.names)
 
-        found = keys.select("url_key").mapInArrow(locate, schema)
-        wanted = found if wanted is None else wanted.union(found)
-    if wanted is None:
-        return keys.sparkSession.createDataFrame([], CAPTURE)
+    wanted = keys.select("url_key").repartitionByRange("url_key").sortWithinPartitions("url_key").mapInArrow(locate, schema)
     # A block is opened once for all of its keys; at most block_lines keys fall into one, so the list is bounded.
     asked = wanted.groupBy("part", "block").agg(F.sort_array(F.collect_set("url_key")).alias("keys"))
     opened = index.blocks.join(asked, ["part", "block"]).select("keys", "data")
@@ -287,7 +299,8 @@ def parse_record(data: bytes) -> tuple[int | None, int, str, str, int | None, st
 
 
 def read_records(captures: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records (RECORD) of captures, each read by its byte range. Null page ids and URLs come back as null."""
+    """The records (RECORD) of a written table of captures, each read by its byte range, neighbours by one task. Null page
+    ids and URLs come back as null."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: tuple[str | None, pa.NativeFile | None] = (None, None)
@@ -302,7 +315,10 @@ def read_records(captures: DataFrame, with_payload: bool = True) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=RECORD.names)
 
-    return captures.select("path", "offset", "length").sortWithinPartitions("path", "offset").mapInArrow(read, RECORD)
+    total = captures.agg(F.sum("length").alias("total")).first()["total"] or 0
+    places = captures.select("path", "offset", "length", F.floor(F.col("offset") / READ_BYTES).alias("place"))
+    dealt = places.repartition(max(1, min(-(-total // READ_BYTES), TASKS)), "path", "place").sortWithinPartitions("path", "offset")
+    return dealt.select("path", "offset", "length").mapInArrow(read, RECORD)
 
 
 def archived_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -317,4 +333,4 @@ def archived_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     index = build_index(spark, archives)
     stored = F.regexp_replace(F.col(url_col).cast("string"), r"[\x00-\x20]", "%20")
     keys = df.select(url_key(stored).alias("url_key")).distinct()
-    return read_records(lookup(index, keys), with_payload=False).drop("url", "payload")
+    return read_records(written(lookup(index, keys), "found"), with_payload=False).drop("url", "payload")

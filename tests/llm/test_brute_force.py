@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import html
+import json
 import random
 import re
 import time
@@ -11,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from priceloom.llm import bpe_counts, compression_bands, content_chunks, jaccard_join, line_crf, site_templates, source_mix, string_tiling, template_tree
 from priceloom.llm import capture_index
@@ -225,7 +227,7 @@ def test_archives_round_trip(spark):
     capture_index.write_archives(pages, archives)
     index = capture_index.build_index(spark, archives, block_lines=7)
     keys = pages.select(capture_index.url_key(pages["url"]).alias("url_key")).distinct()
-    read = {r["page_id"]: r for r in capture_index.read_records(capture_index.lookup(index, keys, piece=3)).collect()}
+    read = {r["page_id"]: r for r in capture_index.read_records(capture_index.written(capture_index.lookup(index, keys), "found")).collect()}
     rows = pages.collect()
     assert len(read) == len(rows)
     for r in rows:
@@ -233,6 +235,36 @@ def test_archives_round_trip(spark):
         assert read[r["page_id"]]["payload_digest"] == base64.b32encode(hashlib.sha1(r["html"].encode()).digest()).decode()
 
 
+def test_a_lookup_holds_the_directory_of_one_range_at_a_time(tmp_path, monkeypatch):
+    rng = random.Random(6)
+    keys = sorted("".join(rng.choice("ab,)/") for _ in range(rng.randint(0, 4))) for _ in range(600))
+    blocks = [keys[i : i + 5] for i in range(0, len(keys), 5)]
+    parts, reads = [], []
+    for part in range(0, len(blocks), 8):
+        path = tmp_path / str(part)
+        path.write_text("\n".join(json.dumps([b[0], b[-1], str(part + i)]) for i, b in enumerate(blocks[part : part + 8])))
+        parts.append((blocks[part][0], blocks[min(part + 7, len(blocks) - 1)][-1], part, str(path)))
+    whole = capture_index.opened
+    monkeypatch.setattr(capture_index, "opened", lambda path: reads.append(path) or whole(path))
+    directory = capture_index.Directory(parts)
+    for key in sorted({*keys, "0", "zz", "a)(", ""}):
+        assert [int(n) for _, n in directory.blocks(key)] == [i for i, b in enumerate(blocks) if b[0] <= key <= b[-1]]
+        assert len(directory.held[1]) <= 8 if directory.held else True
+    assert len(reads) <= 2 * len(parts)  # one key may stand in several ranges
+
+
+def test_records_are_read_in_tasks_of_bounded_bytes(spark, monkeypatch):
+    monkeypatch.setattr(capture_index, "READ_BYTES", 4_000)
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", "x" * 1_000) for i in range(64)], "page_id bigint, url string, html string")
+    archives = capture_index.new_path(spark, "archives")
+    capture_index.write_archives(pages.withColumn("html", F.concat("html", F.col("page_id").cast("string"))), archives)
+    index = capture_index.build_index(spark, archives)
+    found = capture_index.written(capture_index.lookup(index, pages.select(capture_index.url_key(F.col("url")).alias("url_key"))), "found")
+    total = found.agg(F.sum("length")).first()[0]
+    records = capture_index.read_records(found)
+    assert records.rdd.getNumPartitions() == -(-total // 4_000) and records.count() == 64
+
+
 def test_mix_reaches_its_targets(spark):
     rng = random.Random(11)
     docs = [(i, " ".join(["w"] * rng.randint(1, 30)), rng.choice("aaaaabc")) for i in range(3000)]
