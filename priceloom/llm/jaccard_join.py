@@ -116,14 +116,15 @@ def held_by_several(postings: DataFrame, key: str, scratch: Scratch, limit: int
     """The rows of postings whose key stands in several of them. The keys become a table first: Spark splits a frequent key of
     a join of tables, but not of a join with a grouping by it."""
     counted = postings.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in facts.items()])
-    return postings.join(small(scratch.write(counted.where(having).select(key), f"several-{key}"), limit), key, "left_semi")
+    several = scratch.write(counted.where(having).select(key), f"several-{key}")
+    return postings.join(small(several, limit) if limit else several, key, "left_semi")
 
 
 def screened(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """set_id of the sets (set_id, n, prefix tokens) that share enough prefix tokens with others."""
     postings = sets.select("set_id", "n", F.explode("tokens").alias("token"))
     needed = F.lit(1) + F.floor(F.ceil(F.col("n") * percent / 100) / 16)
-    return held_by_several(postings, "token", scratch, having="n > 1").groupBy("set_id", "n").count().where(F.col("count") >= needed).select("set_id")
+    return held_by_several(postings, "token", scratch, limit=0).groupBy("set_id", "n").count().where(F.col("count") >= needed).select("set_id")
 
 
 def prefix_signatures(n: int, counts: np.ndarray, held: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -369,7 +370,7 @@ def jaccard_components(
     rest = (found.dropDuplicates(["set_id"]) if again else found).select("set_id", "n", F.explode("tokens").alias("token"))
     counts = scratch.write(rest.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1"), "counts")
     sets = scratch.write(
-        rest.join(small(counts, BROADCAST_IDS), "token").groupBy("set_id", "n").agg(F.collect_list(F.struct("df", "token")).alias("held")).where(100 * F.size("held") >= percent * F.col("n")),
+        rest.join(counts, "token").groupBy("set_id", "n").agg(F.collect_list(F.struct("df", "token")).alias("held")).where(100 * F.size("held") >= percent * F.col("n")),
         "token-sets",
     )
     scratch.drop(counts)
