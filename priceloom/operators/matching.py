@@ -94,6 +94,39 @@ def match_by_token(offers: DataFrame, catalog: DataFrame, text: str = "text", to
     return tokens.join(catalog, token).where(F.expr(f"{text} RLIKE include_pattern") & ~shut).drop(token)
 
 
+def literal_tokens(phrase: Column) -> Column:
+    """The tokens that every text with a phrase holds as its own: all of them, or, where a digit lifts the word edges, those
+    between the first and the last word."""
+    plain = F.trim(F.lower(phrase))
+    words = F.split(plain, r"\s+")
+    inner = F.when(F.size(words) > 2, F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    kept = F.when(plain.rlike(r"\d|–|n/a"), inner).otherwise(words)
+    return F.array_distinct(F.regexp_extract_all(F.array_join(kept, " "), F.lit(r"([\p{L}\p{N}]+)"), 1))
+
+
+def match_phrases(offers: DataFrame, catalog: DataFrame, key: str, text: str = "text", block: int = BROADCAST_FAMILIES) -> DataFrame:
+    """(key, family) of texts that hold an included phrase of a family (family, include, exclude) and none of its excluded ones.
+
+    A hash join: each phrase is looked up by the one of its literal tokens that the fewest phrases have, and its pattern is
+    tried only where all of its tokens are in the text. Phrases without such a token are tried on every text, in blocks.
+    Null and blank texts match nothing; a phrase that a text holds twice counts once.
+    """
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    texts = offers.select(key, low.alias("_text"))
+    phrases = catalog.select("family", F.explode(F.array_distinct("include")).alias("phrase")).where("trim(phrase) <> ''")
+    phrases = phrases.select("family", phrase_pattern(F.col("phrase")).alias("pattern"), literal_tokens(F.col("phrase")).alias("tokens"))
+    rarity = phrases.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = phrases.select("family", "pattern", "tokens", F.explode("tokens").alias("token")).join(rarity, "token").groupBy("family", "pattern", "tokens").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    held = texts.withColumn("_held", F.array_distinct(F.regexp_extract_all("_text", F.lit(r"([\p{L}\p{N}]+)"), 1)))
+    near = held.withColumn("token", F.explode("_held")).join(rarest, "token").where((F.size(F.array_except("tokens", "_held")) == 0) & F.expr("_text RLIKE pattern"))
+    found = near.select(key, "family", "_text")
+    bare = phrases.where("size(tokens) = 0").select("family", F.col("pattern").alias("include_pattern"), F.lit(None).cast("string").alias("exclude_pattern"))
+    if not bare.isEmpty():
+        found = found.union(match_offers(texts, bare, "_text", include_only=True, block=block).select(key, "family", "_text"))
+    shut = compile_phrases(catalog).select("family", "exclude_pattern")
+    return found.distinct().join(shut, "family").where("NOT _text RLIKE coalesce(exclude_pattern, '(?!)')").select(key, "family")
+
+
 def preference_score(text: Column, prefer: Column, priced: Column) -> Column:
     """10 for each place from the end of the best preferred pattern, one more if the offer has a price."""
     n = F.size(prefer)
