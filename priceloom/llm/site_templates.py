@@ -8,7 +8,7 @@ block inside them is counted once for each different element around it, since si
 Menus, asides, footers, forms and the like are cut by element name or role. Class names and ids are evidence and no more:
 a name that says nothing but advert, notice, sidebar, comments or another part beside the article makes HINTED_PAGES
 enough for its block, and cuts a container that differs from page to page unless it holds a first heading or half of the
-page's prose (comments: all of it). Paragraphs, items and the like go by the less ambiguous of these names. What stands
+page's prose (comments: all of it). Paragraphs, items and the like go by names of adverts and readers' words. What stands
 inside a cut element goes with it, articles of readers' comments or teasers included; only a form around the page's main
 element stays.
 """
@@ -25,12 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from priceloom.llm.common import Scratch, append_columns, fresh_name
+from priceloom.llm.common import Scratch, append_columns, fresh_name, small
 
 MIN_PAGES = 5
 MIN_SHARE = 0.3
 MANY_PAGES = 50
 HINTED_PAGES = 2
+#: Hosts whose page counts are sent to every task; more are joined by shuffle.
+BROADCAST_HOSTS = 200_000
 
 #: Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -62,8 +64,8 @@ PART_WORDS = frozenset(
 )
 READER_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
 PLAIN_WORDS = frozenset("area author bar block body bottom box buttons container content date entry form global inner item items left links list meta reader right section site text top user wrapper".split())
-#: Blocks of the article's own words. Names with these parts are common there and say nothing.
-AMBIGUOUS_WORDS = frozenset("banner header masthead modal overlay skip social toolbar topbar widget widgets".split())
+#: Words of an advert; of the names above, those that cut a block of the article's own words are these and readers' words.
+ADVERT_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption".split())
 MAIN = frozenset(["article", "main"])
 
@@ -73,25 +75,24 @@ _QUOTED = re.compile(r"[^>=]*+(?:=\s*+(?:(?:\"[^\"]*+\"|'[^']*+')|(?![\"']))[^>=
 _SPLIT = re.compile(r"[^a-zA-Z]+")
 
 
-def hint_of(names: str, prose: bool = False) -> int:
-    """2 if one of the names in a class or id says readers' words, 1 for another part beside the article, else 0. prose: of
-    an element of prose, where some names are ambiguous."""
+def hint_of(names: str, words: frozenset[str] = PART_WORDS) -> int:
+    """2 if one of the names in a class or id says readers' words, 1 for another part beside the article (of words), else 0."""
     found = 0
     for name in names.lower().split():
-        words = {w for w in _SPLIT.split(name) if w}
-        if words <= PART_WORDS | READER_WORDS | PLAIN_WORDS and not (prose and words & AMBIGUOUS_WORDS):
-            found = max(found, 2 if words & READER_WORDS else 1 if words & PART_WORDS else 0)
+        said = {w for w in _SPLIT.split(name) if w}
+        if said <= words | READER_WORDS | PLAIN_WORDS:
+            found = max(found, 2 if said & READER_WORDS else 1 if said & words else 0)
     return found
 
 
 class Element:
-    __slots__ = ("name", "cut", "inside_cut", "hint", "main", "children", "holds_main", "heading", "prose", "digest")
+    __slots__ = ("name", "cut", "inside_cut", "hint", "goes", "main", "children", "holds_main", "heading", "prose", "digest")
 
     def __init__(self, name: str, tag: str) -> None:
         self.name = name
         self.children: list[Element | str] = []
         self.main = name in MAIN
-        self.holds_main = self.heading = self.inside_cut = False
+        self.holds_main = self.heading = self.inside_cut = self.goes = False
         self.cut = name in NOT_CONTENT
         self.hint = self.prose = self.digest = 0
         if "=" in tag:
@@ -101,7 +102,8 @@ class Element:
                     self.cut |= value.lower() in ROLES
                     self.main |= value.lower() == "main"
                 elif name not in ("html", "body", "main"):
-                    self.hint = max(self.hint, hint_of(value, name in PROSE))
+                    self.hint = max(self.hint, hint_of(value))
+                    self.goes |= self.hint > 0 and (name not in PROSE or hint_of(value, ADVERT_WORDS) > 0)
 
 
 class Open:
@@ -228,7 +230,7 @@ def understood(root: Element) -> Element:
                     element.prose += c.prose
                     element.heading |= c.heading
     for element in order:
-        if element.hint and not element.heading:
+        if element.goes and not element.heading:
             most = root.prose if element.hint == 2 and element.name not in PROSE else root.prose / 2
             element.cut |= element.prose < most
     for element in order:
@@ -338,11 +340,13 @@ def page_subtrees(pages: DataFrame) -> DataFrame:
 
 
 def template_subtrees(
-    subtrees: DataFrame, pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES, hinted_pages: int = HINTED_PAGES
+    subtrees: DataFrame, pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES, hinted_pages: int = HINTED_PAGES, scratch: Scratch | None = None
 ) -> DataFrame:
     """(host, digest) of the subtrees (host, digest, around, hinted) that recur across a host's pages, or across its
     different main elements. pages has a row with its host for each page."""
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
+    if scratch:  # a table, so that a host of very many subtrees can be split
+        hosts = small(scratch.write(hosts, "hosts"), BROADCAST_HOSTS)
     each = subtrees.groupBy("host", "digest", "around").agg(F.count(F.lit(1)).alias("n"), F.max("hinted").alias("hinted"))
     counts = each.groupBy("host", "digest").agg(F.sum(F.when(F.col("around").isNull(), F.col("n")).otherwise(1)).alias("n"), F.max("hinted").alias("hinted"))
     counts = counts.where((F.col("n") >= min_pages) | F.col("hinted") & (F.col("n") >= hinted_pages))
@@ -364,7 +368,7 @@ def main_text(
     pages = df.select(key.alias("page"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
     trees = scratch.write(page_subtrees(pages), "subtrees")
     subtrees = trees.select("page", "host", F.explode("subtrees").alias("s")).select("page", "host", "s.*")
-    templates = scratch.write(template_subtrees(subtrees, trees.select("host"), min_pages, min_share), "site-templates")
+    templates = scratch.write(template_subtrees(subtrees, trees.select("host"), min_pages, min_share, scratch=scratch), "site-templates")
     found = subtrees.select("page", "host", "digest").join(templates, ["host", "digest"]).groupBy("page").agg(F.collect_set("digest").alias("template"))
     cuts = scratch.write(found, "page-templates")
     scratch.drop(trees, templates)
