@@ -201,6 +201,10 @@ def fit_field(x: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndar
     return field
 
 
+#: Texts of more than this share of a label's bytes are not learned from, so that one of them takes no other's place.
+LONGEST_SHARE = 16
+
+
 def _sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, sample_bytes: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Texts, labels and weights of the bounded training sample."""
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1) AND id IS NOT NULL")
@@ -211,7 +215,8 @@ def _sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     found = texts.join(F.broadcast(chosen[0].union(chosen[1])), "id").select("id", "label", F.col("text").cast("binary").alias("text"))
     # At most 2 * per_label rows are left, so a window over each label is bounded.
     by_hash = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
-    within = found.where("text IS NOT NULL").withColumn("bytes", F.sum(F.octet_length("text")).over(by_hash)).where(F.col("bytes") <= sample_bytes)
+    fits = F.octet_length("text") <= sample_bytes // LONGEST_SHARE
+    within = found.where("text IS NOT NULL").where(fits).withColumn("bytes", F.sum(F.octet_length("text")).over(by_hash)).where(F.col("bytes") <= sample_bytes)
     table = within.drop("bytes").toArrow().sort_by("id")
     rows = list(zip(table.column("text").to_pylist(), table.column("label").to_pylist(), strict=True))
     label = np.array([r[1] for r in rows], int)
@@ -229,7 +234,8 @@ def held_out(key: Column) -> Column:
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = SAMPLE_PER_LABEL, sample_bytes: int = SAMPLE_BYTES) -> LineField | float:
     """The fitted field; where the training rows lack one of the labels, the share of label 1 (0.5 without rows).
 
-    Labels other than 0 and 1, null ids, null texts and held-out rows are left out; of repeated labels of an id one counts.
+    Labels other than 0 and 1, null ids, null texts and held-out rows are left out, and so are texts of more than a sixteenth of
+    sample_bytes; of repeated labels of an id one counts.
     """
     texts, label, weight = _sample(df, labels, id_col, text_col, label_col, per_label, sample_bytes)
     if len(set(label.tolist())) < 2:
