@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,12 +122,13 @@ def chunks(docs: DataFrame, run: int = RUN) -> DataFrame:
     return docs.select("doc_id", "text_hash", "text").mapInArrow(cut, schema)
 
 
+def _text_hash(text: Column) -> Column:
+    """Tells rows of one id apart."""
+    return F.hash(text.cast("string"))
+
+
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, text), equal rows once. text_hash is 0 throughout where no id repeats, so that it costs nothing."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.withColumn("text_hash", F.lit(0).cast("long"))
-    return docs.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"])
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), _text_hash(F.col(text_col)).alias("text_hash"))
 
 
 def repeated_spans(
@@ -138,7 +139,7 @@ def repeated_spans(
 
     Digests are counted with partial sums before the shuffle; only those that recur are joined back, where Spark splits
     frequent ones. Null and empty texts have no chunks. Equal rows are one document; rows that share an id but not the text
-    are told apart by text_hash (0 throughout where ids are unique). Only the id and the text are read; an empty table
+    are told apart by text_hash (32 bits). Only the id and the text are read; an empty table
     gives an empty table.
     """
     docs = _documents(df, id_col, text_col)
@@ -155,7 +156,7 @@ def repeated_spans(
     )
     in_order = Window.partitionBy("doc_id", "text_hash").orderBy("place")
     return (
-        later.withColumn("island", F.col("place") - F.row_number().over(in_order))
+        later.withColumn("island", F.col("place") - F.dense_rank().over(in_order))
         .groupBy("doc_id", "text_hash", "island")
         .agg(
             F.min("first_doc_id").alias("first_doc_id"),
@@ -173,7 +174,7 @@ def without_spans(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_
     null), and equal rows lose the same spans."""
     key, text_key, cuts = (fresh_name(df, x) for x in ("span_doc", "span_text", "span_cuts"))
     lists = spans.groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(text_key)).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(cuts))
-    same = F.col(text_key).isin(F.lit(0), F.xxhash64(F.col(text_col).cast("string")))
+    same = F.col(text_key) == _text_hash(F.col(text_col))
     joined = df.join(lists, F.col(id_col).eqNullSafe(F.col(key)) & same, "left").drop(key, text_key)
 
     def apply(batch: pa.RecordBatch) -> list[pa.Array]:
