@@ -116,8 +116,9 @@ def recurring_lines(
     placed = written(shared.withColumn("masked", masked(F.col("line"))).withColumn("variant", F.xxhash64("masked")).drop("line"), "leaf-lines")
     variants = written(placed.groupBy("leaf", "n_tokens", "variant", "masked").count(), "line-variants")
     tokens = variants.select("leaf", "n_tokens", "variant", "count", F.posexplode(F.split("masked", " ", -1)).alias("place", "token"))
-    constants = tokens.where(F.col("token") != FIELD).groupBy("leaf", "place", "token").agg(F.sum("count").alias("lines")).where(F.col("lines") >= min_docs)
-    fields = tokens.join(constants, ["leaf", "place", "token"], "left").withColumn("constant", F.col("lines").isNotNull())
+    # A table: all variants of a leaf have the same leading tokens, and Spark splits such keys in joins of tables only.
+    constants = written(tokens.where(F.col("token") != FIELD).groupBy("leaf", "place", "token").agg(F.sum("count").alias("lines")).where(F.col("lines") >= min_docs), "constants")
+    fields = tokens.join(small(constants, BROADCAST_TEMPLATES), ["leaf", "place", "token"], "left").withColumn("constant", F.col("lines").isNotNull())
     templates = (
         fields.groupBy("leaf", "n_tokens", "variant")
         .agg(
