@@ -6,29 +6,13 @@ import random
 import re
 import zlib
 
-import duckdb
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from priceloom.llm import importance_resampling, jaccard_join, one_permutation, pivot_codes, queries
+from priceloom.llm import importance_resampling, one_permutation, pivot_codes
 
-DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-NAMES = ["op5_jaccard_join", "op11_importance_resampling", "op12_pivot_codes", "op13_one_permutation"]
-
-
-@pytest.mark.parametrize("name", NAMES)
-def test_queries_equal_their_sql(spark, name):
-    con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    got, want = queries.QUERIES[name](spark, DATA).toPandas(), con.execute(queries.ORACLES[name]).df()
-    assert sorted(got.columns) == sorted(want.columns)
-    order = sorted(got.columns)
-    got, want = (x[order].sort_values([c for c in order if c.endswith("_id")]).reset_index(drop=True) for x in (got, want))
-    pd.testing.assert_frame_equal(got, want, check_dtype=False)
 
 
 # -- op11 ------------------------------------------------------------------------------------------------------------
