@@ -74,16 +74,121 @@ def compare_runs(a: DataFrame, b: DataFrame, key: str, fields: Sequence[str]) ->
     )
 
 
+#: Percentiles of a service's latency are off by at most this share of the ranks; buffers hold about as many values.
+RANK_ACCURACY = 10_000
+
+
 def service_metrics(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Requests, errors, error rate, mean and percentile latency of (kind, latency) rows."""
+    """Requests, errors, error rate, mean and percentile latency of (kind, latency) rows. Percentiles are values of the
+    column from mergeable summaries of bounded size, exact for groups of up to RANK_ACCURACY rows."""
     return events.groupBy(*by).agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if(F.col("kind") == "error").alias("errors"),
         (F.count_if(F.col("kind") == "error") / F.count(F.lit(1))).alias("error_rate"),
         F.avg("latency").alias("mean_latency"),
-        F.percentile("latency", 0.5).alias("p50"),
-        F.percentile("latency", 0.95).alias("p95"),
+        F.percentile_approx("latency", 0.5, RANK_ACCURACY).alias("p50"),
+        F.percentile_approx("latency", 0.95, RANK_ACCURACY).alias("p95"),
+    )
+
+
+def shopper_sessions(answers: DataFrame, user: str = "user", ts: str = "ts", gap: str = "30 minutes") -> DataFrame:
+    """(user, session_start, session_end, requests, clarifies, continues, first_clarify, last_continue, is_completed): answers
+    (user, ts, action) that follow each other within the gap are a session. It is completed if a tracker was reached after
+    a question. A grouping by session windows; batch or stream. Rows without a user or time belong to no session."""
+    at = lambda action: F.when(F.col("action") == action, F.col(ts))
+    rows = answers.where(F.col(user).isNotNull() & F.col(ts).isNotNull()).groupBy(user, F.session_window(ts, gap).alias("s"))
+    found = rows.agg(
+        F.count(F.lit(1)).alias("requests"),
+        F.count_if(F.col("action") == "clarify").alias("clarifies"),
+        F.count_if(F.col("action") == "continue").alias("continues"),
+        F.min(at("clarify")).alias("first_clarify"),
+        F.min(at("continue")).alias("first_continue"),
+        F.max(at("continue")).alias("last_continue"),
+    )
+    return found.select(
+        user, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "requests", "clarifies", "continues", "first_clarify", "last_continue",
+        F.coalesce(F.col("last_continue") > F.col("first_clarify"), F.lit(False)).alias("is_completed"),
+        (F.col("first_continue").isNotNull() & F.coalesce(F.col("first_continue") < F.col("first_clarify"), F.lit(True))).alias("is_direct"),
+    )
+
+
+def completion_metrics(sessions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Sessions, those asked back, those that went on after it, their rate, and the share that reached a tracker at once."""
+    asked = F.count_if(F.col("clarifies") > 0)
+    return sessions.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("sessions"),
+        asked.alias("asked"),
+        F.count_if("is_completed").alias("completed"),
+        (F.count_if("is_completed") / F.nullif(asked, F.lit(0))).alias("completion_rate"),
+        (F.count_if("is_direct") / F.count(F.lit(1))).alias("direct_rate"),
+    )
+
+
+#: The fields of a query's evaluation in the order of its failure tags, and how far numbers may be off.
+QUERY_FIELDS = ("product_text", "price", "promotion_type", "required_quantity", "package_size")
+PRICE_SLACK = 0.011
+
+
+def _same_text(want: Column, got: Column) -> Column:
+    plain = lambda c: F.nullif(F.lower(F.trim(c.cast("string"))), F.lit(""))
+    return plain(want).eqNullSafe(plain(got))
+
+
+def _names_product(want: Column, got: Column) -> Column:
+    """At least half of the expected words of three letters and more stand in the text (without such words: the whole)."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
+    w, g = plain(want), plain(got)
+    words = F.filter(F.split(w, " "), lambda x: F.length(x) >= 3)
+    hits = F.size(F.filter(words, lambda x: F.contains(g, x)))
+    loose = F.when(F.size(words) == 0, F.contains(g, w) | F.contains(w, g)).otherwise(hits >= F.greatest(F.lit(1), F.floor((F.size(words) + 1) / 2)))
+    return F.when((w == "") & (g == ""), True).when((w == "") | (g == ""), False).otherwise(loose)
+
+
+def score_queries(cases: DataFrame) -> DataFrame:
+    """Adds a flag for each of QUERY_FIELDS, tracker_ok, behavior_ok, safe_ok, confident_wrong and the tags of what failed.
+
+    cases: labels (an array of the fields that are labelled), expected and actual structs of the fields, expected_tracker,
+    tracker, candidates, expected_behavior, behavior, expected_safe, is_safe. Fields without a label are right. A label of
+    no tracker fails only if the answer goes on with one; where a question or refusal is expected, the one candidate counts.
+    """
+    want, got = (lambda f: F.col(f"expected.{f}")), (lambda f: F.col(f"actual.{f}"))
+    near = (want("price").isNull() & got("price").isNull()) | F.coalesce(F.abs(want("price") - got("price")) < PRICE_SLACK, F.lit(False))
+    size_want, size_got = (F.nullif(F.lower(F.trim(c("package_size"))), F.lit("")) for c in (want, got))
+    rules = {
+        "product_text": _names_product(want("product_text"), got("product_text")),
+        "price": near,
+        "promotion_type": _same_text(want("promotion_type"), got("promotion_type")),
+        "required_quantity": want("required_quantity").eqNullSafe(got("required_quantity")),
+        "package_size": (size_want.isNull() & size_got.isNull()) | F.coalesce(F.contains(size_got, size_want) | F.contains(size_want, size_got), F.lit(False)),
+    }
+    rows = cases.withColumns({f"{f}_ok": ~F.coalesce(F.array_contains("labels", f), F.lit(False)) | rules[f] for f in QUERY_FIELDS})
+    tracker, expected = F.col("tracker"), F.col("expected_tracker")
+    only = tracker.isNull() & F.col("expected_behavior").isin("clarify", "invalid") & (F.size("candidates") == 1) & F.coalesce(F.get("candidates", 0) == expected, F.lit(False))
+    safe = F.coalesce("is_safe", F.lit(False))
+    priced_wrong = ~F.col("price_ok") & want("price").isNotNull()
+    rows = rows.withColumns(
+        {
+            "tracker_ok": F.when(expected.isNull(), ~((F.col("behavior") == "continue") & tracker.isNotNull())).otherwise(F.coalesce(tracker == expected, F.lit(False)) | only),
+            "behavior_ok": F.col("behavior").eqNullSafe(F.col("expected_behavior")),
+            "safe_ok": safe == F.coalesce("expected_safe", F.lit(False)),
+            "confident_wrong": safe & ((expected.isNotNull() & ~tracker.eqNullSafe(expected)) | ~F.coalesce("expected_safe", F.lit(False)) | priced_wrong),
+        }
     )
+    tags = [F.when(~F.col(f"{f}_ok"), f) for f in (*QUERY_FIELDS, "tracker", "behavior")]
+    tags += [F.when(~F.col("safe_ok"), "safe_resolution"), F.when(F.col("confident_wrong"), "confident_wrong")]
+    return rows.withColumn("tags", F.array_compact(F.array(*tags)))
+
+
+def query_eval_metrics(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(measure, name, n, n_hit, share): of each field, tracker, behavior and safety the cases that are right; of each failure
+    tag the cases that have it; and all cases without any. Every case is unpivoted into its measures and combined before
+    the shuffle. Tags that no case has are left out."""
+    one = lambda measure, name, hit: F.struct(F.lit(measure).alias("measure"), F.lit(name).alias("name"), hit.alias("hit"))
+    right = [one("accuracy", f, F.col(f"{f}_ok")) for f in (*QUERY_FIELDS, "tracker", "behavior", "safe")] + [one("passed", "all", F.size("tags") == 0)]
+    failed = F.transform("tags", lambda t: F.struct(F.lit("failure").alias("measure"), t.alias("name"), F.lit(True).alias("hit")))
+    long = scored.select(*by, F.explode(F.concat(F.array(*right), failed)).alias("m")).select(*by, "m.*")
+    counted = long.groupBy(*by, "measure", "name").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("n_hit"))
+    return counted.withColumn("share", F.when(F.col("measure") != "failure", F.col("n_hit") / F.col("n")))
 
 
 def clarify_loops(turns: DataFrame, session: str, order: str, fields: Sequence[str]) -> DataFrame:

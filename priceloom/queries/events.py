@@ -69,7 +69,7 @@ def apply_vote_events(spark, sf_dir):
     return votes.apply_vote_events(items, e)
 
 
-@query("""SELECT event_type, count(*) AS requests, count(*) FILTER (WHERE user_id % 5 = 0) AS errors, count(*) FILTER (WHERE user_id % 5 = 0) / count(*) AS error_rate, round(avg(value), 6) AS mean_latency, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY event_type""")
+@query("""SELECT event_type, count(*) AS requests, count(*) FILTER (WHERE user_id % 5 = 0) AS errors, count(*) FILTER (WHERE user_id % 5 = 0) / count(*) AS error_rate, round(avg(value), 6) AS mean_latency, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type""")
 def query_service_metrics(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type", F.when(F.col("user_id") % 5 == 0, "error").otherwise("ok").alias("kind"), F.col("value").alias("latency"))
     return quality.service_metrics(e, ["event_type"]).withColumn("mean_latency", F.round("mean_latency", 6))
@@ -104,3 +104,17 @@ def compare_runs(spark, sf_dir):
     a = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("quality"), (F.col("toxic") == 0).alias("toxic"))
     b = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 600).alias("quality"), (F.col("lang") == "en").alias("toxic"))
     return quality.compare_runs(a, b, "doc_id", ["quality", "toxic"])
+
+
+_ACTIONS = "CASE event_type WHEN 'view' THEN 'clarify' WHEN 'click' THEN 'continue' WHEN 'purchase' THEN 'continue' WHEN 'signup' THEN 'unsupported' ELSE 'invalid' END"
+
+
+@query(f"""WITH e AS (SELECT user_id, ts, {_ACTIONS} AS action, ts - lag(ts) OVER w > INTERVAL 2 DAY AS apart FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)
+), n AS (SELECT *, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM e
+), t AS (SELECT user_id, s, date_trunc('month', min(ts)) AS month, min(ts) FILTER (WHERE action = 'clarify') AS asked_at, min(ts) FILTER (WHERE action = 'continue') AS first_go, max(ts) FILTER (WHERE action = 'continue') AS last_go FROM n GROUP BY ALL)
+SELECT month, count(*) AS sessions, count(asked_at) AS asked, count(*) FILTER (WHERE last_go > asked_at) AS completed, count(*) FILTER (WHERE last_go > asked_at) / nullif(count(asked_at), 0) AS completion_rate,
+  count(*) FILTER (WHERE first_go IS NOT NULL AND (asked_at IS NULL OR first_go < asked_at)) / count(*) AS direct_rate FROM t GROUP BY month""")
+def session_completion(spark, sf_dir):
+    answers = table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("ts").cast("timestamp").alias("ts"), F.expr(_ACTIONS).alias("action"))
+    sessions = quality.shopper_sessions(answers, gap="2 days").withColumn("month", F.date_trunc("month", "session_start"))
+    return quality.completion_metrics(sessions, ["month"])

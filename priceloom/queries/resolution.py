@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from priceloom.operators import matching, querylog
+from priceloom.operators import matching, quality, querylog
 from priceloom.operators import resolution as ops
 from priceloom.queries.base import query, table
 from priceloom.queries.querylog import _LOG, _PARSED
@@ -258,3 +258,43 @@ def reachability(spark, sf_dir):
     found = answers.select("query_id", F.col("family").alias("selected"), "action", "ask", "candidates")
     named = asked.withColumn("query_id", F.concat_ws("#", "family", "ord"))
     return ops.reachability(named, found, ["query_id"])
+
+
+#: What the log's turns should give, by the way in which they name their part.
+_KIND = "query_id // 100 * 3 + query_id % 100"
+_WANT_PRICE = "CASE kind WHEN 4 THEN 5.0 WHEN 3 THEN 3.49 WHEN 5 THEN NULL WHEN 6 THEN NULL ELSE 2.49 END"
+_WANT_BEHAVIOR = "CASE kind WHEN 0 THEN 'continue' WHEN 3 THEN 'invalid' WHEN 5 THEN 'unsupported' ELSE 'clarify' END"
+
+
+@query(
+    _CHAIN
+    + f""", cases AS (SELECT a.*, ({_KIND}) % 7 AS kind, a.candidates AS c, {_FAMILY} AS own, lower({_BRAND} || ' ' || p_name) AS spoken FROM acted a JOIN part ON p_partkey = (query_id // 100 * 31 + query_id % 100 * 7) % (SELECT count(*) FROM part)
+), wanted AS (SELECT *, {_WANT_PRICE} AS want_price, {_WANT_BEHAVIOR} AS want_behavior, CASE WHEN kind IN (0, 6) THEN own END AS want_tracker, kind IN (0, 1, 6) AS has_text FROM cases
+), words AS (SELECT *, list_filter(string_split(spoken, ' '), lambda w: length(w) >= 3) AS w FROM wanted
+), flags AS (SELECT *, NOT has_text OR len(list_filter(w, lambda x: contains(trim(regexp_replace(lower(product_text), '\s+', ' ', 'g'), ' '), x))) >= greatest(1, (len(w) + 1) // 2) AS product_ok,
+    want_price IS NULL AND price IS NULL OR coalesce(abs(want_price - price) < 0.011, FALSE) AS price_ok, promotion IS NULL AS promotion_ok, quantity IS NULL AS quantity_ok,
+    CASE WHEN want_tracker IS NULL THEN NOT (action = 'continue' AND family IS NOT NULL) ELSE coalesce(family = want_tracker, FALSE) OR family IS NULL AND want_behavior IN ('clarify', 'invalid') AND len(c) = 1 AND coalesce(c[1] = want_tracker, FALSE) END AS tracker_ok,
+    action = want_behavior AS behavior_ok, (action = 'continue') = (want_behavior = 'continue') AS safe_ok FROM words
+), judged AS (SELECT *, action = 'continue' AND (want_tracker IS NOT NULL AND family IS DISTINCT FROM want_tracker OR want_behavior <> 'continue' OR NOT price_ok AND want_price IS NOT NULL) AS wrong FROM flags
+), long AS (SELECT unnest([('accuracy', 'product_text', product_ok), ('accuracy', 'price', price_ok), ('accuracy', 'promotion_type', promotion_ok), ('accuracy', 'required_quantity', quantity_ok), ('accuracy', 'package_size', TRUE), ('accuracy', 'tracker', tracker_ok),
+    ('accuracy', 'behavior', behavior_ok), ('accuracy', 'safe', safe_ok), ('passed', 'all', product_ok AND price_ok AND promotion_ok AND quantity_ok AND tracker_ok AND behavior_ok AND safe_ok AND NOT wrong),
+    ('failure', CASE WHEN NOT product_ok THEN 'product_text' END, TRUE), ('failure', CASE WHEN NOT price_ok THEN 'price' END, TRUE), ('failure', CASE WHEN NOT promotion_ok THEN 'promotion_type' END, TRUE), ('failure', CASE WHEN NOT quantity_ok THEN 'required_quantity' END, TRUE),
+    ('failure', CASE WHEN NOT tracker_ok THEN 'tracker' END, TRUE), ('failure', CASE WHEN NOT behavior_ok THEN 'behavior' END, TRUE), ('failure', CASE WHEN NOT safe_ok THEN 'safe_resolution' END, TRUE), ('failure', CASE WHEN wrong THEN 'confident_wrong' END, TRUE)]) AS m FROM judged)
+SELECT measure, name, count(*) AS n, count(*) FILTER (WHERE hit) AS n_hit, CASE WHEN measure <> 'failure' THEN count(*) FILTER (WHERE hit) / count(*) END AS share
+FROM (SELECT m[1] AS measure, m[2] AS name, m[3] AS hit FROM long) WHERE name IS NOT NULL GROUP BY measure, name"""
+)
+def query_eval_metrics(spark, sf_dir):
+    """The log's answers against what its turns should give."""
+    rows = resolved(spark, sf_dir, log(spark, sf_dir)).withColumn("kind", F.expr(f"({_KIND.replace('//', 'DIV')}) % 7"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_type")
+    rows = rows.withColumn("p_partkey", F.expr(f"(query_id DIV 100 * 31 + query_id % 100 * 7) % {parts.count()}")).join(parts, "p_partkey")
+    none = F.lit(None)
+    expected = F.struct(F.expr(f"lower({_BRAND} || ' ' || p_name)").alias("product_text"), F.expr(f"CAST({_WANT_PRICE} AS DOUBLE)").alias("price"), none.cast("string").alias("promotion_type"), none.cast("int").alias("required_quantity"), none.cast("string").alias("package_size"))
+    actual = F.struct("product_text", "price", F.col("promotion").alias("promotion_type"), F.col("quantity").alias("required_quantity"), none.cast("string").alias("package_size"))
+    labels = F.when(F.col("kind").isin(0, 1, 6), F.lit("product_text"))
+    cases = rows.select(
+        F.array_compact(F.array(labels, *map(F.lit, ("price", "promotion_type", "required_quantity", "package_size")))).alias("labels"), expected.alias("expected"), actual.alias("actual"), F.col("family").alias("tracker"), "candidates",
+        F.expr(f"CASE WHEN kind IN (0, 6) THEN {_FAMILY} END").alias("expected_tracker"), F.expr(_WANT_BEHAVIOR).alias("expected_behavior"), F.col("action").alias("behavior"),
+        (F.expr(_WANT_BEHAVIOR) == "continue").alias("expected_safe"), (F.col("action") == "continue").alias("is_safe"),
+    )
+    return quality.query_eval_metrics(quality.score_queries(cases))

@@ -33,6 +33,15 @@ def stream_vote_tally(spark, sf_dir):
     return _drained(spark, flows.stream_vote_tally(e, delay="400 days"), "complete")
 
 
+@query("SELECT CAST(json_extract(props, '$.k') AS VARCHAR) AS item, count(DISTINCT user_id) AS votes FROM events WHERE event_type = 'view' GROUP BY 1")
+def stream_voters(spark, sf_dir):
+    """The votes of all events, with the voters as a table and none that repeats within 400 days."""
+    e = _events(spark, sf_dir).where("event_type = 'view'").select("ts", F.col("user_id").cast("string").alias("user"), F.get_json_object("props", "$.k").alias("item"))
+    root = f"{files.shared_dir(spark)}/voters-{uuid.uuid4().hex}"
+    flows.stream_voters(e, root, 400).trigger(availableNow=True).start().awaitTermination()
+    return flows.voter_tally(spark, root)
+
+
 @query("SELECT date_trunc('hour', ts) AS window_start, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS errors, round(avg(value), 6) AS mean_latency FROM events GROUP BY 1")
 def stream_query_metrics(spark, sf_dir):
     e = _events(spark, sf_dir).select("ts", F.col("event_type").alias("kind"), F.col("value").alias("latency"))
