@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from priceloom.functions.units import rounded
@@ -146,3 +146,99 @@ def catalog_eval(cases: DataFrame) -> DataFrame:
     )
     ok = F.coalesce(good, F.lit(False)) & ~bad
     return cases.groupBy("coverage_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_ok"), F.count_if(bad).alias("n_forbidden"))
+
+
+#: Weeks and observations that a page holds at most (ten years); older ones are left to the tables.
+PAGE_WEEKS = 520
+#: Percentage above the warehouse's unit price up to which a family's variety is worth it.
+VARIETY_PCT = 25
+
+
+def _valid(price: Column) -> Column:
+    """The price if it is a finite number above 0, else null."""
+    return F.when((price > 0) & (price < float("inf")), price)
+
+
+def _newest(rows: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))).where(F.col("_n") <= n).drop("_n")
+
+
+_AD = F.col("ad_price")
+_WEEK = ("week", "price", "ad_price", "confidence", "price_type", "is_baseline_fallback", "text")
+
+
+def _effective_weeks(rows: DataFrame) -> DataFrame:
+    """price of (ad_price, effective_price, is_baseline_fallback, effective_baseline): fallback weeks without a valid price get
+    the baseline."""
+    backfilled = F.col("is_baseline_fallback") & _valid(F.col("effective_price")).isNull() & F.col("effective_baseline").isNotNull()
+    return rows.withColumn("price", F.when(F.coalesce(backfilled, F.lit(False)), F.col("effective_baseline")).otherwise(F.col("effective_price")))
+
+
+def _baselines(series: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, inferred, has_ad): the highest trusted ad price, and whether there is any ad price that is not of low confidence."""
+    trusted = _AD.isNotNull() & F.col("confidence").isNotNull() & (F.col("confidence") != "low")
+    return series.groupBy(*keys).agg(F.max(F.when(trusted, _valid(_AD))).alias("inferred"), F.bool_or(_AD.isNotNull() & ~F.coalesce(F.col("confidence") == "low", F.lit(False))).alias("has_ad"))
+
+
+def product_page(products: DataFrame, series: DataFrame, matches: DataFrame, comparisons: DataFrame, history: DataFrame, pairs: DataFrame, keys: Sequence[str] = ("feed", "family"), weeks: int = PAGE_WEEKS) -> DataFrame:
+    """One row per product of a feed, with what a page shows: its match, effective baseline and its source, weekly prices with
+    fallback weeks filled in, the comparison and the paired warehouse's price history.
+
+    products: keys and its columns. series: keys, week, ad_price, effective_price, confidence, price_type,
+    is_baseline_fallback, text. matches: keys, sku, baseline_price, baseline_source. comparisons: keys and its columns (one
+    row each at most). history: warehouse, family, date, price; pairs: feed, warehouse. Only the newest weeks are gathered,
+    so a list is bounded; they are in order. Products without a row elsewhere keep nulls and empty lists.
+    """
+    on = list(keys)
+    base = products.join(matches, on, "left").join(_baselines(series, keys), on, "left")
+    store = _valid(F.col("baseline_price"))
+    base = base.withColumn("effective_baseline", F.coalesce(store, "inferred"))
+    source = F.coalesce("baseline_source", F.when(F.col("inferred").isNotNull() & F.col("effective_baseline").isNotNull(), "inferred"))
+    has_data = store.isNotNull() | F.coalesce("has_ad", F.lit(False)) | F.col("effective_baseline").isNotNull()
+    base = base.withColumns({"baseline_source": source, "has_feed_data": has_data}).drop("inferred", "has_ad")
+    placed = _effective_weeks(_newest(series, keys, "week", weeks).join(base.select(*on, "effective_baseline"), on))
+    weekly = placed.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct(*_WEEK))).alias("weekly_prices"))
+    compared = comparisons.select(*on, F.struct(*[c for c in comparisons.columns if c not in keys]).alias("comparison"))
+    points = _newest(history, ["warehouse", keys[-1]], "date", weeks).groupBy("warehouse", keys[-1]).agg(F.sort_array(F.collect_list(F.struct("date", "price"))).alias("warehouse_history"))
+    rows = base.join(weekly, on, "left").join(compared, on, "left").join(feed_to_warehouse(base.select(keys[0]).distinct(), pairs), keys[0], "left").join(points, ["warehouse", keys[-1]], "left")
+    empty = lambda c, df: F.coalesce(c, F.array().cast(df.schema[c].dataType)).alias(c)
+    return rows.select(*[c for c in base.columns if c != "baseline_price"], empty("weekly_prices", weekly), "comparison", "warehouse", empty("warehouse_history", points))
+
+
+def family_page(members: DataFrame, as_of: Column, units: DataFrame, keys: Sequence[str] = ("feed", "family"), weeks: int = PAGE_WEEKS) -> DataFrame:
+    """One row per family of a feed: its members with their baselines and current prices, its weeks with the range of trusted ad
+    prices, baseline, price range, this week's sale price, and the unit price against the warehouse's.
+
+    members: keys, member, week, week_end, is_preview, ad_price, effective_price, confidence, price_type,
+    is_baseline_fallback, baseline, text, one row for every week of a feed. units: family, ounces, warehouse_unit_price.
+    The sale is that of the latest week active at as_of with an ad price, else of the latest one that is no preview. A
+    member whose baseline is null has the highest trusted ad price as one; nulls elsewhere stay nulls.
+    """
+    on, each = list(keys), [*keys, "member"]
+    recent = members.where(F.col("week").isNotNull())
+    stated = members.groupBy(*each).agg(F.max(_valid(F.col("baseline"))).alias("stated"))
+    base = stated.join(_baselines(members, each), each).select(*each, F.coalesce("stated", "inferred").alias("effective_baseline"))
+    placed = _effective_weeks(recent.join(base, each))
+    views = placed.groupBy(*each).agg(F.max_by("price", "week").alias("last"), F.max("effective_baseline").alias("member_baseline"))
+    views = views.withColumn("current_price", F.coalesce("last", "member_baseline"))
+    of_members = views.groupBy(*on).agg(
+        F.sort_array(F.collect_list(F.struct("member", F.coalesce("member_baseline", F.lit(0.0)).alias("baseline"), "current_price"))).alias("members"),
+        F.min(_valid(F.col("member_baseline"))).alias("range_low"),
+        F.max(_valid(F.col("member_baseline"))).alias("range_high"),
+    )
+    trusted = F.when(F.col("confidence").isNotNull() & (F.col("confidence") != "low"), _AD)
+    weekly = placed.groupBy(*on, "week").agg(
+        F.min(trusted).alias("ad_price"), F.max(trusted).alias("ad_max"), F.min("price").alias("lowest"), F.max("week_end").alias("week_end"), F.coalesce(F.bool_or("is_preview"), F.lit(False)).alias("is_preview"),
+        F.min_by("text", F.when(F.col("text").isNotNull(), F.col("member"))).alias("text"),
+    )
+    weekly = weekly.withColumns({"price": F.coalesce("ad_price", "lowest"), "price_type": F.when(_AD.isNotNull(), "weekly_ad").otherwise("baseline")})
+    active = (F.col("week") <= as_of) & (as_of <= F.coalesce("week_end", "week"))
+    when = lambda where: F.when(where & _AD.isNotNull(), F.col("week"))
+    sums = weekly.groupBy(*on).agg(F.coalesce(F.max_by("ad_price", when(active)), F.max_by("ad_price", when(~F.col("is_preview")))).alias("sale_price"), F.max(_valid(_AD)).alias("inferred"))
+    listed = _newest(weekly, keys, "week", weeks).groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("week", "price", "ad_price", "ad_max", "price_type", "text"))).alias("weekly_prices"))
+    rows = of_members.join(sums, on).join(listed, on).join(units, keys[-1], "left")
+    rows = rows.withColumns({"baseline": F.coalesce("range_high", "inferred"), "chart_mode": F.when(F.size("members") > 1, "range").otherwise("single")})
+    unit = F.coalesce("sale_price", F.get("members", 0)["baseline"], "baseline") / _valid(F.col("ounces"))
+    above = (unit - F.col("warehouse_unit_price")) / _valid(F.col("warehouse_unit_price")) * 100
+    rows = rows.withColumns({"unit_price": rounded(unit, 4), "pct_above_warehouse": rounded(above, 2), "badge": F.when(above <= VARIETY_PCT, "more_variety").when(above > VARIETY_PCT, "best_value_warehouse")})
+    return rows.select(*on, "members", "weekly_prices", "baseline", "range_low", "range_high", "sale_price", "chart_mode", "unit_price", "pct_above_warehouse", "badge")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 import tempfile
 import uuid
@@ -17,6 +18,10 @@ OFFER_STRINGS = (
 ).split()
 OFFERS = ", ".join(f"{c} string" for c in OFFER_STRINGS)
 WAREHOUSE = "itemNumber string, sellPrice string, timestamp string, itemSign string, inventoryStatus string"
+RAW_CARDS = (
+    "week_start string, banner string, page_number string, offer_index_on_page string, raw_offer_text string, raw_product_text string, verified_raw_product_text string, "
+    "advertised_price string, original_advertised_price string, verified_advertised_price string, layout_type string, review_reasons string"
+)
 PRICE_ENTRY = "struct<price: double, offerText: string, confidence: string, availabilityType: string, promoNote: string>"
 PRICE_MAP = f"map<string, map<string, {PRICE_ENTRY}>>"
 
@@ -83,6 +88,55 @@ def dedupe_raw_cards(cards: DataFrame) -> DataFrame:
     return cards.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("source_file", "row_seq"))).where("_n = 1").drop("_n")
 
 
+def read_raw_cards(spark: SparkSession, paths: str | list[str], banner: str | None = None) -> DataFrame:
+    """Cards of many per-flyer files (globs or folders), of one banner and with a week; of cards with equal week, page, index and
+    first 120 letters of their text the first stays, by file name and place in the file.
+
+    The place is the block's start and the order in it, so neither file sizes nor packing change what stays. A grouping,
+    so that repeated cards combine before they shuffle.
+    """
+    rows = read_csv(spark, paths, RAW_CARDS, numbered=True).where(of_banner(banner)).where("trim(week_start) <> ''")
+    key = [F.trim("week_start").alias("_week"), F.coalesce("page_number", F.lit("")).alias("_page"), F.coalesce("offer_index_on_page", F.lit("")).alias("_index"), F.substring(F.coalesce("raw_offer_text", F.lit("")), 1, 120).alias("_text")]
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*rows.columns), "row_seq").alias("row")).select("row.*")
+
+
+def newest_cards(spark: SparkSession, paths: str | list[str], week: datetime.date) -> DataFrame:
+    """The cards of the newest file of a week, by modification time and then name: of the files whose folder's name holds the
+    week (2026-07-15 or 7-15), else of those that hold a card of it. No file gives no rows."""
+    listed = spark.read.format("binaryFile").load(paths).select("path", "modificationTime", F.col("_metadata.file_path").alias("file"))
+    folder = F.element_at(F.split("path", "/"), -2)
+    token = f"{week.month}-{week.day}"
+    newest = lambda df: df.orderBy(F.col("modificationTime").desc(), F.col("path").desc()).limit(1).collect()
+    found = newest(listed.where(F.contains(folder, F.lit(token)) | F.contains(folder, F.lit(week.isoformat()))))
+    if not found:
+        cards = spark.read.schema(RAW_CARDS).option("header", True).option("escape", '"').csv(paths)
+        holds = cards.where(F.trim("week_start") == week.isoformat()).select(F.col("_metadata.file_path").alias("file")).distinct()
+        found = newest(listed.join(holds, "file", "left_semi"))
+    return read_csv(spark, found[0]["path"], RAW_CARDS, numbered=True) if found else spark.createDataFrame([], RAW_CARDS)
+
+
+def read_offer_history(spark: SparkSession, paths: list[str], banner: str | None = None, excluded: Column | None = None) -> DataFrame:
+    """Offers of several files, of one banner, without those that excluded (a condition on their columns) holds for, and once
+    each by their id, else by week, texts and price."""
+    rows = read_csv(spark, paths, OFFERS, numbered=True).where(of_banner(banner))
+    return dedupe_offer_history(rows if excluded is None else rows.where(~F.coalesce(excluded, F.lit(False))))
+
+
+def read_cases(spark: SparkSession, path: str, schema: str, key: str, required: Sequence[str], enums: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Labelled cases of JSON lines; blank lines and those that begin with # are left out. Lines that are no JSON, blank required
+    fields, ids that repeat and values outside their list fail the load, with some of the faults in the message."""
+    lines = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> '' AND line NOT LIKE '#%'")
+    parsed = lines.withColumn("case", F.from_json("line", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"}))
+    broken = parsed.where("case IS NULL OR case._broken IS NOT NULL").select(F.substring("line", 1, 60).alias(key), F.lit("no JSON").alias("fault"))
+    cases = parsed.where("case IS NOT NULL AND case._broken IS NULL").select("case.*").drop("_broken")
+    faults = broken.union(case_faults(cases, key, enums))
+    for column in required:
+        faults = faults.union(cases.where(F.coalesce(F.trim(F.col(column).cast("string")), F.lit("")) == "").select(F.col(key).cast("string"), F.lit(f"missing {column}")))
+    if bad := faults.orderBy(key, "fault").limit(5).collect():
+        raise ValueError("faulty cases: " + "; ".join(f"{r[0]}: {r[1]}" for r in bad))
+    return cases
+
+
 def dedupe_offer_history(offers: DataFrame) -> DataFrame:
     """One row per item id, or per week, text, price and raw text where there is none."""
     text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("week_start", "split_product_text", "advertised_price", "raw_offer_text")])
@@ -107,9 +161,38 @@ def read_warehouse_prices(spark: SparkSession, path: str, slugs: DataFrame) -> D
     return dated.join(F.broadcast(slugs), "slug").where("item <> '' AND price > 0").withColumn("date_mismatch", F.coalesce(F.to_date("ts") != F.col("file_date"), F.lit(False)))
 
 
+def replace_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Writes df and replaces just the partitions that it has rows of; written again, it leaves the same table. A run that
+    fails before its commit changes nothing."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def upsert_partitions(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], by: Sequence[str]) -> None:
+    """Rows of updates take the place of those with equal keys in the table under path; only partitions that updates have rows
+    of are read and written. Of updates with equal keys any one stays, so keys should be distinct; null keys are equal."""
+    if not path_exists(spark, path):
+        return replace_partitions(updates, path, by)
+    same = lambda a, b, names: [a[c].eqNullSafe(b[c]) for c in names]
+    old = spark.read.schema(updates.schema).parquet(path)
+    touched = updates.select(*by).distinct()
+    kept = old.join(touched, same(old, touched, by), "left_semi").join(updates, same(old, updates, keys), "left_anti")
+    replace_partitions(kept.unionByName(updates), path, by)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def cache_observations(obs: DataFrame, path: str) -> None:
-    """A cache that readers prune by region."""
-    obs.write.mode("overwrite").partitionBy("region").parquet(path)
+    """A cache that readers prune by region; regions without a row in obs stay as they are."""
+    replace_partitions(obs, path, ["region"])
+
+
+def observations(spark: SparkSession, cache: str, raw: str, slugs: DataFrame, region: str | None = None, prefer_cache: bool = True) -> DataFrame:
+    """The cached observations if there are any and they are preferred, else those of the raw snapshots, of one region or all."""
+    rows = spark.read.parquet(cache) if prefer_cache and path_exists(spark, cache) else read_warehouse_prices(spark, raw, slugs)
+    return rows.where(F.col("region") == region) if region else rows
 
 
 def load_cached(spark: SparkSession, path: str, region: str | None = None) -> DataFrame:
