@@ -81,6 +81,25 @@ def effective_price_as_of(series: DataFrame, date: Column, keys: Sequence[str] =
     ).select(*keys, F.coalesce("active_price", "begun_price", "any_price", "baseline").alias("effective_price"))
 
 
+def effective_price_by_first_entry(prices: DataFrame, weeks: DataFrame, ids: DataFrame, baselines: DataFrame, date: Column, feed: str = "feed") -> DataFrame:
+    """(feed, product, effective_price) of baselines (feed, product, baseline): the newest trusted price of the weeks that count.
+
+    weeks (feed, week, week_end): those of a feed that are active on the date count, if there are none those begun by then,
+    if there are none all. ids (product, family, ord): in each week the first family that has an entry in prices (feed,
+    family, week, price, confidence) speaks for the product, priced or not; a price without confidence or of low
+    confidence is not trusted. Without a trusted price it is the baseline.
+    """
+    begun = F.col("week") <= date
+    active = begun & (date <= F.col("week_end"))
+    tiers = weeks.groupBy(feed).agg(F.count_if(active).alias("n_active"), F.count_if(begun).alias("n_begun"))
+    counts = F.when(F.col("n_active") > 0, active).when(F.col("n_begun") > 0, begun).otherwise(True)
+    usable = weeks.join(F.broadcast(tiers), feed).where(counts).select(feed, "week").distinct()
+    entry = prices.join(ids, "family").join(usable, [feed, "week"]).groupBy(feed, "product", "week").agg(F.min_by(F.struct("price", "confidence"), F.struct("ord", "family")).alias("e"))
+    trusted = F.col("e.price").isNotNull() & F.coalesce(F.col("e.confidence") != "low", F.lit(False))
+    newest = entry.groupBy(feed, "product").agg(F.max_by("e.price", F.when(trusted, F.col("week"))).alias("price"))
+    return baselines.join(newest, [feed, "product"], "left").select(feed, "product", F.coalesce("price", "baseline").alias("effective_price"))
+
+
 def benchmarks(series: DataFrame, current: DataFrame, keys: Sequence[str] = KEYS, days: int = 90, exclude_current: bool = True) -> DataFrame:
     """Per row of current (keys, week, current_price): all-time low, 90-day low, median, latest price, count and two percentages.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from priceloom.functions.units import rounded
+from priceloom.functions.units import amount, dealt, measures, rounded, terms_of, tokens
 from priceloom.operators.series import effective_weekly_price, inferred_baseline
 
 #: Words of offers that are no groceries, and of party platters.
@@ -16,17 +16,100 @@ NON_FOOD = (
     "pharmacy", "vitamin", "medicine", "dog food", "cat food", "litter", "cleaning", "bleach", "disinfect", "diaper", "baby wipe",
 )
 PARTY = ("party pack", "party tray", "50 piece", "100 piece", "150 piece")
+#: Words of platters that stay.
+SPARED_PARTY = ("ben_jerrys",)
 #: How far an offer's ounces may lie outside its family's range.
 OUNCE_SLACK = 0.05
 
 
-def is_non_food(text: Column, status: Column | None = None, words: Sequence[str] = NON_FOOD, party: Sequence[str] = PARTY) -> Column:
-    """Whether an offer is no grocery, a party platter, or excluded by its status; formula counts unless a bar follows."""
+def is_non_food(text: Column, status: Column | None = None, words: Sequence[str] = NON_FOOD, party: Sequence[str] = PARTY, spared: Sequence[str] = SPARED_PARTY) -> Column:
+    """Whether an offer is no grocery, a party platter (unless it says a spared word), or excluded by its status; formula
+    counts unless a bar follows."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    named = t.rlike("|".join(words)) | t.rlike(r"formula(?! bar)") | t.rlike("|".join(party))
+    platter = t.rlike("|".join(party))
+    for word in spared:
+        platter &= ~F.contains(t, F.lit(word))
+    named = t.rlike("|".join(words)) | t.rlike(r"formula(?! bar)") | platter
     return named | F.coalesce(status == "excluded", F.lit(False)) if status is not None else named
 
 
+def is_listed_query(query: Column, queries: Sequence[str]) -> Column:
+    """Whether a query is one of a list, but for case and margins."""
+    return F.lower(F.trim(F.coalesce(query, F.lit("")))).isin(*[q.lower() for q in queries])
+
+
+#: Units that are sold by the piece, a can's highest believable price, and units of a package that count pieces.
+PIECE_UNITS = ("each", "ear", "can", "bar")
+CAN_LIMIT = 3
+COUNTING_UNITS = ("ct", "ct.", "count", "each", "egg", "eggs")
+
+
+def normalize_for_mapping(rows: DataFrame, reference: str = "baseline") -> DataFrame:
+    """Adds unit_price, unit, manual_review, review_reason and confidence of offers in the unit of their mapping.
+
+    rows: offer texts and sizes, price_basis, review_reasons, split_status, advertised_price, comparable_unit and
+    match_confidence (null counts as medium). The first that fits: no price; a pound price; a multi-buy of pieces (a can
+    above its limit is doubted); a free piece; ounces by the package's size; pieces by its count; the price by its basis.
+    Reasons for review are joined in this order: several products, no size where the unit needs one, a broad group, then
+    what could not be told. A text without a promotion or size counts as stated.
+    """
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    number = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\$", "").try_cast("double")
+    promo = F.lower(F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("promo_text", "raw_offer_text", "split_product_text", "package_text")]))
+    least, most = number("package_size_min"), number("package_size_max")
+    rows = rows.withColumns({"_promo": promo, "_price": number("advertised_price"), "_size": F.coalesce((least + most) / 2, least, most), "_basis": low("price_basis"), "_why": low("review_reasons")})
+    rows = rows.withColumns({"_tokens": tokens(F.col("_promo"))})
+    rows = rows.withColumns({"_multi": terms_of(F.col("_tokens"), "multi"), "_free": terms_of(F.col("_tokens"), "buy_get"), "_member": terms_of(F.col("_tokens"), "member"), "_ounces": amount(measures(low("package_text")), "oz")})
+    price, unit, size = F.col("_price"), F.col("comparable_unit"), F.col("_size")
+    says = lambda *words: F.lit(False) if not words else F.contains(F.col("_why"), F.lit(words[0])) | says(*words[1:])
+    grouped = says("ambiguous_multi_product_offer") | F.coalesce(F.col("split_status") == "group_not_split", F.lit(False))
+    known = F.array_compact(
+        F.array(
+            F.when(grouped, "multi-product offer"),
+            F.when(says("missing_package_size") & unit.isin("oz", "each"), "missing package size"),
+            F.when(says("broad_group_needs_human_grounding"), "broad grouped offer"),
+        )
+    )
+    rows = rows.withColumn("_reasons", known)
+    doubts = F.size("_reasons") > 0
+    sure = F.when(doubts, "medium").otherwise("high")
+    count_price = rounded(F.get("_multi", 1) / F.nullif(F.get("_multi", 0), F.lit(0.0)), 4)
+    bought, free = F.get("_free", 0), F.get("_free", 1)
+    bogo = F.col("_promo").rlike("bogo") | ((bought == 1) & (free == 1))
+    half = F.coalesce(F.when(F.coalesce(bogo, F.lit(False)), rounded(price / 2, 4)), rounded(price * bought / F.nullif(bought + free, F.lit(0.0)), 4))
+    ounces = F.coalesce(F.nullif(size, F.lit(0.0)), "_ounces")
+    multi_basis = F.col("_basis") == "multi_buy"
+    pack = F.when(multi_basis & F.contains("_promo", F.lit("2 for")), price / 2).when(multi_basis, F.coalesce(count_price, price)).otherwise(price)
+    chips = multi_basis & (F.get("_multi", 0) == 2) & (F.get("_multi", 1) == 5)
+    pieces = F.when(low("package_unit").isin(*COUNTING_UNITS) & (size > 1), size)
+    counted = F.when(low("package_unit").isin("", "count", "ct", "each"), F.coalesce(least, most))
+    base = dealt(price, F.col("_multi"), F.col("_free"), F.col("_promo").rlike(r"\bbogo\b"), F.col("_member"), F.col("_basis"), counted, counted, F.contains("_promo", F.lit("2 for")), F.col(reference))
+    match = F.coalesce("match_confidence", F.lit("medium"))
+    nothing = F.lit(None).cast("double")
+
+    def out(value: Column, in_unit: Column | str, confidence: Column | str, more: str | None = None) -> Column:
+        as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+        reasons = F.col("_reasons") if more is None else F.array_append("_reasons", F.lit(more))
+        return F.struct(value.alias("unit_price"), as_column(in_unit).alias("unit"), (doubts if more is None else F.lit(True)).alias("manual_review"), F.nullif(F.array_join(reasons, "; "), F.lit("")).alias("review_reason"), as_column(confidence).alias("confidence"))
+
+    by_count = count_price.isNotNull() & unit.isin(*PIECE_UNITS)
+    result = (
+        F.when(price.isNull(), F.struct(nothing.alias("unit_price"), unit.alias("unit"), F.lit(True).alias("manual_review"), F.lit("missing advertised price").alias("review_reason"), F.lit("low").alias("confidence")))
+        .when((F.col("_basis") == "per_lb") | (low("package_unit") == "lb"), out(rounded(price, 4), "lb", "high"))
+        .when(by_count & (unit == "can") & (count_price > CAN_LIMIT), out(nothing, unit, "low", "soda pack price may need manual review"))
+        .when(by_count, out(count_price, unit, sure))
+        .when(half.isNotNull(), out(half, unit, sure))
+        .when((unit == "oz") & (ounces > 0), out(rounded(pack / ounces, 4), "oz", sure))
+        .when((unit == "oz") & F.coalesce(chips, F.lit(False)), out(nothing, "oz", "low", "multi-buy chip offer without package size"))
+        .when(unit == "oz", out(nothing, "oz", "low", "cannot normalize to per oz"))
+        .when(unit.isin("each", "egg") & pieces.isNotNull(), out(rounded(price / pieces, 4), unit, sure))
+        .when(base.isNotNull(), out(rounded(base, 4), unit, match))
+        .otherwise(out(nothing, unit, "low", "unable to normalize unit price"))
+    )
+    done = rows.withColumn("_out", result)
+    return done.select(*[c for c in done.columns if not c.startswith("_") and c not in ("unit_price", "unit", "manual_review", "review_reason", "confidence")], "_out.*")
+
+
 def mapping_weekly_series(rows: DataFrame, keys: Sequence[str] = ("mapping", "week")) -> DataFrame:
     """Per key the row with the highest score (the first in file order), if it has a unit price, needs no review and is not of
     low confidence. rows: keys, score, row_seq, unit_price, manual_review, confidence, text."""

@@ -8,6 +8,7 @@ from priceloom.functions import text as tx
 from priceloom.functions import units
 from priceloom.operators import content
 from priceloom.operators import matching as ops
+from priceloom.operators import views
 from priceloom.operators.series import historical_low_before
 from priceloom.queries.base import SALES, query, sales, table
 
@@ -287,3 +288,33 @@ def missed_deals(spark, sf_dir):
 ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'info' THEN 2 ELSE 9 END, feed, week, family""")
 def missed_deal_report(spark, sf_dir):
     return missed_deals(spark, sf_dir).select("feed", "week", "family", "severity", "candidate_price").orderBy(*content.missed_deal_order())
+
+
+_MAP_UNIT = "CASE p_type WHEN 'ECONOMY' THEN 'oz' WHEN 'STANDARD' THEN 'can' WHEN 'PROMO' THEN 'each' WHEN 'SMALL' THEN 'egg' WHEN 'MEDIUM' THEN 'bag' ELSE 'oz' END"
+_MAP_WHY = "CASE row_seq % 4 WHEN 0 THEN 'missing_package_size; x' WHEN 1 THEN 'ambiguous_multi_product_offer' WHEN 2 THEN 'broad_group_needs_human_grounding, missing_package_size' END"
+_MAP_PACK = "CASE WHEN p_type IN ('PROMO', 'SMALL') AND row_seq % 3 = 0 THEN 'ct' END"
+_MAP_TEXT = "CASE WHEN p_type = 'LARGE' THEN 'no size' ELSE package_text END"
+
+
+@query(OFFERS + f""", m AS (SELECT *, {_MAP_UNIT} AS u, coalesce({_MAP_WHY}, '') AS why, coalesce({_MAP_PACK}, '') AS pu, {_MAP_TEXT} AS pt, TRY_CAST(p_retailprice AS DOUBLE) AS ref FROM priced
+), t AS (SELECT *, CASE WHEN pu = 'ct' THEN 6.0 END AS size, list_filter([CASE WHEN contains(why, 'ambiguous') THEN 'multi-product offer' END, CASE WHEN contains(why, 'missing_package_size') AND u IN ('oz', 'each') THEN 'missing package size' END, CASE WHEN contains(why, 'broad') THEN 'broad grouped offer' END], lambda x: x IS NOT NULL) AS r,
+    CASE WHEN promo_text = '2 for $5' THEN 2.5 END AS count_price, promo_text = 'Buy 2 Get 3 Free' AS free, CASE WHEN pt <> 'no size' THEN CAST(split_part(pt, ' ', 1) AS DOUBLE) END AS oz FROM m
+), o AS (SELECT *, CASE WHEN price IS NULL THEN (NULL::DOUBLE, u, TRUE, 'missing advertised price', 'low')
+    WHEN count_price IS NOT NULL AND u IN ('each', 'can') THEN (count_price, u, len(r) > 0, NULL, CASE WHEN len(r) > 0 THEN 'medium' ELSE 'high' END)
+    WHEN free THEN (round(price * 2 / 5 * 10000) / 10000, u, len(r) > 0, NULL, CASE WHEN len(r) > 0 THEN 'medium' ELSE 'high' END)
+    WHEN u = 'oz' AND coalesce(size, oz) > 0 THEN (round(CASE WHEN price_basis = 'multi_buy' THEN price ELSE price END / coalesce(size, oz) * 10000) / 10000, 'oz', len(r) > 0, NULL, CASE WHEN len(r) > 0 THEN 'medium' ELSE 'high' END)
+    WHEN u = 'oz' THEN (NULL, 'oz', TRUE, 'cannot normalize to per oz', 'low')
+    WHEN u IN ('each', 'egg') AND size > 1 THEN (round(price / size * 10000) / 10000, u, len(r) > 0, NULL, CASE WHEN len(r) > 0 THEN 'medium' ELSE 'high' END)
+    ELSE (CASE WHEN promo_text = '2 for $5' THEN 2.5 WHEN promo_text LIKE 'Member%' AND price > 1.25 THEN 1.25 WHEN price_basis = 'multi_buy' AND size > 1 THEN round(price / size * 100) / 100 WHEN price_basis = 'per_pack' AND size > 1 THEN round(price / size * 100) / 100 ELSE round(price * 100) / 100 END, u, len(r) > 0, NULL, 'medium') END AS x FROM t)
+SELECT row_seq, x[1] AS unit_price, x[2] AS unit, x[3] AS manual_review, CASE WHEN x[4] = 'missing advertised price' THEN x[4] ELSE nullif(array_to_string(CASE WHEN x[4] IS NULL THEN r ELSE list_append(r, x[4]) END, '; '), '') END AS review_reason, x[5] AS confidence FROM o""")
+def normalize_offers_for_mapping(spark, sf_dir):
+    """All offers in the unit of their type's mapping."""
+    rows = offers(spark, sf_dir).drop("package_unit", "package_size_min", "package_size_max")
+    sized = F.when(F.expr(_MAP_PACK) == "ct", "6")
+    rows = rows.withColumns(
+        {
+            "comparable_unit": F.expr(_MAP_UNIT), "review_reasons": F.expr(_MAP_WHY), "split_status": F.lit(None).cast("string"), "package_unit": F.expr(_MAP_PACK), "package_text": F.expr(_MAP_TEXT),
+            "package_size_min": sized, "package_size_max": sized, "match_confidence": F.lit(None).cast("string"),
+        }
+    )
+    return views.normalize_for_mapping(rows, "p_retailprice").select("row_seq", "unit_price", "unit", "manual_review", "review_reason", "confidence")

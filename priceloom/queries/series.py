@@ -201,3 +201,23 @@ def preview_summary(spark, sf_dir):
 @query(SPINE + "SELECT feed, family, bool_or(price IS NOT NULL AND confidence <> 'low') AS has_history FROM spine GROUP BY feed, family")
 def history_coverage(spark, sf_dir):
     return ops.history_coverage(spine(spark, sf_dir).withColumn("price", F.when(F.col("confidence") != "low", F.col("price"))))
+
+
+@query(SPARSE + f""", ids AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS product, p_name AS family, CASE split_part(p_name, ' ', 1) WHEN 'small' THEN 0 WHEN 'red' THEN 1 ELSE 2 END AS ord FROM part
+), weeks AS (SELECT DISTINCT feed, week FROM sparse WHERE feed <> 'ASIA' OR week > DATE '{AS_OF}'
+), tiers AS (SELECT feed, bool_or(week <= DATE '{AS_OF}' AND DATE '{AS_OF}' <= week + 6) AS has_active, bool_or(week <= DATE '{AS_OF}') AS has_begun FROM weeks GROUP BY feed
+), usable AS (SELECT w.* FROM weeks w JOIN tiers t ON w.feed = t.feed WHERE CASE WHEN has_active THEN week <= DATE '{AS_OF}' AND DATE '{AS_OF}' <= week + 6 WHEN has_begun THEN week <= DATE '{AS_OF}' ELSE TRUE END
+), entry AS (SELECT s.feed, product, s.week, arg_min((CASE WHEN s.n % 5 > 0 THEN price END, confidence), (ord, s.family)) AS e FROM sparse s JOIN ids i ON s.family = i.family JOIN usable u ON s.feed = u.feed AND s.week = u.week GROUP BY ALL
+), newest AS (SELECT feed, product, arg_max(e[1], week) FILTER (WHERE e[1] IS NOT NULL AND e[2] <> 'low') AS price FROM entry GROUP BY ALL
+), b AS (SELECT feed, split_part(family, ' ', 2) AS product, max(baseline) AS baseline FROM sparse GROUP BY ALL)
+SELECT b.feed, b.product, coalesce(price, baseline) AS effective_price FROM b LEFT JOIN newest n ON b.feed = n.feed AND b.product = n.product""")
+def effective_price_by_first_entry(spark, sf_dir):
+    """Products that stand for several families of different order; one feed has no week begun by the date."""
+    s = sparse(spark, sf_dir)
+    noun = lambda c: F.split_part(F.col(c), F.lit(" "), F.lit(2))
+    first = F.split_part("p_name", F.lit(" "), F.lit(1))
+    ids = table(spark, sf_dir, "part").select(noun("p_name").alias("product"), F.col("p_name").alias("family"), F.when(first == "small", 0).when(first == "red", 1).otherwise(2).alias("ord")).distinct()
+    weeks = s.select("feed", "week").distinct().where((F.col("feed") != "ASIA") | (F.col("week") > F.lit(AS_OF).cast("date"))).withColumn("week_end", F.date_add("week", 6))
+    baselines = s.groupBy("feed", noun("family").alias("product")).agg(F.max("baseline").alias("baseline"))
+    prices = s.withColumn("price", F.when(F.col("n") % 5 > 0, F.col("price")))
+    return ops.effective_price_by_first_entry(prices, weeks, ids, baselines, F.lit(AS_OF).cast("date"))
