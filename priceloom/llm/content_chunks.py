@@ -124,7 +124,7 @@ def chunks(docs: DataFrame, run: int = RUN) -> DataFrame:
 
 def _text_hash(text: Column) -> Column:
     """Tells rows of one id apart."""
-    return F.hash(text.cast("string"))
+    return F.xxhash64(text.cast("string"))
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -139,7 +139,7 @@ def repeated_spans(
 
     Digests are counted with partial sums before the shuffle; only those that recur are joined back, where Spark splits
     frequent ones. Null and empty texts have no chunks. Equal rows are one document; rows that share an id but not the text
-    are told apart by text_hash (32 bits). Only the id and the text are read; an empty table
+    are told apart by text_hash. Only the id and the text are read; an empty table
     gives an empty table.
     """
     docs = _documents(df, id_col, text_col)
