@@ -81,3 +81,9 @@ def test_package_siblings_equal_a_plain_search(spark, duck):
         low, high = sorted((root(a), root(b)))
         parent[high] = low
     assert got == {x: root(x) for x in list(parent)}
+
+
+def test_parse_queries_reads_the_whole_text(spark, tmp_path):
+    text = "x " * 60 + "at Safeway"
+    spark.createDataFrame([(1, 1, "user", text)], "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert QUERIES["parse_queries"](spark, str(tmp_path)).collect()[0]["retailer"] == "safeway"
