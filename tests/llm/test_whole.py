@@ -6,7 +6,6 @@ import pytest
 
 import corpus_pipeline
 from priceloom.llm import capture_index, compression_bands, content_chunks, site_templates, source_mix, string_tiling, template_tree
-from priceloom.queries import querylog
 
 DATA = "/root/testdata/sf0.001"
 
@@ -85,12 +84,6 @@ def test_repeats_without_blanks_are_spans(spark):
     assert {r["doc_id"] for r in content_chunks.repeated_spans(df).collect()} == set(range(1, 8))
 
 
-def test_parse_queries_reads_the_whole_text(spark, tmp_path):
-    text = "x " * 60 + "at Safeway"
-    spark.createDataFrame([(1, 1, "user", text)], "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    assert querylog.parse_queries(spark, str(tmp_path)).collect()[0]["retailer"] == "safeway"
-
-
 def test_repeated_rows_and_plain_runs(spark):
     """Spans equal those of a plain comparison of all runs of chunks; a repeated row changes nothing."""
     rng = random.Random(35)
