@@ -111,3 +111,32 @@ def compare_prices(rows: DataFrame) -> DataFrame:
 def percent_against_warehouse(grocer: Column, warehouse: Column) -> Column:
     """Positive where the grocer is cheaper."""
     return F.when(warehouse > 0, rounded((warehouse - grocer) / warehouse * 100))
+
+
+#: The warehouse's own brand, and what a match may be.
+OWN_BRAND = "kirkland"
+MATCH_TYPES = ("no comp", "different brand same category", "exact brand", "category benchmark only")
+
+
+def warehouse_match_label(rows: DataFrame) -> DataFrame:
+    """Adds match_type, match_confidence, own_brand and pct_cheaper (positive where the grocer is cheaper) to compared rows
+    (grocer_unit_price, warehouse_unit_price, item_name, prefer, status).
+
+    No grocer price or item gives no comparison. The warehouse's own brand is another brand; a preferred pattern in the
+    item's name is the exact brand; anything else is a benchmark, of medium confidence at most. Null patterns prefer nothing.
+    """
+    none, own, exact, category = MATCH_TYPES
+    name = F.lower("item_name")
+    prefer = F.coalesce("prefer", F.array().cast("array<string>"))
+    is_own = F.contains(name, F.lit(OWN_BRAND))
+    kind = F.when(F.col("grocer_unit_price").isNull() | name.isNull(), none).when(is_own, own).when(F.exists(prefer, lambda p: F.regexp_like(name, p)), exact).otherwise(category)
+    rows = rows.withColumn("match_type", kind)
+    compared = F.col("status").isin("comparable", "needs_review")
+    confidence = (
+        F.when(F.col("match_type") == none, "low")
+        .when(~F.coalesce(compared, F.lit(False)), F.when(F.col("status") == "unit_mismatch", "low").otherwise("medium"))
+        .when((F.col("status") == "needs_review") | (F.col("match_type") == category), "medium")
+        .otherwise("high")
+    )
+    pct = F.when(compared & (F.col("match_type") != none), percent_against_warehouse(F.col("grocer_unit_price"), F.col("warehouse_unit_price")))
+    return rows.withColumns({"match_confidence": confidence, "own_brand": F.coalesce(is_own, F.lit(False)), "pct_cheaper": pct})

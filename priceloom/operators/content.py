@@ -55,9 +55,17 @@ def popular_picks(curated: DataFrame, editorial: DataFrame, view: DataFrame) ->
     return picks.join(view, "family", "left").withColumn("shown_price", F.coalesce("price_override", "price"))
 
 
+#: Rows of a seed list that are sent to every task; a longer list is joined by store.
+BROADCAST_SEEDS = 20_000
+
+
 def shortlist_items(seed: DataFrame, offers: DataFrame) -> DataFrame:
-    """Per seed row (item, store, query) the first offer of the store whose text contains the query; seeds without one stay."""
-    hits = seed.alias("s").join(offers.alias("o"), (F.col("s.store") == F.col("o.store")) & F.col("o.text").contains(F.col("s.query")))
+    """Per seed row (item, store, query) the first offer of the store whose text contains the query; seeds without one stay.
+
+    Offers stay where they are while the list is short; what is found is combined before it shuffles.
+    """
+    listed = F.broadcast(seed) if seed.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS else seed
+    hits = listed.alias("s").join(offers.alias("o"), (F.col("s.store") == F.col("o.store")) & F.col("o.text").contains(F.col("s.query")))
     first = hits.groupBy("s.item", "s.store").agg(F.min_by("o.text", "o.row_seq").alias("text"), F.min_by("o.price", "o.row_seq").alias("price"))
     return seed.join(first, ["item", "store"], "left")
 
@@ -118,6 +126,11 @@ def missed_deal_order() -> list[Column]:
     return [severity.asc(), F.col("feed"), F.col("week"), F.col("family")]
 
 
+def worsened_order() -> list[Column]:
+    """Sort keys of the report on prices that worsened: the highest ratio first."""
+    return [F.col("ratio").desc(), F.col("family")]
+
+
 def crop_override_order() -> list[Column]:
     """Sort keys of the report on overridden crops: those that may bleed first."""
     return [F.when(F.col("note").contains("bleed"), 0).otherwise(1).asc(), F.col("feed"), F.col("page"), F.col("offer_index")]

@@ -284,7 +284,7 @@ def accept_over_time(candidates: DataFrame, keys: list[str], atl_confidence: flo
     candidates: keys, week, candidate_rank, advertised_price, unit_price, confidence, base_decision. The state is the low
     and the last week's unit price of accepted weeks; the advertised price is held against it. A fold over each series'
     sorted weeks, since a week's verdict depends on the weeks before. Only candidates that the gate accepts reach the fold,
-    of the sure ones the first of each week. Every week of the input appears, with a null unit_price where nothing was
+    of the sure ones the first of each week, of the others the first of each price with their number. Every week of the input appears, with a null unit_price where nothing was
     accepted.
     """
     confidence = F.col("confidence").cast("double")
@@ -292,8 +292,14 @@ def accept_over_time(candidates: DataFrame, keys: list[str], atl_confidence: flo
     one = F.struct("candidate_rank", "advertised_price", "unit_price", confidence.alias("confidence"), "base_decision")
     accepted = F.col("base_decision") == "accepted"
     sure_ = accepted & (confidence >= atl_confidence)
-    weeks = candidates.groupBy(*keys, "week").agg(
-        F.sort_array(F.concat(F.collect_list(F.when(accepted & ~sure_, one)), F.array_compact(F.array(F.min(F.when(sure_, one)))))).alias("ranked")
+    unsure = F.coalesce(accepted & ~sure_, F.lit(False))
+    # Unsure candidates of one advertised price share their fate: the first of them and their count are enough.
+    prices = candidates.groupBy(*keys, "week", F.when(unsure, F.col("advertised_price")).alias("_price")).agg(
+        F.min(F.when(unsure, one)).alias("_unsure"), F.count_if(unsure).alias("_n"), F.min(F.when(sure_, one)).alias("_sure")
+    )
+    counted = lambda c, n: F.when(c.isNotNull(), F.struct(c["candidate_rank"].alias("candidate_rank"), c["advertised_price"].alias("advertised_price"), c["unit_price"].alias("unit_price"), c["confidence"].alias("confidence"), c["base_decision"].alias("base_decision"), n.alias("n")))
+    weeks = prices.groupBy(*keys, "week").agg(
+        F.sort_array(F.concat(F.collect_list(counted(F.col("_unsure"), F.col("_n"))), F.array_compact(F.array(counted(F.min("_sure"), F.lit(1).cast("long")))))).alias("ranked")
     )
     ordered = weeks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("week", "ranked"))).alias("weeks"))
     start = F.expr("named_struct('low', CAST(NULL AS DOUBLE), 'prior', CAST(NULL AS DOUBLE), 'out', CAST(array() AS ARRAY<STRUCT<week: DATE, rank: INT, unit_price: DOUBLE, n_held: INT>>))")
@@ -309,7 +315,7 @@ def accept_over_time(candidates: DataFrame, keys: list[str], atl_confidence: flo
         price = F.get(F.transform(good, lambda c: c["unit_price"]), 0)
         entry = F.struct(
             week["week"].alias("week"), F.get(F.transform(good, lambda c: c["candidate_rank"]), 0).cast("int").alias("rank"), price.cast("double").alias("unit_price"),
-            F.size(F.filter(week["ranked"], lambda c: (c["base_decision"] == "accepted") & ~passes(c))).cast("int").alias("n_held"),
+            F.aggregate(F.filter(week["ranked"], lambda c: ~passes(c)), F.lit(0).cast("long"), lambda n, c: n + c["n"]).cast("int").alias("n_held"),
         )
         return F.struct(F.least(state["low"], price.cast("double")).alias("low"), price.cast("double").alias("prior"), F.concat(state["out"], F.array(entry)).alias("out"))
 

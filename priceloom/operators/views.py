@@ -246,7 +246,6 @@ def _newest(rows: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFra
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))).where(F.col("_n") <= n).drop("_n")
 
 
-_AD = F.col("ad_price")
 _WEEK = ("week", "price", "ad_price", "confidence", "price_type", "is_baseline_fallback", "text")
 
 
@@ -259,8 +258,8 @@ def _effective_weeks(rows: DataFrame) -> DataFrame:
 
 def _baselines(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, inferred, has_ad): the highest trusted ad price, and whether there is any ad price that is not of low confidence."""
-    trusted = _AD.isNotNull() & F.col("confidence").isNotNull() & (F.col("confidence") != "low")
-    return series.groupBy(*keys).agg(F.max(F.when(trusted, _valid(_AD))).alias("inferred"), F.bool_or(_AD.isNotNull() & ~F.coalesce(F.col("confidence") == "low", F.lit(False))).alias("has_ad"))
+    trusted = F.col("ad_price").isNotNull() & F.col("confidence").isNotNull() & (F.col("confidence") != "low")
+    return series.groupBy(*keys).agg(F.max(F.when(trusted, _valid(F.col("ad_price")))).alias("inferred"), F.bool_or(F.col("ad_price").isNotNull() & ~F.coalesce(F.col("confidence") == "low", F.lit(False))).alias("has_ad"))
 
 
 def product_page(products: DataFrame, series: DataFrame, matches: DataFrame, comparisons: DataFrame, history: DataFrame, pairs: DataFrame, keys: Sequence[str] = ("feed", "family"), weeks: int = PAGE_WEEKS) -> DataFrame:
@@ -309,15 +308,15 @@ def family_page(members: DataFrame, as_of: Column, units: DataFrame, keys: Seque
         F.min(_valid(F.col("member_baseline"))).alias("range_low"),
         F.max(_valid(F.col("member_baseline"))).alias("range_high"),
     )
-    trusted = F.when(F.col("confidence").isNotNull() & (F.col("confidence") != "low"), _AD)
+    trusted = F.when(F.col("confidence").isNotNull() & (F.col("confidence") != "low"), F.col("ad_price"))
     weekly = placed.groupBy(*on, "week").agg(
         F.min(trusted).alias("ad_price"), F.max(trusted).alias("ad_max"), F.min("price").alias("lowest"), F.max("week_end").alias("week_end"), F.coalesce(F.bool_or("is_preview"), F.lit(False)).alias("is_preview"),
         F.min_by("text", F.when(F.col("text").isNotNull(), F.col("member"))).alias("text"),
     )
-    weekly = weekly.withColumns({"price": F.coalesce("ad_price", "lowest"), "price_type": F.when(_AD.isNotNull(), "weekly_ad").otherwise("baseline")})
+    weekly = weekly.withColumns({"price": F.coalesce("ad_price", "lowest"), "price_type": F.when(F.col("ad_price").isNotNull(), "weekly_ad").otherwise("baseline")})
     active = (F.col("week") <= as_of) & (as_of <= F.coalesce("week_end", "week"))
-    when = lambda where: F.when(where & _AD.isNotNull(), F.col("week"))
-    sums = weekly.groupBy(*on).agg(F.coalesce(F.max_by("ad_price", when(active)), F.max_by("ad_price", when(~F.col("is_preview")))).alias("sale_price"), F.max(_valid(_AD)).alias("inferred"))
+    when = lambda where: F.when(where & F.col("ad_price").isNotNull(), F.col("week"))
+    sums = weekly.groupBy(*on).agg(F.coalesce(F.max_by("ad_price", when(active)), F.max_by("ad_price", when(~F.col("is_preview")))).alias("sale_price"), F.max(_valid(F.col("ad_price"))).alias("inferred"))
     listed = _newest(weekly, keys, "week", weeks).groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("week", "price", "ad_price", "ad_max", "price_type", "text"))).alias("weekly_prices"))
     rows = of_members.join(sums, on).join(listed, on).join(units, keys[-1], "left")
     rows = rows.withColumns({"baseline": F.coalesce("range_high", "inferred"), "chart_mode": F.when(F.size("members") > 1, "range").otherwise("single")})
@@ -325,3 +324,10 @@ def family_page(members: DataFrame, as_of: Column, units: DataFrame, keys: Seque
     above = (unit - F.col("warehouse_unit_price")) / _valid(F.col("warehouse_unit_price")) * 100
     rows = rows.withColumns({"unit_price": rounded(unit, 4), "pct_above_warehouse": rounded(above, 2), "badge": F.when(above <= VARIETY_PCT, "more_variety").when(above > VARIETY_PCT, "best_value_warehouse")})
     return rows.select(*on, "members", "weekly_prices", "baseline", "range_low", "range_high", "sale_price", "chart_mode", "unit_price", "pct_above_warehouse", "badge")
+
+
+def assessment_eval(cases: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Cases (expect_verdict, verdict), those with an expected verdict, and those of them whose verdict is it; a null verdict
+    is none."""
+    judged = F.col("expect_verdict").isNotNull()
+    return cases.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(judged).alias("judged"), F.count_if(judged & (F.col("expect_verdict") == F.col("verdict"))).alias("matched"))

@@ -268,7 +268,7 @@ _WANT_BEHAVIOR = "CASE kind WHEN 0 THEN 'continue' WHEN 3 THEN 'invalid' WHEN 5
 
 @query(
     _CHAIN
-    + f""", cases AS (SELECT a.*, ({_KIND}) % 7 AS kind, a.candidates AS c, {_FAMILY} AS own, lower({_BRAND} || ' ' || p_name) AS spoken FROM acted a JOIN part ON p_partkey = (query_id // 100 * 31 + query_id % 100 * 7) % (SELECT count(*) FROM part)
+    + rf""", cases AS (SELECT a.*, ({_KIND}) % 7 AS kind, a.candidates AS c, {_FAMILY} AS own, lower({_BRAND} || ' ' || p_name) AS spoken FROM acted a JOIN part ON p_partkey = (query_id // 100 * 31 + query_id % 100 * 7) % (SELECT count(*) FROM part)
 ), wanted AS (SELECT *, {_WANT_PRICE} AS want_price, {_WANT_BEHAVIOR} AS want_behavior, CASE WHEN kind IN (0, 6) THEN own END AS want_tracker, kind IN (0, 1, 6) AS has_text FROM cases
 ), words AS (SELECT *, list_filter(string_split(spoken, ' '), lambda w: length(w) >= 3) AS w FROM wanted
 ), flags AS (SELECT *, NOT has_text OR len(list_filter(w, lambda x: contains(trim(regexp_replace(lower(product_text), '\s+', ' ', 'g'), ' '), x))) >= greatest(1, (len(w) + 1) // 2) AS product_ok,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("series", "setops", "offers", "compare", "events", "querylog", "streams", "content", "views", "resolution", "shortlist")
+MODULES = ("series", "setops", "offers", "compare", "events", "querylog", "streams", "content", "views", "resolution", "shortlist", "files")
 
 
 def _load():
