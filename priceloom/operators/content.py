@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from priceloom.functions.dims import dimension
+
 
 def eligible_watchlist(watchlist: DataFrame, market: str) -> DataFrame:
     """Included rows of the market or of all markets."""
@@ -64,8 +66,7 @@ def shortlist_items(seed: DataFrame, offers: DataFrame) -> DataFrame:
 
     Offers stay where they are while the list is short; what is found is combined before it shuffles.
     """
-    listed = F.broadcast(seed) if seed.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS else seed
-    hits = listed.alias("s").join(offers.alias("o"), (F.col("s.store") == F.col("o.store")) & F.col("o.text").contains(F.col("s.query")))
+    hits = dimension(seed, BROADCAST_SEEDS).alias("s").join(offers.alias("o"), (F.col("s.store") == F.col("o.store")) & F.col("o.text").contains(F.col("s.query")))
     first = hits.groupBy("s.item", "s.store").agg(F.min_by("o.text", "o.row_seq").alias("text"), F.min_by("o.price", "o.row_seq").alias("price"))
     return seed.join(first, ["item", "store"], "left")
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from priceloom.functions.dims import dimension
+
 BROADCAST_FAMILIES = 50_000
 
 #: Qualifier words that may stand between two words of a phrase, up to three in a row.
@@ -180,7 +182,7 @@ def pattern_hits(text: Column, patterns: Column) -> Column:
 
 def classify_types(rows: DataFrame, taxonomy: DataFrame, key: str, text: str) -> DataFrame:
     """(key, types, primary_type): all types (ord, type, pattern) that hit, in taxonomy order."""
-    hits = rows.select(key, text).join(F.broadcast(taxonomy), F.expr(f"{text} RLIKE pattern"))
+    hits = rows.select(key, text).join(dimension(taxonomy), F.expr(f"{text} RLIKE pattern"))
     grouped = hits.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("ord", "type"))).alias("t"))
     return grouped.select(key, F.col("t.type").alias("types"), F.get("t.type", 0).alias("primary_type"))
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from priceloom.functions.dims import dimension
 from priceloom.functions.text import captured
 from priceloom.functions.units import rounded
 
@@ -146,7 +147,7 @@ def protected_phrases(catalog: DataFrame, live_words: DataFrame) -> DataFrame:
 
 def mentions(texts: DataFrame, lexicon: DataFrame, key: str, text: str, around: int = 90) -> DataFrame:
     """First hit of each lexicon item (item, query, pattern) in each text, with a snippet around it."""
-    hits = texts.join(F.broadcast(lexicon), F.expr(f"lower({text}) RLIKE pattern")).withColumn("at", F.expr(f"regexp_instr(lower({text}), pattern)"))
+    hits = texts.join(dimension(lexicon), F.expr(f"lower({text}) RLIKE pattern")).withColumn("at", F.expr(f"regexp_instr(lower({text}), pattern)"))
     first = Window.partitionBy(key, "item").orderBy("at", "query")
     start = F.greatest(F.col("at") - around, F.lit(1))
     return hits.withColumn("_n", F.row_number().over(first)).where("_n = 1").withColumn("snippet", F.substring(F.col(text), start, F.col("at") - start + around)).drop("_n")

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from priceloom.functions.dims import dimension
 from priceloom.functions.units import rounded
 
 KEYS = ("feed", "family")
@@ -93,7 +94,7 @@ def effective_price_by_first_entry(prices: DataFrame, weeks: DataFrame, ids: Dat
     active = begun & (date <= F.col("week_end"))
     tiers = weeks.groupBy(feed).agg(F.count_if(active).alias("n_active"), F.count_if(begun).alias("n_begun"))
     counts = F.when(F.col("n_active") > 0, active).when(F.col("n_begun") > 0, begun).otherwise(True)
-    usable = weeks.join(F.broadcast(tiers), feed).where(counts).select(feed, "week").distinct()
+    usable = weeks.join(dimension(tiers), feed).where(counts).select(feed, "week").distinct()
     entry = prices.join(ids, "family").join(usable, [feed, "week"]).groupBy(feed, "product", "week").agg(F.min_by(F.struct("price", "confidence"), F.struct("ord", "family")).alias("e"))
     trusted = F.col("e.price").isNotNull() & F.coalesce(F.col("e.confidence") != "low", F.lit(False))
     newest = entry.groupBy(feed, "product").agg(F.max_by("e.price", F.when(trusted, F.col("week"))).alias("price"))

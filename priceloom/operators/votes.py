@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from priceloom.functions.dims import dimension
+
 
 def first_votes(events: DataFrame, item: str = "item", user: str = "user") -> DataFrame:
     """One vote per item and user, the earliest."""
@@ -31,7 +33,7 @@ def rank_votes(items: DataFrame) -> DataFrame:
     counts = items.groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("votes", F.coalesce(F.sum("n").over(Window.orderBy(F.col("votes").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     place = F.row_number().over(Window.partitionBy("votes").orderBy(*order))
-    return items.join(F.broadcast(before), "votes").withColumn("vote_rank", (F.col("before") + place).cast("int")).drop("before")
+    return items.join(dimension(before), "votes").withColumn("vote_rank", (F.col("before") + place).cast("int")).drop("before")
 
 
 def live_finds(finds: DataFrame, now: Column, n: int = 50) -> DataFrame:
@@ -80,3 +82,32 @@ def vote_batch(items: DataFrame, events: DataFrame, voters: DataFrame | None = N
 def apply_vote_events(items: DataFrame, events: DataFrame, voters: DataFrame | None = None) -> DataFrame:
     """The items of vote_batch."""
     return vote_batch(items, events, voters)[0]
+
+
+#: Days that a find stays after it is approved.
+FIND_DAYS = 3
+
+
+def apply_find_events(finds: DataFrame, events: DataFrame, days: int = FIND_DAYS) -> DataFrame:
+    """Finds (id, status, expires_at, votes) after events (event_id, ts, kind, id, voter), with the reports added.
+
+    The last approval or rejection gives the status; every approval restarts the time to live, a rejection leaves it. Each
+    voter counts once for a find; votes without a voter and events of unknown finds do nothing. Voters are made distinct
+    first and events combine before they shuffle, so a popular find is no burden.
+    """
+    at = F.struct("ts", "event_id")
+    decided = F.col("kind").isin("approve", "reject")
+    sums = events.groupBy("id").agg(
+        F.max_by("kind", F.when(decided, at)).alias("_last"), F.max(F.when(F.col("kind") == "approve", F.col("ts"))).alias("_approved"), F.count_if(F.col("kind") == "report").alias("reports")
+    )
+    voters = events.where("kind = 'vote' AND voter IS NOT NULL").select("id", "voter").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("_votes"))
+    rows = finds.join(sums, "id", "left").join(voters, "id", "left")
+    status = F.when(F.col("_last") == "approve", "approved").when(F.col("_last") == "reject", "rejected").otherwise(F.col("status"))
+    none = F.lit(0).cast("long")
+    return rows.select(
+        "id",
+        status.alias("status"),
+        F.coalesce(F.col("_approved") + F.make_dt_interval(F.lit(days)), "expires_at").alias("expires_at"),
+        (F.coalesce(F.col("votes").cast("long"), none) + F.coalesce("_votes", none)).alias("votes"),
+        F.coalesce("reports", none).alias("reports"),
+    )

@@ -118,3 +118,17 @@ def session_completion(spark, sf_dir):
     answers = table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("ts").cast("timestamp").alias("ts"), F.expr(_ACTIONS).alias("action"))
     sessions = quality.shopper_sessions(answers, gap="2 days").withColumn("month", F.date_trunc("month", "session_start"))
     return quality.completion_metrics(sessions, ["month"])
+
+
+_FINDS = _VOTES + """, e AS (SELECT event_id, ts, item AS id, u AS voter, CASE event_type WHEN 'view' THEN 'vote' WHEN 'click' THEN 'vote' WHEN 'purchase' THEN 'approve' WHEN 'signup' THEN 'reject' ELSE 'report' END AS kind FROM votes
+), f AS (SELECT item AS id, min(ts) + INTERVAL 3 DAY AS expires_at FROM votes WHERE item % 10 > 0 GROUP BY item
+), s AS (SELECT id, arg_max(kind, (ts, event_id)) FILTER (WHERE kind IN ('approve', 'reject')) AS last, max(ts) FILTER (WHERE kind = 'approve') AS approved, count(DISTINCT voter) FILTER (WHERE kind = 'vote') AS n, count(*) FILTER (WHERE kind = 'report') AS reports FROM e GROUP BY id)
+SELECT f.id, CASE last WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' ELSE 'pending' END AS status, coalesce(approved + INTERVAL 3 DAY, expires_at) AS expires_at, 1 + n AS votes, reports FROM f JOIN s ON f.id = s.id"""
+
+
+@query(_FINDS)
+def apply_find_events(spark, sf_dir):
+    kinds = F.col("event_type")
+    e = _events(spark, sf_dir).select("event_id", "ts", F.col("item").alias("id"), F.col("user").alias("voter"), F.when(kinds.isin("view", "click"), "vote").when(kinds == "purchase", "approve").when(kinds == "signup", "reject").otherwise("report").alias("kind"))
+    finds = e.where("id % 10 > 0").groupBy("id").agg((F.min("ts") + F.expr("INTERVAL 3 DAYS")).alias("expires_at")).withColumns({"status": F.lit("pending"), "votes": F.lit(1)})
+    return votes.apply_find_events(finds, e)

@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from priceloom.functions.dims import dimension
+
 MANIFEST = "source_file string, parent_company string, banner string, region string, representative_store_id string, week_start date, week_end date, notes string"
 OFFER_STRINGS = (
     "split_item_id banner region source_file week_start week_end page_number split_product_text raw_product_text raw_offer_text promo_text package_text advertised_price price_basis "
@@ -158,7 +160,7 @@ def read_warehouse_prices(spark: SparkSession, path: str, slugs: DataFrame) -> D
         F.col("inventoryStatus").alias("availability"), stamp.alias("ts"), "source_file",
     )
     dated = rows.withColumn("date", F.coalesce(F.to_date("ts"), F.col("file_date")))
-    return dated.join(F.broadcast(slugs), "slug").where("item <> '' AND price > 0").withColumn("date_mismatch", F.coalesce(F.to_date("ts") != F.col("file_date"), F.lit(False)))
+    return dated.join(dimension(slugs), "slug").where("item <> '' AND price > 0").withColumn("date_mismatch", F.coalesce(F.to_date("ts") != F.col("file_date"), F.lit(False)))
 
 
 def replace_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
