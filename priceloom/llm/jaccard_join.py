@@ -53,8 +53,8 @@ BITMAP_WORDS = 8
 BITMAP = [f"bits{i}" for i in range(BITMAP_WORDS)]
 #: Documents that pass the screen are looked up by broadcast up to this count (16 MB of ids), by a shuffled join beyond.
 BROADCAST_IDS = 1_000_000
-#: Buckets whose two ends (0.2 kB) are looked up by broadcast.
-BROADCAST_ENDS = 50_000
+#: Buckets whose two ends (0.2 kB) are looked up by broadcast; several such tables may be alive in an executor.
+BROADCAST_ENDS = 5_000
 
 
 def shingle_set(words: np.ndarray, n: int = SHINGLE_WORDS) -> np.ndarray:
@@ -247,7 +247,7 @@ def linked_sets(sets: DataFrame, scratch: Scratch, percent: int = PERCENT, star_
     Ids are distinct and no field is null; sets without held tokens are components of their own, no sets give no rows.
     """
     every = scratch.write(signatures(sets, percent), "signatures")
-    postings = scratch.write(held_by_several(every, "sig", scratch, having="n > 1 AND open", open=F.max("inner")), "postings")
+    postings = scratch.write(held_by_several(every, "sig", scratch, limit=0, having="n > 1 AND open", open=F.max("inner")), "postings")
     facts = scratch.write(bitmaps(sets), "bitmaps")
     scratch.drop(every)
     component = linked_in_buckets(sets.select("set_id", "n", F.col("held.token").alias("tokens")), postings, facts, scratch, percent, star_rounds)
