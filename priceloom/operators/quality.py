@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from priceloom.functions.dims import DIMENSION_ROWS
 from priceloom.operators.series import KEYS, prior_week_price
 
 
@@ -74,21 +75,62 @@ def compare_runs(a: DataFrame, b: DataFrame, key: str, fields: Sequence[str]) ->
     )
 
 
-#: Percentiles of a service's latency are off by at most this share of the ranks; buffers hold about as many values.
+#: A sketch of a group's values says where a percentile lies, off by one in so many ranks; buffers hold about as many values.
 RANK_ACCURACY = 10_000
+#: The share of a group's rows on each side of a percentile whose values are put in order.
+RANK_MARGIN = 0.001
+
+
+def percentiles(df: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """A row per group that has values, with its exact percentiles by name: interpolated between the two values next to their
+    place, as SQL's percentile_cont; nulls do not count.
+
+    Sketches bound each percentile from both sides, the rows below, within and above the bounds are counted, and of the part
+    that holds the percentile's ranks the distinct values are put in order. A sketch that is off makes that part larger, not
+    the result another one.
+    """
+    rows = df.where(F.col(value).isNotNull()).select((F.struct(*by) if by else F.struct(F.lit(0))).alias("key"), F.col(value).cast("double").alias("v"))
+    bounds = [min(max(share + d, 0.0), 1.0) for share in shares.values() for d in (-RANK_MARGIN, RANK_MARGIN)]
+    few = rows.select("key").distinct().limit(DIMENSION_ROWS + 1).count() <= DIMENSION_ROWS
+    sent = lambda groups: F.broadcast(groups) if few else groups
+    sketches = sent(rows.groupBy("key").agg(F.percentile_approx("v", bounds, RANK_ACCURACY).alias("bounds")))
+    low, high = (lambda i: F.col("bounds")[2 * i]), (lambda i: F.col("bounds")[2 * i + 1])
+    n_in = [F.count_if(c).alias(f"{name}{i}") for i in range(len(shares)) for name, c in (("below", F.col("v") < low(i)), ("upto", F.col("v") <= high(i)))]
+    counts = rows.join(sketches, "key").groupBy("key", "bounds").agg(F.count(F.lit(1)).alias("n"), *n_in)
+
+    wanted = []  # per percentile, where its ranks (from 0) lie: its name, its place, the parts and the rows before them
+    for i, (name, share) in enumerate(shares.items()):
+        at = F.lit(share) * (F.col("n") - 1)
+        part = lambda rank: F.when(rank < F.col(f"below{i}"), 0).when(rank < F.col(f"upto{i}"), 1).otherwise(2)  # noqa: E731, B023
+        first = part(F.floor(at))
+        before = F.when(first == 0, F.lit(0)).when(first == 1, F.col(f"below{i}")).otherwise(F.col(f"upto{i}"))
+        wanted.append(F.struct(F.lit(name).alias("name"), at.alias("at"), first.alias("first"), part(F.ceil(at)).alias("last"), before.alias("before")).alias(f"s{i}"))
+    places = sent(counts.select("key", "bounds", *wanted))
+    inside = [F.when(F.when(F.col("v") < low(i), 0).when(F.col("v") <= high(i), 1).otherwise(2).between(F.col(f"s{i}.first"), F.col(f"s{i}.last")), F.col(f"s{i}")) for i in range(len(shares))]
+    near = rows.join(places, "key").where(F.coalesce(*inside).isNotNull())
+    values = near.select("key", "v", F.explode(F.array_compact(F.array(*inside))).alias("s")).groupBy("key", "s", "v").agg(F.count(F.lit(1)).alias("n"))
+
+    upto = F.col("s.before") + F.sum("n").over(Window.partitionBy("key", "s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    value_at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("v")))
+    at = F.col("s.at")
+    found = values.withColumn("upto", upto).groupBy("key", "s").agg(value_at(F.floor(at)).alias("a"), value_at(F.ceil(at)).alias("b"))
+    exact = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil(at) - at) * F.col("a") + (at - F.floor(at)) * F.col("b"))
+    return found.groupBy("key").agg(*[F.max(F.when(F.col("s.name") == name, exact)).alias(name) for name in shares]).select(*[F.col("key")[c].alias(c) for c in by], *shares)
 
 
 def service_metrics(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Requests, errors, error rate, mean and percentile latency of (kind, latency) rows. Percentiles are values of the
-    column from mergeable summaries of bounded size, exact for groups of up to RANK_ACCURACY rows."""
-    return events.groupBy(*by).agg(
+    """Requests, errors, error rate, mean and exact percentile latency of (kind, latency) rows."""
+    totals = events.groupBy(*by).agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if(F.col("kind") == "error").alias("errors"),
         (F.count_if(F.col("kind") == "error") / F.count(F.lit(1))).alias("error_rate"),
         F.avg("latency").alias("mean_latency"),
-        F.percentile_approx("latency", 0.5, RANK_ACCURACY).alias("p50"),
-        F.percentile_approx("latency", 0.95, RANK_ACCURACY).alias("p95"),
     )
+    found = percentiles(events, "latency", {"p50": 0.5, "p95": 0.95}, by)
+    same = F.lit(True)
+    for c in by:
+        same &= totals[c].eqNullSafe(found[c])
+    return totals.join(found, same, "left").select(*[totals[c] for c in by], "requests", "errors", "error_rate", "mean_latency", "p50", "p95")
 
 
 def shopper_sessions(answers: DataFrame, user: str = "user", ts: str = "ts", gap: str = "30 minutes") -> DataFrame:

@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from priceloom.operators import quality
@@ -54,6 +56,22 @@ def test_the_latency_sketch_is_off_by_few_ranks(spark):
         assert abs(rank - share * len(values)) <= len(values) / quality.RANK_ACCURACY + 1
 
 
+@pytest.mark.parametrize("accuracy, margin", [(quality.RANK_ACCURACY, quality.RANK_MARGIN), (5, 0.0)])
+def test_percentiles_are_exact_however_rough_the_sketch(spark, monkeypatch, accuracy, margin):
+    monkeypatch.setattr(quality, "RANK_ACCURACY", accuracy)
+    monkeypatch.setattr(quality, "RANK_MARGIN", margin)
+    rng = random.Random(2)
+    groups = {"many": [rng.lognormvariate(3, 1) for _ in range(40_001)], "ties": [float(rng.randrange(3)) for _ in range(30_000)], None: [4.0, 1.0], "one": [7.0], "none": []}
+    rows = [(k, v, "ok") for k, vs in groups.items() for v in vs] + [("none", None, "error"), ("many", None, "ok")]
+    rng.shuffle(rows)
+    got = {r["k"]: r for r in quality.service_metrics(spark.createDataFrame(rows, "k string, latency double, kind string").repartition(5), ["k"]).collect()}
+    assert set(got) == set(groups)
+    assert (got["none"]["requests"], got["none"]["errors"], got["none"]["p50"], got["none"]["p95"]) == (1, 1, None, None)
+    for k, values in groups.items():
+        for name, share in (("p50", 0.5), ("p95", 0.95)) if values else ():
+            assert got[k][name] == pytest.approx(np.quantile(values, share), rel=1e-12)
+
+
 def test_voters_count_once_across_batches_and_reruns(spark, tmp_path):
     root, day = str(tmp_path / "votes"), lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
     batches = [
