@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from priceloom.llm.common import Scratch, append_columns, fresh_name, small
+from priceloom.llm.common import Scratch, append_columns, fresh_name
 
 MIN_PAGES = 5
 MIN_SHARE = 0.3
@@ -324,17 +324,27 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def each_text(column: pa.Array) -> Iterator[str | None]:
+    """The texts of a column one by one, so that a task holds its batch's pages once."""
+    return (x.as_py() for x in column)
+
+
 def page_subtrees(pages: DataFrame) -> DataFrame:
     """(page, host, subtrees) of (page, host, html): the distinct candidate subtrees of each page."""
     fields = T.StructType([T.StructField("digest", T.LongType()), T.StructField("around", T.LongType()), T.StructField("hinted", T.BooleanType())])
     schema = T.StructType([pages.schema["page"], T.StructField("host", T.StringType()), T.StructField("subtrees", T.ArrayType(fields))])
-    arrow = pa.list_(pa.struct([("digest", pa.int64()), ("around", pa.int64()), ("hinted", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(candidates(understood(parse(page))), key=str) if page else [] for page in batch.column(2).to_pylist()]
-            rows = [[dict(zip(fields.names, x, strict=True)) for x in f] for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, arrow)], names=schema.names)
+            ends, columns = [0], ([], [], [])
+            for page in each_text(batch.column(2)):
+                for found in sorted(candidates(understood(parse(page))), key=str) if page else ():
+                    for column, x in zip(columns, found, strict=True):
+                        column.append(x)
+                ends.append(len(columns[0]))
+            arrays = [pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(arrays, fields.names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=schema.names)
 
     return pages.mapInArrow(run, schema)
 
@@ -345,8 +355,9 @@ def template_subtrees(
     """(host, digest) of the subtrees (host, digest, around, hinted) that recur across a host's pages, or across its
     different main elements. pages has a row with its host for each page."""
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
-    if scratch:  # a table, so that a host of very many subtrees can be split
-        hosts = small(scratch.write(hosts, "hosts"), BROADCAST_HOSTS)
+    if scratch:  # beyond what is sent out a table, so that a host of very many subtrees can be split
+        few = pages.select("host").distinct().limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+        hosts = F.broadcast(hosts) if few else scratch.write(hosts, "hosts")
     each = subtrees.groupBy("host", "digest", "around").agg(F.count(F.lit(1)).alias("n"), F.max("hinted").alias("hinted"))
     counts = each.groupBy("host", "digest").agg(F.sum(F.when(F.col("around").isNull(), F.col("n")).otherwise(1)).alias("n"), F.max("hinted").alias("hinted"))
     counts = counts.where((F.col("n") >= min_pages) | F.col("hinted") & (F.col("n") >= hinted_pages))
@@ -376,9 +387,9 @@ def main_text(
     joined = df.join(cuts.select(F.col("page").alias(page_key), F.col("template").alias(gone)), key.eqNullSafe(F.col(page_key)), "left").drop(page_key)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        pages = batch.column(batch.schema.get_field_index(html_col)).to_pylist()
-        template = batch.column(batch.schema.get_field_index(gone)).to_pylist()
-        texts = [extract(understood(parse(p)), set(t or ())) if p else "" for p, t in zip(pages, template, strict=True)]
+        pages = each_text(batch.column(batch.schema.get_field_index(html_col)))
+        template = batch.column(batch.schema.get_field_index(gone))
+        texts = [extract(understood(parse(p)), set(t.as_py() or ())) if p else "" for p, t in zip(pages, template, strict=True)]
         return [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
 
     return append_columns(joined, [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())], run).drop(gone)

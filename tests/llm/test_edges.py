@@ -1,9 +1,11 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
+import pathlib
+
 import pytest
 from pyspark.sql import functions as F
 
-from priceloom.llm import bpe_counts, capture_index, compression_bands, content_chunks, jaccard_join, line_crf, site_templates, source_mix, string_tiling, template_tree
+from priceloom.llm import bpe_counts, capture_index, common, compression_bands, content_chunks, jaccard_join, line_crf, site_templates, source_mix, string_tiling, template_tree
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 PROSE = " ".join(WORDS[i * 7 % 24] + str(i % 5 or "") for i in range(60))
@@ -125,6 +127,18 @@ def test_site_templates(spark):
     assert site_templates.main_text(df.limit(0)).count() == 0
 
 
+def test_site_templates_write_hosts_only_where_many(spark, monkeypatch):
+    pages = [(i, f"http://h{i % 3}.example/{i}", f"<ul><li>home {i % 3}<li>about</ul><p>page {i}</p>") for i in range(30)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    texts = lambda: {r["page_id"]: r["text"] for r in site_templates.main_text(df).collect()}
+    tables = lambda: set(pathlib.Path(common.shared_dir(spark).removeprefix("file:")).glob("pages-*/*-hosts"))
+    before = tables()
+    want = {i: f"page {i}" for i in range(30)}
+    assert texts() == want and tables() == before
+    monkeypatch.setattr(site_templates, "BROADCAST_HOSTS", 2)
+    assert texts() == want and len(tables()) == len(before) + 1
+
+
 def test_capture_index(spark):
     trap = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n"
     pages = [(3, "http://b.example/x?y#z", trap), (1, "http://b.example/x", trap), (1, "http://b.example/x", trap), (2, None, None), (4, "", ""), (None, "http://c.example", "é"), (5, "http://a b\n.example/", "long" * 50_000)]
