@@ -56,8 +56,9 @@ def test_the_latency_sketch_is_off_by_few_ranks(spark):
         assert abs(rank - share * len(values)) <= len(values) / quality.RANK_ACCURACY + 1
 
 
-@pytest.mark.parametrize("accuracy, margin", [(quality.RANK_ACCURACY, quality.RANK_MARGIN), (5, 0.0)])
-def test_percentiles_are_exact_however_rough_the_sketch(spark, monkeypatch, accuracy, margin):
+@pytest.mark.parametrize("accuracy, margin, sent", [(quality.RANK_ACCURACY, quality.RANK_MARGIN, 50_000), (5, 0.0, 0)])
+def test_percentiles_are_exact_however_rough_the_sketch(spark, monkeypatch, accuracy, margin, sent):
+    monkeypatch.setattr(quality, "DIMENSION_ROWS", sent)
     monkeypatch.setattr(quality, "RANK_ACCURACY", accuracy)
     monkeypatch.setattr(quality, "RANK_MARGIN", margin)
     rng = random.Random(2)
