@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from priceloom.functions.units import rounded
+
 #: Points of the first of these words in a name, and of a name with none.
 POPULARITY = {
     "doritos": 15, "ruffles": 12, "cheetos": 12, "lay": 12, "oreo": 14, "ritz": 13, "cheez-it": 12, "chips ahoy": 11, "butter": 16, "egg": 16, "chicken": 18, "avocado": 17, "strawberr": 16,
@@ -66,7 +68,7 @@ def shortlist_facts(offers: DataFrame, categories: Mapping[str, Sequence[str]] =
     confidence to priced offers (name, price, effective_price, baseline, warehouse_unit_price, caveats, split_confidence);
     offers without a name or a price above 0 are dropped."""
     price = F.coalesce("effective_price", "price")
-    below = lambda base: F.when((base > 0) & price.isNotNull(), F.round((base - price) / base * 100, 1))
+    below = lambda base: F.when((base > 0) & price.isNotNull(), rounded((base - price) / base * 100, 1))
     low = F.lower("name")
     confidence = (
         F.when(F.contains(low, F.lit("2 liter")) | F.coalesce(F.col("split_confidence") < 0.75, F.lit(False)), "Low")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priceloom.functions import labels, text, units
-from priceloom.operators import compare, matching, querylog, setops, votes
+from priceloom.operators import compare, matching, querylog, setops, shortlist, votes
 from priceloom.sources import files
 
 OFFER = "promo_text string, price_basis string, advertised_price string, split_product_text string, raw_offer_text string, package_text string, package_size_min string, package_size_max string, package_unit string, rule string, baseline double"
@@ -172,3 +172,15 @@ def test_report_orders(spark):
     assert [r["id"] for r in rows.orderBy(*content.crop_override_order()).collect()] == [3, 2, 4, 1]
     rows = spark.sql("SELECT * FROM VALUES (1, 1, 9, 'a'), (2, 3, 5, 'b'), (3, 3, 5, 'a'), (4, 3, 7, 'z') AS t(id, priority, views, query)")
     assert [r["id"] for r in rows.orderBy(*content.mention_order()).collect()] == [4, 3, 2, 1]
+
+
+def test_shares_below_the_baseline_round_as_in_sql(spark):
+    """Shares within some units of the last place of a tie, x.x5 and x.5, against DuckDB's round."""
+    import duckdb
+
+    rows = [(i, "a name", b * (1 - (n + 0.5) / 1000), float(b)) for i, (b, n) in enumerate((b, n) for b in range(900, 1000, 9) for n in range(-200, 500))]
+    offers = spark.createDataFrame(rows, "i int, name string, price double, baseline double").selectExpr("*", "CAST(NULL AS DOUBLE) AS effective_price", "baseline AS warehouse_unit_price", "CAST(NULL AS ARRAY<STRING>) AS caveats", "1.0D AS split_confidence")
+    got = [(r["baseline_pct"], r["warehouse_pct"]) for r in shortlist.shortlist_facts(offers).orderBy("i").collect()]
+    x = [(b - p) / b * 100 for _, _, p, b in rows]
+    want = [r[0] for r in duckdb.execute("SELECT round(x, 1) FROM (SELECT unnest($1) AS x, generate_subscripts($1, 1) AS i) ORDER BY i", [x]).fetchall()]
+    assert got == [(w, w) for w in want]
