@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from priceloom.functions.dims import dimension
 
@@ -41,10 +42,21 @@ def live_finds(finds: DataFrame, now: Column, n: int = 50) -> DataFrame:
     return finds.where((F.col("status") == "approved") & (F.col("expires_at") > now)).orderBy(F.col("created_at").desc(), F.col("id")).limit(n)
 
 
+#: Fixed value: the day of events without a time, before all others.
+NO_DAY = -(2**40)
+
+
 def normalized_name(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(name)), r"\s+", " ")
 
 
+def _day(events: DataFrame) -> Column:
+    """A number that grows with ts by one a day; one for all where ts is neither a time nor a date."""
+    kind = events.schema["ts"].dataType
+    days = F.floor(F.unix_seconds("ts") / 86400) if isinstance(kind, TimestampType) else F.unix_date(F.to_date("ts")) if isinstance(kind, TimestampNTZType | DateType) else F.lit(0)
+    return F.coalesce(days.cast("long"), F.lit(NO_DAY))
+
+
 def vote_batch(items: DataFrame, events: DataFrame, voters: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Items (item, status, votes) and the new voters (item, user) after a batch of events (event_id, ts, kind, item, raw_text,
     user, merge_into).
@@ -54,26 +66,33 @@ def vote_batch(items: DataFrame, events: DataFrame, voters: DataFrame | None = N
     pending item. Approve, reject and merge change the status from then on, if the item exists; a merge gives its target
     one vote if that is approved then. Votes without a user and suggestions of blank names do nothing.
 
-    Changes of status are few; they become intervals, and votes are joined with the interval that they fall in.
+    A vote takes the status that its item's changes have left, in the order of time. Items are cut into days, each of which
+    begins with the status that the days before have left; so a popular item is no single group, and the work is a sort.
     """
     at = F.struct("ts", "event_id")
-    named = events.withColumn("item", F.when(F.col("kind") == "suggest", normalized_name(F.col("raw_text"))).otherwise(F.col("item"))).where("item IS NOT NULL AND item <> ''").withColumn("at", at)
+    named = events.withColumn("item", F.when(F.col("kind") == "suggest", normalized_name(F.col("raw_text"))).otherwise(F.col("item"))).where("item IS NOT NULL AND item <> ''").withColumns({"at": at, "day": _day(events)})
     first = F.lit(None).cast(named.schema["at"].dataType)
-    known = items.select("item", first.alias("at"), "status")
-    fresh = named.where("kind = 'suggest'").join(items.select("item"), "item", "left_anti").groupBy("item").agg(F.min("at").alias("at")).withColumn("status", F.lit("pending"))
-    states = {"approve": "approved", "reject": "rejected", "merge": "merged"}
-    status = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in states.items()])
-    changes = named.where(F.col("kind").isin(*states)).select("item", "at", status.alias("status"))
+    known = items.select("item", first.alias("since"), F.col("status").alias("begun"))
+    fresh = named.where("kind = 'suggest'").join(items.select("item"), "item", "left_anti").groupBy("item").agg(F.min("at").alias("since")).withColumn("begun", F.lit("pending"))
     begun = known.unionByName(fresh)
-    changes = changes.alias("c").join(begun.alias("b"), "item").where("b.at IS NULL OR c.at > b.at").select("item", "c.at", "c.status")
-    in_order = Window.partitionBy("item").orderBy(F.col("at").asc_nulls_first())
-    spans = begun.unionByName(changes).withColumn("until", F.lead("at").over(in_order))
-    direct = named.where(F.col("kind").isin("vote", "suggest")).where("user IS NOT NULL").select("item", "user", F.col("at").alias("cast"))
-    merged = named.where("kind = 'merge' AND merge_into IS NOT NULL").select(F.col("merge_into").alias("item"), F.concat(F.lit("merge:"), F.col("item")).alias("user"), F.col("at").alias("cast"))
-    held = direct.unionByName(merged).join(spans.where("status = 'approved'"), "item").where("(at IS NULL OR cast > at) AND (until IS NULL OR cast <= until)")
-    new = held.select("item", "user").distinct()
+    states = {"approve": "approved", "reject": "rejected", "merge": "merged"}
+    kind, none = F.col("kind"), F.lit(None).cast("string")
+    step = lambda item, user, status: F.struct(item.alias("item"), user.alias("user"), status.alias("status"))
+    changed = F.when(kind.isin(*states), step(F.col("item"), none, F.coalesce(*[F.when(kind == k, v) for k, v in states.items()])))
+    direct = F.when(kind.isin("vote", "suggest") & F.col("user").isNotNull(), step(F.col("item"), F.col("user"), none))
+    merged = F.when((kind == "merge") & F.col("merge_into").isNotNull(), step(F.col("merge_into"), F.concat(F.lit("merge:"), F.col("item")), none))
+    steps = named.select("day", "at", F.explode(F.array_compact(F.array(changed, direct, merged))).alias("s")).select("s.*", "day", "at")
+    steps = steps.join(begun, "item").where("since IS NULL OR at > since")
+    days = steps.groupBy("item", "begun", "day").agg(F.max_by("status", F.when(F.col("status").isNotNull(), F.col("at"))).alias("left"))
+    before = F.last("left", ignorenulls=True).over(Window.partitionBy("item").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    starts = days.select("item", "day", first.alias("at"), none.alias("user"), F.coalesce(before, "begun").alias("status"))
+    # At one time a vote comes before a change.
+    in_order = Window.partitionBy("item", "day").orderBy(F.col("at").asc_nulls_first(), F.col("status").isNotNull())
+    cast = starts.unionByName(steps.select("item", "day", "at", "user", "status")).withColumn("held", F.last("status", ignorenulls=True).over(in_order))
+    new = cast.where("user IS NOT NULL AND held = 'approved'").select("item", "user").distinct()
     new = new.join(voters.select("item", "user"), ["item", "user"], "left_anti") if voters is not None else new
-    last = spans.where("until IS NULL").select("item", "status")
+    ends = days.groupBy("item").agg(F.max_by("left", F.when(F.col("left").isNotNull(), F.col("day"))).alias("end"))
+    last = begun.join(ends, "item", "left").select("item", F.coalesce("end", "begun").alias("status"))
     added = new.groupBy("item").agg(F.count(F.lit(1)).alias("added"))
     votes = F.coalesce(F.col("votes").cast("long"), F.lit(0)) + F.coalesce("added", F.lit(0))
     return last.join(items.select("item", "votes"), "item", "left").join(added, "item", "left").select("item", "status", votes.alias("votes")), new

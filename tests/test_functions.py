@@ -184,3 +184,43 @@ def test_shares_below_the_baseline_round_as_in_sql(spark):
     x = [(b - p) / b * 100 for _, _, p, b in rows]
     want = [r[0] for r in duckdb.execute("SELECT round(x, 1) FROM (SELECT unnest($1) AS x, generate_subscripts($1, 1) AS i) ORDER BY i", [x]).fetchall()]
     assert got == [(w, w) for w in want]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "bigint"])
+def test_votes_equal_a_loop_over_the_events_of_many_days(spark, kind):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, *range(0, 9 * 86_400, 7_000)]), rng.choice(["vote", "vote", "vote", "suggest", "approve", "reject", "merge"]), rng.choice("abcd"), rng.choice(["u", "v", "w", "x", None]), rng.choice("abcd")) for i in range(300)]
+    known = {"a": "approved", "b": "rejected"}
+    status, voters = dict(known), set()
+    day = lambda t: t if t is None or kind != "date" else t // 86_400
+    for i, ts, what, item, user, into in sorted(rows, key=lambda r: (r[1] is not None, day(r[1]) or 0, r[0])):
+        if what in ("vote", "suggest") and user and status.get(item) == "approved":
+            voters.add((item, user))
+        if what == "suggest":
+            status.setdefault(item, "pending")
+        if what == "merge" and status.get(into) == "approved":
+            voters.add((into, f"merge:{item}"))
+        if what in ("approve", "reject", "merge") and item in status:
+            status[item] = {"approve": "approved", "reject": "rejected", "merge": "merged"}[what]
+    events = spark.createDataFrame([(i, ts, what, item, item.upper(), user, into) for i, ts, what, item, user, into in rows], "event_id int, ts bigint, kind string, item string, raw_text string, user string, merge_into string")
+    events = events.withColumn("ts", F.col("ts") if kind == "bigint" else F.timestamp_seconds("ts").cast(kind))
+    after, new = votes.vote_batch(spark.createDataFrame([(k, v, 0) for k, v in known.items()], "item string, status string, votes long"), events)
+    assert {(r["item"], r["user"]) for r in new.collect()} == voters
+    assert {tuple(r) for r in after.collect()} == {(k, v, sum(x == k for x, _ in voters)) for k, v in status.items()}
+
+
+def test_a_popular_item_is_no_join_of_its_votes_with_its_changes(spark):
+    """200,000 votes and 200,000 changes of one item: a sort takes seconds, 20,000,000,000 pairs many minutes."""
+    import threading
+
+    kinds = F.element_at(F.array(*map(F.lit, ["approve", "vote", "reject", "vote"])), (F.col("id") % 4 + 1).cast("int"))
+    events = spark.range(400_000).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), kinds.alias("kind"), F.lit("a").alias("item"), F.lit("a").alias("raw_text"), F.col("id").cast("string").alias("user"), F.lit(None).cast("string").alias("merge_into"))
+    items = spark.createDataFrame([("a", "pending", 0)], "item string, status string, votes long")
+    stop = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        assert [tuple(r) for r in votes.apply_vote_events(items, events).collect()] == [("a", "rejected", 100_000)]
+    finally:
+        stop.cancel()
