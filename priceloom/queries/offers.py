@@ -11,6 +11,7 @@ from priceloom.operators import matching as ops
 from priceloom.operators import views
 from priceloom.operators.series import historical_low_before
 from priceloom.queries.base import SALES, query, sales, table
+from priceloom.sources import files
 
 PROMO = "CASE l_linenumber WHEN 1 THEN '2 for $5' WHEN 2 THEN 'Buy 2 Get 3 Free' WHEN 3 THEN 'Member Price: $1.25 ea' WHEN 4 THEN '5 ct pack' WHEN 5 THEN '3 lb' WHEN 6 THEN '18 ct' ELSE 'Everyday Price' END"
 BASIS = "CASE l_linenumber WHEN 2 THEN 'bogo' WHEN 4 THEN 'per_pack' WHEN 6 THEN 'multi_buy' ELSE 'each' END"
@@ -277,10 +278,13 @@ FROM hits h ANTI JOIN good g ON h.feed = g.feed AND h.week = g.week AND h.family
 
 @query(_MISSED)
 def missed_deals(spark, sf_dir):
-    rows = units.with_unit_price(offers(spark, sf_dir), reference="p_retailprice").withColumn("text", tx.split_text())
-    hits = ops.match_offers(rows, catalog(spark), include_only=True).select(
-        "feed", "week", "family", "text", F.col("unit_price").alias("price"), F.when(F.col("row_seq") % 2 == 0, "raw").otherwise("split").alias("origin"), (F.col("price_basis") == "multi_buy").alias("is_multi"), F.col("price_basis").alias("disposition"))
-    good = _matches(spark, sf_dir).where("score > 10").select("feed", "week", "family").distinct()
+    """Texts are read once each, and offers of one key that say the same stand as one card before the patterns are tried."""
+    rows = units.with_unit_price(offers(spark, sf_dir), reference="p_retailprice", store=lambda df: files.stored(df, "promotions")).withColumn("text", tx.split_text())
+    origin = F.when(F.col("row_seq") % 2 == 0, "raw").otherwise("split")
+    cards = files.stored(rows.groupBy("feed", "week", "text", origin.alias("origin"), F.col("price_basis").alias("disposition")).agg(F.min("unit_price").alias("price")), "cards")
+    hits = ops.match_offers(cards, catalog(spark), include_only=True).withColumn("is_multi", F.col("disposition") == "multi_buy")
+    score = ops.preference_score(F.col("text"), F.col("prefer"), F.col("price").isNotNull())
+    good = ops.match_offers(cards, catalog(spark)).where(score > 10).select("feed", "week", "family").distinct()
     return ops.missed_deals(hits, good, ["feed", "week", "family"])
 
 

@@ -87,3 +87,24 @@ def test_parse_queries_reads_the_whole_text(spark, tmp_path):
     text = "x " * 60 + "at Safeway"
     spark.createDataFrame([(1, 1, "user", text)], "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert QUERIES["parse_queries"](spark, str(tmp_path)).collect()[0]["retailer"] == "safeway"
+
+
+@pytest.mark.parametrize("name", ["missed_deal_report"])
+def test_missed_deals_try_patterns_once_for_offers_that_say_the_same(spark, tmp_path, monkeypatch, name):
+    """Three times the line items, with keys that leave their prices as they are, give no more rows to match and the same deals."""
+    from pyspark.sql import functions as F
+
+    from priceloom.operators import matching
+
+    tried, match = [], matching.match_offers
+    monkeypatch.setattr(matching, "match_offers", lambda rows, *a, **k: (tried.append(rows.count()), match(rows, *a, **k))[1])
+    for t in ("region", "nation", "supplier", "part"):
+        spark.read.parquet(f"{DATA}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    copies = spark.read.parquet(f"{DATA}/lineitem.parquet").crossJoin(spark.range(3)).withColumn("l_orderkey", F.col("l_orderkey") + F.col("id") * 7_000_000)
+    copies.drop("id").write.parquet(f"{tmp_path}/lineitem.parquet")
+    one = QUERIES[name](spark, DATA).collect()
+    first, tried[:] = list(tried), []
+    three = QUERIES[name](spark, str(tmp_path)).collect()
+    assert len(one) > 100
+    assert sorted(map(str, three)) == sorted(map(str, one))
+    assert tried == first
