@@ -224,3 +224,17 @@ def test_a_popular_item_is_no_join_of_its_votes_with_its_changes(spark):
         assert [tuple(r) for r in votes.apply_vote_events(items, events).collect()] == [("a", "rejected", 100_000)]
     finally:
         stop.cancel()
+
+
+def test_texts_that_are_read_once_give_the_same_unit_prices(spark):
+    texts = ["2 for $5", "Buy 2 Get 3 Free", "BOGO", "Member Price: $1.25 ea", "5 ct pack", "3 lb bag of 2 lb", "18 ct", "one dozen", "6-pack 5.3 oz", "large pack", None]
+    rules = ["per_lb", "strawberries_per_lb", "per_dozen", "per_cup", "per_16oz", "per_bar", "pack_total", None]
+    rows = [(t, b, p, "a name", None, "32 oz", s, None, None, r, 4.0) for t in texts for b in ("bogo", "multi_buy", "per_pack", "per_lb", None) for p in ("$", "5.49", "20") for s in ("12", None) for r in rules]
+    offers = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, {OFFER}")
+    kept = []
+    once = units.with_unit_price(offers, store=lambda df: kept.append(df.count()) or df)
+    each = units.with_unit_price(offers)
+    assert kept == [len(texts)] and once.columns == each.columns
+    prices = [r["unit_price"] for r in each.orderBy("i").collect()]
+    assert [r["unit_price"] for r in once.orderBy("i").collect()] == prices
+    assert len(set(prices)) > 20

@@ -89,7 +89,7 @@ def test_parse_queries_reads_the_whole_text(spark, tmp_path):
     assert QUERIES["parse_queries"](spark, str(tmp_path)).collect()[0]["retailer"] == "safeway"
 
 
-@pytest.mark.parametrize("name", ["missed_deal_report"])
+@pytest.mark.parametrize("name", ["missed_deal_report", "missed_deals"])
 def test_missed_deals_try_patterns_once_for_offers_that_say_the_same(spark, tmp_path, monkeypatch, name):
     """Three times the line items, with keys that leave their prices as they are, give no more rows to match and the same deals."""
     from pyspark.sql import functions as F
